@@ -117,7 +117,7 @@ def choose(counts: list[tuple[str, int, int]], n_bad: int, n_good: int, most: in
 
 def fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-3) -> tuple[float, float]:
     """Logistic curve over one value, by Newton's method, each class with half of the weight."""
-    if not len(x) or y.min() == y.max():
+    if not len(x) or y.min() == y.max() or not x.any():
         return -4.0, 8.0
     v, w = np.stack([np.ones_like(x), x]), np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
     t = np.zeros(2)
@@ -125,7 +125,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-3
         p = 1 / (1 + np.exp(-np.clip(t @ v, -60, 60)))
         slope = v @ (w * (p - y)) + ridge * t
         t = t - np.linalg.solve((v * (w * p * (1 - p))) @ v.T + ridge * np.eye(2), slope)
-    return float(t[0]), float(t[1])
+    return min(float(t[0]), -0.5), max(float(t[1]), 0.5)  # without a finding no text is toxic
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, max_docs: int) -> DataFrame:
