@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of tessera.plans that define QUERIES and ORACLES.
-MODULES = ()
+MODULES = ("retrieval",)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
