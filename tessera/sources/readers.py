@@ -19,10 +19,8 @@ UNITS = "path string, unit_no int, text string"
 
 def texts(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """path, text of each file, read whole as UTF-8; glob such as *.md keeps some."""
-    reader = spark.read.option("wholetext", True)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    reader = spark.read.option("pathGlobFilter", glob) if glob else spark.read
+    return reader.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
 def local_name(tag: str) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def windowed(facts: DataFrame, every: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """start, event_type, n, mean_value of each window; facts later than the watermark are left out of the state."""
-    rows = facts.withWatermark("ts", late).groupBy(F.window("ts", every), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean_value"))
+    rows = facts.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", every), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean_value"))
     return rows.select(F.col("window.start").alias("start"), "event_type", "n", F.round("mean_value", 6).alias("mean_value"))
 
 
