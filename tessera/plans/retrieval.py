@@ -262,3 +262,14 @@ def extractive_summary(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").select("doc_id", about.alias("l")).select("doc_id", F.size("l").alias("n_sentences"), F.array_join(F.slice("l", 1, 3), ". ").alias("summary")).where("n_sentences > 0")
     n = F.col("n_sentences")
     return rows.withColumn("confidence", F.when(n >= 5, 0.9).when(n >= 2, 0.7).otherwise(0.5))
+
+
+@query(f"""WITH {LISTS}, f AS (SELECT id, coalesce(1.0::DOUBLE / (60 + v.pos), 0) + coalesce(1.0::DOUBLE / (60 + t.pos), 0) AS s FROM v FULL JOIN t USING (id)),
+m AS (SELECT id, source, round(s, 9) AS score_hybrid FROM f JOIN documents ON doc_id = id WHERE lang = 'en'),
+c AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score_hybrid DESC, id) AS r FROM m) SELECT id, source, score_hybrid FROM c WHERE r <= 2 ORDER BY score_hybrid DESC, id LIMIT 10""")
+def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
+    """The whole search: two lists, reciprocal-rank fusion, a filter on metadata after it, a cap for each source, the best ten."""
+    fused = fusion.by_reciprocal_rank(*two_lists(spark, d))
+    docs = table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"), "source")
+    rows = docs.join(F.broadcast(fused), "id").select("id", "source", F.round("score_hybrid", 9).alias("score_hybrid"))
+    return fusion.capped(rows, "source", 2, [F.desc("score_hybrid"), F.col("id")]).orderBy(F.desc("score_hybrid"), "id").limit(10)
