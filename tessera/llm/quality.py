@@ -139,12 +139,14 @@ def train(texts: list[str | None], ys: np.ndarray, rows: int = 1 << 16, dims: in
     return Model((table @ side).astype(np.float64), float(bias[1] - bias[0]), rows)
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 5_000) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 5_000, max_chars: int = 50_000) -> Model:
     """Learn from rows of docs (doc_id, text) that labels (doc_id, quality) mark.
 
+    The driver gets at most max_docs texts of at most max_chars characters; longer ones are left out of the sample.
     Rows without id or label teach nothing; null texts count as empty. With no rows every score is 0.5.
     """
-    rows = labelled(docs, labels, "quality", max_docs).select("doc_id", "text", "y").toPandas().sort_values("doc_id")
+    rows = labelled(docs, labels, "quality", max_docs).where(F.coalesce(F.char_length("text"), F.lit(0)) <= max_chars)
+    rows = rows.select("doc_id", "text", "y").toPandas().sort_values("doc_id")
     return train(rows["text"].tolist(), (rows["y"].to_numpy() > 0).astype(np.int64))
 
 

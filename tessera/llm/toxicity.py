@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -187,14 +188,11 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 12_000, min_docs:
 
 def scored(docs: DataFrame, lexicon: Lexicon, name: str = "score") -> DataFrame:
     """docs with all its columns and a score from 0 to 1; null and empty texts get the score of no finding."""
-    from pyspark.sql.functions import pandas_udf
+    own = Lexicon(lexicon.entries, lexicon.exceptions, lexicon.a, lexicon.b)  # its automaton is built in each task
 
-    lexicon._automaton = None  # built once in each Python worker
-    built = {}
-
-    @pandas_udf("double")
-    def score(texts):  # noqa: ANN001, ANN202
-        own = built.setdefault(0, lexicon)
-        return texts.map(own.score, na_action=None).astype("float64")
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([own.score(t) for t in texts], dtype="float64")
 
     return docs.withColumn(name, score(F.col("text")))

@@ -8,7 +8,8 @@ whose text varies are slots.
 
 What is kept of a page: its content root (an article or main element, or else the subtree that holds most
 varying prose), without template nodes, without elements that are furniture by their tag, role or class, and
-without blocks that are mostly links. Scripts, styles and comments never become text.
+(unless the page marks its article) blocks that are mostly links. A header inside a marked article stays, as its title.
+Scripts, styles and comments never become text.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import small, stage
+
 # Elements of HTML by their roles.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template svg iframe object xmp".split())
@@ -28,7 +31,7 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rp rt s samp small span strike strong "
     "sub sup time tt u var wbr".split()
 )
-FURNITURE = frozenset("head nav header footer aside form button select option input menu dialog figure figcaption script style noscript template svg iframe object textarea canvas audio video map title".split())
+FURNITURE = frozenset("head nav header footer aside form button select option input menu dialog script style noscript template svg iframe object textarea canvas audio video map title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar dialog alert alertdialog".split())
 # Words in class and id names of what is not the article.
 NAMES = re.compile(
@@ -279,9 +282,10 @@ def extract(htmls: list[str | None]) -> list[str]:
     out = []
     for tree in trees:
         root = content_root(tree)
+        marked = root.tag in ("article", "main") or root.role == "main"
         texts = []
-        for text, linked, node in blocks(root, lambda n: n.furniture()):
-            if 2 * linked > len(text) or constant(node, len(seen)):
+        for text, linked, node in blocks(root, lambda n, inside=marked: n.furniture() and not (inside and n.tag == "header" and not n.names and not n.role)):
+            if (2 * linked > len(text) and not marked) or constant(node, len(seen)):
                 continue
             texts.append(text)
         out.append("\n".join(texts))
@@ -301,7 +305,7 @@ def main_texts(pages: DataFrame, group: int = 64) -> DataFrame:
     """
     of = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
     sizes = of.groupBy("host").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / group)).cast("int").alias("groups"))
-    large = sizes.where("groups > 1")
+    large = small(stage(sizes.where("groups > 1"), "large-hosts"))
     groups = F.coalesce("groups", F.lit(1))
     of = of.join(large, "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), groups).cast("int")).drop("groups")
 

@@ -58,6 +58,11 @@ def test_pages_of_one_host():
         assert wrappers.extract(pages) == [WANT.format(i=i) for i in range(4)]
 
 
+def test_marked_articles_keep_titles_and_links():
+    page = "<body><article><header><h1>Title {i}</h1></header><p><a href=x>All of this is a link {i}</a></p><p>Text {i}</p><footer>By me</footer><section class='reader-comments'><article><p>No {i}</p></article></section></article></body>"
+    assert wrappers.extract([page.format(i=i) for i in range(3)]) == [f"Title {i}\nAll of this is a link {i}\nText {i}" for i in range(3)]
+
+
 def test_alignment_is_the_largest():
     def tree(x):
         node = wrappers.Node(x[0])
