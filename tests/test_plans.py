@@ -134,3 +134,11 @@ def test_variants(spark):
     words = spark.createDataFrame([(w,) for w in ("city", "cities", "bus", "day", "men", "mouse", "part")], "w string")
     got = {r[0]: r[1] for r in words.select("w", tx.variants(F.col("w"))).collect()}
     assert got["city"] == ["city", "cities"] and got["cities"] == ["cities", "city"] and got["day"] == ["day", "days"] and got["men"] == ["men", "man"] and got["mouse"] == ["mouse", "mice"]
+
+
+def test_issues_match_once_and_in_order(spark):
+    from tessera.plans.views import matched
+
+    rows = [(1, "expected", 0, "error", "a"), (1, "expected", 1, "error", "a"), (1, "expected", 2, "warning", "b"), (1, "actual", 0, "error", "xx a"), (1, "actual", 1, "error", "b"), (1, "actual", 2, "error", "aa"), (2, "expected", 0, "error", "q")]
+    got = sorted((r.case_id, r.expected, r.actual) for r in matched(spark.createDataFrame(rows, "case_id long, side string, ord long, severity string, text string")).collect())
+    assert got == [(1, 0, 0), (1, 1, 2), (1, 2, None), (2, 0, None)]
