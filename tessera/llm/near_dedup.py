@@ -5,11 +5,13 @@
 2. Each node has `bands` * `rows` minimum hashes. Nodes that agree in all rows of a band meet in its bucket. At
    the similarity 0.8, 42 bands of 6 rows miss a pair with a probability of 3e-6.
 3. In each bucket, every node is paired with one leader, which makes pairs linear in the bucket's size. After
-   the links of a round are known, only nodes of different components are paired again, with another leader;
-   when few such pairs are left, all of them are tried, so a bucket leaves no pair untested that could
+   the links of a round are known, only nodes of different components are paired again: with another leader
+   while that still joins many, and then with all of them, so a bucket leaves no pair untested that could
    still join two components.
 4. A pair's signatures are compared batch by batch. It is pruned when the posterior probability that its
-   similarity reaches the threshold, given the agreements so far and a uniform prior, falls below `miss`.
+   similarity reaches the threshold, given the agreements so far and a uniform prior, falls below `miss`. The
+   first batch is one bit of each minimum hash, packed in a few numbers that the pairing join itself
+   compares, along with set sizes that rule a pair out; so only likely pairs leave the join.
 5. Survivors are verified on their full sets.
 """
 
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import small, stage
@@ -30,7 +32,7 @@ from tessera.llm.graphs import stars
 class Sets:
     """Sets of shingle hashes; remembers the hashes of a bounded number of words."""
 
-    def __init__(self, shingle: int, memory: int = 300_000):
+    def __init__(self, shingle: int, memory: int = 150_000):
         class Words(dict):
             def __missing__(self, word: bytes) -> int:
                 if len(self) > memory:
@@ -63,14 +65,25 @@ def signature(own: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return least
 
 
+def bits(signs: np.ndarray) -> np.ndarray:
+    """One bit of each of up to 256 minimum hashes, as four numbers."""
+    own = np.zeros(256, np.uint8)
+    own[: min(256, len(signs))] = (signs[:256] >> np.uint32(13)) & np.uint32(1)
+    return np.packbits(own).view("<i8")
+
+
 def permutations(n: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     random = np.random.default_rng(seed)
     return (random.integers(0, 1 << 32, (n, 1), np.uint32) | np.uint32(1)), random.integers(0, 1 << 32, (n, 1), np.uint32)
 
 
-def least_agreements(n: int, batch: int, threshold: float, miss: float) -> list[int]:
-    """For each number of hashes compared, the fewest agreements at which a pair goes on."""
-    s = (np.arange(20_000) + 0.5) / 20_000
+def least_agreements(n: int, batch: int, threshold: float, miss: float, chance: float = 0.0) -> list[int]:
+    """For each number of hashes compared, the fewest agreements at which a pair goes on.
+
+    chance: how often hashes of different shingles agree.
+    """
+    s = chance + (1 - chance) * (np.arange(20_000) + 0.5) / 20_000
+    threshold = chance + (1 - chance) * threshold
     out = []
     for k in range(batch, n + 1, batch):
         for m in range(k + 1):
@@ -83,7 +96,7 @@ def least_agreements(n: int, batch: int, threshold: float, miss: float) -> list[
 
 
 def links(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 42, rows: int = 6, batch: int = 42, miss: float = 1e-6, rounds: int = 4) -> tuple[DataFrame, DataFrame]:
-    """(members, edges). members: doc_id, n_shingles, node for each row of docs; edges: nodes a > b that are linked.
+    """(members, roots). members: doc_id, n_shingles, node for each row of docs; roots: node, root for linked nodes.
 
     Texts without words have no node. Rows that share an id are one node, as ids are what results name.
     """
@@ -94,19 +107,21 @@ def links(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 42,
         for whole in batches:
             for lo in range(0, whole.num_rows, 1000):
                 part = whole.slice(lo, 1000)
-                keys, sizes, signs = [], [], []
+                keys, sizes, signs, packs = [], [], [], []
                 for text in part.column("text").to_pylist():
                     own = sets(text)
                     sizes.append(len(own))
                     keys.append(xxhash.xxh3_128_hexdigest(own.tobytes()) if len(own) else None)
-                    signs.append(signature(own, a, b).astype("<u4").tobytes() if len(own) else None)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast("int64"), pa.array(keys, pa.string()), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary())], names=["doc_id", "set_key", "n_shingles", "signs"])
+                    least = signature(own, a, b) if len(own) else None
+                    signs.append(None if least is None else least.astype("<u4").tobytes())
+                    packs.append(None if least is None else bits(least).tolist())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast("int64"), pa.array(keys, pa.string()), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary()), pa.array(packs, pa.list_(pa.int64()))], names=["doc_id", "set_key", "n_shingles", "signs", "pack"])
 
-    signed = stage(docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, set_key string, n_shingles long, signs binary"), "signatures")
+    signed = stage(docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, set_key string, n_shingles long, signs binary, pack array<bigint>"), "signatures")
     has = signed.where("set_key is not null and doc_id is not null")
     classes = has.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
     classes = stage(classes, "classes")
-    nodes = stage(has.join(classes.select("set_key", F.col("node").alias("doc_id")), ["set_key", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), "set_key", "signs").dropDuplicates(["node", "set_key"]), "nodes")
+    nodes = stage(has.join(classes.select("set_key", F.col("node").alias("doc_id")), ["set_key", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), "set_key", "n_shingles", "signs", *(F.col("pack")[k].alias(f"p{k}") for k in range(4))).dropDuplicates(["node", "set_key"]), "nodes")
     band = lambda i: F.xxhash64(i, F.substring("signs", i * (4 * rows) + 1, F.lit(4 * rows)))
     met = nodes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), band)).alias("bucket"))
     lone = met.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket")
@@ -147,41 +162,53 @@ def links(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 42,
         both = alive.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
         return stage(both.mapInArrow(confirm, "a long, b long").distinct(), "links")
 
-    edges, tested, roots = None, None, None
+    sketch = ["n_shingles", *(f"p{k}" for k in range(4))]
+    most = min(n, 256) - least_agreements(min(n, 256), min(n, 256), percent / 100, miss, chance=0.5)[0]
+
+    def likely(x: str, y: str) -> Column:
+        """Whether two rows' sizes and bits leave a chance that they are linked."""
+        m, k = F.col(f"{x}.n_shingles"), F.col(f"{y}.n_shingles")
+        differ = sum(F.bit_count(F.col(f"{x}.p{i}").bitwiseXOR(F.col(f"{y}.p{i}"))) for i in range(4))
+        return (100 * F.least(m, k) >= percent * F.greatest(m, k)) & (differ <= most)
+
+    edges, tested, roots, last = None, None, None, float("inf")
     for turn in range(rounds + 1):
-        own = met if roots is None else met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        if roots is not None:  # only buckets that still hold more than one component
+        if roots is None:
+            own, every = met.withColumn("root", F.col("node")), False
+        else:  # only buckets that still hold more than one component
+            own = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
             sizes = own.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count("*").alias("parts"))
             sizes = stage(sizes.where("parts > 1"), "split-buckets")
-            open_pairs, open_nodes = sizes.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0))).head()
-            if not open_nodes:
+            pairs, members = sizes.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0))).head()
+            if not members:
                 break
             own = own.join(sizes.select("bucket"), "bucket", "left_semi")
-        else:
-            own = own.withColumn("root", F.col("node"))
-        every = roots is not None and (open_pairs <= 4 * open_nodes or turn == rounds)
-        own = stage(own.select("bucket", "node", "root").distinct(), "open-buckets")
+            every = pairs <= 64 * members or pairs > 0.7 * last or turn == rounds
+            last = pairs
+        own = own.join(nodes.select("node", *sketch), "node")
         if every:
-            pairs = own.toDF("bucket", "a", "ra").join(own.toDF("bucket", "b", "rb"), "bucket").where("a > b and ra != rb")
+            x, y = own.alias("x"), own.alias("y")
+            pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & likely("x", "y"))
         else:
-            leader = own.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "root")).alias("l"))
-            if turn == 0:
-                leader = own.groupBy("bucket").agg(F.min(F.struct("node", "root")).alias("l"))
-            pairs = own.join(leader, "bucket").where("root != l.root").select(F.greatest("node", "l.node").alias("a"), F.least("node", "l.node").alias("b"))
-        pairs = pairs.select("a", "b").distinct()
+            first = F.struct("node", "root", *sketch) if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "root", *sketch)
+            y = own.groupBy("bucket").agg(F.min(first).alias("l")).select("bucket", "l.*").alias("y")
+            x = own.alias("x")
+            pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & likely("x", "y"))
+        pairs = pairs.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stage(pairs, "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
         new = test(pairs)
-        edges = new if edges is None else edges.unionByName(new)
+        # links found before count as their stars
+        edges = new if roots is None else roots.toDF("a", "b").unionByName(new)
+        roots = stars(edges)
         if every:
             break
-        roots = stars(edges)
     own = classes.select("set_key", "node")
     members = signed.select("doc_id", "n_shingles", "set_key").join(small(stage(own.join(classes.where("copies > 1").select("set_key"), "set_key", "left_semi"), "copied")), "set_key", "left")
     members = members.select("doc_id", "n_shingles", F.when(F.col("set_key").isNotNull(), F.coalesce("node", "doc_id")).alias("node"))
-    return members, edges
+    return members, roots
 
 
 def clustered(docs: DataFrame, shingle: int = 5, percent: int = 80, **options) -> DataFrame:
@@ -192,8 +219,8 @@ def clustered(docs: DataFrame, shingle: int = 5, percent: int = 80, **options) -
     nothing. Rows with a null id are linked with nothing, have a null component and are kept. Repeated rows are one
     node and each stays a row; an empty table stays empty.
     """
-    members, edges = links(docs, shingle, percent, **options)
-    roots = small(stars(edges))
+    members, roots = links(docs, shingle, percent, **options)
+    roots = small(roots)
     own = members.join(roots, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node", "doc_id").alias("component_id"))
     return own.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

@@ -22,33 +22,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.token_counts import load
+from tessera.llm.token_counts import SIMPLE, load, spelled
 
 
 
 class WordIds:
-    """Token ids of texts for a tokenizer that drops white space, as little-endian bytes of `width` each.
+    """Token ids of texts for a byte-level tokenizer that lowers case and drops white space, as little-endian bytes.
 
-    Such a tokenizer treats what stands between spaces or line ends on its own, so ids of a text are those of
-    its parts in a row; a bounded number of parts is remembered.
+    Such a tokenizer treats what stands between spaces or line ends on its own, and a mark behind a word apart
+    from the word, so ids of a text are those of its parts in a row; a bounded number of parts is remembered.
     """
 
     def __init__(self, tokenizer, width: int, memory: int = 400_000):
-        self.tokenizer, self.kind, self.memory = tokenizer, f"<u{width}", memory
-        self.known: dict[str, bytes] = {}
+        kind, model = f"<u{width}", tokenizer.model
+        full = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, kind).tobytes()
+        word = lambda text: np.array([t.id for t in model.tokenize(spelled(text.lower()))], kind).tobytes()
+        marks = {m: full(m) for m in ".,"}
+        plain = all(word(p) == full(p) and full(p + ",") == full(p) + marks[","] for p in ("the", "Überzug", "naïvement", "Étrange"))
+
+        class Parts(dict):
+            def __missing__(self, part: str) -> bytes:
+                if len(self) > memory:
+                    self.clear()
+                if plain and SIMPLE.fullmatch(part):
+                    ids = word(part) if part.islower() else self[part.lower()]
+                elif plain and part[-1:] in marks and SIMPLE.fullmatch(part[:-1]):
+                    ids = self[part[:-1].lower()] + marks[part[-1]]
+                else:
+                    ids = full(part)
+                if len(part) <= 64:
+                    self[part] = ids
+                return ids
+
+        self.parts = Parts()
 
     def __call__(self, text: str) -> bytes:
-        parts, known = text.replace("\n", " ").split(" "), self.known
-        try:
-            return b"".join(map(known.__getitem__, parts))
-        except KeyError:
-            pass
-        if len(known) > self.memory:
-            known.clear()
-        new = [p for p in dict.fromkeys(parts) if p not in known]
-        got = {p: np.array(e.ids, self.kind).tobytes() for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-        known.update((p, b) for p, b in got.items() if len(p) <= 64)
-        return b"".join(got[p] if p in got else known[p] for p in parts)
+        return b"".join(map(self.parts.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def place(lengths: list[int], losses: list[int], tokens: int, segments: int, loss: int, gap: int) -> list[tuple[int, int, int, int, int]]:
@@ -110,7 +119,7 @@ def place(lengths: list[int], losses: list[int], tokens: int, segments: int, los
     return out
 
 
-def packed(docs: DataFrame, path: str, end_id: int = 2, tokens: int = 4096, segments: int = 512, loss: int | None = None, loss_tokens: str | None = None, gap: int = 16, block_bytes: int = 12 << 20) -> DataFrame:
+def packed(docs: DataFrame, path: str, end_id: int = 2, tokens: int = 4096, segments: int = 512, loss: int | None = None, loss_tokens: str | None = None, gap: int = 16, block_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, start, length, doc_tokens, ids (little-endian uint32), sequence_id, offset for each piece.
 
     path names a tokenizer file that drops white space and exists on every executor; end_id closes each

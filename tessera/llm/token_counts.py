@@ -32,32 +32,61 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
+#: Byte-level tokenizers write each byte as a letter: printable bytes as they are, others from 256 on.
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+LETTERS = str.maketrans({b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in PRINTABLE)})
+
+#: Words of letters that are composed, have simple lower-case forms and are one pre-token.
+SIMPLE = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+
+def spelled(word: str) -> str:
+    """A word as the model of a byte-level tokenizer sees it."""
+    return word if word.isascii() and word.isalpha() else word.encode().decode("latin-1").translate(LETTERS)
+
+
 class Counter:
     """Counts tokens as the tokenizer's own encode() does, without adding special tokens."""
 
     def __init__(self, tokenizer, chunk: int = 32_768, overlap: int = 512, memory: int = 400_000):
         self.tokenizer, self.chunk, self.overlap, self.memory = tokenizer, chunk, overlap, memory
-        self.pieces: dict[str, int] = {}
         self.widened = 0
+        own, model = self, tokenizer.model
+        probes = [" the", "Überzug", " naïvement", "word", " étrange"]
+        plain = all(len(model.tokenize(spelled(p))) == self.whole(p) == self.whole(p + ",") - 1 == self.whole(p + ".\n" + p) - self.whole(p) - 2 for p in probes)
+
+        class Pieces(dict):
+            """Tokens of pieces; a space-led word and a mark behind it are pre-tokens of their own, and so is a line end."""
+
+            def __missing__(self, piece: str) -> int:
+                if len(self) > own.memory:
+                    self.clear()
+                word = piece[1:] if piece[:1] == " " else piece
+                if plain and SIMPLE.fullmatch(word):
+                    n = len(model.tokenize(spelled(piece)))
+                elif plain and piece[-1:] in (",", ".") and SIMPLE.fullmatch(word[:-1]):
+                    n = self[piece[:-1]] + 1
+                elif plain and "\n" in word and len(parts := piece.split("\n")) < 99 and all(x and not x[-1].isspace() and not x[0].isspace() for x in (word.split("\n")[0], *parts[1:])):
+                    n = sum(self[x] for x in parts) + len(parts) - 1
+                else:
+                    n = own.whole(piece)
+                if len(piece) <= 64:
+                    self[piece] = n
+                return n
+
+        self.pieces = Pieces()
+
+    def whole(self, text: str) -> int:
+        return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def many(self, texts: list[str]) -> list[int]:
         return [self.huge(t) if len(t) > self.chunk else self.plain(t) for t in texts]
 
     def plain(self, text: str) -> int:
         """A text of ordinary length, by its pieces; as a whole if a cut would not be safe."""
-        if UNSAFE.search(text):
-            return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        pieces, known = text.replace(" ", "\x00 ").split("\x00") if "\x00" not in text else [text], self.pieces
-        try:
-            return sum(map(known.__getitem__, pieces))
-        except KeyError:
-            pass
-        if len(known) > self.memory:
-            known.clear()
-        new = [p for p in dict.fromkeys(pieces) if p not in known]
-        got = dict(zip(new, (len(e.ids) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        known.update((p, n) for p, n in got.items() if len(p) <= 64)
-        return sum(got[p] if p in got else known[p] for p in pieces)
+        if UNSAFE.search(text) or "\x00" in text:
+            return self.whole(text)
+        return sum(map(self.pieces.__getitem__, text.replace(" ", "\x00 ").split("\x00")))
 
     def encode(self, text: str, start: int, end: int) -> list[tuple[int, int, int]]:
         """(start, end, id) in the whole text's offsets."""
