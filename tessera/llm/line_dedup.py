@@ -38,7 +38,10 @@ def half(n: Column) -> Column:
 def exploded(docs: DataFrame) -> DataFrame:
     """k_null, k_id, k_text, ln, words for each line of each row of docs."""
     lines = docs.where("text is not null").select(*row_keys(F.col("doc_id"), F.col("text")), F.posexplode(F.split("text", "\n", -1)).alias("ln", "line"))
-    return lines.select(*ORDER, F.array_remove(F.split(F.lower("line"), r"\s+"), "").alias("words"))
+    line = F.lower("line")
+    words = F.when(line.rlike(r"[^\S ]"), F.split(line, r"\s+")).otherwise(F.split(line, " "))
+    # through a generator, so that the words are made once and not again for each use
+    return lines.select(*ORDER, F.explode(F.array(F.array_remove(words, ""))).alias("words"))
 
 
 def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +87,9 @@ def removals(docs: DataFrame, min_words: int = 4, near_words: int = 8) -> DataFr
     lines = exploded(docs).withColumn("n", F.size("words")).where(F.col("n") >= min_words)
     part = lambda tag, h, words: F.xxhash64(F.lit(tag), h, words)
     ends = lambda h: [part(1, h, F.slice("words", 1, h)), part(2, h, F.slice("words", F.col("n") - h + 1, h))]
-    parts = F.when(F.col("n") >= near_words, F.array_distinct(F.array(*ends(half(F.col("n"))), *ends(half(F.col("n") - 1))))).otherwise(F.array().cast("array<bigint>"))
+    n, h = F.col("n"), F.col("h")
+    lines = lines.withColumn("h", half(n))
+    parts = F.when(n < near_words, F.array().cast("array<bigint>")).when(half(n - 1) == h, F.array(*ends(h))).otherwise(F.array(*ends(h), *ends(half(n - 1))))
     lines = stage(lines.select(*ORDER, F.xxhash64("words").alias("a"), F.xxhash64(F.lit(3), "words").alias("b"), parts.alias("parts")), "lines")
     first = F.min(F.struct(*ORDER)).alias("o")
     own = stage(lines.groupBy("a", "b").agg(first, F.count("*").alias("times"), F.first("parts").alias("parts")), "distinct-lines")
@@ -97,10 +102,12 @@ def removals(docs: DataFrame, min_words: int = 4, near_words: int = 8) -> DataFr
 
     met = close.mapInArrow(variants, "v long, p int, k_null boolean, k_id long, k_text long, ln int")
     met = stage(met, "variants")
-    at = met.groupBy("v", "p").agg(first)
-    whole = at.groupBy("v").agg(F.min("o").alias("any"), F.min(F.when(F.col("p") == 0, F.col("o"))).alias("same"), F.count("*").alias("n"))
     mine = F.struct(*ORDER)
-    found = met.join(at, ["v", "p"]).join(whole, "v").withColumn("mine", mine)
+    # by key: its earliest line, its last, and the line that equals the key; keys of one line are done with
+    whole = met.groupBy("v").agg(F.min(mine).alias("any"), F.max(mine).alias("last"), F.min(F.when(F.col("p") == 0, mine)).alias("same")).where("any < last")
+    met = met.join(whole.drop("last"), "v")
+    at = met.groupBy("v", "p").agg(first)
+    found = met.join(at, ["v", "p"]).withColumn("mine", mine)
     earlier = F.when(F.col("p") == 0, F.col("any")).otherwise(F.least("o", F.coalesce("same", "o")))
     found = found.select("mine", earlier.alias("earlier")).where("earlier < mine").distinct()
     texts = close.select(mine.alias("who"), "words")
