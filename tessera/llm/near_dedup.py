@@ -4,7 +4,8 @@
    node. Only nodes go on, so copies cost nothing more.
 2. Each node has `bands` * `rows` minimum hashes. Nodes that agree in all rows of a band meet in its bucket. At
    the similarity 0.8, 42 bands of 6 rows miss a pair with a probability of 3e-6.
-3. In each bucket, every node is paired with one leader, which makes pairs linear in the bucket's size. After
+3. In each bucket, every node is paired with one leader, the one that meets most others in all buckets, as what
+   others are copies of does. This makes pairs linear in the bucket's size. After
    the links of a round are known, only nodes of different components are paired again: with another leader
    while that still joins many, and then with all of them, so a bucket leaves no pair untested that could
    still join two components.
@@ -95,7 +96,7 @@ def least_agreements(n: int, batch: int, threshold: float, miss: float, chance:
     return out
 
 
-def links(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 42, rows: int = 6, batch: int = 42, miss: float = 1e-6, rounds: int = 4) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 42, rows: int = 6, batch: int = 42, miss: float = 1e-5, rounds: int = 4) -> tuple[DataFrame, DataFrame]:
     """(members, roots). members: doc_id, n_shingles, node for each row of docs; roots: node, root for linked nodes.
 
     Texts without words have no node. Rows that share an id are one node, as ids are what results name.
@@ -124,8 +125,12 @@ def links(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 42,
     nodes = stage(has.join(classes.select("set_key", F.col("node").alias("doc_id")), ["set_key", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), "set_key", "n_shingles", "signs", *(F.col("pack")[k].alias(f"p{k}") for k in range(4))).dropDuplicates(["node", "set_key"]), "nodes")
     band = lambda i: F.xxhash64(i, F.substring("signs", i * (4 * rows) + 1, F.lit(4 * rows)))
     met = nodes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), band)).alias("bucket"))
-    lone = met.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket")
-    met = stage(met.join(lone, "bucket", "left_semi"), "buckets")
+    met = met.distinct()
+    shared = met.groupBy("bucket").agg(F.count("*").alias("others")).where("others > 1")
+    met = stage(met.join(shared, "bucket"), "buckets")
+    # how often a node meets others: a text that many are copies of meets them more often than they each other
+    central = met.groupBy("node").agg(F.sum("others").alias("met"))
+    met = met.drop("others")
 
     fewest = least_agreements(n, batch, percent / 100, miss)
 
@@ -157,7 +162,7 @@ def links(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 42,
         signs = nodes.select("node", "signs")
         alive = pairs.join(signs.toDF("a", "x"), "a").join(signs.toDF("b", "y"), "b").select("a", "b", "x", "y")
         alive = stage(alive.mapInArrow(prune, "a long, b long").distinct(), "survivors")
-        named = small(stage(alive.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "named"))
+        named = small(stage(alive.select(F.col("a").alias("doc_id")).union(alive.select("b")).distinct(), "named"))
         texts = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(named, "doc_id", "left_semi"), "texts")
         both = alive.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
         return stage(both.mapInArrow(confirm, "a long, b long").distinct(), "links")
@@ -186,11 +191,14 @@ def links(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 42,
             every = pairs <= 64 * members or pairs > 0.7 * last or turn == rounds
             last = pairs
         own = own.join(nodes.select("node", *sketch), "node")
+        if turn == 0:
+            own = own.join(central, "node")
         if every:
             x, y = own.alias("x"), own.alias("y")
             pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & likely("x", "y"))
         else:
-            first = F.struct("node", "root", *sketch) if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "root", *sketch)
+            order = -F.col("met") if turn == 0 else F.xxhash64("node", F.lit(turn))
+            first = F.struct(order.alias("h"), "node", "root", *sketch)
             y = own.groupBy("bucket").agg(F.min(first).alias("l")).select("bucket", "l.*").alias("y")
             x = own.alias("x")
             pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & likely("x", "y"))
