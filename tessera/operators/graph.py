@@ -27,24 +27,28 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """id, distance: nodes within `depth` forward hops of any seed (id), with the least number of hops."""
+    """id, distance: nodes within `depth` forward hops of any seed (id), with the least number of hops.
+
+    Each level keeps the nodes it has and adds their successors in one pass, so a level's plan holds the one before
+    only once, and the edges' exchange is shared by all levels.
+    """
+    steps = edges.select("src", "dst").distinct()
     seen = seeds.select("id", F.lit(0).alias("distance")).distinct()
-    frontier = seen
-    for d in range(1, depth + 1):
-        step = edges.join(frontier.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
-        frontier = step.join(seen, "id", "left_anti").select("id", F.lit(d).alias("distance"))
-        seen = seen.unionByName(frontier)
+    for _ in range(depth):
+        both = F.array(F.struct("id", "distance"), F.struct(F.col("dst").alias("id"), (F.col("distance") + 1).alias("distance")))
+        met = seen.join(steps, F.col("id") == F.col("src"), "left").select(F.inline(both)).where("id IS NOT NULL")
+        seen = met.groupBy("id").agg(F.min("distance").alias("distance"))
     return seen
 
 
 def shortest_paths(edges: DataFrame, start: str, depth: int) -> DataFrame:
     """id, path (array): the shortest path from a node to each within depth; of several, the first in order of names."""
-    first = edges.sparkSession.range(1).select(F.lit(start).alias("id"), F.array(F.lit(start)).alias("path"))
-    seen = frontier = first
+    steps = edges.select("src", "dst").distinct()
+    seen = edges.sparkSession.range(1).select(F.lit(start).alias("id"), F.array(F.lit(start)).alias("path"))
     for _ in range(depth):
-        step = edges.join(frontier.select(F.col("id").alias("src"), "path"), "src").select(F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"))
-        frontier = step.groupBy("id").agg(F.min("path").alias("path")).join(seen, "id", "left_anti")
-        seen = seen.unionByName(frontier)
+        both = F.array(F.struct("id", "path"), F.struct(F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path")))
+        met = seen.join(steps, F.col("id") == F.col("src"), "left").select(F.inline(both)).where("id IS NOT NULL")
+        seen = met.groupBy("id").agg(F.min(F.struct(F.size("path").alias("n"), "path")).alias("m")).select("id", F.col("m.path").alias("path"))
     return seen
 
 
@@ -128,12 +132,13 @@ def impact(edges: DataFrame, directions: DataFrame, seeds: DataFrame, depth: int
     forward = typed.where("direction <> 'reverse'").select("src", "dst", "relation")
     reverse = typed.where("direction <> 'forward'").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "relation")
     steps = forward.unionByName(reverse)
-    seen = seeds.select("id", F.lit(0).alias("distance"), F.array().cast("array<string>").alias("kinds"))
-    frontier = seen
-    for d in range(1, depth + 1):
-        step = steps.join(frontier.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.array_sort(F.collect_set("relation")).alias("kinds"))
-        frontier = step.join(seen, "id", "left_anti").select("id", F.lit(d).alias("distance"), "kinds")
-        seen = seen.unionByName(frontier)
+    none = F.array().cast("array<string>")
+    seen = seeds.select("id", F.lit(0).alias("distance"), none.alias("kinds")).distinct()
+    for _ in range(depth):
+        both = F.array(F.struct("id", "distance", "kinds"), F.struct(F.col("dst").alias("id"), (F.col("distance") + 1).alias("distance"), F.array("relation").alias("kinds")))
+        met = seen.join(steps, F.col("id") == F.col("src"), "left").select(F.inline(both)).where("id IS NOT NULL")
+        per = met.groupBy("id", "distance").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("kinds")))).alias("kinds"))
+        seen = per.groupBy("id").agg(F.min(F.struct("distance", "kinds")).alias("m")).select("id", "m.distance", "m.kinds")
     return seen.where("distance > 0")
 
 
