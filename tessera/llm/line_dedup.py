@@ -129,7 +129,7 @@ def deduplicated(docs: DataFrame, min_words: int = 4, near_words: int = 8) -> Da
     """
     names = docs.columns
     keyed = docs.select("*", *(c.alias(f"ld_{k}") for c, k in zip(row_keys(docs["doc_id"], docs["text"]), KEYS, strict=True)))
-    gone = small(stage(removals(docs, min_words, near_words).toDF(*(f"ld_{k}" for k in KEYS), "ld_gone"), "removals"))
+    gone = small(stage(removals(docs, min_words, near_words).toDF(*(f"ld_{k}" for k in KEYS), "ld_gone"), "removals"), array="ld_gone")
     rows = keyed.join(gone, [f"ld_{k}" for k in KEYS], "left")
     kept = F.array_join(F.filter(F.split(F.col("text"), "\n", -1), lambda x, i: ~F.array_contains("ld_gone", i)), "\n")
     text = F.when(F.col("ld_gone").isNull(), F.col("text")).otherwise(kept)
