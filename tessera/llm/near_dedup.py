@@ -12,7 +12,9 @@
 4. A pair's signatures are compared batch by batch. It is pruned when the posterior probability that its
    similarity reaches the threshold, given the agreements so far and a uniform prior, falls below `miss`. The
    first batch is one bit of each minimum hash, packed in a few numbers that the pairing join itself
-   compares, along with set sizes that rule a pair out; so only likely pairs leave the join.
+   compares, along with set sizes that rule a pair out. Where all nodes of a bucket meet, the join also compares
+   bitmaps of the sets: a bit that only one has stands for a shingle that only one has, which bounds the
+   similarity from above without any miss. So only likely pairs leave the join.
 5. Survivors are verified on their full sets.
 """
 
@@ -73,6 +75,13 @@ def bits(signs: np.ndarray) -> np.ndarray:
     return np.packbits(own).view("<i8")
 
 
+def bitmap(own: np.ndarray, size: int = 2048) -> np.ndarray:
+    """A set's shingles as bits of `size`, in numbers of 64 bits."""
+    out = np.zeros(size, np.uint8)
+    out[(own % np.uint64(size)).astype(np.int64)] = 1
+    return np.packbits(out).view("<i8")
+
+
 def permutations(n: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     random = np.random.default_rng(seed)
     return (random.integers(0, 1 << 32, (n, 1), np.uint32) | np.uint32(1)), random.integers(0, 1 << 32, (n, 1), np.uint32)
@@ -108,7 +117,7 @@ def links(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 42,
         for whole in batches:
             for lo in range(0, whole.num_rows, 1000):
                 part = whole.slice(lo, 1000)
-                keys, sizes, signs, packs = [], [], [], []
+                keys, sizes, signs, packs, maps = [], [], [], [], []
                 for text in part.column("text").to_pylist():
                     own = sets(text)
                     sizes.append(len(own))
@@ -116,13 +125,14 @@ def links(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 42,
                     least = signature(own, a, b) if len(own) else None
                     signs.append(None if least is None else least.astype("<u4").tobytes())
                     packs.append(None if least is None else bits(least).tolist())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast("int64"), pa.array(keys, pa.string()), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary()), pa.array(packs, pa.list_(pa.int64()))], names=["doc_id", "set_key", "n_shingles", "signs", "pack"])
+                    maps.append(None if least is None else bitmap(own).tolist())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast("int64"), pa.array(keys, pa.string()), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary()), pa.array(packs, pa.list_(pa.int64())), pa.array(maps, pa.list_(pa.int64()))], names=["doc_id", "set_key", "n_shingles", "signs", "pack", "bitmap"])
 
-    signed = stage(docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, set_key string, n_shingles long, signs binary, pack array<bigint>"), "signatures")
+    signed = stage(docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, set_key string, n_shingles long, signs binary, pack array<bigint>, bitmap array<bigint>"), "signatures")
     has = signed.where("set_key is not null and doc_id is not null")
     classes = has.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
     classes = stage(classes, "classes")
-    nodes = stage(has.join(classes.select("set_key", F.col("node").alias("doc_id")), ["set_key", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), "set_key", "n_shingles", "signs", *(F.col("pack")[k].alias(f"p{k}") for k in range(4))).dropDuplicates(["node", "set_key"]), "nodes")
+    nodes = stage(has.join(classes.select("set_key", F.col("node").alias("doc_id")), ["set_key", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), "set_key", "n_shingles", "signs", "bitmap", *(F.col("pack")[k].alias(f"p{k}") for k in range(4))).dropDuplicates(["node", "set_key"]), "nodes")
     band = lambda i: F.xxhash64(i, F.substring("signs", i * (4 * rows) + 1, F.lit(4 * rows)))
     met = nodes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), band)).alias("bucket"))
     met = met.distinct()
@@ -176,6 +186,12 @@ def links(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 42,
         differ = sum(F.bit_count(F.col(f"{x}.p{i}").bitwiseXOR(F.col(f"{y}.p{i}"))) for i in range(4))
         return (100 * F.least(m, k) >= percent * F.greatest(m, k)) & (differ <= most)
 
+    def possible(x: str, y: str) -> Column:
+        """Whether the bitmaps of two rows' sets leave room for the similarity asked for."""
+        only = lambda a, b: F.aggregate(F.zip_with(f"{a}.bitmap", f"{b}.bitmap", lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, n: s + n)
+        m = F.col(f"{x}.n_shingles")
+        return 100 * (m - only(x, y)) >= percent * (m + only(y, x))
+
     edges, tested, roots, last = None, None, None, float("inf")
     for turn in range(rounds + 1):
         if roots is None:
@@ -190,12 +206,12 @@ def links(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 42,
             own = own.join(sizes.select("bucket"), "bucket", "left_semi")
             every = pairs <= 64 * members or pairs > 0.7 * last or turn == rounds
             last = pairs
-        own = own.join(nodes.select("node", *sketch), "node")
+        own = own.join(nodes.select("node", *sketch, *(["bitmap"] if every else [])), "node")
         if turn == 0:
             own = own.join(central, "node")
         if every:
             x, y = own.alias("x"), own.alias("y")
-            pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & likely("x", "y"))
+            pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & likely("x", "y") & possible("x", "y"))
         else:
             order = -F.col("met") if turn == 0 else F.xxhash64("node", F.lit(turn))
             first = F.struct(order.alias("h"), "node", "root", *sketch)
