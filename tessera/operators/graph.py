@@ -6,6 +6,8 @@ whatever the number of paths. Depths are bounded; levels of unbounded loops are
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,16 +91,25 @@ def union_first(*graphs: DataFrame) -> DataFrame:
     return rows.groupBy("src", "dst").agg(F.min(F.struct("graph", "relation")).alias("m")).select("src", "dst", F.col("m.relation").alias("relation"))
 
 
-def on_cycles(edges: DataFrame, most: int = 50) -> DataFrame:
+def staged(rows: DataFrame) -> DataFrame:
+    """rows, checkpointed; a local master without a checkpoint folder gets one of its own, a cluster has to name one."""
+    context = rows.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return rows.checkpoint()
+
+
+def on_cycles(edges: DataFrame) -> DataFrame:
     """id of nodes left after stripping, again and again, nodes without successors and without predecessors.
 
-    None are left exactly if there is no cycle. Each round is staged where a checkpoint folder is set.
+    None are left exactly if there is no cycle. Each round is staged; rounds go on until nothing more is stripped.
     """
     left = edges.select("src", "dst").distinct()
     before = -1
-    for _ in range(most):
-        if left.sparkSession.sparkContext.getCheckpointDir():
-            left = left.checkpoint()
+    while True:
+        left = staged(left)
         now = left.count()
         if now == before or not now:
             break

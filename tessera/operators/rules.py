@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.graph import staged
+
 
 def issues(rows: DataFrame, rule: str, severity: str, node: Column, message: Column) -> DataFrame:
     return rows.select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), node.cast("string").alias("node"), message.alias("message"))
@@ -42,6 +44,22 @@ def inherits_itself(bases: DataFrame, depth: int, rule: str) -> DataFrame:
     return issues(found.distinct(), rule, "warning", F.col("node"), F.lit("inheritance cycle"))
 
 
+def inheritance_cycles(bases: DataFrame, rule: str) -> DataFrame:
+    """Nodes of bases (node, base; one base each) on a cycle of any length, and nodes whose bases lead into one.
+
+    Steps are doubled: base becomes the base of the base, staged each round, until they outnumber the nodes. A walk
+    that has not ended by then never ends, and stands on a cycle.
+    """
+    at = staged(bases.select("node", F.col("base").alias("at")))
+    steps, nodes = 1, at.count()
+    while steps <= nodes:
+        at = staged(at.join(at.toDF("at", "next"), "at").select("node", F.col("next").alias("at")))
+        steps *= 2
+    on = at.select(F.col("at").alias("node"), F.lit(True).alias("on")).distinct()
+    message = F.when(F.col("on"), "inheritance cycle").otherwise("leads into an inheritance cycle")
+    return issues(at.select("node").join(on, "node", "left"), rule, "warning", F.col("node"), message)
+
+
 def resolve(references: DataFrame, registries: list[DataFrame], last_part: bool = True) -> DataFrame:
     """ref, target, registry: the first registry (name, target) with one match decides; several there are ambiguous.
 

@@ -45,13 +45,23 @@ def rule_parent_type(spark: SparkSession, d: str) -> DataFrame:
 BASES = "b AS (SELECT CAST(p_partkey AS VARCHAR) AS node, CAST((p_partkey * 7 + p_size) % (SELECT count(*) FROM part) AS VARCHAR) AS base FROM part)"
 
 
+def part_bases(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part")
+    n = part.agg(F.count("*").alias("n"))
+    return part.join(F.broadcast(n)).select(F.col("p_partkey").cast("string").alias("node"), ((F.col("p_partkey") * 7 + F.col("p_size")) % F.col("n")).cast("string").alias("base"))
+
+
 @query(f"WITH {BASES}, s1 AS (SELECT node, base AS x FROM b), s2 AS (SELECT s1.node, b.base AS x FROM s1 JOIN b ON b.node = s1.x), s3 AS (SELECT s2.node, b.base AS x FROM s2 JOIN b ON b.node = s2.x), s4 AS (SELECT s3.node, b.base AS x FROM s3 JOIN b ON b.node = s3.x) "
        "SELECT DISTINCT 'no_inheritance_cycle' AS rule, 'warning' AS severity, node, 'inheritance cycle' AS message FROM (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3 UNION ALL SELECT * FROM s4) WHERE node = x")
 def rule_inheritance_cycle(spark: SparkSession, d: str) -> DataFrame:
-    part = table(spark, d, "part")
-    n = part.agg(F.count("*").alias("n"))
-    bases = part.join(F.broadcast(n)).select(F.col("p_partkey").cast("string").alias("node"), ((F.col("p_partkey") * 7 + F.col("p_size")) % F.col("n")).cast("string").alias("base"))
-    return rules.inherits_itself(bases, 4, "no_inheritance_cycle")
+    """Cycles of at most four nodes, as in the SQL; rule_inheritance_cycle_whole has no bound."""
+    return rules.inherits_itself(part_bases(spark, d), 4, "no_inheritance_cycle")
+
+
+@query(f"WITH RECURSIVE {BASES}, walk AS (SELECT node, base AS x FROM b UNION SELECT walk.node, b.base AS x FROM walk JOIN b ON b.node = walk.x), c AS (SELECT node FROM walk WHERE node = x) "
+       "SELECT DISTINCT 'no_inheritance_cycle' AS rule, 'warning' AS severity, node, CASE WHEN node IN (SELECT node FROM c) THEN 'inheritance cycle' ELSE 'leads into an inheritance cycle' END AS message FROM walk WHERE x IN (SELECT node FROM c)")
+def rule_inheritance_cycle_whole(spark: SparkSession, d: str) -> DataFrame:
+    return rules.inheritance_cycles(part_bases(spark, d), "no_inheritance_cycle")
 
 
 @query("""WITH refs AS (SELECT DISTINCT p_brand || '::' || p_name AS ref, p_name AS l FROM part), a AS (SELECT p_brand || '::' || p_name AS name, min(CAST(p_partkey AS VARCHAR)) AS t, count(DISTINCT p_partkey) AS n FROM part WHERE p_size <= 3 GROUP BY 1),

@@ -95,6 +95,20 @@ def test_traversal_of_odd_graphs(spark):
     assert graph.first_per_pair(edges.union(edges), ["relation"]).count() == 5
 
 
+def test_cycles_of_any_length(spark):
+    ring = [(f"r{i}", f"r{(i + 1) % 9}") for i in range(9)]
+    bases = spark.createDataFrame([*ring, ("in", "r0"), ("far", "in"), ("self", "self"), ("ends", "root"), ("root", "gone")], "node string, base string")
+    got = {r.node: r.message for r in rules.inheritance_cycles(bases, "x").collect()}
+    on = {f"r{i}" for i in range(9)} | {"self"}
+    assert got == {n: "inheritance cycle" for n in on} | {n: "leads into an inheritance cycle" for n in ("in", "far")}
+
+
+def test_on_cycles_strips_long_chains(spark):
+    chain = [(f"c{i:03}", f"c{i + 1:03}") for i in range(130)]
+    edges = spark.createDataFrame([*chain, ("x", "y"), ("y", "x")], "src string, dst string")
+    assert {r.id for r in graph.on_cycles(edges).collect()} == {"x", "y"}
+
+
 def test_band_pairs_at_the_edge(spark):
     from collections import Counter
 
