@@ -1,7 +1,8 @@
 """Line deduplication by a deletion-neighbourhood join.
 
-A line's words, in lower case, are its symbols; two lines are near if one word inserted, deleted or replaced makes them
-equal. Every occurrence of a line after its first goes, and so does a line that is near to any line that came
+A line's words, in lower case, are its symbols (and, on request, each letter of a script that is written without spaces);
+two lines are near if a few words inserted, deleted or replaced make them equal: one, or as many as `allowed` says for the
+shorter line. Every occurrence of a line after its first goes, and so does a line that is near to any line that came
 earlier, by document id and then by place. The steps:
 
 1. Equal lines become one, with its first occurrence.
@@ -12,11 +13,17 @@ earlier, by document id and then by place. The steps:
    line that lost a word and the line that equals the key (inserted or deleted). The earliest of each is found by
    minima, which combine before the shuffle, so a key that thousands of lines share makes no pairs.
 4. The edit distance of each line to the earlier line found is verified on their words.
+5. Where k > 1 edits are allowed, a line is cut into k + 1 parts, of which k edits leave one as it is, moved by no more
+   places than edits stand before and behind it. Each line offers its parts and looks for those of lines up to k words
+   shorter, at all such places. Lines that meet no other line in a part are left out by packed hashes; pairs of the rest
+   are held against each other on parity bitmaps of their words, inside the join, and then on a banded edit distance.
+   Neither loses a pair. A part that many different lines share at one place still makes a pair of any two of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +35,9 @@ from tessera.llm.common import KEYS, row_keys, small, stage
 
 BASE = 0x9E3779B97F4A7C15
 ORDER = [*KEYS, "ln"]
+#: Letters of scripts that are written without spaces between words.
+UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
+BUCKETS = 1024
 
 
 def half(n: Column) -> Column:
@@ -35,10 +45,12 @@ def half(n: Column) -> Column:
     return F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(n / 2, F.lit(1.0))))).cast("int")
 
 
-def exploded(docs: DataFrame) -> DataFrame:
-    """k_null, k_id, k_text, ln, words for each line of each row of docs."""
+def exploded(docs: DataFrame, letters: bool = False) -> DataFrame:
+    """k_null, k_id, k_text, ln, words for each line of each row of docs; letters: unspaced ones are words of their own."""
     lines = docs.where("text is not null").select(*row_keys(F.col("doc_id"), F.col("text")), F.posexplode(F.split("text", "\n", -1)).alias("ln", "line"))
     line = F.lower("line")
+    if letters:
+        line = F.when(F.octet_length("line") > F.char_length("line"), F.regexp_replace(line, UNSPACED, " $1 ")).otherwise(line)
     words = F.when(line.rlike(r"[^\S ]"), F.split(line, r"\s+")).otherwise(F.split(line, " "))
     # through a generator, so that the words are made once and not again for each use
     return lines.select(*ORDER, F.explode(F.array(F.array_remove(words, ""))).alias("words"))
@@ -79,12 +91,159 @@ def one_edit(x: Column, y: Column) -> Column:
     )
 
 
-def removals(docs: DataFrame, min_words: int = 4, near_words: int = 8) -> DataFrame:
+def allowed(n: int, most: int, per: int) -> int:
+    """Edits allowed between lines of which the shorter has n words: one for each `per` words, 1 at least and `most` at most."""
+    return max(1, min(most, n // per))
+
+
+@cache
+def places(m: int, most: int, per: int, again: bool) -> tuple[np.ndarray, ...]:
+    """First, start, length and tag of the parts that a line of m words offers (first) and looks for.
+
+    Parts at the very place where it offers them itself are looked for only if `again`.
+    """
+    rows = []
+
+    def parts(n: int, k: int) -> list[tuple[int, int]]:
+        short, longer = n // (k + 1), n % (k + 1)
+        sizes = [short + (i > k - longer) for i in range(k + 1)]
+        return [(sum(sizes[:i]), size) for i, size in enumerate(sizes)]
+
+    for n in range(max(2 * per, m - most), m + 1):
+        k, grown = allowed(n, most, per), m - n
+        if grown > k:
+            continue
+        for i, (at, size) in enumerate(parts(n, k)):
+            tag = n * 64 + i
+            if not grown:
+                rows.append((True, at, size, tag))
+            for p in range(max(0, at - i, at + grown - (k - i)), min(m - size, at + i, at + grown + (k - i)) + 1):
+                if again or grown or p != at:
+                    rows.append((False, p, size, tag))
+    first, start, size, tag = zip(*rows, strict=True)
+    return np.array(first), np.array(start), np.array(size), np.array(tag, np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def part_keys(hashes: pa.ListArray, most: int, per: int, again: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, first, keys): for lines of equal length, their places in hashes and the keys of their parts, a row each."""
+    ends = np.cumsum(sizes := hashes.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+    flat = hashes.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    starts, longest = ends - sizes, int(sizes.max(initial=0))
+    powers = np.cumprod(np.append(np.uint64(1), np.full(longest, BASE, np.uint64)))
+    back = np.cumprod(np.append(np.uint64(1), np.full(longest, pow(BASE, -1, 1 << 64), np.uint64)))
+    sums = np.append(np.uint64(0), np.cumsum(flat * powers[np.arange(len(flat)) - np.repeat(starts, sizes)]))
+    for m in np.unique(sizes):
+        rows = np.flatnonzero(sizes == m)
+        first, start, size, tag = places(int(m), most, per, again)
+        at = starts[rows][:, None] + start
+        keys = (sums[at + size] - sums[at]) * back[start] + tag
+        keys = (keys ^ (keys >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        yield rows, first, keys ^ (keys >> np.uint64(29))
+
+
+def packed(keys: np.ndarray, low: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """For each bucket the keys' further 32 bits, each with 32 bits of its line, as one binary; and how many there are."""
+    bucket = (keys >> np.uint64(54)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    pairs = (((keys >> np.uint64(22)) << np.uint64(32)) | low)[order]
+    counts = np.bincount(bucket, minlength=BUCKETS)
+    offsets = np.append(0, np.cumsum(counts) * 8).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), BUCKETS, [None, pa.py_buffer(offsets), pa.py_buffer(pairs)]), counts
+
+
+def meeting(lines: DataFrame, most: int, per: int) -> DataFrame:
+    """low: 32 bits of the keys of lines (low, h) that share a part with another line, and of few others."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            low = batch.column("low").to_numpy(zero_copy_only=False).astype(np.uint64)
+            own, sought = [], []
+            for rows, first, keys in part_keys(batch.column("h"), most, per, False):
+                for out, which in ((own, first), (sought, ~first)):
+                    out.append((keys[:, which].ravel(), np.repeat(low[rows], which.sum())))
+            columns = [packed(*(np.concatenate(x) for x in zip(*out, strict=True))) for out in (own, sought)]
+            some = pa.array(np.flatnonzero(columns[0][1] + columns[1][1]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([some, *(c.take(some) for c, _ in columns)], names=["bucket", "own", "sought"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        own, sought = (np.unique(np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint64)) for c in ("own", "sought"))
+        mine, theirs = own >> np.uint64(32), sought >> np.uint64(32)
+        same = mine[1:] == mine[:-1]
+        close = np.isin(mine, theirs) | np.append(same, False) | np.append(False, same)
+        low = np.concatenate([own[close], sought[np.isin(theirs, mine)]]) & np.uint64(0xFFFFFFFF)
+        return pa.table({"low": pa.array(np.unique(low).astype(np.int64))})
+
+    return lines.mapInArrow(emit, "bucket int, own binary, sought binary").groupBy("bucket").applyInArrow(meet, "low long").distinct()
+
+
+def within(x: list, y: list, k: int) -> bool:
+    """Whether at most k edits lead from x to y: the furthest place that e edits reach on each diagonal of the band."""
+    n, m = len(x), len(y)
+    reach: dict[int, int] = {}
+    for e in range(k + 1):
+        now = {}
+        for d in range(-e, e + 1):
+            i = max(reach.get(d, -2) + 1, reach.get(d - 1, -2), reach.get(d + 1, -2) + 1) if e else 0
+            i = min(i, n, m - d)
+            if i < 0 or i + d < 0:
+                continue
+            while i < n and i + d < m and x[i] == y[i + d]:
+                i += 1
+            now[d] = i
+        if now.get(m - n) == n:
+            return True
+        reach = now
+    return False
+
+
+def near_by_parts(close: DataFrame, most: int, per: int) -> DataFrame:
+    """mine: lines of close (ORDER, words; different lines) with an earlier line within the edits allowed."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                hashes = part.column("h")
+                flat, sizes = hashes.flatten().to_numpy(zero_copy_only=False).view(np.uint64), hashes.value_lengths().to_numpy(zero_copy_only=False)
+                starts, bit = np.cumsum(sizes) - sizes, np.uint64(1) << (flat & np.uint64(63))
+                side = (flat >> np.uint64(6)) & np.uint64(1)
+                bits = [np.bitwise_xor.reduceat(np.where(side == s, bit, np.uint64(0)), starts).view(np.int64) for s in (0, 1)]
+                for rows, first, keys in part_keys(hashes, most, per, True):
+                    which = np.repeat(rows, len(first))
+                    own = part.select(ORDER).take(pa.array(which))
+                    values = [keys.ravel().view(np.int64), np.tile(first, len(rows)), sizes[which].astype(np.int32), *(b[which] for b in bits)]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, values), *own.columns], names=["v", "first", "n", "x0", "x1", *ORDER])
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)
+            good = [i for i, (x, y) in enumerate(pairs) if within(x, y, allowed(min(len(x), len(y)), most, per))]
+            yield batch.select(["mine"]).take(pa.array(good, pa.int32()))
+
+    mine = F.struct(*ORDER)
+    hashed = close.select(*ORDER, F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+    keys = stage(hashed.mapInArrow(emit, "v long, first boolean, n int, x0 long, x1 long, k_null boolean, k_id long, k_text long, ln int"), "part-keys")
+    own = keys.where("first").select("v", "n", "x0", "x1", mine.alias("a"))
+    sought = keys.where("not first").select("v", F.col("x0").alias("y0"), F.col("x1").alias("y1"), mine.alias("b"))
+    k = F.greatest(F.lit(1), F.least(F.lit(most), F.floor(F.col("n") / per)))
+    apart = F.bit_count(F.col("x0").bitwiseXOR(F.col("y0"))) + F.bit_count(F.col("x1").bitwiseXOR(F.col("y1")))
+    met = own.join(sought, "v").where((F.col("a") != F.col("b")) & (apart <= 2 * k))
+    met = stage(met.select(F.least("a", "b").alias("earlier"), F.greatest("a", "b").alias("mine")).distinct(), "part-pairs")
+    texts = close.select(mine.alias("who"), "words")
+    met = met.join(texts.toDF("mine", "x"), "mine").join(texts.toDF("earlier", "y"), "earlier")
+    schema = f"mine {met.schema['mine'].dataType.simpleString()}"
+    return met.select("mine", "x", "y").mapInArrow(verified, schema).distinct()
+
+
+def removals(docs: DataFrame, min_words: int = 4, near_words: int = 8, most_edits: int = 1, words_per_edit: int = 10, letters: bool = False) -> DataFrame:
     """k_null, k_id, k_text and the numbers (from 0) of the lines to remove, for documents that lose any.
 
-    Lines of fewer than min_words words always stay; lines of fewer than near_words words go only if equal.
+    Lines of fewer than min_words words always stay; lines of fewer than near_words words go only if equal. Lines of
+    20 words and more (twice words_per_edit) may differ in one word for each words_per_edit, up to most_edits.
     """
-    lines = exploded(docs).withColumn("n", F.size("words")).where(F.col("n") >= min_words)
+    lines = exploded(docs, letters).withColumn("n", F.size("words")).where(F.col("n") >= min_words)
     part = lambda tag, h, words: F.xxhash64(F.lit(tag), h, words)
     ends = lambda h: [part(1, h, F.slice("words", 1, h)), part(2, h, F.slice("words", F.col("n") - h + 1, h))]
     n, h = F.col("n"), F.col("h")
@@ -97,8 +256,16 @@ def removals(docs: DataFrame, min_words: int = 4, near_words: int = 8) -> DataFr
     keyed = own.select("a", "b", F.explode("parts").alias("part"))
     shared = keyed.groupBy("part").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo < hi").select("part")
     close = keyed.join(shared, "part", "left_semi").select("a", "b").distinct()
-    close = small(stage(own.join(close, ["a", "b"], "left_semi").select("o.*"), "close-lines"))
-    close = stage(exploded(docs).join(close, ORDER, "left_semi").distinct(), "close-words")
+    close = own.join(close, ["a", "b"], "left_semi").select("o.*", F.lit(True).alias("one"), F.lit(False).alias("more"))
+    if most_edits > 1:
+        hashed = exploded(docs, letters).where(F.size("words") >= max(near_words, 2 * words_per_edit))
+        low = F.xxhash64("words").bitwiseAND(F.lit(0xFFFFFFFF))
+        meets = small(stage(meeting(hashed.select(low.alias("low"), F.transform("words", lambda w: F.xxhash64(w)).alias("h")), most_edits, words_per_edit), "meeting-lines"))
+        longer = own.withColumn("low", F.col("a").bitwiseAND(F.lit(0xFFFFFFFF))).join(meets, "low", "left_semi").select("o.*", F.lit(False).alias("one"), F.lit(True).alias("more"))
+        close = close.unionByName(longer).groupBy(*ORDER).agg(F.max("one").alias("one"), F.max("more").alias("more"))
+    close = small(stage(close, "close-lines"))
+    both = stage(exploded(docs, letters).join(close, ORDER).distinct(), "close-words")
+    close = both.where("one").drop("one", "more")
 
     met = close.mapInArrow(variants, "v long, p int, k_null boolean, k_id long, k_text long, ln int")
     met = stage(met, "variants")
@@ -112,7 +279,11 @@ def removals(docs: DataFrame, min_words: int = 4, near_words: int = 8) -> DataFr
     found = found.select("mine", earlier.alias("earlier")).where("earlier < mine").distinct()
     texts = close.select(mine.alias("who"), "words")
     found = found.join(texts.toDF("mine", "x"), "mine").join(texts.toDF("earlier", "y"), "earlier")
-    near = stage(found.where(one_edit(F.col("x"), F.col("y"))).select("mine").distinct(), "near-lines")
+    near = found.where(one_edit(F.col("x"), F.col("y"))).select("mine")
+    if most_edits > 1:
+        longer = both.where(F.col("more") & (F.size("words") >= max(near_words, 2 * words_per_edit))).drop("one", "more")
+        near = near.unionByName(near_by_parts(longer, most_edits, words_per_edit))
+    near = stage(near.distinct(), "near-lines")
 
     touched = own.join(near.select(F.col("mine").alias("o"), F.lit(True).alias("near")), "o", "left").where("times > 1 or near")
     touched = small(stage(touched.select("a", "b", "o", F.coalesce("near", F.lit(False)).alias("near")), "touched-lines"))
@@ -120,16 +291,16 @@ def removals(docs: DataFrame, min_words: int = 4, near_words: int = 8) -> DataFr
     return gone.groupBy(*KEYS).agg(F.collect_set("ln").alias("gone"))
 
 
-def deduplicated(docs: DataFrame, min_words: int = 4, near_words: int = 8) -> DataFrame:
+def deduplicated(docs: DataFrame, min_words: int = 4, near_words: int = 8, most_edits: int = 1, words_per_edit: int = 10, letters: bool = False) -> DataFrame:
     """docs with all its columns, text without repeated lines, and ld_removed: how many lines went.
 
     Rows stay, even if nothing is left of a text. Null and empty texts, and texts that lose nothing, stay
-    exactly as they are. Rows that are equal in id and text count as one document and are treated alike; rows
+    exactly as they are. The bounds are those of `removals`. Rows that are equal in id and text count as one document and are treated alike; rows
     with null ids come after all others. An empty table stays empty.
     """
     names = docs.columns
     keyed = docs.select("*", *(c.alias(f"ld_{k}") for c, k in zip(row_keys(docs["doc_id"], docs["text"]), KEYS, strict=True)))
-    gone = small(stage(removals(docs, min_words, near_words).toDF(*(f"ld_{k}" for k in KEYS), "ld_gone"), "removals"), array="ld_gone")
+    gone = small(stage(removals(docs, min_words, near_words, most_edits, words_per_edit, letters).toDF(*(f"ld_{k}" for k in KEYS), "ld_gone"), "removals"), array="ld_gone")
     rows = keyed.join(gone, [f"ld_{k}" for k in KEYS], "left")
     kept = F.array_join(F.filter(F.split(F.col("text"), "\n", -1), lambda x, i: ~F.array_contains("ld_gone", i)), "\n")
     text = F.when(F.col("ld_gone").isNull(), F.col("text")).otherwise(kept)

@@ -1,5 +1,6 @@
 """Decontamination, line and near-duplicate removal and components, against brute force."""
 
+import random
 import re
 from collections import Counter
 
@@ -89,6 +90,40 @@ def test_lines_of_the_test_table(spark, sf_dir):
     assert got == brute_lines([tuple(r) for r in docs.select("doc_id", "text").collect()])
 
 
+def distance(x, y):
+    row = list(range(len(y) + 1))
+    for i, a in enumerate(x, 1):
+        last, row[0] = row[0], i
+        for j, b in enumerate(y, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (a != b))
+    return row[-1]
+
+
+def test_long_lines_may_differ_in_more_words(spark):
+    draw = random.Random(7)
+    docs = []
+    for n in [*range(17, 36), 50, 80]:
+        base = [f"w{draw.randrange(12 * n)}" for _ in range(n)]
+        for edits in (0, 1, 2, 2, 3, 3, 4):
+            line = list(base)
+            for _ in range(edits):
+                at, kind = draw.randrange(len(line)), draw.randrange(3)
+                line[at : at + (kind != 1)] = [f"x{draw.randrange(9)}"] * (kind != 2)
+            docs.append((len(docs), " ".join(line)))
+    lines = [t.split() for _, t in docs]
+    near = lambda x, y: x == y or abs(len(x) - len(y)) <= 3 and distance(x, y) <= max(1, min(3, min(len(x), len(y)) // 10))
+    want = [(i, "" if any(near(lines[i], lines[j]) for j in range(i)) else t) for i, t in docs]
+    got = line_dedup.deduplicated(spark.createDataFrame(docs, "doc_id long, text string"), most_edits=3)
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == want
+
+
+def test_banded_distance():
+    draw = random.Random(5)
+    for _ in range(3000):
+        x, y = ([draw.choice("ab") for _ in range(draw.randrange(9))] for _ in range(2))
+        assert all(line_dedup.within(x, y, k) == (distance(x, y) <= k) for k in range(4))
+
+
 def test_lines_of_odd_rows(spark):
     got = line_dedup.deduplicated(spark.createDataFrame(ODD, SCHEMA))
     assert got.count() == len(ODD) and got.where("text is null").count() == 1
