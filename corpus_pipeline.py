@@ -19,7 +19,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents, all of them, without lines that an earlier document or line has; n_chars follows the text."""
-    clean = line_dedup.deduplicated(docs, most_edits=3)
+    clean = line_dedup.deduplicated(docs, min_words=1, most_edits=3, letters=True)
     changed = F.when(F.col("ld_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return clean.withColumn("n_chars", changed).select(*docs.columns)
 

@@ -56,7 +56,7 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without repeated and nearly repeated lines."""
-    clean = line_dedup.deduplicated(table(spark, sf_dir, "documents"), most_edits=3)
+    clean = line_dedup.deduplicated(table(spark, sf_dir, "documents"), min_words=1, most_edits=3, letters=True)
     return clean.select("doc_id", "text", F.char_length("text").cast("long").alias("n_chars"), F.col("ld_removed").cast("long").alias("n_removed"))
 
 

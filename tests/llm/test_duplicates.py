@@ -117,6 +117,19 @@ def test_long_lines_may_differ_in_more_words(spark):
     assert sorted((r.doc_id, r.text) for r in got.collect()) == want
 
 
+def test_equal_lines_go_at_every_length(spark, tmp_path):
+    import corpus_pipeline
+    from tessera.llm import queries
+
+    text = "日本語のテキストです。今日はとても良い天気ですね"
+    docs = [(1, f"Short\n\nIntro\n \n{text}"), (2, f"short\n\nIntro\n \n{text[:-2]}だ"), (3, f"INTRO  \na b c\n{text}\na b  c\na b d")]
+    want = [(1, docs[0][1]), (2, "\n "), (3, "a b c\na b d")]
+    table = spark.createDataFrame([(*d, len(d[1])) for d in docs], "doc_id long, text string, n_chars long")
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted((r.doc_id, r.text) for r in queries.op6_line_dedup(spark, str(tmp_path)).collect()) == want
+    assert sorted((r.doc_id, r.text) for r in corpus_pipeline.drop_repeated_lines(spark, table, str(tmp_path)).collect()) == want
+
+
 def test_banded_distance():
     draw = random.Random(5)
     for _ in range(3000):
