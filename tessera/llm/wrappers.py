@@ -40,6 +40,8 @@ NAMES = re.compile(
     r"newsletter|subscribe|signup|login|search|widget|pagination|pager|tags|toolbar|skip)(?=$|[\s_-])",
     re.I,
 )
+# Names that say what a page has or how it is laid out, and not what the element is.
+STATES = re.compile(r"(?<!\S)(?:(?:no|not|has|with|without|layout)[-_]\S*|\S+[-_](?:open|closed|enabled|disabled))(?!\S)", re.I)
 MAIN = re.compile(r"(^|[\s_-])(article|content|main|post|entry|story|text|body)(?=$|[\s_-])", re.I)
 CLOSES = {
     "p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
@@ -51,12 +53,12 @@ ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"
 
 
 class Node:
-    __slots__ = ("tag", "names", "role", "children", "shape", "at")
+    __slots__ = ("tag", "names", "role", "children", "shape", "at", "holds")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.names, self.role = tag, "", ""
         self.children: list[Node | str] = []
-        self.shape, self.at = 0, None
+        self.shape, self.at, self.holds = 0, None, False
         if attributes and ("=" in attributes or "hidden" in attributes):
             for m in ATTRIBUTE.finditer(attributes):
                 key, value = m[1].lower(), (m[2] or "").strip("\"'")
@@ -68,7 +70,7 @@ class Node:
                     self.role = "menu"
 
     def furniture(self) -> bool:
-        return self.tag in FURNITURE or self.role in ROLES or bool(self.names and NAMES.search(self.names))
+        return self.tag in FURNITURE or self.role in ROLES or bool(self.names and not self.holds and NAMES.search(self.names) and NAMES.search(STATES.sub(" ", self.names)))
 
 
 def parse(html: str) -> Node:
@@ -239,6 +241,34 @@ def constant(node: Node, pages: int) -> bool:
     return slot is not None and pages >= 5 and len(slot.texts) < 64 and max(slot.texts.values(), default=0) >= max(5, 0.9 * pages)
 
 
+def mark_holders(page: Node, pages: int) -> None:
+    """Names never cut a node that is or holds the article or main element of most prose, or holds most varying prose."""
+    prose: dict[int, int] = {}
+    ways: list[list[Node]] = []
+
+    def walk(node: Node, way: list[Node]) -> int:
+        if node.tag in FURNITURE or node.role in ROLES:
+            return 0
+        way = [*way, node]
+        own = 0 if constant(node, pages) else sum(len(c.strip()) for c in node.children if isinstance(c, str) and c[0] != "\x01")
+        if len(way) < 200:
+            own += sum(walk(c, way) for c in node.children if not isinstance(c, str))
+        prose[id(node)] = own
+        if node.tag in ("article", "main") or node.role == "main":
+            ways.append(way)
+        node.holds = False
+        most.append(node)
+        return own
+
+    most: list[Node] = []
+    total = walk(page, [])
+    for node in most:
+        node.holds = 2 * prose[id(node)] > total
+    if ways:
+        for node in max(ways, key=lambda w: prose[id(w[-1])]):
+            node.holds = True
+
+
 def content_root(page: Node) -> Node:
     """An article or main element, or one named so, or the subtree with most prose for its size."""
     best, found = None, []
@@ -281,6 +311,7 @@ def extract(htmls: list[str | None]) -> list[str]:
                 known.clear()  # the template may have grown
     out = []
     for tree in trees:
+        mark_holders(tree, len(seen))
         root = content_root(tree)
         marked = root.tag in ("article", "main") or root.role == "main"
         texts = []

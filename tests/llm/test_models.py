@@ -87,6 +87,14 @@ def test_template_text_goes_and_copies_do_not_count():
     assert wrappers.extract([page.format(i=1)] * 8)[0].count("\n") == 1
 
 
+def test_names_do_not_cut_what_holds_the_article():
+    text = "Own text of page number {i}, long enough to be prose"
+    for names in ("hfeed site no-sidebar", "content has-sidebar", "layout-sidebar-right", "post comments-open", "page-header-wrap"):
+        for page in (f'<div class="{names}"><article><p>{text}</p></article></div>', f'<article class="{names}"><p>{text}</p></article>', f'<div class="{names}"><p>{text}</p></div>'):
+            got = wrappers.extract([page.format(i=i) + '<div class="sidebar"><p>Seen elsewhere</p></div>' for i in range(3)])
+            assert got == [text.format(i=i) for i in range(3)], page
+
+
 def test_pages_of_odd_rows(spark):
     rows = [(1, None, None, "x"), (1, None, None, "x"), (None, "http://a.b/c", "", "y"), (3, "http://a.b/d", "<p>hi", "z"), (4, "nonsense", "no tags at all", ""), (5, "http://u@A.b:80/", "<p " * 3000, "")]
     got = wrappers.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string, host string")).collect()
