@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-#: A table is broadcast up to this many rows (of a few dozen bytes each), and is joined by a shuffle beyond it.
+#: A table is broadcast up to this many rows and bytes, and is joined by a shuffle beyond either.
 BROADCAST_ROWS = 400_000
+BROADCAST_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,23 +36,53 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged-{name}-{uuid.uuid4().hex}"
+    STAGED.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS, array: str | None = None) -> DataFrame:
-    """df with a broadcast hint if its rows, counted, are few enough; as it is otherwise.
+#: Folders of staged tables that this driver has written and not removed.
+STAGED: list[str] = []
 
-    With an array column, its elements count as well, ten times as many of them as rows. Meant for staged
-    tables, where a count reads only file footers.
+
+def remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Remove, at the end, the tables staged inside; results that were not written by then can no longer be read."""
+    before = len(STAGED)
+    try:
+        yield
+    finally:
+        while len(STAGED) > before:
+            remove(spark, STAGED.pop())
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it has few enough rows, counted, and bytes, added up; as it is otherwise.
+
+    Meant for staged tables, where a count reads only file footers. Bytes are those of the rows as JSON, and are counted only
+    where a column has no fixed size.
     """
     if df.count() > rows:
         return df
-    if array and df.agg(F.coalesce(F.sum(F.size(array)), F.lit(0))).head()[0] > 10 * rows:
-        return df
+    if any(isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType)) for f in df.schema):
+        if df.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).head()[0] > size:
+            return df
     return F.broadcast(df)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores behind it as it takes to differ from df's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, all else as it is; `lower` alone would change other letters as well."""
     plain = F.octet_length(text) == F.char_length(text)
