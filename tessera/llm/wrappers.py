@@ -2,20 +2,27 @@
 
 Pages of one host are dealt, by a hash, into groups of bounded size, so that a host with a third of all pages
 is spread like any other. In a group, the trees of the pages are aligned with a growing template by simple
-tree matching: the largest top-down alignment that keeps the order of children. Each template node counts the pages
-it was met in and the different texts it had. A node whose text hardly varies over many pages is template; nodes
-whose text varies are slots.
-
-What is kept of a page: its content root (an article or main element, or else the subtree that holds most
-varying prose), without template nodes, without elements that are furniture by their tag, role or class, and
-(unless the page marks its article) blocks that are mostly links. A header inside a marked article stays, as its title.
-Scripts, styles and comments never become text.
+tree matching: the largest top-down alignment that keeps the order of children. Pages that align poorly with the templates there
+are start another, so each layout of a host has its own. A template node is a slot: it knows in how many pages it was met, and
+the different texts it had. Copies of a page, which have its longest text, count once.
+
+A template of MANY different pages decides what is content. Prose counts once for each different text, so what is the same on all
+pages weighs next to nothing. From the root of the template, the way leads down as long as one child holds more than half of the
+prose, and stops where it would leave a title or a paragraph behind that differs between pages; the slot it ends in is the article's, whatever its tag or class. A page's
+main text is that of the node that was aligned with it, without slots that have the same text on nearly all pages they were met in
+(template inside the article, unless that would be most of it, as in near copies).
+
+Where a layout has fewer pages, or a page has nothing at that slot, tags break the tie: the article or main element with most
+prose, or else the subtree with most of it. In either case elements inside the article are left out that say themselves they are something else:
+forms, menus, asides, reader comments and the like, by tag, role or class; the article's own class is never asked. Scripts,
+styles and comments of the markup never become text.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -33,6 +40,8 @@ INLINE = frozenset(
 )
 FURNITURE = frozenset("head nav header footer aside form button select option input menu dialog script style noscript template svg iframe object textarea canvas audio video map title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar dialog alert alertdialog".split())
+# Elements that the head of a page may have.
+IN_HEAD = frozenset("title meta link base style script noscript template".split())
 # Words in class and id names of what is not the article.
 NAMES = re.compile(
     r"(^|[\s_-])(ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|nav|navbar|navigation|menu|"
@@ -53,12 +62,12 @@ ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"
 
 
 class Node:
-    __slots__ = ("tag", "names", "role", "children", "shape", "at", "holds")
+    __slots__ = ("tag", "names", "role", "children", "shape", "at", "prose", "up", "title")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.names, self.role = tag, "", ""
         self.children: list[Node | str] = []
-        self.shape, self.at, self.holds = 0, None, False
+        self.shape, self.at, self.prose, self.up, self.title = 0, None, 0, None, False
         if attributes and ("=" in attributes or "hidden" in attributes):
             for m in ATTRIBUTE.finditer(attributes):
                 key, value = m[1].lower(), (m[2] or "").strip("\"'")
@@ -69,18 +78,28 @@ class Node:
                 elif key == "hidden" or value == "true":
                     self.role = "menu"
 
-    def furniture(self) -> bool:
-        return self.tag in FURNITURE or self.role in ROLES or bool(self.names and not self.holds and NAMES.search(self.names) and NAMES.search(STATES.sub(" ", self.names)))
+    def furniture(self, half: float = math.inf) -> bool:
+        """Whether an element says it is no article; names do not count for one with a title and more than half of the prose."""
+        if self.tag in FURNITURE or self.role in ROLES:
+            return True
+        if not self.names or (self.title and self.prose > half):
+            return False
+        return bool(NAMES.search(self.names) and NAMES.search(STATES.sub(" ", self.names)))
 
+    def kids(self) -> list[Node]:
+        return [c for c in self.children if not isinstance(c, str)]
 
-def parse(html: str) -> Node:
-    """The tree of a page; end tags that are missing or stray are mended, inline markup is left out of the tree."""
+
+def parse(html: str) -> list[Node]:
+    """The nodes of a page, parents first; missing or stray end tags are mended, inline markup is left out of the tree."""
     root = Node("html")
-    stack, place = [root], 0
+    stack, place, nodes = [root], 0, [root]
     links = 0
 
     def text(piece: str) -> None:
         if piece and not piece.isspace():
+            if stack[-1].tag == "head":  # text ends the head
+                del stack[1:]
             stack[-1].children.append(("\x01" if links else "") + unescape(piece))
         elif piece:
             stack[-1].children.append(" ")
@@ -103,14 +122,17 @@ def parse(html: str) -> Node:
                     break
             links = 0
             continue
+        if tag in ("html", "body") or stack[-1].tag == "head" and tag not in IN_HEAD:
+            if stack[-1].tag == "head":
+                del stack[1:]
+            if tag in ("html", "body"):
+                continue
         if tag in INLINE:
             if tag == "br":
                 stack[-1].children.append(" ")
             elif tag == "a":
                 links = 1
             continue
-        if tag in ("html", "body"):
-            continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, place)
             place = end.end() if end else len(html)
@@ -125,31 +147,46 @@ def parse(html: str) -> Node:
                     break
         links = 0
         node = Node(tag, m[3])
+        node.up = stack[-1]
+        nodes.append(node)
         stack[-1].children.append(node)
         if tag not in VOID and not m[3].rstrip().endswith("/"):
             stack.append(node)
     text(html[place:])
-    return root
+    for node in reversed(nodes):  # children before their parents
+        kids = node.kids()
+        node.shape = hash((node.tag, *(k.shape for k in kids)))
+        node.prose = 0 if node.tag in FURNITURE or node.role in ROLES else len(prose(node)) + sum(k.prose for k in kids)
+        node.title = node.tag in ("h1", "h2", "article", "main") or any(k.title for k in kids)
+    return nodes
 
 
 def own_text(node: Node) -> str:
     return " ".join("".join(c for c in node.children if isinstance(c, str)).replace("\x01", "").split())
 
 
-def blocks(node: Node, skip) -> Iterator[tuple[str, int, Node]]:
+def prose(node: Node) -> str:
+    """A node's own text outside links."""
+    return "".join(c for c in node.children if isinstance(c, str) and c[0] != "\x01").strip()
+
+
+def blocks(root: Node, skip: Callable[[Node], bool]) -> Iterator[tuple[str, int, Node]]:
     """(text, how much of it is links, node) for each block in page order; skip(node) leaves out a subtree."""
     held: list[str] = []
-    for child in node.children:
+    way: list[tuple[Node, Iterator]] = [(root, iter(root.children))]
+    while way:
+        node, children = way[-1]
+        child = next(children, None)
         if isinstance(child, str):
             held.append(child)
             continue
         if held:
             yield from finished(held, node)
             held = []
-        if not skip(child):
-            yield from blocks(child, skip)
-    if held:
-        yield from finished(held, node)
+        if child is None:
+            way.pop()
+        elif not skip(child):
+            way.append((child, iter(child.children)))
 
 
 def finished(held: list[str], node: Node) -> Iterator[tuple[str, int, Node]]:
@@ -159,48 +196,56 @@ def finished(held: list[str], node: Node) -> Iterator[tuple[str, int, Node]]:
 
 
 class Slot:
-    """A template node: children, pages it was met in, and hashes of different texts it had (up to a few)."""
+    """A template node: children, pages it was met in, and for hashes of the texts it had their number and length of prose."""
 
-    __slots__ = ("tag", "children", "pages", "texts", "shape")
+    __slots__ = ("tag", "children", "pages", "texts", "prose", "title")
 
     def __init__(self, tag: str):
-        self.tag, self.children, self.pages, self.texts, self.shape = tag, [], 0, {}, 0
+        self.tag, self.children, self.pages, self.texts, self.prose, self.title = tag, [], 0, {}, 0, False
+
+    def constant(self) -> bool:
+        """Whether the text is the template's: the same in nine tenths of at least five different pages."""
+        return self.pages >= 5 and max((n for n, _ in self.texts.values()), default=0) >= 0.9 * self.pages
 
 
-def shape(node) -> int:  # noqa: ANN001
-    kids = [c for c in node.children if not isinstance(c, str)]
-    node.shape = hash((node.tag, *(shape(k) for k in kids)))
-    return node.shape
+#: Levels of a tree that are aligned; what lies deeper is content of the slot above.
+DEPTH = 150
+#: Elements of the article itself, one of which says that its parent is not to be left.
+PARAGRAPHS = frozenset("h1 h2 h3 p pre blockquote".split())
+#: Different pages that make a template.
+MANY = 3
 
 
-def match(a: Node, b: Slot, known: dict[tuple[int, int], int]) -> int:
+def match(a: Node, b: Slot, known: dict[tuple[int, int], int], depth: int = 0) -> int:
     """Simple tree matching: nodes in the largest alignment of two trees with equal roots."""
     if a.tag != b.tag:
         return 0
+    if depth == DEPTH:
+        return 1
     key = (a.shape, id(b))
     got = known.get(key)
     if got is None:
-        got = known[key] = 1 + sum(n for _, _, n in aligned(a, b, known))
+        got = known[key] = 1 + sum([n for _, _, n in aligned(a, b, known, depth)])
     return got
 
 
-def aligned(a: Node, b: Slot, known: dict[tuple[int, int], int]) -> list[tuple[Node, Slot, int]]:
+def aligned(a: Node, b: Slot, known: dict[tuple[int, int], int], depth: int = 0) -> list[tuple[Node, Slot, int]]:
     """Pairs of children in the best order-keeping alignment, with the size of their own alignments."""
-    x, y = [c for c in a.children if not isinstance(c, str)], b.children
+    x, y = a.kids(), b.children
     out, lo = [], 0
     while lo < min(len(x), len(y)) and x[lo].tag == y[lo].tag:  # equal tags in front align with each other
-        out.append((x[lo], y[lo], match(x[lo], y[lo], known)))
+        out.append((x[lo], y[lo], match(x[lo], y[lo], known, depth + 1)))
         lo += 1
     x, y = x[lo:], y[lo:]
     tail = []
     while x and y and x[-1].tag == y[-1].tag:
-        tail.append((x[-1], y[-1], match(x[-1], y[-1], known)))
+        tail.append((x[-1], y[-1], match(x[-1], y[-1], known, depth + 1)))
         x, y = x[:-1], y[:-1]
     if x and y:
         best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
         for i in range(len(x) - 1, -1, -1):
             for j in range(len(y) - 1, -1, -1):
-                best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + match(x[i], y[j], known))
+                best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + match(x[i], y[j], known, depth + 1))
         i = j = 0
         while i < len(x) and j < len(y):
             n = best[i][j] - best[i + 1][j + 1]
@@ -214,112 +259,109 @@ def aligned(a: Node, b: Slot, known: dict[tuple[int, int], int]) -> list[tuple[N
     return out + tail[::-1]
 
 
-def align(page: Node, template: Slot, known: dict[tuple[int, int], int], depth: int = 0) -> None:
-    """Count a page in the template and give each of its nodes its slot; what has no slot gets a new one."""
-    page.at = template
-    template.pages += 1
-    text = own_text(page)
-    if text and len(template.texts) < 64:
-        h = hash(text)
-        template.texts[h] = template.texts.get(h, 0) + 1
-    kids = [c for c in page.children if not isinstance(c, str)]
-    pairs = {id(x): y for x, y, _ in aligned(page, template, known)}
-    at = 0
-    for kid in kids:
-        slot = pairs.get(id(kid))
-        if slot is None:
-            slot = Slot(kid.tag)
-            template.children.insert(at, slot)
-        at = template.children.index(slot) + 1
-        if depth < 100:
-            align(kid, slot, known, depth + 1)
-
-
-def constant(node: Node, pages: int) -> bool:
-    """Whether a node's text is the template's: the same in nine tenths of at least five different pages."""
-    slot = node.at
-    return slot is not None and pages >= 5 and len(slot.texts) < 64 and max(slot.texts.values(), default=0) >= max(5, 0.9 * pages)
-
-
-def mark_holders(page: Node, pages: int) -> None:
-    """Names never cut a node that is or holds the article or main element of most prose, or holds most varying prose."""
-    prose: dict[int, int] = {}
-    ways: list[list[Node]] = []
-
-    def walk(node: Node, way: list[Node]) -> int:
-        if node.tag in FURNITURE or node.role in ROLES:
-            return 0
-        way = [*way, node]
-        own = 0 if constant(node, pages) else sum(len(c.strip()) for c in node.children if isinstance(c, str) and c[0] != "\x01")
-        if len(way) < 200:
-            own += sum(walk(c, way) for c in node.children if not isinstance(c, str))
-        prose[id(node)] = own
-        if node.tag in ("article", "main") or node.role == "main":
-            ways.append(way)
-        node.holds = False
-        most.append(node)
-        return own
-
-    most: list[Node] = []
-    total = walk(page, [])
-    for node in most:
-        node.holds = 2 * prose[id(node)] > total
-    if ways:
-        for node in max(ways, key=lambda w: prose[id(w[-1])]):
-            node.holds = True
-
-
-def content_root(page: Node) -> Node:
-    """An article or main element, or one named so, or the subtree with most prose for its size."""
-    best, found = None, []
-
-    def walk(node: Node, depth: int) -> tuple[int, int]:
-        nonlocal best
-        prose, nodes = 0, 1
-        text = "".join(c for c in node.children if isinstance(c, str) and c[0] != "\x01")
-        if node.tag in ("p", "div", "td", "li", "blockquote", "pre", "section"):
-            prose += len(text.strip())
-        for c in node.children:
-            if not isinstance(c, str) and not c.furniture() and depth < 200:
-                p, n = walk(c, depth + 1)
-                prose, nodes = prose + p, nodes + n
-        if node.tag in ("article", "main") or node.role == "main" or (node.names and MAIN.search(node.names)):
-            found.append((node.tag in ("article", "main"), prose, node))
-        elif node.tag in ("div", "section", "td") and prose and (best is None or prose > 1.2 * best[0]):
-            best = (prose, node)
-        return prose, nodes
-
-    total, _ = walk(page, 0)
-    found = [f for f in found if f[1] >= 0.5 * total or f[0]]
-    if found:
-        return max(found, key=lambda f: (f[0], f[1]))[2]
-    return best[1] if best and best[0] >= 0.8 * total else page
-
-
-def extract(htmls: list[str | None]) -> list[str]:
-    """Main texts of some pages of one host."""
-    trees = [parse(h or "") for h in htmls]
-    template, known, seen = Slot("html"), {}, set()
-    for tree in trees:
-        shape(tree)
-    for tree, html in zip(trees, htmls, strict=True):
-        if html not in seen:  # copies say nothing about what is template
-            seen.add(html)
-            before = len(known)
-            align(tree, template, known)
-            if len(known) > before:
-                known.clear()  # the template may have grown
+def align(page: Node, template: Slot, known: dict[tuple[int, int], int], counts: bool) -> None:
+    """Give each node of a page its slot; if the page counts, its texts do, and what has no slot gets a new one."""
+    todo = [(page, template, 0)]
+    while todo:
+        node, slot, depth = todo.pop()
+        node.at = slot
+        if counts:
+            slot.pages += 1
+            if text := own_text(node):
+                n, size = slot.texts.get(h := hash(text), (0, len(prose(node))))
+                slot.texts[h] = (n + 1, size)
+        if depth == DEPTH:
+            continue
+        pairs = {id(x): y for x, y, _ in aligned(node, slot, known, depth)}
+        at = 0
+        for kid in node.kids():
+            own = pairs.get(id(kid))
+            if own is None:
+                if not counts:
+                    continue
+                own = Slot(kid.tag)
+                slot.children.insert(at, own)
+            at = slot.children.index(own) + 1
+            todo.append((kid, own, depth + 1))
+
+
+def main_slot(template: Slot) -> Slot:
+    """The slot that the article is in."""
+    slots = [template]
+    for slot in slots:  # grows while it is read: parents first
+        slots.extend(slot.children)
+    for slot in reversed(slots):
+        own = sum(size for _, size in slot.texts.values())
+        slot.prose = own + sum(c.prose for c in slot.children)
+        slot.title = slot.tag in PARAGRAPHS and not slot.children and len(slot.texts) > 1
+    at = template
+    while True:
+        best = max(at.children, key=lambda c: c.prose, default=None)
+        if best is None or not best.children or 2 * best.prose <= at.prose or any(c.title for c in at.children):
+            return at
+        at = best
+
+
+def content_root(nodes: list[Node]) -> Node:
+    """Without a template: the article or main element with most prose, or the subtree with most prose for its size."""
+    total = nodes[0].prose
+    marked = [n for n in nodes if n.tag in ("article", "main") or n.role == "main"]
+    if not marked:
+        marked = [n for n in nodes if n.names and MAIN.search(n.names) and not n.furniture() and 2 * n.prose >= total]
+    if marked:
+        return max(marked, key=lambda n: n.prose)
+    at = nodes[0]
+    while True:  # from the outside in, as long as nearly all prose is inside
+        kids = [k for k in at.kids() if k.prose and not k.furniture()]
+        best = max(kids, key=lambda k: k.prose, default=None)
+        if best is None or not best.kids() or 5 * best.prose < 4 * total or any(k.tag in PARAGRAPHS and not k.kids() for k in kids):
+            return at
+        at = best
+
+
+def text_of(root: Node, marked: bool, template: bool) -> str:
+    """The blocks of a root; marked: titles in headers, and blocks of links, are the article's; template: without constant slots."""
+    half = root.prose / 2
+    skip = lambda n: n.furniture(half) and not (marked and n.tag == "header" and not n.names and not n.role)
+    own = [(text, node) for text, linked, node in blocks(root, skip) if marked or 2 * linked <= len(text)]
+    if template:
+        kept = [(text, node) for text, node in own if node.at is None or not node.at.constant()]
+        if 2 * sum(len(t) for t, _ in kept) >= sum(len(t) for t, _ in own):
+            own = kept
+    return "\n".join(t for t, _ in own)
+
+
+def extract(htmls: list[str | None], induce: bool = True) -> list[str]:
+    """Main texts of some pages of one host; without induce, by tags alone."""
+    pages = [parse(h or "") for h in htmls]
+    layouts: list[tuple[Slot, int, list[int]]] = []  # template, nodes of its first page, pages
+    known: dict[tuple[int, int], int] = {}
+    seen, of = set(), {}
+    for i, nodes in enumerate(pages if induce else []):
+        longest = max((prose(n) for n in nodes if n.prose and not n.furniture()), key=len, default="")
+        fits = [(match(nodes[0], t, known) / min(len(nodes), size), -k) for k, (t, size, _) in enumerate(layouts)]
+        score, k = max(fits, default=(0, 0))
+        if score < 0.6:
+            k = -len(layouts)
+            layouts.append((Slot("html"), len(nodes), []))
+        of[i] = -k
+        template, _, own = layouts[-k]
+        counts = (longest, -k) not in seen  # copies say nothing about what is template
+        align(nodes[0], template, known, counts)
+        if counts:
+            seen.add((longest, -k))
+            own.append(i)
+            known.clear()  # the template may have grown
+    mains = [main_slot(t) if len(own) >= MANY else None for t, _, own in layouts]
     out = []
-    for tree in trees:
-        mark_holders(tree, len(seen))
-        root = content_root(tree)
-        marked = root.tag in ("article", "main") or root.role == "main"
-        texts = []
-        for text, linked, node in blocks(root, lambda n, inside=marked: n.furniture() and not (inside and n.tag == "header" and not n.names and not n.role)):
-            if (2 * linked > len(text) and not marked) or constant(node, len(seen)):
-                continue
-            texts.append(text)
-        out.append("\n".join(texts))
+    for i, nodes in enumerate(pages):
+        main = mains[of[i]] if induce else None
+        root = next((n for n in nodes if n.at is main), None) if main else None
+        if root is not None:
+            out.append(text_of(root, True, True))
+        else:
+            root = content_root(nodes)
+            out.append(text_of(root, root.tag in ("article", "main") or root.role == "main", main is not None))
     return out
 
 
@@ -332,17 +374,19 @@ def main_texts(pages: DataFrame, group: int = 64) -> DataFrame:
     """page_id, url, text for each row of pages (page_id, url, html).
 
     Null and empty pages have an empty text. Repeated rows each give a row; pages without a host are
-    aligned with each other. A host's groups hold about `group` pages; a lone page is judged without a template.
+    aligned with each other; other columns do not matter. A host's groups hold about `group` pages, in the order of their ids, nulls
+    last; a lone page is judged without a template.
     """
     of = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
     sizes = of.groupBy("host").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / group)).cast("int").alias("groups"))
     large = small(stage(sizes.where("groups > 1"), "large-hosts"))
     groups = F.coalesce("groups", F.lit(1))
-    of = of.join(large, "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), groups).cast("int")).drop("groups")
+    of = of.join(large, "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id", "url", F.when(F.col("page_id").isNull(), F.monotonically_increasing_id())), groups).cast("int")).drop("groups")
 
     def run(table: pa.Table) -> pa.Table:
-        order = sorted(range(table.num_rows), key=lambda i: (table.column("page_id")[i].as_py() or 0, i))
-        table = table.take(pa.array(order))
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True))
+        order = sorted(range(len(rows)), key=lambda i: tuple((x is None, "" if x is None else x) for x in rows[i]))
+        table = table.take(pa.array(order, pa.int64()))
         texts = extract(table.column("html").to_pylist())
         return pa.Table.from_arrays([table.column("page_id"), table.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
