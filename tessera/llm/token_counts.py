@@ -1,19 +1,23 @@
 """Token counts with overlap resynchronisation for huge documents.
 
-A huge document is encoded in chunks that overlap. Two neighbouring chunks are spliced at a place in their
-overlap where both have a token boundary, in front of a space that stands between two other characters; such a
-place begins a new pre-token whatever stands before or after, and the tokens around it must agree in both
-chunks as well. If the overlap has no such place, as in a very long run without spaces, it is widened, up
-to the whole rest of the document.
+A huge document is encoded in chunks that overlap, with offsets. Two neighbouring chunks are spliced at a place in their
+overlap where both have a token boundary that is proven to be one whatever stands before or after: in front of a single
+space, between a letter, a digit and a mark, or wherever no token of the vocabulary lies across (what is merged into a token
+is a token itself, so nothing is ever merged across such a place; this finds places in scripts without spaces). If the overlap
+has no such place, it is widened, up to the last splice; then the left chunk is encoded anew at twice its length, which keeps the
+work in proportion to the text.
 
 The same boundaries let ordinary texts be counted by their space-led pieces, of which each task remembers a
-bounded number, so that the library meets a frequent piece once.
+bounded number, so that the library meets a frequent piece once. All of this rests on the tokenizer's normalizer and
+pre-tokenizer, which are read from its file: a tokenizer of another kind is called with whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -45,15 +49,39 @@ def spelled(word: str) -> str:
     return word if word.isascii() and word.isalpha() else word.encode().decode("latin-1").translate(LETTERS)
 
 
+# What the files of byte-level tokenizers say whose pre-tokens are letters, digits or marks, each with a space in front.
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+PLAIN_BPE = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False}
+
+
+def has(found: dict | None, wanted: dict) -> bool:
+    return found is not None and all(k in found and found[k] == v for k, v in wanted.items())
+
+
+def apart(tokenizer: dict) -> bool:
+    """Whether added tokens stand apart from words: without white space, and not of letters or digits alone."""
+    return all(not re.search(r"\s", a["content"]) and not a["content"].isalnum() and not (a["lstrip"] or a["rstrip"]) for a in tokenizer["added_tokens"])
+
+
+def kind(c: str) -> str:
+    """L for letters, N for digits, P for marks; nothing for white space, apostrophes and what Unicode 3.2 does not know as such."""
+    of = unicodedata.category(c)
+    if c == "'" or c.isspace() or of[0] in "ZC" or of != unicodedata.ucd_3_2_0.category(c):
+        return ""
+    return of[0] if of[0] in "LN" else "P"
+
+
 class Counter:
     """Counts tokens as the tokenizer's own encode() does, without adding special tokens."""
 
     def __init__(self, tokenizer, chunk: int = 32_768, overlap: int = 512, memory: int = 400_000):
         self.tokenizer, self.chunk, self.overlap, self.memory = tokenizer, chunk, overlap, memory
         self.widened = 0
-        own, model = self, tokenizer.model
-        probes = [" the", "Überzug", " naïvement", "word", " étrange"]
-        plain = all(len(model.tokenize(spelled(p))) == self.whole(p) == self.whole(p + ",") - 1 == self.whole(p + ".\n" + p) - self.whole(p) - 2 for p in probes)
+        own, model, file = self, tokenizer.model, json.loads(tokenizer.to_str())
+        self.known = plain = file["normalizer"] is None and has(file["pre_tokenizer"], BYTE_LEVEL) and has(file["model"], PLAIN_BPE) and apart(file)
+        self.vocabulary = frozenset(file["model"]["vocab"]) if plain else frozenset()
+        self.longest = max(map(len, self.vocabulary), default=0)
+        self.added = [a["content"] for a in file["added_tokens"]]
 
         class Pieces(dict):
             """Tokens of pieces; a space-led word and a mark behind it are pre-tokens of their own, and so is a line end."""
@@ -80,6 +108,8 @@ class Counter:
         return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def many(self, texts: list[str]) -> list[int]:
+        if not self.known:
+            return [self.whole(t) for t in texts]
         return [self.huge(t) if len(t) > self.chunk else self.plain(t) for t in texts]
 
     def plain(self, text: str) -> int:
@@ -88,27 +118,25 @@ class Counter:
             return self.whole(text)
         return sum(map(self.pieces.__getitem__, text.replace(" ", "\x00 ").split("\x00")))
 
-    def encode(self, text: str, start: int, end: int) -> list[tuple[int, int, int]]:
-        """(start, end, id) in the whole text's offsets."""
-        e = self.tokenizer.encode(text[start:end], add_special_tokens=False)
-        return [(start + a, start + b, i) for (a, b), i in zip(e.offsets, e.ids, strict=True)]
-
-    def splice(self, text: str, left: list, right: list, begin: int, end: int) -> int | None:
-        """The last place in (begin, end) where both chunks may be cut, or None.
-
-        Both must also agree on all tokens from there to the next such place, so that none depends on where
-        a chunk begins or ends.
-        """
-        a, b = {t[0]: k for k, t in enumerate(left)}, {t[0]: k for k, t in enumerate(right)}
-        after = None
-        place = text.rfind(" ", begin + 1, end - 1)
-        while place > begin:
-            if not text[place - 1].isspace() and not text[place + 1].isspace() and place in a and place in b:
-                if after is not None and left[a[place] : a[after]] == right[b[place] : b[after]]:
-                    return place
-                after = place
-            place = text.rfind(" ", begin + 1, place)
-        return None
+    def encode(self, text: str, start: int, end: int) -> tuple[list[int], list[int]]:
+        """Where the tokens of a chunk start, in the whole text's offsets, and those starts where the token before has ended."""
+        offsets = self.tokenizer.encode(text[start:end], add_special_tokens=False).offsets
+        return [start + a for a, _ in offsets], [start + b[0] for a, b in zip(offsets, offsets[1:], strict=False) if a[1] <= b[0] and a[0] < b[0]]
+
+    def stable(self, text: str, place: int) -> bool:
+        """Whether a token boundary at this place is certain, whatever stands further off."""
+        if any(a in text[max(0, place - len(a) + 1) : place + len(a) - 1] for a in self.added):
+            return False
+        before, after = text[place - 1], text[place]
+        if after == " ":
+            return not before.isspace() and place + 1 < len(text) and not text[place + 1].isspace()
+        x, y = kind(before), kind(after)
+        if x and y and x != y:
+            return True
+        if before.isspace() or after.isspace() or "'" in text[max(0, place - 3) : place + 3]:
+            return False
+        left, right = spelled(text[max(0, place - self.longest) : place])[-self.longest :], spelled(text[place : place + self.longest])[: self.longest]
+        return not any(left[-k:] + right[: n - k] in self.vocabulary for n in range(2, self.longest + 1) for k in range(max(1, n - len(right)), min(n - 1, len(left)) + 1))
 
     def huge(self, text: str) -> int:
         total, end, kept = 0, self.chunk, 0  # tokens before the place `kept` are counted
@@ -117,23 +145,25 @@ class Counter:
             overlap = self.overlap
             while True:
                 begin = max(kept, end - overlap)
-                right = self.encode(text, begin, min(len(text), end + self.chunk))
-                place = self.splice(text, left, right, begin, end)
+                stop = min(len(text), end + max(self.chunk, end - kept) if begin == kept else end + self.chunk)
+                right = self.encode(text, begin, stop)
+                common = set(left[1])
+                place = next((p for p in reversed(right[1]) if begin < p < end and p in common and self.stable(text, p)), None)
                 if place is not None or begin == kept:
                     break
-                overlap *= 2
+                overlap *= 4
                 self.widened += 1
             if place is not None:
-                total += sum(1 for t in left if kept <= t[0] < place)
+                total += sum(1 for t in left[0] if kept <= t < place)
                 kept = place
-            left, end = right, min(len(text), end + self.chunk)  # without a place, right begins at kept
-        return total + sum(1 for t in left if t[0] >= kept)
+            left, end = right, stop  # without a place, right begins at kept
+        return total + sum(1 for t in left[0] if t >= kept)
 
 
 def counted(docs: DataFrame, path: str, chunk: int = 32_768, overlap: int = 512) -> DataFrame:
     """doc_id, n_bytes and n_tokens for each row of docs; null texts count as empty.
 
-    path names a byte-level BPE tokenizer file that exists on every executor. Only the counts leave a task; rows
+    path names a tokenizer file that exists on every executor. Only the counts leave a task; rows
     are neither shuffled nor regrouped, so repeated rows, hot keys and ties make no difference.
     """
 
