@@ -4,15 +4,20 @@ A document's tokens are cut into pieces of the sequence length and one shorter r
 their own. Rests are placed under three limits at once: tokens, segments and loss-bearing tokens of
 a sequence. An open sequence takes, of the rests that still fit, the one whose demand has the largest dot
 product with what is left of the three limits, each demand and rest as a share of its limit and weighted by
-how scarce that resource is overall. When nothing fits, the next rest is cut so that it fills the sequence.
+how scarce that resource is overall. When nothing fits, the next rest is cut so that it fills the sequence. Where
+every document is one segment and all its tokens bear loss, as in pretraining text, that is the longest rest that fits; instruction
+data have columns for both (`conversation_texts`).
 
-Pieces are dealt to blocks of bounded size by a hash of document and start, so one huge document and many
-copies spread alike; each block is packed on its own, and only its last sequence is short.
+Pieces are dealt to blocks of bounded size by a hash of document, start, tokens and a running number among equal pieces of a
+task, so one huge document, many copies and many equal rows spread alike, and a task that is run again deals alike; each
+block is packed on its own, and only its last sequence is short.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,15 +27,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.token_counts import SIMPLE, load, spelled
+from tessera.llm.token_counts import PLAIN_BPE, SIMPLE, apart, has, load, spelled
 
+# What the file of a tokenizer says that lowers case, drops white space and takes runs of letters, digits or marks apart.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+WORD_BPE = PLAIN_BPE | {"end_of_word_suffix": "</w>"}
 
 
 class WordIds:
     """Token ids of texts for a byte-level tokenizer that lowers case and drops white space, as little-endian bytes.
 
     Such a tokenizer treats what stands between spaces or line ends on its own, and a mark behind a word apart
-    from the word, so ids of a text are those of its parts in a row; a bounded number of parts is remembered.
+    from the word, so ids of a text are those of its parts in a row; a bounded number of parts is remembered. A tokenizer whose
+    file says otherwise is called with whole texts.
     """
 
     def __init__(self, tokenizer, width: int, memory: int = 400_000):
@@ -38,15 +48,19 @@ class WordIds:
         full = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, kind).tobytes()
         word = lambda text: np.array([t.id for t in model.tokenize(spelled(text.lower()))], kind).tobytes()
         marks = {m: full(m) for m in ".,"}
-        plain = all(word(p) == full(p) and full(p + ",") == full(p) + marks[","] for p in ("the", "Überzug", "naïvement", "Étrange"))
+        file = json.loads(tokenizer.to_str())
+        parts = (file["pre_tokenizer"] or {}).get("pretokenizers", [])
+        plain = (file["normalizer"] or {}).get("normalizers") == NORMALIZERS and len(parts) == 2 and parts[0] == SPLIT
+        plain = plain and has(parts[1], {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}) and has(file["model"], WORD_BPE) and apart(file)
+        self.whole = None if plain else full
 
         class Parts(dict):
             def __missing__(self, part: str) -> bytes:
                 if len(self) > memory:
                     self.clear()
-                if plain and SIMPLE.fullmatch(part):
+                if SIMPLE.fullmatch(part):
                     ids = word(part) if part.islower() else self[part.lower()]
-                elif plain and part[-1:] in marks and SIMPLE.fullmatch(part[:-1]):
+                elif part[-1:] in marks and SIMPLE.fullmatch(part[:-1]):
                     ids = self[part[:-1].lower()] + marks[part[-1]]
                 else:
                     ids = full(part)
@@ -57,21 +71,27 @@ class WordIds:
         self.parts = Parts()
 
     def __call__(self, text: str) -> bytes:
+        if self.whole:
+            return self.whole(text)
         return b"".join(map(self.parts.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-def place(lengths: list[int], losses: list[int], tokens: int, segments: int, loss: int, gap: int) -> list[tuple[int, int, int, int, int]]:
+def place(lengths: list[int], losses: list[int], tokens: int, segments: int, loss: int, gap: int, counts: list[int] | None = None) -> list[tuple[int, int, int, int, int]]:
     """(item, start in it, length, sequence, offset) for each piece; sequences count from 0.
 
-    The last losses[i] tokens of item i bear loss. Gaps of more than `gap` tokens are filled by cutting an item.
+    The last losses[i] tokens of item i bear loss; it has counts[i] segments (one if not given, the limit at most), and so has
+    each piece of it. Gaps of more than `gap` tokens are filled by cutting an item.
     """
-    todo: dict[tuple[int, int], list[tuple[int, int]]] = {}  # (length, loss) -> (item, start)
-    keys = np.zeros((0, 2), np.int64)
+    counts = [1] * len(lengths) if counts is None else [max(1, min(segments, c)) for c in counts]
+    demand = lambda i, start: (lengths[i] - start, min(losses[i], lengths[i] - start), counts[i])
+    todo: dict[tuple[int, int, int], list[tuple[int, int]]] = {}  # tokens, loss, segments -> (item, start)
+    for i in range(len(lengths)):
+        todo.setdefault(demand(i, 0), []).append((i, 0))
+    keys = np.array(list(todo), np.int64).reshape(-1, 3)
 
     def add(item: int, start: int) -> None:
         nonlocal keys
-        key = (lengths[item] - start, min(losses[item], lengths[item] - start))
-        if key not in todo:
+        if (key := demand(item, start)) not in todo:
             todo[key] = []
             keys = np.append(keys, [key], axis=0)
         todo[key].append((item, start))
@@ -84,69 +104,63 @@ def place(lengths: list[int], losses: list[int], tokens: int, segments: int, los
             keys = np.delete(keys, k, axis=0)
         return got
 
-    def room(item: int, start: int, left: int, loss_left: int) -> int:
-        return max(0, min(lengths[item] - start, left, max(0, lengths[item] - losses[item] - start) + loss_left))
-
-    at: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for i, n in enumerate(lengths):
-        at.setdefault((n, min(losses[i], n)), []).append((i, 0))
-    todo, keys = at, np.array(list(at), np.int64).reshape(-1, 2)
-    limits = np.array([tokens, max(1, loss)], float)
-    scarce = np.array([sum(lengths) / tokens, sum(losses) / max(1, loss)])  # sequences that either needs
-    scarce = scarce / max(scarce.max(), 1e-9) / limits**2
+    limits = np.array([tokens, max(1, loss), segments], float)
+    scarce = np.array([sum(lengths), sum(losses), sum(counts)]) / limits  # sequences that each would need
+    weights = scarce / max(scarce.max(initial=0), 1e-9) / limits**2
     out, sequence = [], 0
     while todo:
-        left, loss_left, n, offset = tokens, loss, 0, 0
-        while todo and left and n < segments:
-            fits = (keys[:, 0] <= left) & (keys[:, 1] <= loss_left)
+        left, offset = np.array([tokens, loss, segments]), 0
+        while todo and left[0] and left[2]:
+            fits = (keys <= left).all(axis=1)
             if fits.any():
-                value = np.where(fits, keys @ (scarce * np.array([left, loss_left])), -1.0)
-                item, start = take(int(value.argmax()))
+                item, start = take(int(np.where(fits, keys @ (weights * left), -1.0).argmax()))
                 length = lengths[item] - start
-            elif left > gap or not n:
-                item, start = take(int(keys[:, 0].argmax()))
-                length = room(item, start, left, loss_left)
-                if not length:
-                    add(item, start)
+            elif (left[0] > gap or not offset) and (keys[:, 2] <= left[2]).any():
+                item, start = take(int(np.where(keys[:, 2] <= left[2], keys[:, 0], -1).argmax()))
+                length = int(min(lengths[item] - start, left[0], max(0, lengths[item] - losses[item] - start) + left[1]))
+                add(item, start + max(0, length))
+                if length <= 0:
                     break
-                add(item, start + length)
             else:
                 break
             out.append((item, start, length, sequence, offset))
-            loss_left -= max(0, start + length - max(start, lengths[item] - losses[item]))
-            left, offset, n = left - length, offset + length, n + 1
+            borne = max(0, start + length - max(start, lengths[item] - losses[item]))
+            left, offset = left - [length, borne, counts[item]], offset + length
         sequence += 1
     return out
 
 
-def packed(docs: DataFrame, path: str, end_id: int = 2, tokens: int = 4096, segments: int = 512, loss: int | None = None, loss_tokens: str | None = None, gap: int = 16, block_bytes: int = 4 << 20) -> DataFrame:
+def packed(docs: DataFrame, path: str, end_id: int = 2, tokens: int = 4096, segments: int = 512, loss: int | None = None, loss_tokens: str | None = None, segment_count: str | None = None, gap: int = 16, block_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, start, length, doc_tokens, ids (little-endian uint32), sequence_id, offset for each piece.
 
     path names a tokenizer file that drops white space and exists on every executor; end_id closes each
     document. loss_tokens names a column with the number of loss-bearing tokens at a document's end (null or
-    absent: all); loss limits them in a sequence (absent: as tokens). Null texts are empty and become the
-    end id alone. Repeated rows are packed as often as they occur; an empty table gives no pieces.
+    absent: all); loss limits them in a sequence (absent: as tokens). segment_count names a column with a document's segments
+    (null or absent: one). Null texts are empty and become the end id alone; other columns do not matter. Repeated rows are packed as often as they occur; an empty table gives no pieces.
     """
     loss = tokens if loss is None else max(1, loss)
-    of = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (F.col(loss_tokens) if loss_tokens else F.lit(None)).cast("long").alias("loss"))
+    of = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (F.col(loss_tokens) if loss_tokens else F.lit(None)).cast("long").alias("loss"), (F.col(segment_count) if segment_count else F.lit(1)).cast("int").alias("count"))
     size = of.agg(F.coalesce(F.sum(F.octet_length("text").cast("long") + 16), F.lit(0))).head()[0]
     blocks = max(1, -(-size // block_bytes))
-    schema = T.StructType([of.schema["doc_id"], *T.StructType.fromDDL("start long, length long, doc_tokens long, ids binary, loss long, pk_block int").fields])
+    schema = T.StructType([of.schema["doc_id"], *T.StructType.fromDDL("start long, length long, doc_tokens long, ids binary, loss long, count int, pk_block int").fields])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(path)
         width = 2 if max(tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         ids_of, last = WordIds(tokenizer, width), end_id.to_bytes(width, "little")
         rows: list[tuple] = []
+        seen: Counter[int] = Counter()  # how often a hash of id, start and tokens was met
         for batch in batches:
-            for doc, text, own in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "loss")), strict=True):
+            for doc, text, own, count in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "loss", "count")), strict=True):
                 ids = ids_of(text) + last
                 n = len(ids) // width
                 own = n if own is None else max(0, min(own, n))
                 for a in range(0, n, tokens):
                     b = min(n, a + tokens)
                     part = ids[a * width : b * width]
-                    rows.append((doc, a, b - a, n, part, max(0, b - max(a, n - own)), zlib.crc32(f"{doc} {a}".encode()) % blocks))
+                    h = zlib.crc32(part, zlib.crc32(f"{doc} {a}".encode()))
+                    rows.append((doc, a, b - a, n, part, max(0, b - max(a, n - own)), count, zlib.crc32(seen[h].to_bytes(8, "little"), h) % blocks))
+                    seen[h] += 1
                 if len(rows) >= 500:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=schema.names)
                     rows = []
@@ -159,10 +173,10 @@ def packed(docs: DataFrame, path: str, end_id: int = 2, tokens: int = 4096, segm
 
     def fill(table: pa.Table) -> pa.Table:
         table = table.take(pc.sort_indices(table, [("doc_id", "ascending"), ("start", "ascending"), ("length", "ascending")]))
-        docs_, starts, lengths, totals, ids, losses, block = (table.column(c).to_pylist() for c in schema.names)
+        docs_, starts, lengths, totals, ids, losses, counts, block = (table.column(c).to_pylist() for c in schema.names)
         width = max(2, len(ids[0]) // lengths[0])
         rows = []
-        for item, a, n, sequence, offset in place(lengths, losses, tokens, segments, loss, gap):
+        for item, a, n, sequence, offset in place(lengths, losses, tokens, segments, loss, gap, [c or 1 for c in counts]):
             part = np.frombuffer(ids[item], f"<u{width}", n, a * width).astype("<u4").tobytes()
             rows.append((docs_[item], starts[item] + a, n, totals[item], part, (block[item] << 32) + sequence, offset))
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [*kinds[:5], pa.int64(), pa.int64()], strict=True)], names=["doc_id", "start", "length", "doc_tokens", "ids", "sequence_id", "offset"])
@@ -176,3 +190,16 @@ def sequences(pieces: DataFrame) -> DataFrame:
     parts = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "length", "ids")))
     rows = pieces.groupBy("sequence_id").agg(parts.alias("p"))
     return rows.select("sequence_id", F.expr("aggregate(p, cast('' as binary), (x, y) -> concat(x, y.ids))").alias("ids"), F.col("p.doc_id").alias("doc_ids"), F.col("p.length").alias("lengths"))
+
+
+def conversation_texts(turns: DataFrame, answer: str = "assistant") -> DataFrame:
+    """doc_id, text, answer_text, turns for each conversation of turns (conv_id, turn, role, text): instruction data for packing.
+
+    text has all turns in order, a line each; answer_text is the last turn if `answer` gave it, and empty otherwise: its tokens
+    bear loss. Turns without text count as empty; equal turn numbers are ordered by role and text. Turns without conv_id form
+    one conversation. A conversation is gathered in one row, as it is one training example.
+    """
+    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = turns.groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    last = F.element_at("t", -1)
+    return rows.select("doc_id", F.array_join("t.text", "\n").alias("text"), F.when(last["role"] == answer, last["text"]).otherwise("").alias("answer_text"), F.size("t").alias("turns"))
