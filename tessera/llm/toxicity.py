@@ -1,12 +1,14 @@
 """Toxicity by a weighted lexicon, matched with an Aho-Corasick automaton over folded texts.
 
 Folding undoes disguises: compatibility forms and accents are removed, look-alike letters of other scripts become
-Latin, and digits or symbols that stand for letters inside a word become those letters. Entries are whole
-words or beginnings of words, with a weight. Exception phrases cancel the entries inside them. The sum of
-weights is divided by the text's length in words, and a logistic curve makes a score of it.
-
-Entries, weights, exceptions and the curve are learned from labelled rows. At most `max_docs` of them are
-used, those with the smallest hashes of their ids; everything else is done for every row.
+Latin, and digits or symbols in a word that has letters become the letters they stand for. Where one stands for several letters, or
+may as well be no letter at all at a word's end, the reading that has an entry of the lexicon is taken. Entries are whole
+words or beginnings of words, with a weight. Exception phrases, an entry with the word before or behind it, cancel the entries
+inside them. The sum of weights is divided by the text's length in words, and a logistic curve makes a score of it.
+
+Entries, weights, exceptions and the curve are learned from labelled rows: a phrase is an exception if it is met in harmless
+texts and hardly in toxic ones, and an entry is judged by where it stands outside such phrases. At most `max_docs` labelled rows
+are used, those with the smallest hashes of their ids; everything else is done for every row.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,29 +25,50 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import free_name, stage
+
 # Letters of other scripts that look like Latin ones.
 LOOKALIKES = {
     "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o",
     "р": "p", "ԛ": "q", "ѕ": "s", "т": "t", "у": "y", "ѵ": "v", "ԝ": "w", "х": "x", "α": "a", "ο": "o", "ν": "v", "ρ": "p",
     "τ": "t", "υ": "u", "ι": "i", "κ": "k", "ε": "e", "ɑ": "a", "ɡ": "g", "ı": "i",
 }
-# What stands for a letter inside a word.
-SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"}
-# Harmless phrases around words that are often abusive.
-EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "pond scum", "stupid simple", "loser bracket")
+# What stands for a letter inside a word; the first letter is the likelier one.
+SUBSTITUTES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "il", "|": "li"}
 
 TABLE = str.maketrans(LOOKALIKES)
-INSIDE = re.compile(r"[013457@$!|]+(?=[^\W\d_])")
+READINGS = [str.maketrans({c: own[min(k, len(own) - 1)] for c, own in SUBSTITUTES.items()}) for k in (0, 1)]
+DISGUISED = re.compile(r"[^\W\d_]*[013457@$!|](?:[^\W_]|[@$!|])*")
+LETTER = re.compile(r"[^\W\d_]")
 REST = re.compile(r"[\W\d_]+")
 
 
-def folded(text: str | None) -> str:
-    """Words of a text without disguise, lower-case, one space before, between and after them."""
+def readings(word: str) -> list[str]:
+    """What a word with digits or symbols may stand for; words without a letter stand for themselves."""
+    core = word.rstrip("!|")  # marks at the end are more often just that
+    if not LETTER.search(core):
+        return [word]
+    out = [core.rstrip("013457@$").translate(READINGS[0])]
+    for table in READINGS:
+        for x in (core, word):
+            out.append(x.translate(table))
+    return list(dict.fromkeys(out))
+
+
+def folded(text: str | None, known: Callable[[str], bool] = lambda word: False) -> str:
+    """Words of a text without disguise, lower-case, one space before, between and after them.
+
+    Of a disguised word's readings, the first is taken that is known, and the first of all if none is.
+    """
     low = (text or "").lower()
     if not low.isascii():
         low = "".join(c for c in unicodedata.normalize("NFKD", low) if not unicodedata.combining(c)).translate(TABLE)
-    low = INSIDE.sub(lambda m: "".join(SUBSTITUTES[c] for c in m[0]), low)
-    return f" {REST.sub(' ', low).strip()} "
+
+    def read(m: re.Match) -> str:
+        own = readings(m[0])
+        return next((w for w in own if len(own) > 1 and known(f" {w} ")), own[0])
+
+    return f" {REST.sub(' ', DISGUISED.sub(read, low)).strip()} "
 
 
 @dataclass
@@ -53,7 +76,7 @@ class Lexicon:
     """entries: " word " or " beginning" with its weight; a and b: the curve over the density of weights."""
 
     entries: dict[str, float]
-    exceptions: tuple[str, ...] = EXCEPTIONS
+    exceptions: tuple[str, ...] = ()
     a: float = -4.0
     b: float = 8.0
     _automaton: object = field(default=None, repr=False)
@@ -71,15 +94,23 @@ class Lexicon:
                 self._automaton.make_automaton()
         return self._automaton
 
-    def density(self, text: str | None) -> float:
-        """Weights found per 100 words, on a log scale; 0 if there are none."""
-        plain, own = folded(text), self.automaton()
+    def known(self, word: str) -> bool:
+        return any(w is not None for _, (_, w) in self.automaton().iter(word))
+
+    def found(self, text: str | None) -> tuple[list[tuple[int, int, float]], int]:
+        """(start, end, weight) of the entries in a folded text that no exception covers, and the text's words."""
+        own = self.automaton()
         if not len(own):
-            return 0.0
+            return [], 0
+        plain = folded(text, self.known)
         found = [(end - n + 1, end, w) for end, (n, w) in own.iter(plain)]
         excused = [(i, j) for i, j, w in found if w is None]
-        total = sum(w for i, j, w in found if w is not None and not any(x <= i and j <= y for x, y in excused))
-        return math.log1p(100 * max(0.0, total) / max(1, plain.count(" ") - 1))
+        return [(i, j, w) for i, j, w in found if w is not None and not any(x <= i and j <= y for x, y in excused)], plain.count(" ") - 1
+
+    def density(self, text: str | None) -> float:
+        """Weights found per 100 words, on a log scale; 0 if there are none."""
+        found, n = self.found(text)
+        return math.log1p(100 * max(0.0, sum(w for *_, w in found)) / max(1, n))
 
     def score(self, text: str | None) -> float:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, self.a + self.b * self.density(text)))))
@@ -130,38 +161,70 @@ def fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-3
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, max_docs: int) -> DataFrame:
-    """doc_id, text, y for at most max_docs labelled rows, those with the smallest hashes of their ids."""
+    """doc_id, text, y for at most max_docs labelled rows, those with the smallest hashes of their ids.
+
+    An id that is labelled more than once has its largest label, and one with several texts the least of them.
+    """
     own = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(column).alias("y"))
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-    return docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").dropDuplicates(["doc_id"])
+    return docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+
+
+def phrases(text: str | None, wanted: frozenset[str]) -> set[str]:
+    """" before word " and " word behind " for each word that is wanted as " word "."""
+    words = folded(text).split()
+    out = set()
+    for k, w in enumerate(words):
+        if f" {w} " in wanted:
+            out.update(f" {' '.join(p)} " for p in (words[max(0, k - 1) : k + 1], words[k : k + 2]) if len(p) == 2)
+    return out
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 12_000, min_docs: int = 5, min_places: int = 5, most: int = 2_000) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 12_000, min_docs: int = 5, min_places: int = 5, most: int = 2_000, min_excuses: int = 3) -> Lexicon:
     """Learn from rows of docs (doc_id, text) that labels (doc_id, toxic) mark.
 
     Rows without id, text or label teach nothing. With no rows, or only one class, the lexicon is empty and
-    every score is low.
+    every score is low. Terms met in fewer than min_docs toxic texts, or behind fewer than min_places words, are no entries; phrases met in
+    fewer than min_excuses harmless texts, or in more than a twentieth as many toxic ones, are no exceptions.
     """
-    from tessera.llm.common import stage
-
     sample = stage(labelled(docs, labels, "toxic", max_docs).where("text is not null"), "toxic-sample")
 
-    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both: dict[str, list[int]] = {}
-        for batch in batches:
-            for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                for t in terms(text):
-                    both.setdefault(t, [0, 0])[0 if y else 1] += 1
-        yield pa.RecordBatch.from_pydict({"term": list(both), "bad": [x[0] for x in both.values()], "good": [x[1] for x in both.values()]}, schema=pa.schema({"term": pa.string(), "bad": pa.int64(), "good": pa.int64()}))
+    def counted(own: Callable[[str], Iterable[str]]) -> DataFrame:
+        """term, bad, good: in how many texts of either class own() finds each term."""
+
+        def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            both: dict[str, list[int]] = {}
+            for batch in batches:
+                for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                    for t in own(text):
+                        both.setdefault(t, [0, 0])[0 if y else 1] += 1
+            yield pa.RecordBatch.from_pydict({"term": list(both), "bad": [x[0] for x in both.values()], "good": [x[1] for x in both.values()]}, schema=pa.schema({"term": pa.string(), "bad": pa.int64(), "good": pa.int64()}))
+
+        return sample.select("text", F.col("y").cast("long").alias("y")).mapInArrow(seen, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
 
     totals = {bool(y): n for y, n in sample.groupBy(F.col("y") > 0).count().collect()}
     n_bad, n_good = totals.get(True, 0), totals.get(False, 0)
     if not n_bad or not n_good:
         return Lexicon({})
-    sums = sample.select("text", "y").mapInArrow(seen, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    top = sums.where((F.col("bad") >= min_docs) & (F.col("bad") >= 20 * F.col("good"))).orderBy(F.desc("bad"), "term").limit(50 * most)
-    counts = [tuple(r) for r in top.collect()]
-    wanted = frozenset(t for t, _, _ in counts)
+    top = counted(terms).where((F.col("bad") >= min_docs) & (F.col("bad") * n_good >= 4 * F.col("good") * n_bad)).orderBy(F.desc("bad"), "term").limit(50 * most)
+    counts = {r["term"]: (r["bad"], r["good"]) for r in top.collect()}
+    wanted = frozenset(counts)
+    whole = frozenset(t for t in wanted if t[-1] == " ")
+    excuses = counted(lambda text: phrases(text, whole)).where((F.col("good") >= min_excuses) & (F.col("good") >= 20 * F.col("bad")))
+    exceptions = tuple(sorted(r["term"] for r in excuses.orderBy(F.desc("good"), "term").limit(most).collect()))
+    if exceptions:  # count again what they do not cover
+        excused = frozenset(f" {w} " for e in exceptions for w in e.split())
+        again = whole & excused
+        bare = Lexicon(dict.fromkeys(again, 1.0), exceptions)
+
+        def outside(text: str | None) -> set[str]:
+            found, plain = bare.found(text)[0], folded(text, bare.known)
+            return {plain[i : j + 1] for i, j, _ in found}
+
+        rest = {r["term"]: (r["bad"], r["good"]) for r in counted(outside).collect()} if again else {}
+        counts |= {t: rest.get(t, (0, 0)) for t in again}
+    counts = {t: (x, y) for t, (x, y) in counts.items() if x >= min_docs and x >= 20 * y}
+    strict = frozenset(counts)
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = set()
@@ -169,13 +232,14 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 12_000, min_docs:
             for text in batch.column("text").to_pylist():
                 words = folded(text).split()
                 for before, w in zip(["", *words], words, strict=False):
-                    pairs.update((t, before) for t in (f" {w} ", *(f" {w[:k]}" for k in range(3, len(w) + 1))) if t in wanted)
+                    pairs.update((t, before) for t in (f" {w} ", *(f" {w[:k]}" for k in range(3, len(w) + 1))) if t in strict)
         yield pa.RecordBatch.from_pydict({"term": [p[0] for p in pairs], "before": [p[1] for p in pairs]}, schema=pa.schema({"term": pa.string(), "before": pa.string()}))
 
     # copies repeat a word in one place; an abusive word is met after many different ones
     places = sample.where("y > 0").select("text").mapInArrow(around, "term string, before string").groupBy("term").agg(F.countDistinct("before").alias("n"))
     varied = {r["term"] for r in places.where(F.col("n") >= min_places).collect()}
-    lexicon = Lexicon(choose([c for c in counts if c[0] in varied], n_bad, n_good, most))
+    entries = choose([(t, x, y) for t, (x, y) in counts.items() if t in varied], n_bad, n_good, most)
+    lexicon = Lexicon(entries, tuple(e for e in exceptions if any(f" {w} ".startswith(t) for w in e.split() for t in entries)))
 
     def densities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,7 +251,10 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 12_000, min_docs:
 
 
 def scored(docs: DataFrame, lexicon: Lexicon, name: str = "score") -> DataFrame:
-    """docs with all its columns and a score from 0 to 1; null and empty texts get the score of no finding."""
+    """docs with all its columns and a score from 0 to 1; null and empty texts get the score of no finding.
+
+    If docs has a column of that name, it stays and the score's name gets an underscore more.
+    """
     own = Lexicon(lexicon.entries, lexicon.exceptions, lexicon.a, lexicon.b)  # its automaton is built in each task
 
     @F.pandas_udf("double")
@@ -195,4 +262,4 @@ def scored(docs: DataFrame, lexicon: Lexicon, name: str = "score") -> DataFrame:
         for texts in batches:
             yield pd.Series([own.score(t) for t in texts], dtype="float64")
 
-    return docs.withColumn(name, score(F.col("text")))
+    return docs.withColumn(free_name(docs, name), score(docs["text"]))
