@@ -14,20 +14,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import free_name
 from tessera.llm.toxicity import labelled
 
-
 GRAMS = (2, 3, 4)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mixed(h: np.ndarray, rows: int) -> np.ndarray:
-    """Rows of the table for 64-bit values; the first two are kept for marks."""
+    """Rows of the table for 64-bit values."""
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (2 + (h ^ (h >> np.uint64(32))) % np.uint64(rows - 2)).astype(np.int32)
+    return ((h ^ (h >> np.uint64(32))) % np.uint64(rows)).astype(np.int32)
 
 
 def features(texts: list[str | None], rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,7 +53,7 @@ def features(texts: list[str | None], rows: int) -> tuple[np.ndarray, np.ndarray
             bad = bad | space[j : len(data) - n + 1 + j]
         ok = np.flatnonzero(~bad & (of[: len(h)] == of[n - 1 :]))
         h = h[ok] * np.uint32(0x9E3779B1)
-        ids.append((np.uint32(2) + (h ^ (h >> np.uint32(15))) % np.uint32(rows - 2)).astype(np.int32))
+        ids.append(((h ^ (h >> np.uint32(15))) % np.uint32(rows)).astype(np.int32))
         docs.append(of[ok])
     first = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
     if len(first):  # a word's value: its bytes times a factor for their places in it
@@ -61,16 +61,8 @@ def features(texts: list[str | None], rows: int) -> tuple[np.ndarray, np.ndarray
         at[first[0] :] -= np.repeat(first, np.diff(np.append(first, len(data))))
         value = (data + np.uint64(1)) * mixing((at & 1023).astype(np.uint64))
         value[space] = 0
-        words, own = np.add.reduceat(value, first), of[first]
-        pairs = (words[:-1] * BASE + words[1:])[same := own[:-1] == own[1:]]
-        # marks, with rows of their own: a word that is repeated at once; two words in a row that came before
-        again = own[1:][same & (words[:-1] == words[1:])]
-        both = np.stack([own[1:][same].astype(np.uint64), pairs])
-        order = np.lexsort(both)
-        seen = order[1:][(both[:, order[1:]] == both[:, order[:-1]]).all(axis=0)]
-        marks = [(0, again), (1, own[1:][same][seen])]
-        ids += [mixed(words, rows), *(np.full(len(x), k, np.int32) for k, x in marks)]
-        docs += [own, *(x for _, x in marks)]
+        ids.append(mixed(np.add.reduceat(value, first), rows))
+        docs.append(of[first])
     if not ids:
         return np.zeros(0, np.int32), np.zeros(0, np.int32)
     return np.concatenate(ids), np.concatenate(docs)
@@ -139,19 +131,26 @@ def train(texts: list[str | None], ys: np.ndarray, rows: int = 1 << 16, dims: in
     return Model((table @ side).astype(np.float64), float(bias[1] - bias[0]), rows)
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 5_000, max_chars: int = 50_000) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 5_000, max_chars: int = 50_000, max_total: int = 40_000_000) -> Model:
     """Learn from rows of docs (doc_id, text) that labels (doc_id, quality) mark.
 
-    The driver gets at most max_docs texts of at most max_chars characters; longer ones are left out of the sample.
-    Rows without id or label teach nothing; null texts count as empty. With no rows every score is 0.5.
+    The driver gets at most max_docs texts of at most max_chars characters, and no more of them than have max_total characters
+    together; the others are left out of the sample. Rows without id or label teach nothing; null texts count as empty. With no
+    rows every score is 0.5.
     """
-    rows = labelled(docs, labels, "quality", max_docs).where(F.coalesce(F.char_length("text"), F.lit(0)) <= max_chars)
+    n = F.coalesce(F.char_length("text"), F.lit(0))
+    rows = labelled(docs, labels, "quality", max_docs).where(n <= max_chars)
+    until = F.sum(n).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over the sample, which is bounded
+    rows = rows.withColumn("until", until).where(F.col("until") <= max_total)
     rows = rows.select("doc_id", "text", "y").toPandas().sort_values("doc_id")
     return train(rows["text"].tolist(), (rows["y"].to_numpy() > 0).astype(np.int64))
 
 
 def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """docs with all its columns and a score from 0 to 1; null and empty texts get the score of the bias alone."""
+    """docs with all its columns and a score from 0 to 1; null and empty texts get the score of the bias alone.
+
+    If docs has a column of that name, it stays and the score's name gets an underscore more.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model.amounts.astype(np.float32), model.bias, model.rows))
 
     @F.pandas_udf("double")
@@ -160,4 +159,4 @@ def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
         for texts in batches:
             yield pd.Series(own.scores(texts.tolist()), dtype="float64")
 
-    return docs.withColumn(name, score(F.col("text")))
+    return docs.withColumn(free_name(docs, name), score(docs["text"]))
