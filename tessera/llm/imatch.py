@@ -1,18 +1,19 @@
 """I-Match fingerprints over randomised lexicon subsets.
 
 The lexicon holds the terms whose inverse document frequency lies in a band: neither so common that all texts have
-them nor so rare that a typing error makes one. Document frequencies are counted over the whole corpus in
-2**bits hashed cells, so that tables of counts have a fixed size: each task adds up its own, and tasks'
-tables are added up in blocks. The lexicon is a bit for each cell, of a size fixed by `bits`.
+them nor so rare that a typing error makes one. Document frequencies are exact counts of 64-bit hashes of terms over the whole
+corpus. A term of the lexicon is in a share `low` of all texts at least, so the lexicon has at most 1 / low times as many terms as
+a text has distinct ones on average; that is what the driver and the tasks hold.
 
-A text's distinct terms in the lexicon, sorted, are hashed as a whole and again within each of several random
-subsets of the lexicon. Subsets come in levels, each half as large as the one before; a text uses the two
-levels at which about one of its terms is left in a subset, so that long texts also have subsets that an edit does
-not touch. The likeness of two fingerprints is the share of equal hashes among subsets that either has terms
-in, at the finest level both have.
+The lexicon has SEEDS * LEVELS fixed random subsets, the same for every text: for each seed a whole one, and then halves of
+halves. A text's distinct terms in a subset, in order, are hashed, one hash for each subset. Small subsets are what an edit leaves
+alone: with half of a text replaced, some of them still have the same terms as before, while large ones do not.
+
+The likeness of two fingerprints is the share of equal hashes among subsets that either text has terms in, over the
+levels at which a text has few terms in a subset; there it estimates the share of terms that both have.
 
 Each text's successor by id is met without a global sort in one task: ids are dealt into ranges, and each
-range gets a copy of the first row of the next.
+range gets a copy of the first row of the next. Ranges are read in order and never held, so long ones only take longer.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import stage
 
-SUBSETS, BLOCK = 32, 4096
+SEEDS, LEVELS = 16, 14
 NULL_ID = -(1 << 63)
 TEXT, REAL = pa.string(), pa.float64()
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", TEXT), ("fingerprint", TEXT), ("edited_fingerprint", TEXT), ("near_edited", REAL), ("near_next", REAL)])
@@ -53,72 +54,96 @@ class Terms:
         return np.unique(np.fromiter(map(self.words.__getitem__, own), np.uint64, len(own)))
 
 
-def lexicon(docs: DataFrame, bits: int = 20, low: float = 0.0005, high: float = 0.2) -> np.ndarray:
-    """Which of 2**bits cells hold terms that are in a share of low to high of all texts, and in two at least."""
+def lexicon(docs: DataFrame, low: float = 0.0005, high: float = 0.2, memory: int = 400_000) -> np.ndarray:
+    """Sorted hashes of the terms that are in a share of low to high of all texts, and in two at least."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, cells, n = Terms(), np.zeros(1 << bits, np.int32), 0
+        terms, n = Terms(), 0
+        held, size = [], 0
+
+        def merged() -> pa.RecordBatch:
+            own, times = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(times.astype(np.int64))], names=["term", "n"])
+
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                cells[np.unique(terms(text or "") & np.uint64((1 << bits) - 1)).astype(np.int64)] += 1
-                n += 1
-        if n:
-            blocks = cells.reshape(-1, BLOCK)
-            yield pa.RecordBatch.from_pydict({"block": list(range(-1, len(blocks))), "n": [n, *[0] * len(blocks)], "counts": [b"", *(b.tobytes() for b in blocks)]}, schema=pa.schema({"block": pa.int32(), "n": pa.int64(), "counts": pa.binary()}))
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, c in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(c, np.int32).astype(np.int64)
-        if sums:
-            yield pa.RecordBatch.from_pydict({"block": list(sums), "counts": [x.tobytes() for x in sums.values()]}, schema=pa.schema({"block": pa.int32(), "counts": pa.binary()}))
+                held.append(terms(text or ""))
+                size += len(held[-1])
+                if size > 10 * memory:
+                    yield merged()
+                    held, size = [], 0
+            n += batch.num_rows
+        if held:
+            yield merged()
 
-    parts = stage(docs.select("text").mapInArrow(count, "block int, n long, counts binary"), "term-counts")
-    n = parts.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
-    found = np.zeros(1 << bits, np.int64)
-    sums = parts.where("block >= 0").select("block", "counts").repartition("block").mapInArrow(add, "block int, counts binary")
-    for r in sums.collect():  # 2**bits numbers in all
-        found[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["counts"], np.int64)
-    return (found >= max(2, low * n)) & (found <= max(2, high * n))
+    n = docs.count()
+    counts = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    kept = stage(counts.where((F.col("n") >= max(2, low * n)) & (F.col("n") <= max(2, high * n))).select("term"), "lexicon")
+    return np.sort(kept.toArrow().column("term").to_numpy().view(np.uint64))
 
 
 class Fingerprints:
-    def __init__(self, cells: np.ndarray, subsets: int = SUBSETS, seed: int = 3):
-        self.cells, self.terms, self.mask = cells, Terms(), np.uint64(len(cells) - 1)
-        self.factors = np.random.default_rng(seed).integers(0, 1 << 63, (subsets, 1), np.uint64) * np.uint64(2) + np.uint64(1)
-
-    def __call__(self, text: str) -> str:
-        """Hash of all terms, level, and for two levels a hash of each subset (0000: no terms), in hexadecimal."""
-        all_terms = self.terms(text)
-        own = all_terms[self.cells[(all_terms & self.mask).astype(np.int64)]]
-        if not len(own):  # no term is in the lexicon: the text's own terms stand in for it
-            own = all_terms
-        level = max(0, int(len(own) - 1).bit_length()) if len(own) else 0
+    """Hashes of a text's terms in each subset; numbers, from which `written` makes text."""
+
+    def __init__(self, lexicon: np.ndarray, seeds: int = SEEDS, levels: int = LEVELS, seed: int = 3):
+        self.lexicon, self.terms, self.levels = lexicon, Terms(), levels
+        self.factors = np.random.default_rng(seed).integers(0, 1 << 63, (seeds, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def __call__(self, text: str) -> np.ndarray:
+        """One number for each level and seed, 0 where the text has no term in the subset."""
+        own = self.terms(text)
+        if len(own) and len(self.lexicon):
+            at = np.minimum(np.searchsorted(self.lexicon, own), len(self.lexicon) - 1)
+            known = own[self.lexicon[at] == own]
+            own = known if len(known) else own  # if no term is in the lexicon, the text's own terms stand in for it
+        out = np.zeros((self.levels, len(self.factors)), np.uint32)
         h = own[None, :] * self.factors
         h ^= h >> np.uint64(31)
         h *= np.uint64(0xD6E8FEB86659FD93)
-        hashes = []
-        for k in (level, level + 1):
-            kept = (h >> np.uint64(64 - k)) == 0 if k else np.ones(h.shape, bool)
-            total = np.where(kept, h * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(0x5851F42D4C957F2D), np.uint64(0)).sum(axis=1, dtype=np.uint64)
-            total = np.where(kept.any(axis=1), 1 + (total ^ (total >> np.uint64(29))) % np.uint64(0xFFFF), 0)
-            hashes.append("".join(f"{x:04x}" for x in total.tolist()))
-        return f"{xxhash.xxh3_64_hexdigest(own.tobytes())}-{level:02x}-{hashes[0]}-{hashes[1]}"
-
-
-def likeness(x: str, y: str) -> float:
-    """From 0 to 1; 1 for equal fingerprints, 0 for those whose levels are too far apart to compare."""
-    if x == y:
+        h ^= h >> np.uint64(32)
+        row, value = np.repeat(np.arange(len(self.factors)), len(own)), h.ravel()
+        for k in range(self.levels):
+            if k:  # the half of the terms whose next bit is 0
+                kept = (value >> np.uint64(64 - k)) == 0
+                row, value = row[kept], value[kept]
+            if not len(row):
+                break
+            first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+            total = np.add.reduceat(value * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(0x5851F42D4C957F2D), first)
+            out[k, row[first]] = 1 + (total ^ (total >> np.uint64(29))) % np.uint64(0xFFFFFFFF)
+        return out
+
+
+def written(hashes: np.ndarray) -> str:
+    """A fingerprint as text: levels apart by a hyphen, 8 hexadecimal digits for each seed; levels without terms are left out."""
+    last = np.flatnonzero(hashes.any(axis=1))
+    return "-".join(x.astype(">u4").tobytes().hex() for x in hashes[: last[-1] + 1 if len(last) else 0])
+
+
+def likeness(x: np.ndarray, y: np.ndarray) -> float:
+    """From 0 to 1; 1 for equal fingerprints, texts without terms among them.
+
+    Counted are the levels at which at most three quarters of the subsets have terms of either text, and the last level if
+    none is so empty.
+    """
+    if (x == y).all():
         return 1.0
-    (_, a, *p), (_, b, *q) = x.split("-"), y.split("-")
-    a, b = int(a, 16), int(b, 16)
-    if abs(a - b) > 1:
-        return 0.0
-    u, v = (p[max(a, b) - a], q[max(a, b) - b])
-    pairs = [(u[i : i + 4], v[i : i + 4]) for i in range(0, len(u), 4)]
-    pairs = [t for t in pairs if t != ("0000", "0000")]
-    return sum(s == t for s, t in pairs) / len(pairs) if pairs else 0.0
+    used, same = (x != 0) | (y != 0), (x == y) & (x != 0)
+    few = used.mean(axis=1) <= 0.75
+    few[-1] = few[-1] or not few.any()
+    n = used[few].sum()
+    if not n:  # a few terms, which no small subset has
+        few[:] = True
+        n = used.sum()
+    return float(same[few].sum() / n) if n else 0.0
+
+
+def read(fingerprint: str, levels: int = LEVELS, seeds: int = SEEDS) -> np.ndarray:
+    """The numbers that `written` wrote."""
+    out = np.zeros((levels, seeds), np.uint32)
+    for k, x in enumerate(fingerprint.split("-") if fingerprint else []):
+        out[k] = np.frombuffer(bytes.fromhex(x), ">u4")
+    return out
 
 
 def compared(docs: DataFrame, rows_per_range: int = 4_000, **options) -> DataFrame:
@@ -128,7 +153,7 @@ def compared(docs: DataFrame, rows_per_range: int = 4_000, **options) -> DataFra
     row's text, by id and then text; the last row's next is the first. Null texts count as empty. Rows without id
     come first. Repeated rows follow each other. An empty table gives no rows.
     """
-    cells = docs.sparkSession.sparkContext.broadcast(np.packbits(lexicon(docs, **options)))
+    terms = docs.sparkSession.sparkContext.broadcast(lexicon(docs, **options))
     of = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ids = of.select("doc_id")
     parts = max(1, min(20_000, -(-ids.count() // rows_per_range)))
@@ -147,7 +172,7 @@ def compared(docs: DataFrame, rows_per_range: int = 4_000, **options) -> DataFra
     rows = of.select(part_of("doc_id").alias("part"), F.lit(False).alias("copy"), "doc_id", "text").unionByName(moved)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Fingerprints(np.unpackbits(cells.value).astype(bool))
+        own = Fingerprints(terms.value)
         out: list[tuple] = []
         last = None  # doc_id, text and fingerprint of the row before
         for batch in batches:
@@ -158,7 +183,7 @@ def compared(docs: DataFrame, rows_per_range: int = 4_000, **options) -> DataFra
                     half = n // 2
                     edited = last[1][: n - half] + text[:half]
                     other = own(edited)
-                    out.append((None if last[0] == NULL_ID else last[0], n, hashlib.sha256(edited.encode()).hexdigest(), last[2], other, likeness(last[2], other), likeness(last[2], mine)))
+                    out.append((None if last[0] == NULL_ID else last[0], n, hashlib.sha256(edited.encode()).hexdigest(), written(last[2]), written(other), likeness(last[2], other), likeness(last[2], mine)))
                 last = None if copy else (doc, text, mine)  # a copy ends its range
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), RESULT, strict=True)], schema=RESULT)
