@@ -4,8 +4,9 @@ A window is `window` consecutive words of a benchmark item (the whole item if it
 are its runs of `shingle` words. A document can hold a window only if it holds every shingle of it, so one
 necessary shingle is enough as the prefix: the one that is rarest among all documents. The steps:
 
-1. Documents become rows of (position, shingle); only shingles of the benchmark are kept. This one pass
-   over the texts leaves a table as small as the contamination itself, plus one row per document.
+1. Documents become rows of (position, hash of shingle); only hashes of the benchmark's shingles are kept, and only those become
+   text. This one pass over the texts leaves a table as small as the contamination itself, plus one row per document. A benchmark
+   of more than WANTED shingles is met in blocks of so many, each in a pass of its own; documents are never shuffled for it.
 2. Shingles are counted over all documents, and each window takes its rarest as the prefix. A window with
    a shingle that occurs nowhere is dropped.
 3. Prefix hits give the start a window would have; it must lie within the document (positional and length
@@ -24,6 +25,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import KEYS, lower_ascii, row_keys, small, stage
 
+#: Hashes of shingles that are broadcast at once, 16 bytes each.
+WANTED = 2_000_000
+
 #: What separates words once A-Z are in lower case: ASCII other than digits and a-z.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -33,10 +37,14 @@ def word_array(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), SEPARATORS), "")
 
 
+def run_hash(words: Column, i: Column, k: Column | int) -> Column:
+    return F.xxhash64(F.slice(words, i, k))
+
+
 def runs(words: Column, n: Column, k: int) -> Column:
-    """struct(pos, s) for each run of k words; positions start at 1."""
-    run = lambda i: F.struct(i.alias("pos"), F.array_join(F.slice(words, i, k), " ").alias("s"))
-    none = F.array().cast("array<struct<pos:int,s:string>>")
+    """struct(pos, k, h) for each run of k words; positions start at 1."""
+    run = lambda i: F.struct(i.alias("pos"), F.lit(k).alias("k"), run_hash(words, i, k).alias("h"))
+    none = F.array().cast("array<struct<pos:int,k:int,h:bigint>>")
     return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), run)).otherwise(none)
 
 
@@ -64,20 +72,25 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int
     words = F.split("win", " ")
     parts = wins.select("win", "len", words.alias("words"), F.least(F.lit(shingle), "len").alias("k"))
     parts = parts.select("win", "len", "k", "words", F.explode(F.sequence(F.lit(0), F.col("len") - F.col("k"))).alias("off"))
-    parts = parts.withColumn("s", F.array_join(F.slice("words", F.col("off") + 1, F.col("k")), " "))
+    parts = parts.withColumns({"s": F.array_join(F.slice("words", F.col("off") + 1, F.col("k")), " "), "h": run_hash(F.col("words"), F.col("off") + 1, F.col("k"))})
     # every k-th shingle and the last one cover the window
     parts = parts.withColumn("cover", (F.col("off") % F.col("k") == 0) | (F.col("off") == F.col("len") - F.col("k")))
-    parts = stage(parts.select("win", "len", "off", "s", "cover"), "parts")
-    wanted = parts.select("s").distinct().withColumn("wanted", F.lit(True))
+    parts = stage(parts.select("win", "len", "off", "s", "h", "cover"), "parts")
+    wanted = stage(parts.select("h").distinct().withColumn("wanted", F.lit(True)), "wanted")
+    parts = parts.drop("h")
 
     texts = docs.select(F.col("doc_id"), *row_keys(F.col("doc_id"), F.col("text")), word_array(F.col("text")).alias("words"))
     texts = texts.withColumn("n_words", F.size("words"))
-    # position 0 stands for the document; its text is no shingle and differs between documents, so that a join on s stays even
-    itself = F.array(F.struct(F.lit(0).alias("pos"), F.concat(F.lit("\x00"), F.col("k_text").cast("string"), F.col("k_id").cast("string")).alias("s")))
-    rows = texts.select("doc_id", *KEYS, "n_words", F.inline(F.concat(itself, *(runs(F.col("words"), F.col("n_words"), k) for k in lengths))))
-    few = parts.count() <= 400_000
-    kept = rows.join(F.broadcast(wanted) if few else wanted, "s", "left").where("pos = 0 or wanted").drop("wanted")
-    kept = stage(kept, "hits")
+    # position 0 stands for the document
+    itself = F.array(F.struct(F.lit(0).alias("pos"), F.lit(0).alias("k"), F.lit(None).cast("long").alias("h")))
+    rows = lambda *more: texts.select("doc_id", *KEYS, "n_words", "words", F.inline(F.concat(*more, *(runs(F.col("words"), F.col("n_words"), k) for k in lengths))))
+    blocks = max(1, -(-wanted.count() // WANTED))
+    block = lambda b: F.broadcast(wanted.where(F.pmod("h", F.lit(blocks)) == b))
+    kept = rows(itself).join(block(0), "h", "left").where("pos = 0 or wanted").drop("wanted")
+    for b in range(1, blocks):
+        kept = kept.unionByName(rows().join(block(b), "h").drop("wanted"))
+    # text decides from here on; equal hashes of different shingles find no partner
+    kept = stage(kept.select("doc_id", *KEYS, "n_words", "pos", F.array_join(F.slice("words", F.greatest("pos", F.lit(1)), F.col("k")), " ").alias("s")), "hits")
 
     hits = kept.where("pos > 0").select(*KEYS, "n_words", "pos", "s").distinct()
     counts = hits.groupBy("s").agg(F.count("*").alias("n"))
@@ -109,8 +122,5 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 5) -> DataFrame:
     """docs, all columns, without the documents that hold any benchmark window; clean ones stay as they are."""
     bad = find_leaks(docs, items, window, shingle).where("n_hit > 0").select(*KEYS).distinct()
-    names = docs.columns
-    own = [c.alias(f"__{k}") for c, k in zip(row_keys(docs["doc_id"], docs["text"]), KEYS, strict=True)]
-    keyed = docs.select("*", *own)
-    bad = small(stage(bad.toDF(*(f"__{k}" for k in KEYS)), "contaminated"))
-    return keyed.join(bad, [f"__{k}" for k in KEYS], "left_anti").select(*(F.col(f"`{n}`") for n in names))
+    keyed = docs.select(F.struct("*").alias("row"), *row_keys(docs["doc_id"], docs["text"]))
+    return keyed.join(small(stage(bad, "contaminated")), KEYS, "left_anti").select("row.*")
