@@ -8,7 +8,8 @@
    others are copies of does. This makes pairs linear in the bucket's size. After
    the links of a round are known, only nodes of different components are paired again: with another leader
    while that still joins many, and then with all of them, so a bucket leaves no pair untested that could
-   still join two components.
+   still join two components. A large bucket is then paired in blocks of its nodes, each a key of its own, so no task
+   gets all of its pairs.
 4. A pair's signatures are compared batch by batch. It is pruned when the posterior probability that its
    similarity reaches the threshold, given the agreements so far and a uniform prior, falls below `miss`. The
    first batch is one bit of each minimum hash, packed in a few numbers that the pairing join itself
@@ -32,6 +33,10 @@ from tessera.llm.common import small, stage
 from tessera.llm.graphs import stars
 
 
+#: Nodes of a bucket that are paired with all of the bucket in one group.
+BLOCK = 2_000
+
+
 class Sets:
     """Sets of shingle hashes; remembers the hashes of a bounded number of words."""
 
@@ -203,15 +208,16 @@ def links(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 42,
             pairs, members = sizes.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0))).head()
             if not members:
                 break
-            own = own.join(sizes.select("bucket"), "bucket", "left_semi")
+            own = own.join(sizes.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "bucket")
             every = pairs <= 64 * members or pairs > 0.7 * last or turn == rounds
             last = pairs
         own = own.join(nodes.select("node", *sketch, *(["bitmap"] if every else [])), "node")
         if turn == 0:
             own = own.join(central, "node")
         if every:
-            x, y = own.alias("x"), own.alias("y")
-            pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & likely("x", "y") & possible("x", "y"))
+            x = own.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("x")
+            y = own.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).alias("y")
+            pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & likely("x", "y") & possible("x", "y"))
         else:
             order = -F.col("met") if turn == 0 else F.xxhash64("node", F.lit(turn))
             first = F.struct(order.alias("h"), "node", "root", *sketch)
