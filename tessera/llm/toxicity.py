@@ -184,7 +184,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 12_000, min_docs:
     """Learn from rows of docs (doc_id, text) that labels (doc_id, toxic) mark.
 
     Rows without id, text or label teach nothing. With no rows, or only one class, the lexicon is empty and
-    every score is low. Terms met in fewer than min_docs toxic texts, or behind fewer than min_places words, are no entries; phrases met in
+    every score is low. Terms met in fewer than min_docs toxic texts, behind fewer than min_places words, or less than four times as often in toxic texts as in
+    others, exceptions or not, are no entries; phrases met in
     fewer than min_excuses harmless texts, or in more than a twentieth as many toxic ones, are no exceptions.
     """
     sample = stage(labelled(docs, labels, "toxic", max_docs).where("text is not null"), "toxic-sample")

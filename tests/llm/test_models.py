@@ -28,12 +28,44 @@ def test_quality_on_held_out_rows(spark):
 
 
 def test_disguises_and_exceptions():
-    lexicon = toxicity.Lexicon({" idiot ": 8.0, " trash ": 8.0, " lowei": 7.0}, a=-4, b=3)
-    assert lexicon.density("an Ⅰdiot") and lexicon.density("1d10t!") and lexicon.density("іԁіоt") and lexicon.density("ïdïot") and lexicon.density("x loweichen y")
-    assert not lexicon.density("idiotic 1010 a trash can") and lexicon.density("trash can and trash")
+    lexicon = toxicity.Lexicon({" idiot ": 8.0, " trash ": 8.0, " loser ": 8.0, " ass ": 8.0, " lowei": 7.0}, ("trash can",), a=-4, b=3)
+    for text in ("an Ⅰdiot", "1d10t!", "іԁіоt", "ïdïot", "x loweichen y", "idi07", "a55", "a$$!", "1oser", "l0s3r", "idiot1", "|d|ot"):
+        assert lexicon.density(text), text
+    for text in ("idiotic 1010 a trash can", "a 55 1990s", "100% @ 3!"):
+        assert not lexicon.density(text), text
+    assert lexicon.density("trash can and trash")
     assert lexicon.score("") == lexicon.score(None) < 0.5 < lexicon.score("idiot")
 
 
+def test_matches_are_all_that_a_plain_search_finds():
+    draw = np.random.default_rng(4)
+    entries = {" ab ": 1.0, " abc ": 2.0, " b": 0.5, " ca": 4.0, " c a ": 8.0}
+    lexicon = toxicity.Lexicon(entries, ("ab c", "b ca"))
+    for _ in range(500):
+        text = "".join(draw.choice(list("abc  "), 25))
+        plain = toxicity.folded(text)
+        at = lambda e: [(k, k + len(e) - 1) for k in range(len(plain)) if plain.startswith(e, k)]
+        excused = [x for e in (" ab c ", " b ca ") for x in at(e)]
+        want = sorted((i, j, w) for e, w in entries.items() for i, j in at(e) if not any(x <= i and j <= y for x, y in excused))
+        assert sorted(lexicon.found(text)[0]) == want
+
+
+def test_exceptions_are_learned(spark):
+    rows = [(k, f"you {w} person number{k} some of trash here" if k % 2 else f"a trash can stands {w} number{k}") for k, w in enumerate(["red", "blue", "old", "big", "sad", "new", "odd"] * 8)]
+    rows += [(1000 + 2 * k, f"nothing of note {k}") for k in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k, _ in rows], "doc_id long, toxic int")
+    lexicon = toxicity.learn(docs, labels, min_places=1)
+    assert " trash can " in lexicon.exceptions and any(" trash ".startswith(e) for e in lexicon.entries)
+    assert not lexicon.density("the trash can") and lexicon.density("some of trash")
+
+
+def test_labels_of_ids_with_several_texts(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, None), (2, "z"), (3, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "doc_id long, toxic int")
+    assert sorted(map(tuple, toxicity.labelled(docs.repartition(3), labels, "toxic", 9).select("doc_id", "text", "y").collect())) == [(1, "a", 1), (2, "z", 0)]
+
+
 def test_models_of_odd_rows(spark):
     docs = spark.createDataFrame([(*r, 1) for r in ODD], SCHEMA + ", y int")
     labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0), (3, None, 1), (None, 1, 0), (4, 1, 1), (4, 1, 1)], "doc_id long, quality int, toxic int")
@@ -42,6 +74,8 @@ def test_models_of_odd_rows(spark):
             rows = module.scored(docs, model).collect()
             assert len(rows) == len(ODD) and all(0 <= r.score <= 1 for r in rows)
             assert module.scored(docs.limit(0), model).count() == 0
+            own = module.scored(docs.withColumn("score", F.lit("mine")), model)
+            assert own.columns[-2:] == ["score", "score_"] and {r.score for r in own.collect()} == {"mine"}
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T{i}</title><style>p{{x}}</style><script>var a="</p>";</script></head><body>
@@ -66,7 +100,7 @@ def test_marked_articles_keep_titles_and_links():
 def test_alignment_is_the_largest():
     def tree(x):
         node = wrappers.Node(x[0])
-        node.children = [tree(c) for c in x[1:]]
+        node.children, node.shape = [tree(c) for c in x[1:]], hash(x)
         return node
 
     def slots(x):
@@ -75,9 +109,7 @@ def test_alignment_is_the_largest():
         return slot
 
     a, b = ("r", ("d", ("p",)), ("u",), ("d", ("p",), ("p",))), ("r", ("u",), ("n",), ("d", ("p",), ("p",), ("p",)))
-    page = tree(a)
-    wrappers.shape(page)
-    assert wrappers.match(page, slots(b), {}) == 5
+    assert wrappers.match(tree(a), slots(b), {}) == 5
 
 
 def test_template_text_goes_and_copies_do_not_count():
@@ -95,6 +127,57 @@ def test_names_do_not_cut_what_holds_the_article():
             assert got == [text.format(i=i) for i in range(3)], page
 
 
+def test_the_alignment_decides(sf_dir):
+    """Pages of the test table without any tag or class that tells the article: the template alone finds it."""
+    import re
+    from collections import defaultdict
+
+    import pyarrow.parquet as pq
+
+    bare = lambda h: re.sub(r"<(/?)(article|nav|footer)\b", r"<\1div", h).replace(' class="ad"', "")
+    hosts = defaultdict(list)
+    for r in pq.read_table(f"{SF}/pages.parquet").to_pylist():
+        hosts[r["url"].split("/")[2]].append(r["html"])
+    hosts = [h for h in hosts.values() if len(h) >= 5]
+    on, off, want = [], [], []
+    for pages in hosts:
+        want += wrappers.extract(pages, induce=False)
+        on += wrappers.extract([bare(h) for h in pages])
+        off += wrappers.extract([bare(h) for h in pages], induce=False)
+    assert len(want) > 100 and on == want
+    assert sum(x != y for x, y in zip(on, off, strict=True)) > 5
+
+
+def test_each_layout_has_its_template():
+    a = "<div><p>Own text of page {i}, long enough to be prose</p><p>Also {i}</p></div><div><p>Varies {i}</p></div>"
+    b = "<table><tr><td>Cell {i}</td><td><div><h2>Title {i}</h2><section>A long text of its own, {i}</section></div></td></tr></table>"
+    got = wrappers.extract([x.format(i=i) for i in range(4) for x in (a, b)])
+    assert got == [t for i in range(4) for t in (f"Own text of page {i}, long enough to be prose\nAlso {i}", f"Title {i}\nA long text of its own, {i}")]
+
+
+def test_deep_and_broken_pages():
+    for n in (600, 5000):
+        assert wrappers.extract(["<div>" * n + f"<p>deep {i}" for i in range(4)]) == [f"deep {i}" for i in range(4)]
+        assert wrappers.extract(["<b><div><p>x" * n])[0] == "\n".join(["x"] * n)
+    assert wrappers.extract(["<html><head><title>x</title><body><article><p>hello"]) == ["hello"]
+    assert wrappers.extract(["<head><meta charset=x><article><p>hello"]) == wrappers.extract(["<head><title>x</title>hello"]) == ["hello"]
+    assert wrappers.extract(["<article class='text-share'><p>Body one"]) == ["Body one"]
+    assert wrappers.extract(["", None, "<", "</p>", "<p", "&amp;&nope;&#0;"])[:4] == ["", "", "<", ""]
+
+
+def test_near_copies_keep_their_text():
+    line = "<p>A line that all of these pages have, number {k}</p>"
+    page = "<body><div><p>ad {i}</p></div><article>" + "".join(line.format(k=k) for k in range(9)) + "<p>only {i}</p></article></body>"
+    want = "\n".join([*(f"A line that all of these pages have, number {k}" for k in range(9)), "only {i}"])
+    assert wrappers.extract([page.format(i=i) for i in range(7)]) == [want.format(i=i) for i in range(7)]
+
+
+def test_ids_of_text_beside_nulls(spark):
+    rows = [(x, "http://a.b/c", f"<article><p>own text {x}", "y") for x in ("b", None, "a", "b", None)]
+    got = wrappers.main_texts(spark.createDataFrame(rows, "page_id string, url string, html string, part string")).collect()
+    assert sorted((str(r.page_id), r.text) for r in got) == sorted((str(x), f"own text {x}") for x, *_ in rows)
+
+
 def test_pages_of_odd_rows(spark):
     rows = [(1, None, None, "x"), (1, None, None, "x"), (None, "http://a.b/c", "", "y"), (3, "http://a.b/d", "<p>hi", "z"), (4, "nonsense", "no tags at all", ""), (5, "http://u@A.b:80/", "<p " * 3000, "")]
     got = wrappers.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string, host string")).collect()
