@@ -6,7 +6,7 @@ words within one edit share a variant with at most one letter deleted.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,7 +17,7 @@ def exact(terms: DataFrame, names: DataFrame) -> DataFrame:
 
 def by_alias(terms: DataFrame, names: DataFrame, aliases: DataFrame) -> DataFrame:
     """term, name, score 0.8 where the name is an alias's variant of the term (alias, variant)."""
-    met = terms.join(F.broadcast(aliases), F.col("term") == F.col("variant")).select("term", F.col("alias").alias("name_key"))
+    met = terms.join(aliases, F.col("term") == F.col("variant")).select("term", F.col("alias").alias("name_key"))
     return met.join(names.withColumn("name_key", F.lower("name")), "name_key").select("term", "name", F.lit(0.8).alias("score"), F.lit("alias").alias("match"))
 
 
@@ -52,5 +52,5 @@ def node_scores(nodes: DataFrame, query: str) -> DataFrame:
         part = F.when(F.contains(name, F.lit(w)), 0.2 + 0.3 * len(w) / F.char_length("name"))
         hit = part if hit is None else F.greatest(F.coalesce(hit, part), F.coalesce(part, hit))
     base = F.when(name == query.lower(), F.lit(1.0)).otherwise(hit)
-    rows = nodes.withColumn("base", base).withColumn("top", F.max("degree").over(Window.partitionBy()))
+    rows = nodes.withColumn("base", base).join(F.broadcast(nodes.agg(F.max("degree").alias("top"))))  # one row
     return rows.where("base IS NOT NULL").select("name", F.round(F.least(F.lit(1.0), F.col("base") + 0.2 * F.col("degree") / F.col("top")), 6).alias("score"))

@@ -1,7 +1,7 @@
 """Graphs as two tables: nodes (id, type) and edges (src, dst, relation).
 
-Traversals go level by level with a frontier that holds each node once, so a level costs one join with the edges
-whatever the number of paths. Depths are bounded; levels of unbounded loops are cut by checkpoints.
+Traversals go level by level: only the nodes that the last level found are joined with the edges, and those found before are left
+out by an anti join, so each node is expanded once whatever the number of paths. Levels are staged by checkpoints.
 """
 
 from __future__ import annotations
@@ -18,40 +18,46 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select(F.inline(both)).where("src <> dst").distinct()
 
 
-def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, degree (in and out), centrality degree / (n - 1), importance degree / largest degree; 0 without edges."""
-    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
-    rows = nodes.select("id").join(ends, "id", "left").select("id", F.coalesce("degree", F.lit(0).cast("long")).alias("degree"))
-    totals = rows.agg(F.count("*").alias("n"), F.max("degree").alias("top"))
+def degrees(nodes: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """id, degree (in and out), centrality degree / (n - 1), importance degree / largest degree; 0 without edges.
+
+    Without nodes, they are the ends of the edges.
+    """
+    rows = edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+    if nodes is not None:
+        rows = nodes.select("id").join(rows, "id", "left").select("id", F.coalesce("degree", F.lit(0).cast("long")).alias("degree"))
+    totals = rows.agg(F.count("*").alias("n"), F.max("degree").alias("top"))  # one row
     rows = rows.join(F.broadcast(totals))
     centrality = F.when(F.col("n") <= 1, F.lit(1.0)).otherwise(F.col("degree") / (F.col("n") - 1))
     return rows.select("id", "degree", centrality.alias("centrality"), F.when(F.col("top") > 0, F.col("degree") / F.col("top")).otherwise(0.0).alias("importance"))
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """id, distance: nodes within `depth` forward hops of any seed (id), with the least number of hops.
+def by_levels(steps: DataFrame, first: DataFrame, depth: int, grown: dict[str, Column]) -> DataFrame:
+    """first (id and others), and what `depth` steps (src, dst and others) find anew from it.
 
-    Each level keeps the nodes it has and adds their successors in one pass, so a level's plan holds the one before
-    only once, and the edges' exchange is shared by all levels.
+    grown gives the other columns of a found node, as aggregates over all steps that lead to it from the level before.
     """
-    steps = edges.select("src", "dst").distinct()
-    seen = seeds.select("id", F.lit(0).alias("distance")).distinct()
+    steps = staged(steps)
+    seen = level = staged(first)
     for _ in range(depth):
-        both = F.array(F.struct("id", "distance"), F.struct(F.col("dst").alias("id"), (F.col("distance") + 1).alias("distance")))
-        met = seen.join(steps, F.col("id") == F.col("src"), "left").select(F.inline(both)).where("id IS NOT NULL")
-        seen = met.groupBy("id").agg(F.min("distance").alias("distance"))
+        met = level.join(steps, level["id"] == steps["src"]).groupBy(F.col("dst").alias("id")).agg(*[c.alias(n) for n, c in grown.items()] or [F.lit(1).alias("one")])
+        level = staged(met.join(seen.select("id"), "id", "left_anti").select(*first.columns))
+        if level.isEmpty():
+            break
+        seen = seen.unionByName(level)
     return seen
 
 
+def reachable(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """id, distance: nodes within `depth` forward hops of any seed (id), with the least number of hops."""
+    first = seeds.select("id", F.lit(0).alias("distance")).distinct()
+    return by_levels(edges.select("src", "dst").distinct(), first, depth, {"distance": F.min("distance") + 1})
+
+
 def shortest_paths(edges: DataFrame, start: str, depth: int) -> DataFrame:
     """id, path (array): the shortest path from a node to each within depth; of several, the first in order of names."""
-    steps = edges.select("src", "dst").distinct()
-    seen = edges.sparkSession.range(1).select(F.lit(start).alias("id"), F.array(F.lit(start)).alias("path"))
-    for _ in range(depth):
-        both = F.array(F.struct("id", "path"), F.struct(F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path")))
-        met = seen.join(steps, F.col("id") == F.col("src"), "left").select(F.inline(both)).where("id IS NOT NULL")
-        seen = met.groupBy("id").agg(F.min(F.struct(F.size("path").alias("n"), "path")).alias("m")).select("id", F.col("m.path").alias("path"))
-    return seen
+    first = edges.sparkSession.range(1).select(F.lit(start).alias("id"), F.array(F.lit(start)).alias("path"))
+    return by_levels(edges.select("src", "dst").distinct(), first, depth, {"path": F.min(F.concat("path", F.array("dst")))})
 
 
 def neighbours(edges: DataFrame, node: Column, relations: tuple[str, ...]) -> DataFrame:
@@ -102,20 +108,40 @@ def staged(rows: DataFrame) -> DataFrame:
 
 
 def on_cycles(edges: DataFrame) -> DataFrame:
-    """id of nodes left after stripping, again and again, nodes without successors and without predecessors.
+    """id of nodes on cycles, those of one edge included.
 
-    None are left exactly if there is no cycle. Each round is staged; rounds go on until nothing more is stripped.
+    Nodes without successors or predecessors are stripped until nothing changes; what is left holds the cycles and the ways between them.
+    Then each node takes the largest name that reaches it, round by round, and those with a name of their own lead to what reaches
+    them back within it: a strongly connected part. These are taken out, and the rest goes on.
     """
-    left = edges.select("src", "dst").distinct()
-    before = -1
+    left = staged(edges.select("src", "dst").distinct())
+    found = staged(left.where("src = dst").select(F.col("src").alias("id")))
+    left = left.where("src <> dst")
     while True:
-        left = staged(left)
-        now = left.count()
-        if now == before or not now:
-            break
-        before = now
-        left = left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst")
-    return left.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+        before = -1
+        while True:  # strip
+            left = staged(left)
+            now = left.count()
+            if now == before or not now:
+                break
+            before = now
+            left = left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst")
+        if not now:
+            return found.distinct()
+        names = staged(left.select(F.explode(F.array("src", "dst")).alias("id")).distinct().select("id", F.col("id").alias("name")))
+        while True:  # the largest name that reaches each node
+            come = left.join(names, left["src"] == names["id"]).groupBy(F.col("dst").alias("id")).agg(F.max("name").alias("other"))
+            new = staged(names.join(come, "id", "left").select("id", F.greatest("name", "other").alias("name"), (F.col("other") > F.col("name")).alias("changed")))
+            more = new.where("changed").limit(1).count()
+            names = new.select("id", "name")
+            if not more:
+                break
+        inside = left.join(names.toDF("src", "a"), "src").join(names.toDF("dst", "b"), "dst").where("a = b").select("src", "dst")
+        back = by_levels(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")), names.where("id = name").select("id"), now, {})
+        parts = staged(back.select("id"))
+        several = inside.join(parts.toDF("src"), "src", "left_semi").join(parts.toDF("dst"), "dst", "left_semi")
+        found = staged(found.unionByName(several.select(F.explode(F.array("src", "dst")).alias("id"))).distinct())
+        left = left.join(parts.toDF("src"), "src", "left_anti").join(parts.toDF("dst"), "dst", "left_anti").select("src", "dst")
 
 
 def merged(edges: DataFrame, canonical: DataFrame) -> DataFrame:
@@ -139,18 +165,13 @@ def layers(edges: DataFrame, depth: int) -> DataFrame:
 
 def impact(edges: DataFrame, directions: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
     """id, distance, kinds: elements that a change of the seeds reaches, by the direction of each kind of edge."""
-    typed = edges.join(F.broadcast(directions), "relation")
+    typed = edges.join(directions, "relation")
     forward = typed.where("direction <> 'reverse'").select("src", "dst", "relation")
     reverse = typed.where("direction <> 'forward'").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "relation")
     steps = forward.unionByName(reverse)
-    none = F.array().cast("array<string>")
-    seen = seeds.select("id", F.lit(0).alias("distance"), none.alias("kinds")).distinct()
-    for _ in range(depth):
-        both = F.array(F.struct("id", "distance", "kinds"), F.struct(F.col("dst").alias("id"), (F.col("distance") + 1).alias("distance"), F.array("relation").alias("kinds")))
-        met = seen.join(steps, F.col("id") == F.col("src"), "left").select(F.inline(both)).where("id IS NOT NULL")
-        per = met.groupBy("id", "distance").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("kinds")))).alias("kinds"))
-        seen = per.groupBy("id").agg(F.min(F.struct("distance", "kinds")).alias("m")).select("id", "m.distance", "m.kinds")
-    return seen.where("distance > 0")
+    first = seeds.select("id", F.lit(0).alias("distance"), F.array().cast("array<string>").alias("kinds")).distinct()
+    grown = {"distance": F.min("distance") + 1, "kinds": F.array_sort(F.collect_set("relation"))}  # as many as there are kinds
+    return by_levels(steps, first, depth, grown).where("distance > 0")
 
 
 def band_pairs(rows: DataFrame, group: str, item: str, place: str, width: int, least: int) -> DataFrame:
@@ -168,3 +189,24 @@ def first_per_pair(edges: DataFrame, order: list[str]) -> DataFrame:
     """One edge for each (src, dst): the first in the given order, as later relations of a pair are lost."""
     w = Window.partitionBy("src", "dst").orderBy(*order)
     return edges.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
+
+
+def first_items(rows: DataFrame, group: str, item: str, order: list[str], most: int, name: str) -> DataFrame:
+    """group, name: the first `most` items of each group in an order, as an array; the rest is cut before it is gathered."""
+    place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    kept = rows.withColumn("place", place).where(F.col("place") <= most)
+    return kept.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", item))), lambda x: x[item]).alias(name))
+
+
+def guarded(edges: DataFrame, nodes: DataFrame, allowed: tuple[str, ...], stop: tuple[str, ...], acyclic: tuple[str, ...] = ("part-of", "is-a")) -> DataFrame:
+    """The edges whose ends are nodes (id) and no stop words, whose relation is allowed, and that leave hierarchies without cycles.
+
+    Relations that make a hierarchy lose the edges that close a cycle: those inside a strongly connected part whose source is not the
+    smaller name, as an order of names has no cycle. The result does not depend on the order in which edges come.
+    """
+    ids = nodes.select("id").where(~F.lower("id").isin(*stop)).distinct()
+    kept = edges.where(F.col("relation").isin(*allowed)).join(ids.toDF("src"), "src", "left_semi").join(ids.toDF("dst"), "dst", "left_semi").select("src", "dst", "relation")
+    tree = kept.where(F.col("relation").isin(*acyclic))
+    loops = on_cycles(tree)
+    both = tree.join(loops.toDF("src"), "src", "left_semi").join(loops.toDF("dst"), "dst", "left_semi").where("src >= dst")
+    return kept.join(both, ["src", "dst", "relation"], "left_anti")

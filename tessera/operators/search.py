@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,12 +16,15 @@ def top_k(vectors: DataFrame, query: DataFrame, k: int) -> DataFrame:
     return scored.drop("q").orderBy(F.desc("cosine"), "vec_id").limit(k)
 
 
-def neighbours(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def neighbours(vectors: DataFrame, queries: DataFrame, k: int, block: int = 10_000) -> DataFrame:
     """query, vec_id, cosine, rank: the k nearest rows of each vector of a stated query set (query, q).
 
-    The query set is broadcast and each task ranks before the shuffle: rank <= k is pushed below it as a group limit.
+    The query set is broadcast in blocks of at most `block` vectors, which bounds a task's memory, and each task ranks before the
+    shuffle: rank <= k is pushed below it as a group limit.
     """
-    pairs = vectors.join(F.broadcast(queries), F.col("query") != F.col("vec_id"))
+    blocks = max(1, -(-queries.count() // block))
+    part = lambda b: queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)
+    pairs = reduce(DataFrame.unionByName, (vectors.join(F.broadcast(part(b)), F.col("query") != F.col("vec_id")) for b in range(blocks)))
     pairs = pairs.select("query", "vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("cosine"))
     order = Window.partitionBy("query").orderBy(F.desc("cosine"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

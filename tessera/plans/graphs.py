@@ -57,7 +57,7 @@ def seeds(spark: SparkSession, *ids: str) -> DataFrame:
        "SELECT id, k AS degree, round(k / (count(*) OVER () - 1)::DOUBLE, 9) AS centrality, round(k / max(k) OVER ()::DOUBLE, 9) AS importance FROM n JOIN c USING (id)")
 def node_degree_centrality(spark: SparkSession, d: str) -> DataFrame:
     e = star(spark, d)
-    return graph.degrees(nodes(e), e).select("id", "degree", F.round("centrality", 9).alias("centrality"), F.round("importance", 9).alias("importance"))
+    return graph.degrees(None, e).select("id", "degree", F.round("centrality", 9).alias("centrality"), F.round("importance", 9).alias("importance"))
 
 
 def levels(start: str, depth: int, edges: str = "e") -> str:
@@ -136,9 +136,9 @@ def path_quality(spark: SparkSession, d: str) -> DataFrame:
     return importance.join(steps, "id").select("id", F.round(graph.path_score(F.col("i"), F.col("w")), 6).alias("quality")).where("quality >= 0.3")
 
 
-@query(f"WITH {STAR_SQL}, {BOTH} SELECT dst AS id FROM u WHERE src IN ('C:1', 'C:2') GROUP BY dst HAVING count(DISTINCT src) = 2")
+@query(f"WITH {STAR_SQL}, {BOTH} SELECT dst AS id FROM u WHERE src IN ('C:0', 'C:6') GROUP BY dst HAVING count(DISTINCT src) = 2")
 def bridge_concepts(spark: SparkSession, d: str) -> DataFrame:
-    return graph.common_neighbours(star(spark, d), "C:1", "C:2")
+    return graph.common_neighbours(star(spark, d), "C:0", "C:6")
 
 
 def by_year(spark: SparkSession, d: str, year: int) -> DataFrame:
@@ -167,17 +167,16 @@ def graph_union_dedupe(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def cycle_check(spark: SparkSession, d: str) -> DataFrame:
-    """Suppliers and parts: does `part -> supplier -> first part of that supplier` come back? Nodes on such cycles."""
+    """Parts and suppliers, with an edge from each part to its suppliers and from a supplier to its first part: nodes on cycles."""
     li = table(spark, d, "lineitem")
     down = li.select(F.concat(F.lit("P:"), "l_partkey").alias("src"), F.concat(F.lit("S:"), "l_suppkey").alias("dst"))
     up = li.groupBy("l_suppkey").agg(F.min("l_partkey").alias("p")).select(F.concat(F.lit("S:"), "l_suppkey").alias("src"), F.concat(F.lit("P:"), "p").alias("dst"))
     return graph.on_cycles(down.unionByName(up))
 
 
-ORACLES["cycle_check"] = """WITH f AS (SELECT l_suppkey AS s, min(l_partkey) AS p FROM lineitem GROUP BY 1), d AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem),
-step AS (SELECT DISTINCT a.s AS x, d.s AS y FROM f a JOIN d ON d.p = a.p),
-on_it AS (SELECT DISTINCT s, p FROM f)
-SELECT id FROM (SELECT 'S:' || s AS id FROM on_it UNION SELECT 'P:' || p FROM on_it)"""
+ORACLES["cycle_check"] = """WITH RECURSIVE e AS (SELECT DISTINCT 'P:' || l_partkey AS src, 'S:' || l_suppkey AS dst FROM lineitem UNION SELECT 'S:' || l_suppkey, 'P:' || min(l_partkey) FROM lineitem GROUP BY l_suppkey),
+r AS (SELECT src AS a, dst AS b FROM e WHERE src LIKE 'S:%' UNION SELECT a, dst FROM r JOIN e ON src = b), s AS (SELECT a FROM r WHERE a = b)
+SELECT a AS id FROM s UNION SELECT x.dst FROM e x JOIN e y ON y.src = x.dst WHERE x.src LIKE 'S:%' AND (y.dst = x.src OR EXISTS (SELECT 1 FROM r WHERE r.a = y.dst AND r.b = x.src))"""
 
 
 @query("""WITH n AS (SELECT p_partkey, p_name, lower(replace(p_name, ' ', '')) AS k FROM part), c AS (SELECT k, min({'l': -length(p_name), 'n': p_name}).n AS name FROM n GROUP BY k)
@@ -244,23 +243,24 @@ one AS (SELECT DISTINCT dst AS id FROM u WHERE src = 'N:1')
 SELECT id, round(base + CASE WHEN one.id IS NOT NULL THEN 0.15::DOUBLE ELSE 0 END + 0.2::DOUBLE * g / max(g) OVER () + 0.1::DOUBLE * g / ((SELECT count(*) FROM (SELECT DISTINCT src FROM u)) - 1), 6) AS score FROM top JOIN deg USING (id) LEFT JOIN one USING (id)""")
 def graph_aware_rerank(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers by balance, raised by closeness to a seed nation, by degree and by centrality."""
-    from pyspark.sql import Window
-
     e = star(spark, d)
-    degree = graph.degrees(nodes(e), e).where(F.col("id").startswith("S:"))
+    degree = graph.degrees(None, e).where(F.col("id").startswith("S:"))
     near = graph.reachable(graph.undirected(e), seeds(spark, "N:1"), 1).where("distance > 0")
     own = table(spark, d, "supplier").select(F.concat(F.lit("S:"), "s_suppkey").alias("id"), (F.col("s_acctbal") / 10000).alias("base"))
-    rows = own.join(degree, "id").join(near, "id", "left").withColumn("top", F.max("degree").over(Window.partitionBy()))
+    rows = own.join(degree, "id").join(near, "id", "left")
+    rows = rows.join(F.broadcast(rows.agg(F.max("degree").alias("top"))))  # one row
     boost = F.when(F.col("distance").isNotNull(), 0.3 / (F.col("distance") + 1)).otherwise(0.0)
     return rows.select("id", F.round(F.col("base") + boost + 0.2 * F.col("degree") / F.col("top") + 0.1 * F.col("centrality"), 6).alias("score"))
 
 
-@query(f"""WITH {STAR_SQL}, {levels(TWO_ORDERS, 2, "(SELECT * FROM e WHERE relation IN ('uses', 'implements', 'depends-on'))")} SELECT split_part(id, ':', 1) AS entity_type, count(*) AS n, min(distance) AS nearest, string_agg(id, ',' ORDER BY id) AS ids FROM r WHERE distance > 0 GROUP BY 1""")
+@query(f"""WITH {STAR_SQL}, {levels(TWO_ORDERS, 2, "(SELECT * FROM e WHERE relation IN ('uses', 'implements', 'depends-on'))")} SELECT split_part(id, ':', 1) AS entity_type, count(*) AS n, min(distance) AS nearest, string_agg(id, ',' ORDER BY distance, id) FILTER (place <= 10) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY split_part(id, ':', 1) ORDER BY distance, id) AS place FROM r WHERE distance > 0) GROUP BY 1""")
 def evidence_by_relation(spark: SparkSession, d: str) -> DataFrame:
+    """Per type, how many nodes two hops by some relations reach, and the ten nearest."""
     e = star(spark, d).where(F.col("relation").isin("uses", "implements", "depends-on"))
     rows = graph.reachable(e, seeds(spark, "O:1", "O:7"), 2).where("distance > 0")
-    kinds = rows.groupBy(F.split_part("id", F.lit(":"), F.lit(1)).alias("entity_type"))
-    return kinds.agg(F.count("*").alias("n"), F.min("distance").alias("nearest"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"))
+    kinds = rows.withColumn("entity_type", F.split_part("id", F.lit(":"), F.lit(1)))
+    counts = kinds.groupBy("entity_type").agg(F.count("*").alias("n"), F.min("distance").alias("nearest"))
+    return counts.join(graph.first_items(kinds, "entity_type", "id", ["distance", "id"], 10, "ids"), "entity_type").withColumn("ids", F.array_join("ids", ","))
 
 
 @query("""WITH a AS (SELECT list_sort(list_distinct(list('P:' || l_partkey))) AS x FROM lineitem WHERE l_orderkey = 1), o AS (SELECT l_orderkey AS case_id, list_distinct(list('P:' || l_partkey)) AS y FROM lineitem GROUP BY 1)

@@ -57,8 +57,9 @@ def node_search_scored(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {NAMES} SELECT name, round(0.4::DOUBLE * (3.0::DOUBLE / length(name)) + 0.3::DOUBLE * degree / (SELECT max(degree) FROM names) + 0.3::DOUBLE, 6) AS quality FROM names WHERE contains(name, 'red') OR name IN ('ring', 'bolt')""")
 def entry_points(spark: SparkSession, d: str) -> DataFrame:
     """Nodes by keyword or by the concept's subconcepts; quality of 0.4 name, 0.3 centrality and 0.3 domain."""
-    rows = names(spark, d).withColumn("top", F.max("degree").over(Window.partitionBy()))
-    found = rows.where(F.contains("name", F.lit("red")) | F.col("name").isin("ring", "bolt"))
+    rows = names(spark, d)
+    found = rows.join(F.broadcast(rows.agg(F.max("degree").alias("top"))))  # one row
+    found = found.where(F.contains("name", F.lit("red")) | F.col("name").isin("ring", "bolt"))
     return found.select("name", F.round(0.4 * (3 / F.char_length("name")) + 0.3 * F.col("degree") / F.col("top") + 0.3, 6).alias("quality"))
 
 

@@ -37,3 +37,33 @@ def test_labels_and_places(spark):
     assert [r[0] for r in rows.select(model.transition_label(F.col("t"), F.col("g"), F.col("e"))).collect()] == ["t [g] / e", "[g]", None]
     boxes = spark.createDataFrame([("a", 0, 90.0), ("b", 0, 100.0), ("c", 1, 90.0)], "id string, layer int, width double")
     assert {r.id: (r.x, r.y) for r in model.layered_places(boxes, "width").collect()} == {"a": (0.0, 0.0), "b": (130.0, 0.0), "c": (0.0, 80.0)}
+
+
+def test_ids_of_deep_trees(spark):
+    rows = [(i, i - 1 if i else None, "part_def", f"n{i}", 0) for i in range(50)]
+    got = model.with_stable_ids(spark.createDataFrame(rows, "node_id long, parent_id long, type string, name string, ordinal int"))
+    assert got.count() == 50 and got.where("node_id = 49").head().stable_id.count("::") == 48
+
+
+def test_relation_edges(spark):
+    schema = "stable_id string, parent_id string, type string, name string, ends array<struct<ref:string,multiplicity:string>>, has_body boolean"
+    end = lambda ref, m=None: (ref, m)
+    rows = [
+        ("c1", "p", "connection", "link", [end("a", "1"), end("b", "*")], False), ("c2", "p", "connection", None, [end("a"), end("b"), end("x")], False), ("c3", "p", "connection", None, [end("a"), end("b")], True),
+        ("s1", "p", "satisfy", None, [end("r"), end("a")], None), ("s2", "p", "verify", None, [end("r")], None), ("t1", "p", "transition", "go", [end("b")], None), ("f1", "p", "flow", None, [end("a"), end("nowhere")], None), ("z", "p", "part", None, [], None),
+    ]
+    registry = spark.createDataFrame([(n, f"id:{n}") for n in "abrx"], "name string, target string")
+    got = model.relation_edges(spark.createDataFrame(rows, schema), [registry]).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([
+        ("id:a", "id:b", "connection", "[1] link [*]"), ("c2", "id:a", "connection", None), ("c2", "id:b", "connection", None), ("c2", "id:x", "connection", None), ("c3", "id:a", "connection", None),
+        ("c3", "id:b", "connection", None), ("id:a", "id:r", "satisfy", None), ("p", "id:r", "verify", None), ("p", "id:b", "transition", "go"), ("id:a", None, "flow", None),
+    ], key=str)
+
+
+def test_findings_have_places_and_owners(spark):
+    nodes = spark.createDataFrame([("a", 3), ("a::b", None), ("a::b::c", 9)], "stable_id string, line int")
+    issues = spark.createDataFrame([("a::b/x#1", "warning"), ("a::b::c::d", "error"), ("a::b", "error"), ("q", "error")], "id string, severity string")
+    got = {r.id: (r.owner, r.line) for r in model.located(issues, nodes).collect()}
+    assert got == {"a::b/x#1": ("a", 3), "a::b::c::d": ("a::b::c", 9), "a::b": ("a", 3), "q": (None, None)}
+    drawn = spark.createDataFrame([("a",), ("a::b::c",)], "id string")
+    assert sorted(map(tuple, model.attached(issues, drawn).collect())) == [("a", 2, "error"), ("a::b::c", 1, "error")]
