@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import file_type
+from tessera.operators.graph import first_per_pair
 
 UNITS = "path string, unit_no int, text string"
 
@@ -81,11 +82,13 @@ PARSERS = {"docx": paragraphs, "xlsx": sheets, "pptx": slides, "pdf": pdf_pages,
 
 
 def units(spark: SparkSession, path: str, largest: int = 100 << 20) -> DataFrame:
-    """path, unit_no (from 1), text for the paragraphs, sheets, slides or pages of all files up to a size.
+    """path, unit_no (from 1), text for the paragraphs, sheets, slides or pages of all files.
 
-    A file that cannot be read gives one row with unit_no 0 and the reason.
+    A file that cannot be read, or has more than `largest` bytes, gives one row with unit_no 0 and the reason.
     """
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") <= largest).select("path", file_type(F.col("path")).alias("kind"), "content")
+    every = spark.read.format("binaryFile").load(path)
+    files = every.where(F.col("length") <= largest).select("path", file_type(F.col("path")).alias("kind"), "content")
+    left = every.where(F.col("length") > largest).select("path", F.lit(0).alias("unit_no"), F.concat(F.lit("error: file of "), F.col("length"), F.lit(f" bytes; {largest} are read at most")).alias("text"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -96,16 +99,16 @@ def units(spark: SparkSession, path: str, largest: int = 100 << 20) -> DataFrame
                     rows = [(p, 0, f"error: {broken}")]
                 yield pd.DataFrame(rows, columns=["path", "unit_no", "text"])
 
-    return files.mapInPandas(run, UNITS)
+    return files.mapInPandas(run, UNITS).unionByName(left)
 
 
 def node_link_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes (id, type), edges (src, dst, relation)) of node-link JSON files."""
+    """(nodes (id, type), edges (src, dst, relation)) of node-link JSON files; of an id or a pair, the first type or relation."""
     schema = "nodes array<struct<id:string,type:string>>, links array<struct<source:string,target:string,relation:string>>"
     raw = spark.read.schema(schema).json(path, multiLine=True)
-    nodes = raw.select(F.explode("nodes").alias("n")).select("n.id", "n.type").dropDuplicates(["id"])
+    nodes = raw.select(F.explode("nodes").alias("n")).groupBy("n.id").agg(F.min("n.type").alias("type"))
     edges = raw.select(F.explode("links").alias("e")).select(F.col("e.source").alias("src"), F.col("e.target").alias("dst"), F.col("e.relation").alias("relation"))
-    return nodes, edges.dropDuplicates(["src", "dst"])
+    return nodes, first_per_pair(edges, ["relation"])
 
 
 def tool_log(spark: SparkSession, path: str, servers: dict[str, str]) -> DataFrame:
@@ -114,7 +117,7 @@ def tool_log(spark: SparkSession, path: str, servers: dict[str, str]) -> DataFra
     new = F.regexp_extract("value", r"`([a-z0-9-]+)__([a-z_0-9]+)\(", 1)
     tool = F.coalesce(F.nullif(F.regexp_extract("value", r"`(?:[a-z0-9-]+__)?([a-z_0-9]+)\(", 1), F.lit("")), F.lit(""))
     known = spark.createDataFrame(list(servers.items()), "tool string, known string")
-    rows = lines.select(new.alias("server"), tool.alias("tool")).where("tool <> ''").join(F.broadcast(known), "tool", "left")
+    rows = lines.select(new.alias("server"), tool.alias("tool")).where("tool <> ''").join(known, "tool", "left")
     return rows.select(F.when(F.col("server") != "", F.col("server")).otherwise(F.coalesce("known", F.lit("unknown"))).alias("server"), "tool")
 
 

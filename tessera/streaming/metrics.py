@@ -18,12 +18,15 @@ def sink(stream: DataFrame, path: str, checkpoint: str):
 
 
 def incremental_documents(stream: DataFrame, path: str, checkpoint: str):
-    """Chunks of new or changed documents (document_id, text) replace those of the same document, batch by batch."""
+    """Chunks of new or changed documents (document_id, text, version) replace those of the same document, batch by batch.
+
+    Of several versions in a batch the latest counts; without a version column, the last text in order.
+    """
     from tessera.sources.writers import replace_documents
 
     def index(batch: DataFrame, _: int) -> None:
         starts = F.explode(F.sequence(F.lit(0), F.greatest(F.char_length("text") - 1, F.lit(0)), F.lit(450)))
-        latest = batch.dropDuplicates(["document_id"])
+        latest = batch.groupBy("document_id").agg(F.max_by("text", F.struct("version", "text") if "version" in batch.columns else F.col("text")).alias("text"))
         replace_documents(latest.select("document_id", "text", starts.alias("start")).select("document_id", "start", F.substring("text", F.col("start") + 1, F.lit(500)).alias("chunk")), path)
 
     return stream.writeStream.foreachBatch(index).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

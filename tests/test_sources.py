@@ -71,3 +71,19 @@ def test_incremental_documents(spark, tmp_path):
     stream = spark.readStream.schema("document_id string, text string").parquet(str(tmp_path / "in"))
     metrics.incremental_documents(stream, str(tmp_path / "out"), str(tmp_path / "mark")).awaitTermination()
     assert sorted((r.document_id, r.start) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("a", 0), ("a", 450), ("b", 0)]
+
+
+def test_large_files_and_deleted_documents(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("small")
+    (tmp_path / "b.txt").write_text("x" * 5000)
+    rows = {r.path[-5:]: (r.unit_no, r.text) for r in readers.units(spark, str(tmp_path), largest=1000).collect()}
+    assert rows["a.txt"] == (1, "small") and rows["b.txt"][0] == 0 and "5000 bytes" in rows["b.txt"][1]
+    path = str(tmp_path / "chunks")
+    writers.append(spark.createDataFrame([(f"d{k}", k) for k in range(40)], "document_id string, n int"), path, buckets=4)
+    writers.deleted_documents(spark, path, spark.createDataFrame([(f"d{k}",) for k in range(30)], "document_id string"), buckets=4)
+    assert sorted(r.n for r in writers.read_chunks(spark, path).collect()) == list(range(30, 40))
+
+
+def test_equal_versions_have_an_order(spark):
+    old, new = (spark.createDataFrame([(1, v, 1)], "k int, v string, t int") for v in ("old", "new"))
+    assert writers.upserted(old, new.unionByName(new.withColumn("v", F.lit("a"))), ["k"], "t").head().v == "a"
