@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Irregular plurals and their singulars.
+# English nouns with a plural of their own, by vowel change, old endings, Greek and Latin endings.
 IRREGULAR = {
-    "children": "child", "people": "person", "men": "man", "women": "woman", "feet": "foot", "teeth": "tooth", "geese": "goose", "mice": "mouse",
-    "criteria": "criterion", "analyses": "analysis", "indices": "index", "vertices": "vertex",
+    "men": "man", "women": "woman", "feet": "foot", "teeth": "tooth", "geese": "goose", "mice": "mouse", "lice": "louse",
+    "children": "child", "oxen": "ox", "people": "person",
+    "criteria": "criterion", "phenomena": "phenomenon", "analyses": "analysis", "hypotheses": "hypothesis", "crises": "crisis",
+    "indices": "index", "vertices": "vertex", "matrices": "matrix", "data": "datum", "bacteria": "bacterium", "nuclei": "nucleus", "alumni": "alumnus",
 }
 
 JAPANESE = "[ぁ-んァ-ン一-龯]"
@@ -106,3 +108,55 @@ def refuses(text: Column, markers: tuple[str, ...]) -> Column:
     for m in markers:
         found = found | F.contains(F.lower(text), F.lit(m))
     return found
+
+
+def qualified_parts(name: Column) -> Column:
+    """The parts of a qualified name between ::, without quotes around them."""
+    return F.transform(F.split(name, "::"), lambda p: F.regexp_replace(F.trim(p), "^'(.*)'$", "$1"))
+
+
+def balanced(text: Column) -> Column:
+    """Whether parentheses close in order: never more closed than opened, and none left open. Null counts as empty."""
+    signs = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "[^()]", ""), "")
+    step = lambda d, c: F.when(d < 0, d).when(c == "(", d + 1).when(c == ")", d - 1).otherwise(d)
+    return F.aggregate(signs, F.lit(0), step) == 0
+
+
+def slug(name: Column) -> Column:
+    """Lower-case runs of letters and digits with hyphens between."""
+    return F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), F.lit("-"))
+
+
+def tool_name(server: Column, tool: Column, longest: int = 64) -> Column:
+    """slug__tool in at most `longest` characters; the server's name is cut, the tool's only if it is too long by itself."""
+    room = F.greatest(F.lit(longest) - 2 - F.char_length(tool), F.lit(0))
+    return F.substring(F.concat(F.substring(slug(server), F.lit(1), room), F.lit("__"), tool), 1, longest)
+
+
+def first_filled(*columns: Column) -> Column:
+    """The first of some columns that is neither null nor empty."""
+    return F.coalesce(*(F.when(c != "", c) for c in columns))
+
+
+def file_key(path: Column, document: Column, chunk: Column) -> Column:
+    """What tells a chunk's file: its path, or its document's id, or its own id up to the last hyphen."""
+    return first_filled(path, document, F.regexp_replace(chunk, "-[^-]*$", ""))
+
+
+def chunk_number(index: Column, chunk: Column) -> Column:
+    """A chunk's number, as given or as its id ends with; null if neither is a number."""
+    return F.coalesce(index.try_cast("int"), F.regexp_extract(chunk, "([0-9]+)$", 1).try_cast("int"))
+
+
+def replaced_between(text: Column, find: Column, put: Column, start: Column, end: Column) -> Column:
+    """text with the first `find` inside the places start to end (from 0, both included) replaced; as it is if there is none."""
+    inside = F.substring(text, start + 1, end - start + 1)
+    at = F.call_function("instr", inside, find)
+    done = F.concat(F.substring(text, F.lit(1), start + at - 1), put, F.substring(text, start + at + F.char_length(find), F.char_length(text)))
+    return F.when((at > 0) & (F.char_length(find) > 0), done).otherwise(text)
+
+
+def error_class(message: Column) -> Column:
+    """The class of a message by the first of some patterns: syntax, then types, then the rest."""
+    low = F.lower(message)
+    return F.when(low.rlike("syntax|parse|unexpected|missing"), "syntax").when(low.rlike("type|resolve|reference"), "type resolution").otherwise("semantic")

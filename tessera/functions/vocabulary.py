@@ -23,4 +23,4 @@ ABSTRACT_ENDINGS = ("ness", "ity", "ance", "ence")
 PRICE_IN, PRICE_OUT = 3.0, 15.0
 
 # What an answer says when it declines.
-REFUSALS = ("no information", "cannot answer", "not found", "unknown", "worthless")
+REFUSALS = ("検証不能", "根拠不在", "確認できません", "検出されませんでした", "見当たりません", "該当箇所は提示できません", "存在しません", "示す条文はありません", "規定する条文は検出")

@@ -68,3 +68,41 @@ def packed_sentences(docs: DataFrame, size: int = 1000, overlap: int = 100) -> D
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "chunk"])
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk_index long, chunk string")
+
+
+# Words that begin a block of model code.
+STARTS = ("package", "part", "action", "item", "port", "attribute", "requirement", "state", "interface", "connection", "constraint", "import", "abstract", "enum", "view")
+
+
+def code_blocks(docs: DataFrame, starts: tuple[str, ...] = STARTS) -> DataFrame:
+    """doc_id, segment_no (from 0), kind (text or code), segment: a text's parts in order; blank ones are left out.
+
+    Code begins at a line that starts with one of some words and ends at a line that closes all braces with } or ; and is followed by
+    a blank line, a heading or nothing. Lines depend on those before them within a text only.
+    """
+    import re
+
+    begins = re.compile(rf"\s*({'|'.join(starts)})\b")
+    heading = re.compile(r"(#{1,6}\s+\S|\d+(\.\d+)*\s+\S)")
+
+    def cut(text: str) -> list[tuple[str, str]]:
+        lines, out, held, depth = text.splitlines(), [], [], None
+        for line, after in zip(lines, [*lines[1:], ""], strict=False):
+            if depth is None and begins.match(line):
+                out.append(("text", held))
+                held, depth = [], 0
+            held.append(line)
+            if depth is not None:
+                depth += line.count("{") - line.count("}")
+                if depth <= 0 and line.strip().endswith((";", "}")) and (not after.strip() or heading.match(after)):
+                    out.append(("code", held))
+                    held, depth = [], None
+        out.append(("text" if depth is None else "code", held))
+        return [(kind, joined) for kind, own in out if (joined := "\n".join(own).strip())]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(d, i, kind, part) for d, t in zip(frame["doc_id"], frame["text"], strict=True) for i, (kind, part) in enumerate(cut(t or ""))]
+            yield pd.DataFrame(rows, columns=["doc_id", "segment_no", "kind", "segment"])
+
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, segment_no long, kind string, segment string")

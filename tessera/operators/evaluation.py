@@ -46,3 +46,22 @@ def share(rows: DataFrame, key: str) -> DataFrame:
 
     counts = rows.groupBy(key).agg(F.count("*").alias("n"))
     return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 9))
+
+
+def same_multiset(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and how often each row is in a and in b, for rows that are not in both equally often."""
+    x, y = (t.groupBy(*keys).agg(F.count("*").alias(n)) for t, n in ((a, "n_a"), (b, "n_b")))
+    on = [x[k].eqNullSafe(y[k]) for k in keys]
+    both = x.join(y, on, "full").select(*(F.coalesce(x[k], y[k]).alias(k) for k in keys), F.coalesce("n_a", F.lit(0)).alias("n_a"), F.coalesce("n_b", F.lit(0)).alias("n_b"))
+    return both.where("n_a <> n_b")
+
+
+def rule_confidence(files: DataFrame, least: int = 5, left_out: tuple[str, ...] = ("parse",)) -> DataFrame:
+    """rule, sole_agree, sole_disagree, confidence: for each rule, the files (file, rules, agrees) where it alone reports, and the share that agree.
+
+    Rules with fewer than `least` such files have no confidence and are left out, and so are rules that are none.
+    """
+    sole = files.where(F.size(F.array_distinct("rules")) == 1).select(F.col("rules")[0].alias("rule"), "agrees").where(~F.col("rule").isin(*left_out))
+    counts = sole.groupBy("rule").agg(F.count_if(F.col("agrees")).alias("sole_agree"), F.count_if(~F.col("agrees")).alias("sole_disagree"))
+    n = F.col("sole_agree") + F.col("sole_disagree")
+    return counts.where(n >= least).withColumn("confidence", F.round(F.col("sole_agree") / n, 6))

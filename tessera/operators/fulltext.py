@@ -31,6 +31,25 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float
     return scored.select("query", "doc_id", "bm25", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k)
 
 
+def by_clauses(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """query, doc_id: the documents that meet all clauses of a query (query, clause, kind, term), each by any of its terms.
+
+    A term is a word, the prefix of one or a phrase. All are found by equi-joins on words: a word by itself, a prefix by the
+    beginnings of words that are as long as one that is asked for, a phrase by its words at places in a row.
+    """
+    words = docs.select("doc_id", F.posexplode(terms(F.col("text"))).alias("at", "word"))
+    lengths = sorted(r[0] for r in asked.where("kind = 'prefix'").select(F.char_length("term")).distinct().collect())  # of a stated query set
+    first = F.array(F.lit("="), *(F.lit(str(n)) for n in lengths))
+    keys = F.array("word", *(F.when(F.char_length("word") >= n, F.substring("word", 1, n)) for n in lengths))
+    own = words.select("doc_id", "at", F.explode(F.arrays_zip(first.alias("way"), keys.alias("key"))).alias("z")).select("doc_id", "at", "z.*").where("key IS NOT NULL")
+    parts = F.when(F.col("kind") == "phrase", terms(F.col("term"))).otherwise(F.array(F.lower("term")))
+    wanted = asked.withColumn("parts", parts).select("query", "clause", "kind", "term", F.size("parts").alias("need"), F.posexplode("parts").alias("off", "key"))
+    wanted = wanted.withColumn("way", F.when(F.col("kind") == "prefix", F.char_length("key").cast("string")).otherwise("="))
+    met = own.join(wanted, ["way", "key"]).groupBy("query", "clause", "kind", "term", "need", "doc_id", (F.col("at") - F.col("off")).alias("start")).agg(F.count_distinct("off").alias("got")).where("got = need")
+    clauses = asked.groupBy("query").agg(F.count_distinct("clause").alias("all"))
+    return met.groupBy("query", "doc_id").agg(F.count_distinct("clause").alias("n")).join(clauses, "query").where("n = all").select("query", "doc_id")
+
+
 def like(docs: DataFrame, query: str, k: int) -> DataFrame:
     """The k longest documents that hold a text as it is, without a score: the fallback of a failed search."""
     hits = docs.where(F.contains("text", F.lit(query)))

@@ -36,10 +36,10 @@ def rule_cardinality(spark: SparkSession, d: str) -> DataFrame:
     return rules.second_and_later(returned, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "single_return", node)
 
 
-@query("SELECT 'answer_follows_question' AS rule, 'error' AS severity, conv_id || '/' || turn AS node, 'parent is ' || p AS message FROM (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations) WHERE role = 'assistant' AND p IS NOT NULL AND p NOT IN ('user')")
+@query("SELECT 'question_follows_answer' AS rule, 'error' AS severity, conv_id || '/' || turn AS node, 'parent is ' || p AS message FROM (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations) WHERE role = 'user' AND p IS NOT NULL AND p NOT IN ('assistant')")
 def rule_parent_type(spark: SparkSession, d: str) -> DataFrame:
-    turns = table(spark, d, "conversations").withColumn("p", F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn"))).where("role = 'assistant'")
-    return rules.wrong_parent(turns, F.col("p"), ("user",), "answer_follows_question", F.concat_ws("/", "conv_id", "turn"))
+    turns = table(spark, d, "conversations").withColumn("p", F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn"))).where("role = 'user'")
+    return rules.wrong_parent(turns, F.col("p"), ("assistant",), "question_follows_answer", F.concat_ws("/", "conv_id", "turn"))
 
 
 BASES = "b AS (SELECT CAST(p_partkey AS VARCHAR) AS node, CAST((p_partkey * 7 + p_size) % (SELECT count(*) FROM part) AS VARCHAR) AS base FROM part)"

@@ -56,10 +56,8 @@ def file_type_from_url(spark: SparkSession, d: str) -> DataFrame:
 
 
 TERMS = r"list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
-LONGEST = 3  # terms of a query: its longest words
 
-
-@query(f"""WITH q AS (SELECT item_id AS query, unnest(list_transform(list_sort(list_transform(list_distinct({TERMS}), lambda w: {{'n': -length(w), 'w': w}})), lambda x: x.w)[1:{LONGEST}]) AS term FROM benchmark),
+@query(f"""WITH q AS (SELECT item_id AS query, unnest(list_distinct({TERMS})) AS term FROM benchmark),
 t AS (SELECT doc_id, {TERMS} AS t FROM documents), n AS (SELECT count(*) AS n_docs, avg(len(t)) AS avg_len FROM t),
 p AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS len, unnest(t) AS term FROM t) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
@@ -68,9 +66,21 @@ s AS (SELECT query, doc_id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) *
 SELECT query, doc_id, bm25, CAST(rank AS INTEGER) AS rank FROM (SELECT query, doc_id, bm25, row_number() OVER (PARTITION BY query ORDER BY bm25 DESC, doc_id) AS rank
 FROM s WHERE got = (SELECT count(*) FROM q x WHERE x.query = s.query)) WHERE rank <= 10""")
 def fulltext_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    words = F.array_distinct(tx.terms(F.col("text")))
-    longest = F.transform(F.slice(F.array_sort(F.transform(words, lambda w: F.struct((-F.char_length(w)).alias("n"), w.alias("w")))), 1, LONGEST), lambda x: x["w"])
-    return fulltext.bm25(table(spark, d, "documents"), table(spark, d, "benchmark").select(F.col("item_id").alias("query"), longest.alias("terms")), 10)
+    """The ten best documents that hold all words of each query."""
+    return fulltext.bm25(table(spark, d, "documents"), table(spark, d, "benchmark").select(F.col("item_id").alias("query"), tx.terms(F.col("text")).alias("terms")), 10)
+
+
+#: A query in clauses: all clauses have to be met, each by any of its terms, which are words, beginnings of words or phrases.
+CLAUSES = ((0, "word", "worthless"), (0, "word", "idiot"), (1, "prefix", "th"), (2, "phrase", "of the"), (2, "phrase", "in the"), (2, "word", "was"))
+
+
+@query(rf"""WITH t AS (SELECT doc_id, {TERMS} AS t FROM documents), c AS (SELECT * FROM (VALUES {", ".join(map(str, CLAUSES))}) x(clause, kind, term)),
+m AS (SELECT DISTINCT doc_id, clause FROM t, c WHERE (kind = 'word' AND list_contains(t, term)) OR (kind = 'prefix' AND len(list_filter(t, lambda w: starts_with(w, term))) > 0)
+OR (kind = 'phrase' AND contains(' ' || array_to_string(t, ' ') || ' ', ' ' || term || ' ')))
+SELECT 'q' AS query, doc_id FROM m GROUP BY doc_id HAVING count(*) = 3""")
+def fulltext_clauses(spark: SparkSession, d: str) -> DataFrame:
+    asked = spark.createDataFrame([("q", *c) for c in CLAUSES], "query string, clause int, kind string, term string")
+    return fulltext.by_clauses(table(spark, d, "documents"), asked)
 
 
 @query("SELECT doc_id, n_chars, CAST(NULL AS DOUBLE) AS bm25 FROM documents WHERE contains(text, 'worthless') ORDER BY n_chars DESC, doc_id LIMIT 20")

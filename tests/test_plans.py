@@ -156,3 +156,34 @@ def test_issues_match_once_and_in_order(spark):
     rows = [(1, "expected", 0, "error", "a"), (1, "expected", 1, "error", "a"), (1, "expected", 2, "warning", "b"), (1, "actual", 0, "error", "xx a"), (1, "actual", 1, "error", "b"), (1, "actual", 2, "error", "aa"), (2, "expected", 0, "error", "q")]
     got = sorted((r.case_id, r.expected, r.actual) for r in matched(spark.createDataFrame(rows, "case_id long, side string, ord long, severity string, text string")).collect())
     assert got == [(1, 0, 0), (1, 1, 2), (1, 2, None), (2, 0, None)]
+
+
+def test_cycles_are_told_from_ways_between_them(spark):
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(120)]
+    ring = lambda name, n: [(f"{name}{i}", f"{name}{(i + 1) % n}") for i in range(n)]
+    between = [("a0", "way1"), ("way1", "way2"), ("way2", "b0")]
+    table = lambda rows: spark.createDataFrame(rows, "src string, dst string")
+    got = {r.id for r in graph.on_cycles(table(ring("a", 3) + ring("b", 4) + between + [("s", "s"), ("s", "t")])).collect()}
+    assert got == {"a0", "a1", "a2", "b0", "b1", "b2", "b3", "s"}
+    assert graph.on_cycles(table(chain)).count() == 0
+
+
+def test_code_blocks(spark):
+    text = "Intro\n\npart def A {\n  attribute x;\n\n}\n\nmore text\nport p;\n# Heading\naction open {\n"
+    got = chunking.code_blocks(spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string")).orderBy("doc_id", "segment_no").collect()
+    assert [(r.doc_id, r.kind, r.segment) for r in got] == [
+        (1, "text", "Intro"), (1, "code", "part def A {\n  attribute x;\n\n}"), (1, "text", "more text"), (1, "code", "port p;"), (1, "text", "# Heading"), (1, "code", "action open {"),
+    ]
+
+
+def test_small_text_functions(spark):
+    from pyspark.sql import functions as F
+
+    row = spark.range(1).select(
+        tx.qualified_parts(F.lit("A::'b c'::D")).alias("parts"), tx.balanced(F.lit("(a)(b(c))")).alias("yes"), tx.balanced(F.lit(")(")).alias("no"),
+        tx.tool_name(F.lit("My Server"), F.lit("find")).alias("tool"), tx.tool_name(F.lit("s" * 80), F.lit("find")).alias("cut"),
+        tx.file_key(F.lit(""), F.lit(None).cast("string"), F.lit("doc-7")).alias("key"), tx.chunk_number(F.lit("x"), F.lit("doc-7")).alias("number"),
+        tx.replaced_between(F.lit("aXbXc"), F.lit("X"), F.lit("--"), F.lit(2), F.lit(4)).alias("fixed"), tx.error_class(F.lit("Unexpected token")).alias("class"),
+    ).head()
+    assert row.parts == ["A", "b c", "D"] and row.yes and not row.no and row.tool == "my-server__find" and len(row.cut) == 64 and row.cut.endswith("__find")
+    assert (row.key, row.number, row.fixed, row["class"]) == ("doc", 7, "aXb--c", "syntax")
