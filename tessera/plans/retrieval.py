@@ -235,7 +235,10 @@ def toc_chunk_filter(spark: SparkSession, d: str) -> DataFrame:
     return chunking.without_contents(table(spark, d, "documents")).select("doc_id")
 
 
-@query()
+@query(r"""WITH l AS (SELECT doc_id, generate_subscripts(a, 1) AS n, unnest(a) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)),
+m AS (SELECT *, regexp_matches(line, '^(#{1,6} +\S.*|[0-9]+([.][0-9]+)* +[A-Z].*)$') AS is_title FROM l), s AS (SELECT *, CAST(sum(is_title::INT) OVER (PARTITION BY doc_id ORDER BY n) AS BIGINT) AS section_no FROM m)
+SELECT doc_id, section_no, coalesce(max(CASE WHEN is_title THEN regexp_replace(line, '^(#{1,6}|[0-9]+([.][0-9]+)*) +', '') END), '') AS title, coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT is_title), '') AS body
+FROM s GROUP BY doc_id, section_no""")
 def markdown_sections(spark: SparkSession, d: str) -> DataFrame:
     return chunking.sections(table(spark, d, "documents"))
 
