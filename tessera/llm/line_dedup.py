@@ -6,24 +6,27 @@ shorter line. Every occurrence of a line after its first goes, and so does a lin
 earlier, by document id and then by place. The steps:
 
 1. Equal lines become one, with its first occurrence.
-2. One edit leaves the first or the last part of both lines as it is. Lines none of whose parts any other line
-   has cannot have a neighbour; only the rest goes on. This loses nothing.
-3. Those lines emit their deletion neighbourhood: the line itself and the line without each of its words, as
+2. Where k edits are allowed, a line is cut into k + 1 parts of equal length, of which k edits leave one as it is. The first
+   and the last part stay where they are, from the line's beginning or end; those between are only needed where both of
+   them are edited, and are moved by few places then. Lines that have none of their parts, at all such places, in common with
+   another line cannot have a neighbour; only the rest goes on. This loses nothing.
+3. Lines of one edit emit their deletion neighbourhood: the line itself and the line without each of its words, as
    hashed keys. Lines that meet in a key after losing the word at one place are near (replaced), and so are a
    line that lost a word and the line that equals the key (inserted or deleted). The earliest of each is found by
    minima, which combine before the shuffle, so a key that thousands of lines share makes no pairs.
 4. The edit distance of each line to the earlier line found is verified on their words.
-5. Where k > 1 edits are allowed, a line is cut into k + 1 parts, of which k edits leave one as it is, moved by no more
-   places than edits stand before and behind it. Each line offers its parts and looks for those of lines up to k words
-   shorter, at all such places. Lines that meet no other line in a part are left out by packed hashes; pairs of the rest
-   are held against each other on parity bitmaps of their words, inside the join, and then on a banded edit distance.
-   Neither loses a pair. A part that many different lines share at one place still makes a pair of any two of them.
+5. Lines of k > 1 edits would emit n over k variants each. They emit in place of them the variants that lost all words but one
+   part. A part that many lines share is no key by itself: it is joined with each part of what is left of the line without it,
+   to which the same bound applies. First each line meets the earliest line of its key and length; only lines
+   that are not near to that one meet the others of their keys, by length. Parity bitmaps of words bound the distance
+   inside the join, and a banded edit distance verifies what is left.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,29 +34,27 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import KEYS, row_keys, small, stage
+from tessera.llm.common import KEYS, free_name, row_keys, small, stage
 
 BASE = 0x9E3779B97F4A7C15
 ORDER = [*KEYS, "ln"]
-#: Letters of scripts that are written without spaces between words.
-UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
-BUCKETS = 1024
+#: Letters of scripts that are written without spaces between words: Thai, Lao, Myanmar, Khmer, Japanese and Chinese, by code.
+UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3021-\u3029\u3040-\u30fa\u30fc-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
 
 
-def half(n: Column) -> Column:
-    """The length of the parts of lines with n words: the largest power of two up to n/2, 1 at least."""
-    return F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(n / 2, F.lit(1.0))))).cast("int")
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit values whose bits all depend on all bits of x."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
 
 
-def exploded(docs: DataFrame, letters: bool = False) -> DataFrame:
-    """k_null, k_id, k_text, ln, words for each line of each row of docs; letters: unspaced ones are words of their own."""
-    lines = docs.where("text is not null").select(*row_keys(F.col("doc_id"), F.col("text")), F.posexplode(F.split("text", "\n", -1)).alias("ln", "line"))
-    line = F.lower("line")
-    if letters:
-        line = F.when(F.octet_length("line") > F.char_length("line"), F.regexp_replace(line, UNSPACED, " $1 ")).otherwise(line)
-    words = F.when(line.rlike(r"[^\S ]"), F.split(line, r"\s+")).otherwise(F.split(line, " "))
-    # through a generator, so that the words are made once and not again for each use
-    return lines.select(*ORDER, F.explode(F.array(F.array_remove(words, ""))).alias("words"))
+def words_of(text: str, letters: bool) -> Iterator[list[str]]:
+    """The words of each line, in lower case; letters: unspaced ones are words of their own."""
+    low = text.lower()
+    if letters and not low.isascii():
+        low = UNSPACED.sub(r" \1 ", low)
+    return map(str.split, low.split("\n"))
 
 
 def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,86 +97,95 @@ def allowed(n: int, most: int, per: int) -> int:
     return max(1, min(most, n // per))
 
 
-@cache
-def places(m: int, most: int, per: int, again: bool) -> tuple[np.ndarray, ...]:
-    """First, start, length and tag of the parts that a line of m words offers (first) and looks for.
+def edits(n: Column, most: int, per: int) -> Column:
+    """`allowed` as a column."""
+    return F.greatest(F.lit(1), F.least(F.lit(most), F.floor(n / per))).cast("int")
 
-    Parts at the very place where it offers them itself are looked for only if `again`.
-    """
-    rows = []
-
-    def parts(n: int, k: int) -> list[tuple[int, int]]:
-        short, longer = n // (k + 1), n % (k + 1)
-        sizes = [short + (i > k - longer) for i in range(k + 1)]
-        return [(sum(sizes[:i]), size) for i, size in enumerate(sizes)]
-
-    for n in range(max(2 * per, m - most), m + 1):
-        k, grown = allowed(n, most, per), m - n
-        if grown > k:
-            continue
-        for i, (at, size) in enumerate(parts(n, k)):
-            tag = n * 64 + i
-            if not grown:
-                rows.append((True, at, size, tag))
-            for p in range(max(0, at - i, at + grown - (k - i)), min(m - size, at + i, at + grown + (k - i)) + 1):
-                if again or grown or p != at:
-                    rows.append((False, p, size, tag))
-    first, start, size, tag = zip(*rows, strict=True)
-    return np.array(first), np.array(start), np.array(size), np.array(tag, np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-
-
-def part_keys(hashes: pa.ListArray, most: int, per: int, again: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows, first, keys): for lines of equal length, their places in hashes and the keys of their parts, a row each."""
-    ends = np.cumsum(sizes := hashes.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
-    flat = hashes.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-    starts, longest = ends - sizes, int(sizes.max(initial=0))
-    powers = np.cumprod(np.append(np.uint64(1), np.full(longest, BASE, np.uint64)))
-    back = np.cumprod(np.append(np.uint64(1), np.full(longest, pow(BASE, -1, 1 << 64), np.uint64)))
-    sums = np.append(np.uint64(0), np.cumsum(flat * powers[np.arange(len(flat)) - np.repeat(starts, sizes)]))
-    for m in np.unique(sizes):
-        rows = np.flatnonzero(sizes == m)
-        first, start, size, tag = places(int(m), most, per, again)
-        at = starts[rows][:, None] + start
-        keys = (sums[at + size] - sums[at]) * back[start] + tag
-        keys = (keys ^ (keys >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        yield rows, first, keys ^ (keys >> np.uint64(29))
-
-
-def packed(keys: np.ndarray, low: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    """For each bucket the keys' further 32 bits, each with 32 bits of its line, as one binary; and how many there are."""
-    bucket = (keys >> np.uint64(54)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    pairs = (((keys >> np.uint64(22)) << np.uint64(32)) | low)[order]
-    counts = np.bincount(bucket, minlength=BUCKETS)
-    offsets = np.append(0, np.cumsum(counts) * 8).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), BUCKETS, [None, pa.py_buffer(offsets), pa.py_buffer(pairs)]), counts
-
-
-def meeting(lines: DataFrame, most: int, per: int) -> DataFrame:
-    """low: 32 bits of the keys of lines (low, h) that share a part with another line, and of few others."""
+
+def rung(s: int) -> int:
+    """A part's length, rounded down so that lines of similar length have parts of the same: three binary digits are kept."""
+    drop = max(0, s.bit_length() - 3)
+    return s >> drop << drop
+
+
+def cuts(n: int, k: int, s: int) -> list[tuple[int, int]]:
+    """(tag, start) of the parts of length s of a line of n words, at all places where k edits may have moved them."""
+    out = [(0, 0), (1, n - s)]
+    if k == 2:
+        out += [(2, s + d) for d in (-1, 0, 1)]
+    if k == 3:
+        out += [(2, s + d) for d in (-2, -1, 0, 1, 2)] + [(3, n - 2 * s + d) for d in (-1, 0, 1)]
+    return [(tag, at) for tag, at in out if 0 <= at <= n - s]
+
+
+@lru_cache(maxsize=20_000)
+def plan(n: int, ks: tuple[int, ...], least: int) -> tuple[tuple[int, int, int, int], ...]:
+    """(seed, start, end, k) of the parts of a line of n words, for each length that a near line may have, from `least` words on."""
+    cut = {(k, rung((n - d) // (k + 1))) for k in ks for d in range(k + 1) if n - d >= max(least, k + 1)}
+    return tuple(dict.fromkeys(((k << 16 | s) << 2 | tag, at, at + s, k) for k, s in sorted(cut) for tag, at in cuts(n, k, s)))
+
+
+def kinds(n: int, most: int, per: int, least: int) -> tuple[int, ...]:
+    """Numbers of edits that a line of n words and one of as many or fewer, but `least`, may be apart."""
+    return tuple(sorted({k for d in range(most + 1) if n - d >= least and d <= (k := allowed(n - d, most, per))}))
+
+
+def distinct_keys(docs: DataFrame, min_words: int, near_words: int, most: int, per: int, letters: bool) -> DataFrame:
+    """ORDER, a, b, parts for each line of docs: two hashes of its words, and hashes of its parts if it may have near lines."""
+    of = docs.where("text is not null").select(*row_keys(F.col("doc_id"), F.col("text")), "text")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        class Words(dict):
+            def __missing__(self, word: str) -> int:
+                if len(self) > 200_000:
+                    self.clear()
+                self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+                return h
+
+        known, own = Words().__getitem__, lru_cache(maxsize=20_000)(lambda n: np.array(plan(n, kinds(n, most, per, near_words), near_words), np.int64).reshape(-1, 4)[:, :3])
+        none, powers, inverse = np.zeros((0, 3), np.int64), np.ones(1, np.uint64), np.ones(1, np.uint64)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 500):
+                part = whole.slice(lo, 500)
+                rows, numbers, sizes, words = [], [], [], []
+                for i, text in enumerate(part.column("text").to_pylist()):
+                    for ln, line in enumerate(words_of(text, letters)):
+                        if (n := len(line)) >= min_words:
+                            rows.append(i)
+                            numbers.append(ln)
+                            sizes.append(n)
+                            words += line
+                flat, sizes = np.fromiter(map(known, words), np.uint64, len(words)), np.array(sizes, np.int64)
+                ends = np.cumsum(sizes)
+                starts = ends - sizes
+                if len(flat) >= len(powers):
+                    powers, inverse = (np.cumprod(np.append(np.uint64(1), np.full(2 * len(flat), b, np.uint64))) for b in (BASE, pow(BASE, -1, 1 << 64)))
+                sums = np.append(np.uint64(0), np.cumsum(flat * powers[: len(flat)]))  # polynomials of all runs of words are differences
+                others = np.append(np.uint64(0), np.cumsum(mixed(flat) * powers[: len(flat)]))
+                a, b = (mixed((x[ends] - x[starts]) * inverse[starts] + sizes.astype(np.uint64)) for x in (sums, others))
+                cut = [own(n) if n >= near_words else none for n in sizes.tolist()]
+                counts = np.array([len(c) for c in cut], np.int64)
+                seed, first, last = (np.concatenate(cut) if cut else none).T
+                at = np.repeat(starts, counts)
+                parts = mixed((sums[at + last] - sums[at + first]) * inverse[at + first] ^ mixed(seed.astype(np.uint64)))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(parts.view(np.int64)))
+                mine = part.select(KEYS).take(pa.array(rows, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*mine.columns, pa.array(numbers, pa.int32()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), lists], names=[*ORDER, "a", "b", "parts"])
+
+    return of.mapInArrow(emit, "k_null boolean, k_id long, k_text long, ln int, a long, b long, parts array<bigint>")
+
+
+def with_words(docs: DataFrame, close: DataFrame, letters: bool) -> DataFrame:
+    """ORDER, words, n of the lines of docs that close (ORDER) names, each once."""
+    lines = docs.where("text is not null").select(*row_keys(F.col("doc_id"), F.col("text")), F.posexplode(F.split("text", "\n", -1)).alias("ln", "line"))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            low = batch.column("low").to_numpy(zero_copy_only=False).astype(np.uint64)
-            own, sought = [], []
-            for rows, first, keys in part_keys(batch.column("h"), most, per, False):
-                for out, which in ((own, first), (sought, ~first)):
-                    out.append((keys[:, which].ravel(), np.repeat(low[rows], which.sum())))
-            columns = [packed(*(np.concatenate(x) for x in zip(*out, strict=True))) for out in (own, sought)]
-            some = pa.array(np.flatnonzero(columns[0][1] + columns[1][1]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([some, *(c.take(some) for c, _ in columns)], names=["bucket", "own", "sought"])
-
-    def meet(table: pa.Table) -> pa.Table:
-        own, sought = (np.unique(np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint64)) for c in ("own", "sought"))
-        mine, theirs = own >> np.uint64(32), sought >> np.uint64(32)
-        same = mine[1:] == mine[:-1]
-        close = np.isin(mine, theirs) | np.append(same, False) | np.append(False, same)
-        low = np.concatenate([own[close], sought[np.isin(theirs, mine)]]) & np.uint64(0xFFFFFFFF)
-        return pa.table({"low": pa.array(np.unique(low).astype(np.int64))})
-
-    return lines.mapInArrow(emit, "bucket int, own binary, sought binary").groupBy("bucket").applyInArrow(meet, "low long").distinct()
+            words = pa.array([next(words_of(x, letters)) for x in batch.column("line").to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.select(ORDER).columns, words], names=[*ORDER, "words"])
+
+    met = lines.join(close, ORDER).distinct().mapInArrow(split, "k_null boolean, k_id long, k_text long, ln int, words array<string>")
+    return met.withColumn("n", F.size("words"))
 
 
 def within(x: list, y: list, k: int) -> bool:
@@ -198,23 +208,43 @@ def within(x: list, y: list, k: int) -> bool:
     return False
 
 
-def near_by_parts(close: DataFrame, most: int, per: int) -> DataFrame:
-    """mine: lines of close (ORDER, words; different lines) with an earlier line within the edits allowed."""
+def line_parts(h: np.ndarray, ks: tuple[int, ...], least: int, before: int = 0) -> dict[int, tuple[int, int, int]]:
+    """Key -> (start, end, k) of the parts of a line with the word hashes h."""
+    raw = h.tobytes()
+    return {xxhash.xxh3_64_intdigest(raw[8 * a : 8 * b], (seed ^ before) & 0xFFFFFFFFFFFFFFFF) - (1 << 63): (a, b, k) for seed, a, b, k in plan(len(h), ks, least)}
+
+
+#: Lines that may share a key before it is joined with another.
+SHARED = 200
+
+
+def near_by_parts(close: DataFrame, most: int, per: int, least: int, shared: int = SHARED) -> DataFrame:
+    """mine: lines of close (ORDER, words; different lines) of `least` words and more with an earlier line within the edits allowed."""
+    who = F.struct(*ORDER)
+    texts = close.select(who.alias("who"), "words")
+    hashed = close.select(who.alias("who"), F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+    who_type = hashed.schema["who"].dataType.simpleString()
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each key of each line; lines that come with keys give these joined with the parts of what is left."""
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                hashes = part.column("h")
-                flat, sizes = hashes.flatten().to_numpy(zero_copy_only=False).view(np.uint64), hashes.value_lengths().to_numpy(zero_copy_only=False)
-                starts, bit = np.cumsum(sizes) - sizes, np.uint64(1) << (flat & np.uint64(63))
-                side = (flat >> np.uint64(6)) & np.uint64(1)
-                bits = [np.bitwise_xor.reduceat(np.where(side == s, bit, np.uint64(0)), starts).view(np.int64) for s in (0, 1)]
-                for rows, first, keys in part_keys(hashes, most, per, True):
-                    which = np.repeat(rows, len(first))
-                    own = part.select(ORDER).take(pa.array(which))
-                    values = [keys.ravel().view(np.int64), np.tile(first, len(rows)), sizes[which].astype(np.int32), *(b[which] for b in bits)]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, values), *own.columns], names=["v", "first", "n", "x0", "x1", *ORDER])
+            more = "hot" in batch.schema.names
+            for lo in range(0, batch.num_rows, 500):
+                part, rows, keys, n, x0, x1 = batch.slice(lo, 500), [], [], [], [], []
+                hot = part.column("hot").to_pylist() if more else [None] * part.num_rows
+                for i, (h, own) in enumerate(zip(part.column("h"), hot, strict=True)):
+                    h = h.values.to_numpy().view(np.uint64)
+                    found = line_parts(h, kinds(len(h), most, per, least), least)
+                    if more:
+                        found = {v for key in own for a, b, k in [found[key]] for v in line_parts(np.delete(h, slice(a, b)), (k,), 1, key)}
+                    side = (h >> np.uint64(6) & np.uint64(1)).astype(bool)
+                    bit = np.uint64(1) << (h & np.uint64(63))
+                    keys += found
+                    rows += [i] * len(found)
+                    n += [len(h)] * len(found)
+                    x0 += [int(np.bitwise_xor.reduce(bit[~side]).view(np.int64))] * len(found)
+                    x1 += [int(np.bitwise_xor.reduce(bit[side]).view(np.int64))] * len(found)
+                yield pa.RecordBatch.from_arrays([part.column("who").take(pa.array(rows, pa.int32())), pa.array(n, pa.int32()), pa.array(x0, pa.int64()), pa.array(x1, pa.int64()), pa.array(keys, pa.int64())], names=["who", "n", "x0", "x1", "v"])
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,19 +252,38 @@ def near_by_parts(close: DataFrame, most: int, per: int) -> DataFrame:
             good = [i for i, (x, y) in enumerate(pairs) if within(x, y, allowed(min(len(x), len(y)), most, per))]
             yield batch.select(["mine"]).take(pa.array(good, pa.int32()))
 
-    mine = F.struct(*ORDER)
-    hashed = close.select(*ORDER, F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
-    keys = stage(hashed.mapInArrow(emit, "v long, first boolean, n int, x0 long, x1 long, k_null boolean, k_id long, k_text long, ln int"), "part-keys")
-    own = keys.where("first").select("v", "n", "x0", "x1", mine.alias("a"))
-    sought = keys.where("not first").select("v", F.col("x0").alias("y0"), F.col("x1").alias("y1"), mine.alias("b"))
-    k = F.greatest(F.lit(1), F.least(F.lit(most), F.floor(F.col("n") / per)))
-    apart = F.bit_count(F.col("x0").bitwiseXOR(F.col("y0"))) + F.bit_count(F.col("x1").bitwiseXOR(F.col("y1")))
-    met = own.join(sought, "v").where((F.col("a") != F.col("b")) & (apart <= 2 * k))
-    met = stage(met.select(F.least("a", "b").alias("earlier"), F.greatest("a", "b").alias("mine")).distinct(), "part-pairs")
-    texts = close.select(mine.alias("who"), "words")
-    met = met.join(texts.toDF("mine", "x"), "mine").join(texts.toDF("earlier", "y"), "earlier")
-    schema = f"mine {met.schema['mine'].dataType.simpleString()}"
-    return met.select("mine", "x", "y").mapInArrow(verified, schema).distinct()
+    def near(pairs: DataFrame) -> DataFrame:
+        """mine of the pairs (mine, earlier) that are near."""
+        both = pairs.distinct().join(texts.toDF("mine", "x"), "mine").join(texts.toDF("earlier", "y"), "earlier").select("mine", "x", "y")
+        return both.mapInArrow(verified, f"mine {who_type}").distinct()
+
+    def likely(x: str, y: str) -> Column:
+        n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+        k = edits(F.least(n, m), most, per)
+        apart = sum(F.bit_count(F.col(f"{x}.x{i}").bitwiseXOR(F.col(f"{y}.x{i}"))) for i in (0, 1))
+        return (F.abs(n - m) <= k) & (apart <= 2 * k)
+
+    keyed = f"who {who_type}, n int, x0 long, x1 long, v long"
+    keys = stage(hashed.mapInArrow(emit, keyed), "part-keys")
+    counts = stage(keys.groupBy("v").agg(F.count("*").alias("lines")).where("lines > 1"), "shared-parts")
+    hot = counts.where(F.col("lines") > shared).select("v")
+    keys_of = keys.join(small(counts.where(F.col("lines") <= shared).select("v")), "v", "left_semi")
+    if hot.head(1):
+        own = keys.join(small(hot), "v", "left_semi").groupBy("who").agg(F.collect_list("v").alias("hot"))  # as many as a line has parts
+        keys_of = keys_of.unionByName(hashed.join(own, "who").mapInArrow(emit, keyed))
+    keys = stage(keys_of, "keys")
+
+    cell = F.floor(F.col("n") / (most + 1)).alias("cell")
+    x = keys.select("*", cell).alias("x")
+    first = keys.select("v", cell, F.struct("who", "n", "x0", "x1").alias("l")).groupBy("v", "cell").agg(F.min("l").alias("l")).select("v", "cell", "l.*").alias("y")
+    on = (F.col("x.v") == F.col("y.v")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.who") != F.col("y.who"))
+    found = stage(near(x.join(first, on & likely("x", "y")).select(F.col("x.who").alias("mine"), F.col("y.who").alias("earlier"))), "near-to-first")
+
+    lengths = F.explode(F.sequence(F.col("n") - most, F.col("n") + most)).alias("m")
+    rest = keys.join(found, keys["who"] == found["mine"], "left_anti").select("*", lengths).alias("x")
+    on = (F.col("x.v") == F.col("y.v")) & (F.col("x.m") == F.col("y.n")) & (F.col("y.who") < F.col("x.who"))
+    pairs = rest.join(keys.alias("y"), on & likely("x", "y")).select(F.col("x.who").alias("mine"), F.col("y.who").alias("earlier"))
+    return found.unionByName(near(pairs))
 
 
 def removals(docs: DataFrame, min_words: int = 4, near_words: int = 8, most_edits: int = 1, words_per_edit: int = 10, letters: bool = False) -> DataFrame:
@@ -243,29 +292,22 @@ def removals(docs: DataFrame, min_words: int = 4, near_words: int = 8, most_edit
     Lines of fewer than min_words words always stay; lines of fewer than near_words words go only if equal. Lines of
     20 words and more (twice words_per_edit) may differ in one word for each words_per_edit, up to most_edits.
     """
-    lines = exploded(docs, letters).withColumn("n", F.size("words")).where(F.col("n") >= min_words)
-    part = lambda tag, h, words: F.xxhash64(F.lit(tag), h, words)
-    ends = lambda h: [part(1, h, F.slice("words", 1, h)), part(2, h, F.slice("words", F.col("n") - h + 1, h))]
-    n, h = F.col("n"), F.col("h")
-    lines = lines.withColumn("h", half(n))
-    parts = F.when(n < near_words, F.array().cast("array<bigint>")).when(half(n - 1) == h, F.array(*ends(h))).otherwise(F.array(*ends(h), *ends(half(n - 1))))
-    lines = stage(lines.select(*ORDER, F.xxhash64("words").alias("a"), F.xxhash64(F.lit(3), "words").alias("b"), parts.alias("parts")), "lines")
+    if not 1 <= most_edits <= 3 or words_per_edit < 4 or near_words < 2:
+        raise ValueError("most_edits is 1 to 3, words_per_edit 4 at least and near_words 2 at least")
+    n, several = F.col("n"), max(near_words, 2 * words_per_edit)
+    one, more = (n >= near_words, F.lit(False)) if most_edits < 2 else ((n >= near_words) & (n <= several), n >= several)
+    lines = stage(distinct_keys(docs, min_words, near_words, most_edits, words_per_edit, letters), "lines")
     first = F.min(F.struct(*ORDER)).alias("o")
     own = stage(lines.groupBy("a", "b").agg(first, F.count("*").alias("times"), F.first("parts").alias("parts")), "distinct-lines")
 
-    keyed = own.select("a", "b", F.explode("parts").alias("part"))
-    shared = keyed.groupBy("part").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo < hi").select("part")
-    close = keyed.join(shared, "part", "left_semi").select("a", "b").distinct()
-    close = own.join(close, ["a", "b"], "left_semi").select("o.*", F.lit(True).alias("one"), F.lit(False).alias("more"))
-    if most_edits > 1:
-        hashed = exploded(docs, letters).where(F.size("words") >= max(near_words, 2 * words_per_edit))
-        low = F.xxhash64("words").bitwiseAND(F.lit(0xFFFFFFFF))
-        meets = small(stage(meeting(hashed.select(low.alias("low"), F.transform("words", lambda w: F.xxhash64(w)).alias("h")), most_edits, words_per_edit), "meeting-lines"))
-        longer = own.withColumn("low", F.col("a").bitwiseAND(F.lit(0xFFFFFFFF))).join(meets, "low", "left_semi").select("o.*", F.lit(False).alias("one"), F.lit(True).alias("more"))
-        close = close.unionByName(longer).groupBy(*ORDER).agg(F.max("one").alias("one"), F.max("more").alias("more"))
-    close = small(stage(close, "close-lines"))
-    both = stage(exploded(docs, letters).join(close, ORDER).distinct(), "close-words")
-    close = both.where("one").drop("one", "more")
+    keyed = own.select("a", F.explode(F.array_distinct("parts")).alias("part"))
+    shared = stage(keyed.groupBy("part").agg(F.min("a").alias("lo"), F.max("a").alias("hi"), F.count("*").alias("lines")).where("lo < hi"), "shared-parts")
+    # the least and the largest are all of two; of more, the lines are looked up
+    many = small(stage(shared.where("lines > 2").select("part"), "parts-of-many"))
+    close = shared.select(F.explode(F.array("lo", "hi")).alias("a")).unionByName(keyed.join(many, "part", "left_semi").select("a")).distinct()
+    close = small(stage(own.join(close, "a", "left_semi").select("o.*"), "close-lines"))
+    both = stage(with_words(docs, close, letters), "close-words")
+    close = both.where(one).drop("n")
 
     met = close.mapInArrow(variants, "v long, p int, k_null boolean, k_id long, k_text long, ln int")
     met = stage(met, "variants")
@@ -281,8 +323,7 @@ def removals(docs: DataFrame, min_words: int = 4, near_words: int = 8, most_edit
     found = found.join(texts.toDF("mine", "x"), "mine").join(texts.toDF("earlier", "y"), "earlier")
     near = found.where(one_edit(F.col("x"), F.col("y"))).select("mine")
     if most_edits > 1:
-        longer = both.where(F.col("more") & (F.size("words") >= max(near_words, 2 * words_per_edit))).drop("one", "more")
-        near = near.unionByName(near_by_parts(longer, most_edits, words_per_edit))
+        near = near.unionByName(near_by_parts(both.where(more).drop("n"), most_edits, words_per_edit, several))
     near = stage(near.distinct(), "near-lines")
 
     touched = own.join(near.select(F.col("mine").alias("o"), F.lit(True).alias("near")), "o", "left").where("times > 1 or near")
@@ -296,12 +337,13 @@ def deduplicated(docs: DataFrame, min_words: int = 4, near_words: int = 8, most_
 
     Rows stay, even if nothing is left of a text. Null and empty texts, and texts that lose nothing, stay
     exactly as they are. The bounds are those of `removals`. Rows that are equal in id and text count as one document and are treated alike; rows
-    with null ids come after all others. An empty table stays empty.
+    with null ids come after all others. An empty table stays empty. If docs has a column ld_removed, it stays and the
+    count is ld_removed_.
     """
-    names = docs.columns
-    keyed = docs.select("*", *(c.alias(f"ld_{k}") for c, k in zip(row_keys(docs["doc_id"], docs["text"]), KEYS, strict=True)))
-    gone = small(stage(removals(docs, min_words, near_words, most_edits, words_per_edit, letters).toDF(*(f"ld_{k}" for k in KEYS), "ld_gone"), "removals"), array="ld_gone")
-    rows = keyed.join(gone, [f"ld_{k}" for k in KEYS], "left")
-    kept = F.array_join(F.filter(F.split(F.col("text"), "\n", -1), lambda x, i: ~F.array_contains("ld_gone", i)), "\n")
-    text = F.when(F.col("ld_gone").isNull(), F.col("text")).otherwise(kept)
-    return rows.select(*(text.alias("text") if n == "text" else F.col(f"`{n}`") for n in names), F.coalesce(F.size("ld_gone"), F.lit(0)).alias("ld_removed"))
+    keyed = docs.select(F.struct("*").alias("row"), *row_keys(docs["doc_id"], docs["text"]))
+    gone = small(stage(removals(docs, min_words, near_words, most_edits, words_per_edit, letters), "removals"))
+    rows, text = keyed.join(gone, KEYS, "left"), F.col("row.text")
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    text = F.when(F.col("gone").isNull(), text).otherwise(kept).alias("text")
+    names = [text if n == "text" else F.col(f"row.`{n}`") for n in docs.columns]
+    return rows.select(*names, F.coalesce(F.size("gone"), F.lit(0)).alias(free_name(docs, "ld_removed")))
