@@ -7,8 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, line_dedup, near_dedup
-from tessera.llm.graphs import stars
+from tessera.llm import decontaminate, graphs, line_dedup, near_dedup
 from tests.llm.test_texts import ODD, SCHEMA
 
 
@@ -78,9 +77,9 @@ def test_lines(spark):
         (4, base.replace("lazy ", "") + "\n" + base.replace("quick", "slow").replace("dog", "cat")), (5, ""), (6, "x"), (7, base + "\n" + base), (8, "the a quick brown fox jumps over the lazy dog today"),
         (9, base.replace("lazy", "calm").replace("dog", "cat")), (10, "new line of exactly eight words here\n" + "w " * 3000), (11, "w " * 2999 + "v"),
     ]
-    table = spark.createDataFrame([(*d, 1, "x") for d in docs], "doc_id long, text string, ln int, words string")
+    table = spark.createDataFrame([(*d, 1, "x", -1) for d in docs], "doc_id long, text string, gone int, words string, ld_removed int")
     got = line_dedup.deduplicated(table)
-    assert got.columns == [*table.columns, "ld_removed"]
+    assert got.columns == [*table.columns, "ld_removed_"] and {r.ld_removed for r in got.collect()} == {-1}
     assert sorted((r.doc_id, r.text) for r in got.collect()) == brute_lines(docs)
 
 
@@ -117,6 +116,21 @@ def test_long_lines_may_differ_in_more_words(spark):
     assert sorted((r.doc_id, r.text) for r in got.collect()) == want
 
 
+def test_parts_that_many_lines_share(spark):
+    """A passage in many different lines is joined with other parts; near lines among them are still found."""
+    draw = random.Random(3)
+    passage, docs = [f"p{i}" for i in range(30)], []
+    for k in range(60):
+        own = [f"u{draw.randrange(10**6)}" for _ in range(14)]
+        for line in (own + passage, own[:5] + ["new"] + own[5:] + passage[:-1]) if k % 3 == 0 else (own + passage,):
+            docs.append((len(docs), " ".join(line)))
+    lines = [t.split() for _, t in docs]
+    want = {i for i in range(len(docs)) if any(distance(lines[i], lines[j]) <= 3 for j in range(i))}
+    assert len(want) == 20
+    rows = spark.createDataFrame([(False, i, 0, 0, w) for i, w in enumerate(lines)], "k_null boolean, k_id long, k_text long, ln int, words array<string>")
+    assert {r.mine.k_id for r in line_dedup.near_by_parts(rows, 3, 10, 20, shared=5).collect()} == want
+
+
 def test_equal_lines_go_at_every_length(spark, tmp_path):
     import corpus_pipeline
     from tessera.llm import queries
@@ -182,11 +196,47 @@ def test_few_agreements_prune_only_unlikely_pairs():
     assert least == sorted(least) and all(0.3 * n < m < 0.8 * n for m, n in zip(least, range(42, 253, 42), strict=True))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("edges_of_a_task", [400_000, 9])
+def test_components(spark, monkeypatch, edges_of_a_task):
+    monkeypatch.setattr(graphs, "TASK_EDGES", edges_of_a_task)
     chain = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 120)] + [(7, 7), (200, 201), (201, 200)]
-    got = {r.node: r.root for r in stars(spark.createDataFrame(chain, "a long, b long")).collect()}
+    random.Random(1).shuffle(chain)
+    got = {r.node: r.root for r in graphs.stars(spark.createDataFrame(chain, "a long, b long").repartition(6)).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {i: 100 for i in range(101, 120)} | {201: 200}
-    assert stars(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert graphs.stars(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_without_broadcasts(spark, monkeypatch):
+    """Results are the same where no table is small enough, and where the benchmark is met in blocks."""
+    for module in (decontaminate, line_dedup, near_dedup):
+        monkeypatch.setattr(module, "small", lambda df: df)
+    monkeypatch.setattr(decontaminate, "WANTED", 3)
+    items = [(1, "one two three four five six seven eight nine ten eleven twelve"), (2, "short item")]
+    docs = [(1, "x " + items[0][1].upper()), (2, "a short item\nfour words stand here"), (3, "four words stand here"), (4, None), (5, "one two three four five six seven eight nine")]
+    docs += [(10 + k, " ".join(f"w{i if i != 9 * k else 'x'}" for i in range(40))) for k in range(4)]
+    table, own = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.find_leaks(table, own)
+    assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r.item_ids)) for r in got.collect()) == brute_leaks(docs, items)
+    assert sorted((r.doc_id, r.text) for r in line_dedup.deduplicated(table.where("text is not null")).collect()) == brute_lines([d for d in docs if d[1]])
+    got = near_dedup.clustered(table, shingle=2)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_groups(docs, 2)
+
+
+def test_small_is_few_rows_and_few_bytes(spark):
+    from tessera.llm.common import small
+
+    hinted = lambda df, **bounds: "broadcast" in small(df, **bounds)._jdf.queryExecution().logical().toString()
+    rows = spark.createDataFrame([(k, "x" * 100, [k] * 50) for k in range(20)], "k long, t string, a array<long>")
+    assert hinted(rows) and not hinted(rows, rows=19) and not hinted(rows, size=3000) and hinted(rows.select("k"), size=1)
+
+
+def test_near_copies_of_the_pipeline_are_found(spark, sf_dir):
+    """Of the documents that brute force links at word pairs, the stage keeps one for each group."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = {i for i, _, root in brute_groups([tuple(r) for r in docs.select("doc_id", "text").collect()], 2) if i == root}
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, sf_dir).collect()} == want
 
 
 def test_pipeline_keeps_clean_documents(spark, sf_dir):
@@ -200,3 +250,18 @@ def test_pipeline_keeps_clean_documents(spark, sf_dir):
         docs = spark.createDataFrame(after.collect(), docs.schema)
     left = {r.doc_id for r in docs.collect()}
     assert left and {r.doc_id for r in corpus_pipeline.run(spark, sf_dir).select(F.col("doc_id")).distinct().collect()} == left
+
+
+def test_pipeline_of_odd_rows(spark, sf_dir, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, n_chars long, toxicity double, ld_removed int, gone int, row string, node int, s string, k_id long"
+    rows = [(i, t, len(t or ""), 9.0, 1, 2, "r", 3, "s", 4) for i, t in [(1, None), (2, ""), (3, "same line here"), (3, "same line here"), (4, "same line here"), (None, "no id"), (None, None), (5, "long " * 3000)]]
+    for table in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        docs = table
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = spark.createDataFrame(stage(spark, docs, sf_dir).collect(), docs.schema)
+        left = Counter((r.doc_id, r.text, r.n_chars, r.toxicity, r.row) for r in docs.collect())
+        want = [(1, None), (2, ""), (3, "same line here"), (3, "same line here"), (4, ""), (None, "no id"), (None, None), (5, "long " * 3000)]
+        assert left == (Counter((i, t, len(t or ""), 9.0, "r") for i, t in want) if table.count() else Counter())
+        assert corpus_pipeline.pack(spark, docs, sf_dir).select("doc_id").distinct().count() == len({i for i, *_ in left})
