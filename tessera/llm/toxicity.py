@@ -38,7 +38,7 @@ SUBSTITUTES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "@":
 
 TABLE = str.maketrans(LOOKALIKES)
 READINGS = [str.maketrans({c: own[min(k, len(own) - 1)] for c, own in SUBSTITUTES.items()}) for k in (0, 1)]
-DISGUISED = re.compile(r"[^\W\d_]*[013457@$!|](?:[^\W_]|[@$!|])*")
+DISGUISED = re.compile(r"(?<![^\W\d_])[^\W\d_]*+[013457@$!|](?:[^\W_]|[@$!|])*")
 LETTER = re.compile(r"[^\W\d_]")
 REST = re.compile(r"[\W\d_]+")
 
@@ -210,7 +210,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 12_000, min_docs:
     top = counted(terms).where((F.col("bad") >= min_docs) & (F.col("bad") * n_good >= 4 * F.col("good") * n_bad)).orderBy(F.desc("bad"), "term").limit(50 * most)
     counts = {r["term"]: (r["bad"], r["good"]) for r in top.collect()}
     wanted = frozenset(counts)
-    whole = frozenset(t for t in wanted if t[-1] == " ")
+    whole = frozenset(t for t, (_, y) in counts.items() if t[-1] == " " and y >= min_excuses)  # others have nothing to be excused
     excuses = counted(lambda text: phrases(text, whole)).where((F.col("good") >= min_excuses) & (F.col("good") >= 20 * F.col("bad")))
     exceptions = tuple(sorted(r["term"] for r in excuses.orderBy(F.desc("good"), "term").limit(most).collect()))
     if exceptions:  # count again what they do not cover
