@@ -137,7 +137,7 @@ def distinct_keys(docs: DataFrame, min_words: int, near_words: int, most: int, p
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         class Words(dict):
             def __missing__(self, word: str) -> int:
-                if len(self) > 200_000:
+                if len(self) > 60_000:
                     self.clear()
                 self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
                 return h
@@ -145,8 +145,8 @@ def distinct_keys(docs: DataFrame, min_words: int, near_words: int, most: int, p
         known, own = Words().__getitem__, lru_cache(maxsize=20_000)(lambda n: np.array(plan(n, kinds(n, most, per, near_words), near_words), np.int64).reshape(-1, 4)[:, :3])
         none, powers, inverse = np.zeros((0, 3), np.int64), np.ones(1, np.uint64), np.ones(1, np.uint64)
         for whole in batches:
-            for lo in range(0, whole.num_rows, 500):
-                part = whole.slice(lo, 500)
+            for lo in range(0, whole.num_rows, 200):
+                part = whole.slice(lo, 200)
                 rows, numbers, sizes, words = [], [], [], []
                 for i, text in enumerate(part.column("text").to_pylist()):
                     for ln, line in enumerate(words_of(text, letters)):

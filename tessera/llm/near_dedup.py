@@ -40,7 +40,7 @@ BLOCK = 2_000
 class Sets:
     """Sets of shingle hashes; remembers the hashes of a bounded number of words."""
 
-    def __init__(self, shingle: int, memory: int = 150_000):
+    def __init__(self, shingle: int, memory: int = 60_000):
         class Words(dict):
             def __missing__(self, word: bytes) -> int:
                 if len(self) > memory:
