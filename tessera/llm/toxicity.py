@@ -39,7 +39,7 @@ SUBSTITUTES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "@":
 TABLE = str.maketrans(LOOKALIKES)
 READINGS = [str.maketrans({c: own[min(k, len(own) - 1)] for c, own in SUBSTITUTES.items()}) for k in (0, 1)]
 DISGUISED = re.compile(r"(?<![^\W\d_])[^\W\d_]*+[013457@$!|](?:[^\W_]|[@$!|])*")
-LETTER = re.compile(r"[^\W\d_]")
+SIGN, LETTER = re.compile(r"[013457@$!|]"), re.compile(r"[^\W\d_]")
 REST = re.compile(r"[\W\d_]+")
 
 
@@ -68,7 +68,9 @@ def folded(text: str | None, known: Callable[[str], bool] = lambda word: False)
         own = readings(m[0])
         return next((w for w in own if len(own) > 1 and known(f" {w} ")), own[0])
 
-    return f" {REST.sub(' ', DISGUISED.sub(read, low)).strip()} "
+    if SIGN.search(low):
+        low = DISGUISED.sub(read, low)
+    return f" {REST.sub(' ', low).strip()} "
 
 
 @dataclass
