@@ -87,6 +87,7 @@ class Fingerprints:
 
     def __init__(self, lexicon: np.ndarray, seeds: int = SEEDS, levels: int = LEVELS, seed: int = 3):
         self.lexicon, self.terms, self.levels = lexicon, Terms(), levels
+        self.zeros = np.array([levels - 1 - x.bit_length() for x in range(1 << (levels - 1))])  # leading zero bits of the first levels - 1
         self.factors = np.random.default_rng(seed).integers(0, 1 << 63, (seeds, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 
     def __call__(self, text: str) -> np.ndarray:
@@ -96,22 +97,19 @@ class Fingerprints:
             at = np.minimum(np.searchsorted(self.lexicon, own), len(self.lexicon) - 1)
             known = own[self.lexicon[at] == own]
             own = known if len(known) else own  # if no term is in the lexicon, the text's own terms stand in for it
-        out = np.zeros((self.levels, len(self.factors)), np.uint32)
         h = own[None, :] * self.factors
         h ^= h >> np.uint64(31)
         h *= np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(32)
-        row, value = np.repeat(np.arange(len(self.factors)), len(own)), h.ravel()
-        for k in range(self.levels):
-            if k:  # the half of the terms whose next bit is 0
-                kept = (value >> np.uint64(64 - k)) == 0
-                row, value = row[kept], value[kept]
-            if not len(row):
-                break
-            first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-            total = np.add.reduceat(value * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(0x5851F42D4C957F2D), first)
-            out[k, row[first]] = 1 + (total ^ (total >> np.uint64(29))) % np.uint64(0xFFFFFFFF)
-        return out
+        shape = (self.levels, len(self.factors))
+        row, value = np.repeat(np.arange(shape[1]), len(own)), h.ravel()
+        # a term is in the subsets up to the level of its leading zero bits: add up by level, then from the smallest subset on
+        level = self.zeros[(value >> np.uint64(65 - self.levels)).astype(np.int64)]
+        total = np.zeros(shape, np.uint64)
+        np.add.at(total, (level, row), value * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(0x5851F42D4C957F2D))
+        n = np.bincount(level * shape[1] + row, minlength=shape[0] * shape[1]).reshape(shape)
+        total, n = (np.cumsum(x[::-1], axis=0)[::-1] for x in (total, n))
+        return np.where(n > 0, np.uint64(1) + (total ^ (total >> np.uint64(29))) % np.uint64(0xFFFFFFFF), np.uint64(0)).astype(np.uint32)
 
 
 def written(hashes: np.ndarray) -> str:
