@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, imatch, line_dedup, near_dedup, packing, quality, shard, token_counts, toxicity, wrappers
+from tessera.llm import alignment, decontaminate, imatch, line_dedup, near_dedup, nearest, packing, quality, repair, shard, token_counts, toxicity, wrappers
 from tessera.llm.common import fold
 
 
@@ -84,8 +84,24 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest repairs of damaged conversations."""
+    return repair.audited(table(spark, sf_dir, "conversations"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two tokenizers lie over each other in each document, and how common their links are."""
+    return alignment.compared(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth."""
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_decontamination, op2_sharding, op3_token_counts, op4_toxicity, op5_html_extraction, op6_line_dedup, op7_near_dedup, op8_packing, op9_fingerprints, op10_quality)
+    own += (op11_conversation_repair, op12_token_alignment, op13_nearest_vectors)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -121,6 +137,15 @@ FROM d LEFT JOIN n USING (doc_id) JOIN c ON c.a = d.doc_id
 """
 
 
+OP13_SQL = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.e, v.e) AS score FROM v q JOIN v ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id AND len(v.e) = len(q.e))
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that it can express; the others are held against brute force in tests/llm."""
-    return {"op1_decontamination": OP1_SQL, "op7_near_dedup": OP7_SQL}
+    return {"op1_decontamination": OP1_SQL, "op7_near_dedup": OP7_SQL, "op13_nearest_vectors": OP13_SQL}
