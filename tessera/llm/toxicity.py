@@ -1,9 +1,9 @@
 """Toxicity by a weighted lexicon, matched with an Aho-Corasick automaton over folded texts.
 
-Folding undoes disguises: compatibility forms and accents are removed, look-alike letters of other scripts become
-Latin, and digits or symbols in a word that has letters become the letters they stand for. Where one stands for several letters, or
-may as well be no letter at all at a word's end, the reading that has an entry of the lexicon is taken. Entries are whole
-words or beginnings of words, with a weight. Exception phrases, an entry with the word before or behind it, cancel the entries
+Folding undoes disguises: a word is read as it is written or plain, without compatibility forms and accents and with look-alike letters of
+other scripts as Latin ones; digits or symbols in a word that has letters become the letters they stand for, of which there may be several, or
+none at a word's end. The first reading that has an entry of the lexicon is taken. Terms are learned as written and plain, as accents tell
+words of many languages apart. Entries are whole words or beginnings of words, with a weight. Exception phrases, an entry with the word before or behind it, cancel the entries
 inside them. The sum of weights is divided by the text's length in words, and a logistic curve makes a score of it.
 
 Entries, weights, exceptions and the curve are learned from labelled rows: a phrase is an exception if it is met in harmless
@@ -43,8 +43,15 @@ SIGN, LETTER = re.compile(r"[013457@$!|]"), re.compile(r"[^\W\d_]")
 REST = re.compile(r"[\W\d_]+")
 
 
+def plain(word: str) -> str:
+    """A word without compatibility forms and accents, with look-alike letters as Latin ones."""
+    if word.isascii():
+        return word
+    return "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c)).translate(TABLE)
+
+
 def readings(word: str) -> list[str]:
-    """What a word with digits or symbols may stand for; words without a letter stand for themselves."""
+    """What a word with digits or symbols may stand for, as written before plain; words without a letter stand for themselves."""
     core = word.rstrip("!|")  # marks at the end are more often just that
     if not LETTER.search(core):
         return [word]
@@ -52,17 +59,19 @@ def readings(word: str) -> list[str]:
     for table in READINGS:
         for x in (core, word):
             out.append(x.translate(table))
-    return list(dict.fromkeys(out))
+    return list(dict.fromkeys(out + [*map(plain, out)]))
 
 
 def folded(text: str | None, known: Callable[[str], bool] = lambda word: False) -> str:
     """Words of a text without disguise, lower-case, one space before, between and after them.
 
-    Of a disguised word's readings, the first is taken that is known, and the first of all if none is.
+    Of a word's readings, the first is taken that is known, and the first of all if none is.
     """
     low = (text or "").lower()
-    if not low.isascii():
-        low = "".join(c for c in unicodedata.normalize("NFKD", low) if not unicodedata.combining(c)).translate(TABLE)
+    simple = low.isascii()
+    if not simple:
+        low = unicodedata.normalize("NFC", low)
+        low = "".join(c for c in low if not unicodedata.combining(c))  # accents that no letter has
 
     def read(m: re.Match) -> str:
         own = readings(m[0])
@@ -70,7 +79,10 @@ def folded(text: str | None, known: Callable[[str], bool] = lambda word: False)
 
     if SIGN.search(low):
         low = DISGUISED.sub(read, low)
-    return f" {REST.sub(' ', low).strip()} "
+    low = REST.sub(" ", low).strip()
+    if not simple:
+        low = " ".join([w if w.isascii() or known(f" {w} ") or not known(f" {plain(w)} ") else plain(w) for w in low.split(" ")])
+    return f" {low} "
 
 
 @dataclass
@@ -82,6 +94,7 @@ class Lexicon:
     a: float = -4.0
     b: float = 8.0
     _automaton: object = field(default=None, repr=False)
+    _known: dict[str, bool] = field(default_factory=dict, repr=False)
 
     def automaton(self):
         if self._automaton is None:
@@ -97,17 +110,22 @@ class Lexicon:
         return self._automaton
 
     def known(self, word: str) -> bool:
-        return any(w is not None for _, (_, w) in self.automaton().iter(word))
+        """Whether a word, with its spaces, has an entry; the answers for a bounded number of words are remembered."""
+        if word not in self._known:
+            if len(self._known) >= 50_000:
+                self._known.clear()
+            self._known[word] = any(w is not None for _, (_, w) in self.automaton().iter(word))
+        return self._known[word]
 
     def found(self, text: str | None) -> tuple[list[tuple[int, int, float]], int]:
         """(start, end, weight) of the entries in a folded text that no exception covers, and the text's words."""
         own = self.automaton()
         if not len(own):
             return [], 0
-        plain = folded(text, self.known)
-        found = [(end - n + 1, end, w) for end, (n, w) in own.iter(plain)]
+        read = folded(text, self.known)
+        found = [(end - n + 1, end, w) for end, (n, w) in own.iter(read)]
         excused = [(i, j) for i, j, w in found if w is None]
-        return [(i, j, w) for i, j, w in found if w is not None and not any(x <= i and j <= y for x, y in excused)], plain.count(" ") - 1
+        return [(i, j, w) for i, j, w in found if w is not None and not any(x <= i and j <= y for x, y in excused)], read.count(" ") - 1
 
     def density(self, text: str | None) -> float:
         """Weights found per 100 words, on a log scale; 0 if there are none."""
@@ -119,24 +137,29 @@ class Lexicon:
 
 
 def terms(text: str | None, longest: int = 16) -> set[str]:
-    """" word " for each word and " beginning" for its beginnings of 3 characters and more."""
+    """" word " for each word, as written and plain, and " beginning" for its beginnings of 3 characters and more."""
     out = set()
-    for w in set(folded(text).split()):
+    for w in {x for w in set(folded(text).split()) for x in (w, plain(w))}:
         if len(w) >= 3:
             out.add(f" {w} ")
             out.update(f" {w[:k]}" for k in range(3, min(len(w), longest) + 1))
     return out
 
 
-def choose(counts: list[tuple[str, int, int]], n_bad: int, n_good: int, most: int) -> dict[str, float]:
+def weight_of(bad: int, good: int, n_bad: int, n_good: int) -> float:
+    """How much likelier a term is in toxic texts than in others, on a log scale; half a text is added to either."""
+    return math.log((bad + 0.5) / (n_bad + 1)) - math.log((good + 0.5) / (n_good + 1))
+
+
+def choose(counts: list[tuple[str, int, int]], n_bad: int, n_good: int, most: int, ratio: float = 30.0) -> dict[str, float]:
     """Entries and weights out of (term, toxic documents, other documents).
 
-    A term is kept if it is far likelier in toxic documents and no longer term covers as many of them; longer
+    A term is kept if it is `ratio` times likelier in toxic documents and no longer term covers as many of them; longer
     terms are left out where a kept one covers more.
     """
     found = {t: (x, y) for t, x, y in counts}
-    weight = {t: math.log((x + 0.5) / (n_bad + 1)) - math.log((y + 0.5) / (n_good + 1)) for t, (x, y) in found.items()}
-    strong = {t for t, (x, y) in found.items() if weight[t] >= 2.5 and x >= 20 * y}
+    weight = {t: weight_of(x, y, n_bad, n_good) for t, (x, y) in found.items()}
+    strong = {t for t in found if weight[t] >= math.log(ratio)}
     covered = {}  # the most toxic documents that an extension has
     for t in strong:
         for k in range(4, len(t)):
@@ -182,12 +205,12 @@ def phrases(text: str | None, wanted: frozenset[str]) -> set[str]:
     return out
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 12_000, min_docs: int = 5, min_places: int = 5, most: int = 2_000, min_excuses: int = 3) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 12_000, min_docs: int = 5, min_places: int = 5, most: int = 2_000, min_excuses: int = 3, ratio: float = 30.0) -> Lexicon:
     """Learn from rows of docs (doc_id, text) that labels (doc_id, toxic) mark.
 
     Rows without id, text or label teach nothing. With no rows, or only one class, the lexicon is empty and
-    every score is low. Terms met in fewer than min_docs toxic texts, behind fewer than min_places words, or less than four times as often in toxic texts as in
-    others, exceptions or not, are no entries; phrases met in
+    every score is low. Terms met in fewer than min_docs toxic texts, behind fewer than min_places words, or less than `ratio` times as often in toxic texts as in
+    others outside exceptions (four times inside and outside), are no entries; phrases met in
     fewer than min_excuses harmless texts, or in more than a twentieth as many toxic ones, are no exceptions.
     """
     sample = stage(labelled(docs, labels, "toxic", max_docs).where("text is not null"), "toxic-sample")
@@ -221,12 +244,12 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 12_000, min_docs:
         bare = Lexicon(dict.fromkeys(again, 1.0), exceptions)
 
         def outside(text: str | None) -> set[str]:
-            found, plain = bare.found(text)[0], folded(text, bare.known)
-            return {plain[i : j + 1] for i, j, _ in found}
+            found, read = bare.found(text)[0], folded(text, bare.known)
+            return {read[i : j + 1] for i, j, _ in found}
 
         rest = {r["term"]: (r["bad"], r["good"]) for r in counted(outside).collect()} if again else {}
         counts |= {t: rest.get(t, (0, 0)) for t in again}
-    counts = {t: (x, y) for t, (x, y) in counts.items() if x >= min_docs and x >= 20 * y}
+    counts = {t: (x, y) for t, (x, y) in counts.items() if x >= min_docs and weight_of(x, y, n_bad, n_good) >= math.log(ratio)}
     strict = frozenset(counts)
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,14 +257,15 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 12_000, min_docs:
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 words = folded(text).split()
-                for before, w in zip(["", *words], words, strict=False):
-                    pairs.update((t, before) for t in (f" {w} ", *(f" {w[:k]}" for k in range(3, len(w) + 1))) if t in strict)
+                for before, written in zip(["", *words], words, strict=False):
+                    for w in {written, plain(written)}:
+                        pairs.update((t, before) for t in (f" {w} ", *(f" {w[:k]}" for k in range(3, len(w) + 1))) if t in strict)
         yield pa.RecordBatch.from_pydict({"term": [p[0] for p in pairs], "before": [p[1] for p in pairs]}, schema=pa.schema({"term": pa.string(), "before": pa.string()}))
 
     # copies repeat a word in one place; an abusive word is met after many different ones
     places = sample.where("y > 0").select("text").mapInArrow(around, "term string, before string").groupBy("term").agg(F.countDistinct("before").alias("n"))
     varied = {r["term"] for r in places.where(F.col("n") >= min_places).collect()}
-    entries = choose([(t, x, y) for t, (x, y) in counts.items() if t in varied], n_bad, n_good, most)
+    entries = choose([(t, x, y) for t, (x, y) in counts.items() if t in varied], n_bad, n_good, most, ratio)
     lexicon = Lexicon(entries, tuple(e for e in exceptions if any(f" {w} ".startswith(t) for w in e.split() for t in entries)))
 
     def densities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

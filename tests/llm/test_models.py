@@ -22,6 +22,18 @@ def test_toxicity_on_held_out_rows(spark):
     assert ((scores >= 0.5) == (y == 1)).mean() > 0.95
 
 
+def test_toxicity_in_each_language(spark):
+    """Of the toxic texts held out, nine tenths are found in each language that has labels enough to learn from, and few others."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    out = fold(F.col("doc_id"), 5) == 0
+    lexicon = toxicity.learn(docs, labels.where(~out))
+    rows = toxicity.scored(docs.join(labels, "doc_id").where(out), lexicon).groupBy("lang", "toxic").agg(F.count("*").alias("n"), F.sum((F.col("score") >= 0.5).cast("int")).alias("k"))
+    n, k = ({(r.lang, r.toxic): r[c] for r in rows.collect()} for c in ("n", "k"))
+    assert all(k[lang, 1] >= 0.9 * n[lang, 1] and k[lang, 0] <= 0.02 * n[lang, 0] for lang in ("en", "de", "fr", "es")), (n, k)
+    assert lexicon.exceptions == ()  # no phrase of this table excuses an entry
+
+
 def test_quality_on_held_out_rows(spark):
     scores, y, _ = held_out(spark, quality, "quality", 3, 1)
     assert ((scores >= 0.5) == (y == 1)).mean() > 0.95
