@@ -1,16 +1,18 @@
 """Graphs as two tables: nodes (id, type) and edges (src, dst, relation).
 
 Traversals go level by level: only the nodes that the last level found are joined with the edges, and those found before are left
-out by an anti join, so each node is expanded once whatever the number of paths. Levels are staged by checkpoints.
+out by an anti join, so each node is expanded once whatever the number of paths. Levels are staged as Parquet
+and removed once the result is written.
 """
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.components import on_cycles
+from tessera.operators.staging import rounds, staged
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     """Each edge in both directions, once."""
@@ -37,15 +39,16 @@ def by_levels(steps: DataFrame, first: DataFrame, depth: int, grown: dict[str, C
 
     grown gives the other columns of a found node, as aggregates over all steps that lead to it from the level before.
     """
-    steps = staged(steps)
-    seen = level = staged(first)
-    for _ in range(depth):
-        met = level.join(steps, level["id"] == steps["src"]).groupBy(F.col("dst").alias("id")).agg(*[c.alias(n) for n, c in grown.items()] or [F.lit(1).alias("one")])
-        level = staged(met.join(seen.select("id"), "id", "left_anti").select(*first.columns))
-        if level.isEmpty():
-            break
-        seen = seen.unionByName(level)
-    return seen
+    with rounds(steps.sparkSession) as stage:
+        steps = stage(steps)
+        seen = level = stage(first)
+        for _ in range(depth):
+            met = level.join(steps, level["id"] == steps["src"]).groupBy(F.col("dst").alias("id")).agg(*[c.alias(n) for n, c in grown.items()] or [F.lit(1).alias("one")])
+            level = stage(met.join(seen.select("id"), "id", "left_anti").select(*first.columns))
+            if level.isEmpty():
+                break
+            seen = seen.unionByName(level)
+        return staged(seen)
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
@@ -97,53 +100,6 @@ def union_first(*graphs: DataFrame) -> DataFrame:
     return rows.groupBy("src", "dst").agg(F.min(F.struct("graph", "relation")).alias("m")).select("src", "dst", F.col("m.relation").alias("relation"))
 
 
-def staged(rows: DataFrame) -> DataFrame:
-    """rows, checkpointed; a local master without a checkpoint folder gets one of its own, a cluster has to name one."""
-    context = rows.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return rows.checkpoint()
-
-
-def on_cycles(edges: DataFrame) -> DataFrame:
-    """id of nodes on cycles, those of one edge included.
-
-    Nodes without successors or predecessors are stripped until nothing changes; what is left holds the cycles and the ways between them.
-    Then each node takes the largest name that reaches it, round by round, and those with a name of their own lead to what reaches
-    them back within it: a strongly connected part. These are taken out, and the rest goes on.
-    """
-    left = staged(edges.select("src", "dst").distinct())
-    found = staged(left.where("src = dst").select(F.col("src").alias("id")))
-    left = left.where("src <> dst")
-    while True:
-        before = -1
-        while True:  # strip
-            left = staged(left)
-            now = left.count()
-            if now == before or not now:
-                break
-            before = now
-            left = left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst")
-        if not now:
-            return found.distinct()
-        names = staged(left.select(F.explode(F.array("src", "dst")).alias("id")).distinct().select("id", F.col("id").alias("name")))
-        while True:  # the largest name that reaches each node
-            come = left.join(names, left["src"] == names["id"]).groupBy(F.col("dst").alias("id")).agg(F.max("name").alias("other"))
-            new = staged(names.join(come, "id", "left").select("id", F.greatest("name", "other").alias("name"), (F.col("other") > F.col("name")).alias("changed")))
-            more = new.where("changed").limit(1).count()
-            names = new.select("id", "name")
-            if not more:
-                break
-        inside = left.join(names.toDF("src", "a"), "src").join(names.toDF("dst", "b"), "dst").where("a = b").select("src", "dst")
-        back = by_levels(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")), names.where("id = name").select("id"), now, {})
-        parts = staged(back.select("id"))
-        several = inside.join(parts.toDF("src"), "src", "left_semi").join(parts.toDF("dst"), "dst", "left_semi")
-        found = staged(found.unionByName(several.select(F.explode(F.array("src", "dst")).alias("id"))).distinct())
-        left = left.join(parts.toDF("src"), "src", "left_anti").join(parts.toDF("dst"), "dst", "left_anti").select("src", "dst")
-
-
 def merged(edges: DataFrame, canonical: DataFrame) -> DataFrame:
     """edges with both ends renamed by canonical (alias, name), without loops and repeats."""
     names = canonical.select("alias", "name")
@@ -152,17 +108,6 @@ def merged(edges: DataFrame, canonical: DataFrame) -> DataFrame:
     return rows.where("src <> dst").distinct()
 
 
-def layers(edges: DataFrame, depth: int) -> DataFrame:
-    """id, layer: the longest path that leads to a node, counted up to depth."""
-    ids = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    roots = ids.join(edges.select(F.col("dst").alias("id")), "id", "left_anti").select("id", F.lit(0).alias("layer"))
-    best = level = roots
-    for d in range(1, depth + 1):
-        level = edges.join(level.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id"), F.lit(d).alias("layer")).distinct()
-        best = best.unionByName(level)
-    return best.groupBy("id").agg(F.max("layer").alias("layer"))
-
-
 def impact(edges: DataFrame, directions: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
     """id, distance, kinds: elements that a change of the seeds reaches, by the direction of each kind of edge."""
     typed = edges.join(directions, "relation")

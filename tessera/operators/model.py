@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.graph import staged
+from tessera.operators.staging import staged
 from tessera.operators.rules import resolve
 
 # Kinds of inheritance and the edges they become.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import graph
+from tessera.operators import components, graph
 from tessera.plans.tables import table
 
 QUERIES, ORACLES = {}, {}
@@ -171,7 +171,7 @@ def cycle_check(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem")
     down = li.select(F.concat(F.lit("P:"), "l_partkey").alias("src"), F.concat(F.lit("S:"), "l_suppkey").alias("dst"))
     up = li.groupBy("l_suppkey").agg(F.min("l_partkey").alias("p")).select(F.concat(F.lit("S:"), "l_suppkey").alias("src"), F.concat(F.lit("P:"), "p").alias("dst"))
-    return graph.on_cycles(down.unionByName(up))
+    return components.on_cycles(down.unionByName(up))
 
 
 ORACLES["cycle_check"] = """WITH RECURSIVE e AS (SELECT DISTINCT 'P:' || l_partkey AS src, 'S:' || l_suppkey AS dst FROM lineitem UNION SELECT 'S:' || l_suppkey, 'P:' || min(l_partkey) FROM lineitem GROUP BY l_suppkey),
@@ -201,7 +201,7 @@ r AS (SELECT DISTINCT src AS id, 0 AS layer FROM e WHERE src NOT IN (SELECT dst
 def layer_assignment(spark: SparkSession, d: str) -> DataFrame:
     top = table(spark, d, "nation").select(F.concat(F.lit("R:"), "n_regionkey").alias("src"), F.concat(F.lit("N:"), "n_nationkey").alias("dst"))
     below = table(spark, d, "customer").select(F.concat(F.lit("N:"), "c_nationkey").alias("src"), F.concat(F.lit("C:"), "c_custkey").alias("dst"))
-    return graph.layers(top.unionByName(below).distinct(), 3)
+    return components.layers(top.unionByName(below).distinct())
 
 
 #: Which way a change travels along each kind of edge.

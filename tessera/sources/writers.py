@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.graph import staged
+from tessera.operators.staging import staged
 
 
 #: Folders of a table of chunks; a table keeps the number it was first written with.

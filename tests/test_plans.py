@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from tessera.functions import text as tx
-from tessera.operators import chunking, expansion, fusion, graph, rules
+from tessera.operators import chunking, components, expansion, fusion, graph, rules
 from tessera.plans import catalogue
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -90,7 +90,7 @@ def test_traversal_of_odd_graphs(spark):
     edges = spark.createDataFrame([("a", "b", "x"), ("b", "c", "x"), ("c", "a", "x"), ("c", "d", "y"), ("e", "e", "x")], "src string, dst string, relation string")
     seeds = spark.createDataFrame([("a",), ("nowhere",)], "id string")
     assert {r.id: r.distance for r in graph.reachable(edges, seeds, 5).collect()} == {"a": 0, "nowhere": 0, "b": 1, "c": 2, "d": 3}
-    assert {r.id for r in graph.on_cycles(edges).collect()} == {"a", "b", "c", "e"}
+    assert {r.id for r in components.on_cycles(edges).collect()} == {"a", "b", "c", "e"}
     assert {r.id: r.path for r in graph.shortest_paths(edges, "a", 3).collect()}["d"] == ["a", "b", "c", "d"]
     assert graph.first_per_pair(edges.union(edges), ["relation"]).count() == 5
 
@@ -106,7 +106,7 @@ def test_cycles_of_any_length(spark):
 def test_on_cycles_strips_long_chains(spark):
     chain = [(f"c{i:03}", f"c{i + 1:03}") for i in range(130)]
     edges = spark.createDataFrame([*chain, ("x", "y"), ("y", "x")], "src string, dst string")
-    assert {r.id for r in graph.on_cycles(edges).collect()} == {"x", "y"}
+    assert {r.id for r in components.on_cycles(edges).collect()} == {"x", "y"}
 
 
 def test_band_pairs_at_the_edge(spark):
@@ -163,9 +163,9 @@ def test_cycles_are_told_from_ways_between_them(spark):
     ring = lambda name, n: [(f"{name}{i}", f"{name}{(i + 1) % n}") for i in range(n)]
     between = [("a0", "way1"), ("way1", "way2"), ("way2", "b0")]
     table = lambda rows: spark.createDataFrame(rows, "src string, dst string")
-    got = {r.id for r in graph.on_cycles(table(ring("a", 3) + ring("b", 4) + between + [("s", "s"), ("s", "t")])).collect()}
+    got = {r.id for r in components.on_cycles(table(ring("a", 3) + ring("b", 4) + between + [("s", "s"), ("s", "t")])).collect()}
     assert got == {"a0", "a1", "a2", "b0", "b1", "b2", "b3", "s"}
-    assert graph.on_cycles(table(chain)).count() == 0
+    assert components.on_cycles(table(chain)).count() == 0
 
 
 def test_code_blocks(spark):
