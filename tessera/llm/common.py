@@ -75,6 +75,16 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES
     return F.broadcast(df)
 
 
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Pass rows to Python in Arrow batches of at most this size in this session, unless it has a setting of its own already.
+
+    A task holds a batch outside the heap, more than once while it grows; at Spark's 64 MB, executors of 3 GB had none left.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in ("67108864b", "64m", "64MB"):
+        spark.conf.set(name, size)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, with as many underscores behind it as it takes to differ from df's columns."""
     taken = {c.lower() for c in df.columns}
