@@ -16,11 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, line_dedup, near_dedup, packing, toxicity
-from tessera.llm.common import fold, free_name, remove, shared_dir, staging
+from tessera.llm.common import fold, free_name, remove, shared_dir, small_batches, staging
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below 0.5; learned from the labels of four folds of five."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold(F.col("doc_id"), 5) != 0)
     score = free_name(docs, "toxicity")
     scored = toxicity.scored(docs, toxicity.learn(docs, labels), score)
@@ -29,6 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents, all of them, without lines that an earlier document or line has; n_chars follows the text."""
+    small_batches(spark)
     removed = free_name(docs, "ld_removed")
     clean = line_dedup.deduplicated(docs, min_words=1, most_edits=3, letters=True)
     changed = F.when(F.col(removed) > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
@@ -37,16 +39,19 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the least id, of each group that shares four fifths of its word pairs."""
+    small_batches(spark)
     return near_dedup.drop_near_copies(docs, shingle=2, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no ten words in a row of any benchmark item."""
+    small_batches(spark)
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents and their places in sequences of 4096 tokens, all of which bear loss."""
+    small_batches(spark)
     return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, tokens=4096)
 
 
