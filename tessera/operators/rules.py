@@ -34,16 +34,6 @@ def wrong_parent(rows: DataFrame, parent_kind: Column, allowed: tuple[str, ...],
     return issues(bad, rule, "error", node, F.concat(F.lit("parent is "), parent_kind))
 
 
-def inherits_itself(bases: DataFrame, depth: int, rule: str) -> DataFrame:
-    """Nodes of bases (node, base; one base each) that come back to themselves within depth steps."""
-    at = bases.select("node", F.col("base").alias("at"))
-    found = at.where("node = at").select("node")
-    for _ in range(depth - 1):
-        at = at.join(bases.select(F.col("node").alias("at"), "base"), "at").select("node", F.col("base").alias("at"))
-        found = found.unionByName(at.where("node = at").select("node"))
-    return issues(found.distinct(), rule, "warning", F.col("node"), F.lit("inheritance cycle"))
-
-
 def inheritance_cycles(bases: DataFrame, rule: str) -> DataFrame:
     """Nodes of bases (node, base; one base each) on a cycle of any length, and nodes whose bases lead into one.
 

@@ -123,3 +123,23 @@ def test_elements_by_short_or_full_name(spark):
     assert {(h.element, h.id) for h in hits.collect()} == {("Lib::Cat.Sys", 1), ("Lib::Core", 2), ("Lib::Core", 3)}
     edges = spark.createDataFrame([("Lib::Cat.Sys", "Lib::Core", "uses"), ("Lib::Core", "Lib::Core", "x")], "src string, dst string, relation string")
     assert {(p.source_id, p.target_id) for p in substrings.pairs(edges, hits).collect()} == {(1, 2), (1, 3), (2, 3), (3, 2)}
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_recall_of_the_registered_search(spark, sf):
+    from tessera.plans import indexes
+
+    sf_dir = f"/root/testdata/sf{sf}"
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    got = {}
+    for r in indexes.vector_index_search(spark, sf_dir).collect():
+        got.setdefault(r.query, set()).add(r.vec_id)
+    hits = n = 0
+    for q in np.flatnonzero(ids % 100 == 0):
+        near = x @ x[q]
+        near[q] = -2
+        best = set(ids[np.argsort(-near)[:10]].tolist())
+        hits, n = hits + len(best & got[int(ids[q])]), n + len(best)
+    assert hits >= 0.9 * n, (hits, n)
