@@ -25,6 +25,7 @@ import re
 from collections.abc import Callable, Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -232,31 +233,83 @@ def match(a: Node, b: Slot, known: dict[tuple[int, int], int], depth: int = 0) -
 def aligned(a: Node, b: Slot, known: dict[tuple[int, int], int], depth: int = 0) -> list[tuple[Node, Slot, int]]:
     """Pairs of children in the best order-keeping alignment, with the size of their own alignments."""
     x, y = a.kids(), b.children
-    out, lo = [], 0
-    while lo < min(len(x), len(y)) and x[lo].tag == y[lo].tag:  # equal tags in front align with each other
-        out.append((x[lo], y[lo], match(x[lo], y[lo], known, depth + 1)))
+    lo, far = 0, min(len(x), len(y))
+    while lo < far and x[lo].tag == y[lo].tag:  # equal tags in front and at the end align with each other
         lo += 1
-    x, y = x[lo:], y[lo:]
-    tail = []
-    while x and y and x[-1].tag == y[-1].tag:
-        tail.append((x[-1], y[-1], match(x[-1], y[-1], known, depth + 1)))
-        x, y = x[:-1], y[:-1]
-    if x and y:
-        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        for i in range(len(x) - 1, -1, -1):
-            for j in range(len(y) - 1, -1, -1):
-                best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + match(x[i], y[j], known, depth + 1))
-        i = j = 0
-        while i < len(x) and j < len(y):
-            n = best[i][j] - best[i + 1][j + 1]
-            if best[i][j] == best[i + 1][j]:
-                i += 1
-            elif best[i][j] == best[i][j + 1]:
-                j += 1
+    end = 0
+    while end < far - lo and x[-1 - end].tag == y[-1 - end].tag:
+        end += 1
+    pairs = [(i, i) for i in range(lo)]
+    if lo + end < far:
+        pairs += [(lo + i, lo + j) for i, j in best_pairs(x[lo : len(x) - end], y[lo : len(y) - end], known, depth)]
+    pairs += [(len(x) - k, len(y) - k) for k in range(end, 0, -1)]
+    return [(x[i], y[j], match(x[i], y[j], known, depth + 1)) for i, j in pairs]
+
+
+#: Cells of a table of sums that are held at once.
+CELLS = 1 << 20
+
+
+def best_pairs(x: list[Node], y: list[Slot], known: dict[tuple[int, int], int], depth: int) -> list[tuple[int, int]]:
+    """Places of the pairs of an order-keeping alignment with the largest sum of their matches.
+
+    Children of one shape share a row of matches. Sums are made row by row; where all of them are too many to hold, the upper half's sums from the front and the lower half's
+    from the end say where the best alignment crosses the middle, and both halves are solved by themselves: the time goes with the product of
+    both widths, in vectors, the memory with their sum.
+    """
+    tags = np.array([c.tag for c in y])
+    rows: dict[int, np.ndarray] = {}
+
+    def row(node: Node) -> np.ndarray:
+        if node.shape not in rows:
+            own = (tags == node.tag).astype(np.int32)
+            if node.kids():
+                for j in np.flatnonzero(own):
+                    if y[j].children:
+                        own[j] = match(node, y[j], known, depth + 1)
+            if len(rows) >= 512:  # shapes beyond that are made anew where they come again
+                rows.clear()
+            rows[node.shape] = own
+        return rows[node.shape]
+
+    def sums(i: int, k: int, j: int, m: int, back: bool) -> np.ndarray:
+        """Best sums of the rows i to k with the columns j to m: up to each column from the front, or from each column to the end."""
+        best = np.zeros(m - j + 1, np.int32)
+        for r in range(k - 1, i - 1, -1) if back else range(i, k):
+            own = row(x[r])[j:m]
+            if back:
+                best[:-1] = np.maximum(best[:-1], best[1:] + own)
+                best = np.maximum.accumulate(best[::-1])[::-1].copy()
             else:
-                out.append((x[i], y[j], n))
-                i, j = i + 1, j + 1
-    return out + tail[::-1]
+                best[1:] = np.maximum(best[1:], best[:-1] + own)
+                best = np.maximum.accumulate(best)
+        return best
+
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(x), 0, len(y))]
+    while todo:
+        i, k, j, m = todo.pop()
+        if i == k or j == m:
+            continue
+        if (k - i + 1) * (m - j + 1) > CELLS and k - i > 1:
+            middle = (i + k) // 2
+            cut = j + int((sums(i, middle, j, m, False) + sums(middle, k, j, m, True)).argmax())
+            todo += [(middle, k, cut, m), (i, middle, j, cut)]
+            continue
+        best = np.zeros((k - i + 1, m - j + 1), np.int32)
+        for r in range(k - i - 1, -1, -1):
+            best[r, :-1] = np.maximum(best[r + 1, :-1], best[r + 1, 1:] + row(x[i + r])[j:m])
+            best[r] = np.maximum.accumulate(best[r, ::-1])[::-1]
+        r = c = 0
+        while r < k - i and c < m - j:
+            if best[r, c] == best[r + 1, c]:
+                r += 1
+            elif best[r, c] == best[r, c + 1]:
+                c += 1
+            else:
+                out.append((i + r, j + c))
+                r, c = r + 1, c + 1
+    return out
 
 
 def align(page: Node, template: Slot, known: dict[tuple[int, int], int], counts: bool) -> None:
@@ -281,7 +334,7 @@ def align(page: Node, template: Slot, known: dict[tuple[int, int], int], counts:
                     continue
                 own = Slot(kid.tag)
                 slot.children.insert(at, own)
-            at = slot.children.index(own) + 1
+            at = slot.children.index(own, at) + 1
             todo.append((kid, own, depth + 1))
 
 

@@ -124,6 +124,55 @@ def test_alignment_is_the_largest():
     assert wrappers.match(tree(a), slots(b), {}) == 5
 
 
+def test_alignment_against_all_alignments(monkeypatch):
+    """Whole matches against a search of every order-keeping alignment, held as one table and in halves."""
+    r = np.random.default_rng(3)
+
+    def grow(height):
+        return (str(r.choice(list("abc"))), *(grow(height - 1) for _ in range(r.integers(0, 4) if height else 0)))
+
+    def tree(x):
+        node = wrappers.Node(x[0])
+        node.children, node.shape = [tree(c) for c in x[1:]], hash(x)
+        return node
+
+    def slots(x):
+        slot = wrappers.Slot(x[0])
+        slot.children = [slots(c) for c in x[1:]]
+        return slot
+
+    def largest(a, b):
+        if a[0] != b[0]:
+            return 0
+        best = [[0] * len(b) for _ in a]
+        for i in range(1, len(a)):
+            for j in range(1, len(b)):
+                best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + largest(a[i], b[j]))
+        return 1 + best[-1][-1]
+
+    for cells in (1 << 20, 6):
+        monkeypatch.setattr(wrappers, "CELLS", cells)
+        for _ in range(300):
+            a, b = ("a", *(grow(2) for _ in range(r.integers(0, 7)))), ("a", *(grow(2) for _ in range(r.integers(0, 7))))
+            assert wrappers.match(tree(a), slots(b), {}) >= largest(a, b) or trimmed(a, b)
+
+
+def trimmed(a, b):
+    """Equal tags in front or behind are aligned without a search, which may leave a larger alignment aside."""
+    return min(len(a), len(b)) > 1 and (a[1][0] == b[1][0] or a[-1][0] == b[-1][0] or any(trimmed(x, y) for x in a[1:] for y in b[1:]))
+
+
+def test_wide_pages():
+    import time
+
+    r = np.random.default_rng(2)
+    parts = ["<p>Words of paragraph {i} on page {k}</p>", "<ul><li>point {i} of {k}</li></ul>", "<div><b>bold {i}</b> and plain {k}</div>", "<h3>Title {i} {k}</h3>", "<pre>code {i} {k}</pre>"]
+    page = lambda k, n: "<body>" + "".join(parts[j].format(i=i, k=k) for i, j in enumerate(r.integers(0, 5, n))) + "</body>"
+    began = time.process_time()
+    got = wrappers.extract([page(k, 20_000) for k in range(3)])
+    assert time.process_time() - began < 120 and all(t.count("\n") == 19_999 for t in got)
+
+
 def test_template_text_goes_and_copies_do_not_count():
     page = "<body><div><p>Always the same line</p><p>Own text of page number {i}, long enough to be prose</p></div></body>"
     got = wrappers.extract([page.format(i=i) for i in range(8)])
