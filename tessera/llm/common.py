@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,6 +86,23 @@ def small_batches(spark: SparkSession, size: str = "8m") -> None:
         spark.conf.set(name, size)
 
 
+def released(f: Callable) -> Callable:
+    """f, a generator of Arrow batches in a task, that gives back what Arrow has freed.
+
+    Arrow's memory pool keeps freed memory for itself, 250 MB after the texts of one file, and workers live on between tasks.
+    """
+    pool = pa.default_memory_pool
+
+    def batches(*args):
+        for n, out in enumerate(f(*args), 1):
+            yield out
+            if n % 8 == 0:
+                pool().release_unused()
+        pool().release_unused()
+
+    return batches
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, with as many underscores behind it as it takes to differ from df's columns."""
     taken = {c.lower() for c in df.columns}

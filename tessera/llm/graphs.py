@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stage
+from tessera.llm.common import released, stage
 
 #: Edges that one task contracts in memory, about 100 MB.
 TASK_EDGES = 400_000
@@ -44,7 +44,7 @@ def stars(edges: DataFrame) -> DataFrame:
     """
     own = stage(edges.where("a != b").select("a", "b"), "edges")
     tasks = max(1, -(-own.count() // TASK_EDGES))
-    pairs = stage(own.coalesce(tasks).mapInArrow(contract, "a long, b long"), "forests")
+    pairs = stage(own.coalesce(tasks).mapInArrow(released(contract), "a long, b long"), "forests")
     before, done = None, own.coalesce(tasks).rdd.getNumPartitions() == 1
     while not done:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))

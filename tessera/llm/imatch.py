@@ -6,7 +6,8 @@ corpus. A term of the lexicon is in a share `low` of all texts at least, so the
 a text has distinct ones on average; that is what the driver and the tasks hold.
 
 The lexicon has SEEDS * LEVELS fixed random subsets, the same for every text: for each seed a whole one, and then halves of
-halves. A text's distinct terms in a subset, in order, are hashed, one hash for each subset. Small subsets are what an edit leaves
+halves. The hashes of a text's distinct terms in a subset are added up, which gives one hash for each subset, the same whatever the
+terms' order, as sorting them first would. A text without any term of the lexicon is fingerprinted by its own terms, which lie outside the band. Small subsets are what an edit leaves
 alone: with half of a text replaced, some of them still have the same terms as before, while large ones do not.
 
 The likeness of two fingerprints is the share of equal hashes among subsets that either text has terms in, over the

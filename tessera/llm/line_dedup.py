@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import KEYS, free_name, row_keys, small, stage
+from tessera.llm.common import free_name, KEYS, released, row_keys, small, stage
 
 BASE = 0x9E3779B97F4A7C15
 ORDER = [*KEYS, "ln"]
@@ -172,7 +172,7 @@ def distinct_keys(docs: DataFrame, min_words: int, near_words: int, most: int, p
                 mine = part.select(KEYS).take(pa.array(rows, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*mine.columns, pa.array(numbers, pa.int32()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), lists], names=[*ORDER, "a", "b", "parts"])
 
-    return of.mapInArrow(emit, "k_null boolean, k_id long, k_text long, ln int, a long, b long, parts array<bigint>")
+    return of.mapInArrow(released(emit), "k_null boolean, k_id long, k_text long, ln int, a long, b long, parts array<bigint>")
 
 
 def with_words(docs: DataFrame, close: DataFrame, letters: bool) -> DataFrame:
@@ -184,7 +184,7 @@ def with_words(docs: DataFrame, close: DataFrame, letters: bool) -> DataFrame:
             words = pa.array([next(words_of(x, letters)) for x in batch.column("line").to_pylist()], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([*batch.select(ORDER).columns, words], names=[*ORDER, "words"])
 
-    met = lines.join(close, ORDER).distinct().mapInArrow(split, "k_null boolean, k_id long, k_text long, ln int, words array<string>")
+    met = lines.join(close, ORDER).distinct().mapInArrow(released(split), "k_null boolean, k_id long, k_text long, ln int, words array<string>")
     return met.withColumn("n", F.size("words"))
 
 
@@ -255,7 +255,7 @@ def near_by_parts(close: DataFrame, most: int, per: int, least: int, shared: int
     def near(pairs: DataFrame) -> DataFrame:
         """mine of the pairs (mine, earlier) that are near."""
         both = pairs.distinct().join(texts.toDF("mine", "x"), "mine").join(texts.toDF("earlier", "y"), "earlier").select("mine", "x", "y")
-        return both.mapInArrow(verified, f"mine {who_type}").distinct()
+        return both.mapInArrow(released(verified), f"mine {who_type}").distinct()
 
     def likely(x: str, y: str) -> Column:
         n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
@@ -264,13 +264,13 @@ def near_by_parts(close: DataFrame, most: int, per: int, least: int, shared: int
         return (F.abs(n - m) <= k) & (apart <= 2 * k)
 
     keyed = f"who {who_type}, n int, x0 long, x1 long, v long"
-    keys = stage(hashed.mapInArrow(emit, keyed), "part-keys")
+    keys = stage(hashed.mapInArrow(released(emit), keyed), "part-keys")
     counts = stage(keys.groupBy("v").agg(F.count("*").alias("lines")).where("lines > 1"), "shared-parts")
     hot = counts.where(F.col("lines") > shared).select("v")
     keys_of = keys.join(small(counts.where(F.col("lines") <= shared).select("v")), "v", "left_semi")
     if hot.head(1):
         own = keys.join(small(hot), "v", "left_semi").groupBy("who").agg(F.collect_list("v").alias("hot"))  # as many as a line has parts
-        keys_of = keys_of.unionByName(hashed.join(own, "who").mapInArrow(emit, keyed))
+        keys_of = keys_of.unionByName(hashed.join(own, "who").mapInArrow(released(emit), keyed))
     keys = stage(keys_of, "keys")
 
     cell = F.floor(F.col("n") / (most + 1)).alias("cell")
@@ -309,7 +309,7 @@ def removals(docs: DataFrame, min_words: int = 4, near_words: int = 8, most_edit
     both = stage(with_words(docs, close, letters), "close-words")
     close = both.where(one).drop("n")
 
-    met = close.mapInArrow(variants, "v long, p int, k_null boolean, k_id long, k_text long, ln int")
+    met = close.mapInArrow(released(variants), "v long, p int, k_null boolean, k_id long, k_text long, ln int")
     met = stage(met, "variants")
     mine = F.struct(*ORDER)
     # by key: its earliest line, its last, and the line that equals the key; keys of one line are done with

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small, stage
+from tessera.llm.common import released, small, stage
 from tessera.llm.graphs import stars
 
 
@@ -133,7 +133,7 @@ def links(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 42,
                     maps.append(None if least is None else bitmap(own).tolist())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast("int64"), pa.array(keys, pa.string()), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary()), pa.array(packs, pa.list_(pa.int64())), pa.array(maps, pa.list_(pa.int64()))], names=["doc_id", "set_key", "n_shingles", "signs", "pack", "bitmap"])
 
-    signed = stage(docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, set_key string, n_shingles long, signs binary, pack array<bigint>, bitmap array<bigint>"), "signatures")
+    signed = stage(docs.select("doc_id", "text").mapInArrow(released(sign), "doc_id long, set_key string, n_shingles long, signs binary, pack array<bigint>, bitmap array<bigint>"), "signatures")
     has = signed.where("set_key is not null and doc_id is not null")
     classes = has.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
     classes = stage(classes, "classes")
@@ -176,11 +176,11 @@ def links(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 42,
         """The pairs (a, b) that are linked."""
         signs = nodes.select("node", "signs")
         alive = pairs.join(signs.toDF("a", "x"), "a").join(signs.toDF("b", "y"), "b").select("a", "b", "x", "y")
-        alive = stage(alive.mapInArrow(prune, "a long, b long").distinct(), "survivors")
+        alive = stage(alive.mapInArrow(released(prune), "a long, b long").distinct(), "survivors")
         named = small(stage(alive.select(F.col("a").alias("doc_id")).union(alive.select("b")).distinct(), "named"))
         texts = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(named, "doc_id", "left_semi"), "texts")
         both = alive.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
-        return stage(both.mapInArrow(confirm, "a long, b long").distinct(), "links")
+        return stage(both.mapInArrow(released(confirm), "a long, b long").distinct(), "links")
 
     sketch = ["n_shingles", *(f"p{k}" for k in range(4))]
     most = min(n, 256) - least_agreements(min(n, 256), min(n, 256), percent / 100, miss, chance=0.5)[0]

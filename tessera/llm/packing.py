@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.common import released
 from tessera.llm.token_counts import PLAIN_BPE, SIMPLE, apart, has, load, spelled
 
 # What the file of a tokenizer says that lowers case, drops white space and takes runs of letters, digits or marks apart.
@@ -182,7 +183,7 @@ def packed(docs: DataFrame, path: str, end_id: int = 2, tokens: int = 4096, segm
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [*kinds[:5], pa.int64(), pa.int64()], strict=True)], names=["doc_id", "start", "length", "doc_tokens", "ids", "sequence_id", "offset"])
 
     out = T.StructType([*schema.fields[:5], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return of.mapInArrow(cut, schema).groupBy("pk_block").applyInArrow(fill, out)
+    return of.mapInArrow(released(cut), schema).groupBy("pk_block").applyInArrow(fill, out)
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

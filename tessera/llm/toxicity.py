@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import free_name, stage
+from tessera.llm.common import free_name, released, stage
 
 # Letters of other scripts that look like Latin ones.
 LOOKALIKES = {
@@ -226,7 +226,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 12_000, min_docs:
                         both.setdefault(t, [0, 0])[0 if y else 1] += 1
             yield pa.RecordBatch.from_pydict({"term": list(both), "bad": [x[0] for x in both.values()], "good": [x[1] for x in both.values()]}, schema=pa.schema({"term": pa.string(), "bad": pa.int64(), "good": pa.int64()}))
 
-        return sample.select("text", F.col("y").cast("long").alias("y")).mapInArrow(seen, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+        return sample.select("text", F.col("y").cast("long").alias("y")).mapInArrow(released(seen), "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
 
     totals = {bool(y): n for y, n in sample.groupBy(F.col("y") > 0).count().collect()}
     n_bad, n_good = totals.get(True, 0), totals.get(False, 0)
@@ -263,7 +263,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 12_000, min_docs:
         yield pa.RecordBatch.from_pydict({"term": [p[0] for p in pairs], "before": [p[1] for p in pairs]}, schema=pa.schema({"term": pa.string(), "before": pa.string()}))
 
     # copies repeat a word in one place; an abusive word is met after many different ones
-    places = sample.where("y > 0").select("text").mapInArrow(around, "term string, before string").groupBy("term").agg(F.countDistinct("before").alias("n"))
+    places = sample.where("y > 0").select("text").mapInArrow(released(around), "term string, before string").groupBy("term").agg(F.countDistinct("before").alias("n"))
     varied = {r["term"] for r in places.where(F.col("n") >= min_places).collect()}
     entries = choose([(t, x, y) for t, (x, y) in counts.items() if t in varied], n_bad, n_good, most, ratio)
     lexicon = Lexicon(entries, tuple(e for e in exceptions if any(f" {w} ".startswith(t) for w in e.split() for t in entries)))
@@ -272,7 +272,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 12_000, min_docs:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([lexicon.density(t) for t in batch.column("text").to_pylist()], pa.float64()), batch.column("y").cast("int64")], names=["x", "y"])
 
-    points = sample.select("text", "y").mapInArrow(densities, "x double, y long").collect()
+    points = sample.select("text", "y").mapInArrow(released(densities), "x double, y long").collect()
     lexicon.a, lexicon.b = fit_curve(np.array([p[0] for p in points]), np.array([float(p[1] > 0) for p in points]))
     return lexicon
 
@@ -288,5 +288,6 @@ def scored(docs: DataFrame, lexicon: Lexicon, name: str = "score") -> DataFrame:
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([own.score(t) for t in texts], dtype="float64")
+            pa.default_memory_pool().release_unused()
 
     return docs.withColumn(free_name(docs, name), score(docs["text"]))
