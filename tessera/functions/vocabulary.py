@@ -1,11 +1,5 @@
 """Small dimension tables, as plain values: they are a few rows each and are broadcast."""
 
-# Phrases that name a relation, in order of precedence.
-RELATION_PHRASES = (
-    ("is a", "is-a"), ("kind of", "is-a"), ("part of", "part-of"), ("consists of", "part-of"), ("depends on", "depends-on"), ("requires", "depends-on"),
-    ("satisfies", "satisfies"), ("uses", "uses"), ("is used by", "uses"), ("related to", "related-to"), ("defines", "defines"), ("implements", "implements"),
-)
-
 # Words of events by the kind of tool use they stand for; a whole match comes before a part of the name.
 TOOL_SYNONYMS = (("purchase", "satisfies"), ("click", "uses"), ("sign", "defines"), ("view", "related-to"), ("err", "depends-on"))
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.components import on_cycles
+from tessera.operators.components import parts
 from tessera.operators.staging import rounds, staged
 
 
@@ -151,7 +151,9 @@ def guarded(edges: DataFrame, nodes: DataFrame, allowed: tuple[str, ...], stop:
     """
     ids = nodes.select("id").where(~F.lower("id").isin(*stop)).distinct()
     kept = edges.where(F.col("relation").isin(*allowed)).join(ids.toDF("src"), "src", "left_semi").join(ids.toDF("dst"), "dst", "left_semi").select("src", "dst", "relation")
-    tree = kept.where(F.col("relation").isin(*acyclic))
-    loops = on_cycles(tree)
-    both = tree.join(loops.toDF("src"), "src", "left_semi").join(loops.toDF("dst"), "dst", "left_semi").where("src >= dst")
+    if not acyclic:
+        return kept
+    tree = staged(kept.where(F.col("relation").isin(*acyclic)))
+    part = parts(tree)
+    both = tree.join(part.toDF("src", "p"), "src", "left").join(part.toDF("dst", "q"), "dst", "left").where("src = dst or (p = q and src > dst)").select("src", "dst", "relation")
     return kept.join(both, ["src", "dst", "relation"], "left_anti")

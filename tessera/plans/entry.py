@@ -137,15 +137,16 @@ st AS (SELECT doc_id, generate_subscripts(l, 1) AS s, unnest(l) AS t FROM (SELEC
 w AS (SELECT doc_id, s, generate_subscripts(l, 1) AS i, unnest(l) AS word FROM (SELECT doc_id, s, {TERMS.replace('text', 't')} AS l FROM st))"""
 
 
-def text_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def text_graph(spark: SparkSession, d: str, with_edges: bool = True) -> tuple[DataFrame, DataFrame | None]:
     named = table(spark, d, "benchmark").select(F.explode(tx.terms(F.col("text"))).alias("name")).where(F.char_length("name") >= 3).distinct()
-    return text_graphs.built(table(spark, d, "documents"), named, spark.createDataFrame(list(MARKS), "word string, relation string"), voc.STOPWORDS, acyclic=())
+    return text_graphs.built(table(spark, d, "documents"), named, spark.createDataFrame(list(MARKS), "word string, relation string"), voc.STOPWORDS, with_edges=with_edges)
 
 
-@query(f"""{TEXT_GRAPH}, {MARK_ROWS}, f AS (SELECT w.*, n.name AS entity, mk.relation FROM w LEFT JOIN n ON n.name = w.word LEFT JOIN mk ON mk.word = w.word),
+@query(f"""{TEXT_GRAPH.replace('WITH n', 'WITH RECURSIVE n', 1)}, {MARK_ROWS}, f AS (SELECT w.*, n.name AS entity, mk.relation FROM w LEFT JOIN n ON n.name = w.word LEFT JOIN mk ON mk.word = w.word),
 x AS (SELECT doc_id, s, i, relation, last_value(entity IGNORE NULLS) OVER (PARTITION BY doc_id, s ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS src,
-first_value(entity IGNORE NULLS) OVER (PARTITION BY doc_id, s ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS dst FROM f)
-SELECT src, dst, arg_min(relation, {{'d': doc_id, 's': s, 'i': i}}) AS relation FROM x WHERE relation IS NOT NULL AND src <> dst GROUP BY src, dst""")
+first_value(entity IGNORE NULLS) OVER (PARTITION BY doc_id, s ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS dst FROM f),
+e AS (SELECT src, dst, arg_min(relation, {{'d': doc_id, 's': s, 'i': i}}) AS relation FROM x WHERE relation IS NOT NULL AND src <> dst GROUP BY src, dst), t AS (SELECT src, dst FROM e WHERE relation = 'part-of'),
+r AS (SELECT src, dst FROM t UNION SELECT r.src, t.dst FROM r JOIN t ON r.dst = t.src) SELECT src, dst, relation FROM e WHERE NOT (relation = 'part-of' AND src > dst AND EXISTS (SELECT 1 FROM r WHERE r.src = e.dst AND r.dst = e.src))""")
 def text_graph_edges(spark: SparkSession, d: str) -> DataFrame:
     """Words of the benchmark as names in all documents, and what relates them."""
     return text_graph(spark, d)[1]
@@ -154,4 +155,4 @@ def text_graph_edges(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""{TEXT_GRAPH}, h AS (SELECT DISTINCT word AS id, doc_id FROM w WHERE word IN (SELECT name FROM n))
 SELECT id, count(*) AS n_docs, array_to_string(list(doc_id ORDER BY doc_id)[1:5], ',') AS sources FROM h GROUP BY id""")
 def text_graph_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return text_graph(spark, d)[0].withColumn("sources", F.array_join(F.transform("sources", lambda x: x.cast("string")), ","))
+    return text_graph(spark, d, with_edges=False)[0].withColumn("sources", F.array_join(F.transform("sources", lambda x: x.cast("string")), ","))

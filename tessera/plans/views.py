@@ -98,7 +98,7 @@ def suggestions_with_related(spark: SparkSession, d: str) -> DataFrame:
     """Three related names for each name: those that stand with it in a part's name."""
     words = F.split("p_name", " ")
     rows = table(spark, d, "part").select(F.explode(words).alias("name"), words.alias("w")).select("name", F.explode("w").alias("other")).where("name <> other").distinct()
-    return rows.groupBy("name").agg(F.array_join(F.slice(F.array_sort(F.collect_list("other")), 1, 3), ",").alias("related"))
+    return graph.first_items(rows, "name", "other", ["other"], 3, "related").withColumn("related", F.array_join("related", ","))
 
 
 @query(f"""WITH {NAMES}, c AS (SELECT DISTINCT unnest(list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 3)) AS concept FROM benchmark),
