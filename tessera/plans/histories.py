@@ -22,7 +22,7 @@ def query(sql: str | None = None):
 
 
 FACTS = """f AS (SELECT 'u' || user_id % 7 AS key, list(event_type ORDER BY ts, event_id) AS path, arg_min(event_type, (ts, event_id)) AS start, arg_max(event_type, (ts, event_id)) AS "end", count(*) FILTER (event_type = 'error') = 0 AS success,
-round(least(avg(value) / 100, 1), 4) AS quality, list(DISTINCT event_type) AS items FROM events GROUP BY user_id, CAST(ts AS DATE), hour(ts))"""
+least(CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) // count(*), 10000) / 10000 AS quality, list(DISTINCT event_type) AS items FROM events GROUP BY user_id, CAST(ts AS DATE), hour(ts))"""
 
 
 def facts(spark: SparkSession, d: str) -> DataFrame:
@@ -32,7 +32,7 @@ def facts(spark: SparkSession, d: str) -> DataFrame:
     path = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"])
     own = events.groupBy("user_id", F.to_date("ts").alias("day"), F.hour("ts").alias("hour")).agg(
         path.alias("path"), F.min_by("event_type", place).alias("start"), F.max_by("event_type", place).alias("end"), (F.count(F.when(F.col("event_type") == "error", 1)) == 0).alias("success"),
-        F.round(F.least(F.avg("value") / 100, F.lit(1.0)), 4).alias("quality"), F.collect_set("event_type").alias("items"), F.max("ts").alias("at"),
+        (F.least(F.expr("sum(cast(round(value * 100) as bigint)) div count(*)"), F.lit(10_000)) / 10_000).alias("quality"), F.collect_set("event_type").alias("items"), F.max("ts").alias("at"),
     )
     return own.withColumn("key", F.concat(F.lit("u"), F.col("user_id") % 7))
 
