@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of tessera.plans that define QUERIES and ORACLES.
-MODULES = ("retrieval", "graphs", "naming", "evaluation", "checking", "views", "entry", "modelling", "indexes", "histories")
+MODULES = ("retrieval", "graphs", "naming", "evaluation", "checking", "views", "entry", "modelling", "indexes", "histories", "words")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
