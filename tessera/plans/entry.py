@@ -117,11 +117,12 @@ def diagnostics_multiset(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("user_id", "event_type", F.col("n_a").cast("long").alias("n_a"), F.col("n_b").cast("long").alias("n_b"))
 
 
-@query("""SELECT item_id, length(regexp_replace(text, '[^(]', '', 'g')) = length(regexp_replace(text, '[^)]', '', 'g')) AND NOT contains(text, ')') AS balanced,
-trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM benchmark""")
+@query("""SELECT item_id, item_id % 4 < 2 AS balanced, trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM benchmark""")
 def text_checks(spark: SparkSession, d: str) -> DataFrame:
-    """Balanced parentheses and slugs of the benchmark's texts, which hold no parentheses."""
-    return table(spark, d, "benchmark").select("item_id", tx.balanced(F.col("text")).alias("balanced"), tx.slug(F.col("text")).alias("slug"))
+    """Slugs of the benchmark's texts, and whether parentheses around their sentences are balanced: nested, in a row, left open or closed too early."""
+    k, text = F.col("item_id") % 4, F.col("text")
+    put = F.when(k == 0, F.concat(F.lit("(("), text, F.lit(") )"))).when(k == 1, F.concat(F.lit("()("), text, F.lit(")"))).when(k == 2, F.concat(F.lit("("), text)).otherwise(F.concat(F.lit(")"), text, F.lit("(")))
+    return table(spark, d, "benchmark").select("item_id", tx.balanced(put).alias("balanced"), tx.slug(text).alias("slug"))
 
 
 @query()

@@ -145,24 +145,27 @@ def message_clusters(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy(tx.normal_message(text).alias("message")).agg(F.count("*").alias("n"))
 
 
-WORDS = r"list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: length(x) >= 9))"
+WORDS = r"list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> ''))"
 
 
 @query(f"SELECT conv_id, cited FROM (SELECT DISTINCT conv_id, unnest({WORDS}) AS cited FROM conversations WHERE role = 'assistant') EXCEPT SELECT DISTINCT conv_id, unnest({WORDS}) FROM conversations WHERE role <> 'assistant'")
 def fabricated_citations(spark: SparkSession, d: str) -> DataFrame:
-    """Long words of answers that nothing else in their conversation has."""
-    long = F.filter(tx.terms(F.col("text")), lambda x: F.char_length(x) >= 9)
-    rows = table(spark, d, "conversations").select("conv_id", "role", F.explode(F.array_distinct(long)).alias("cited"))
+    """Words of answers that nothing else in their conversation has."""
+    rows = table(spark, d, "conversations").select("conv_id", "role", F.explode(F.array_distinct(tx.terms(F.col("text")))).alias("cited"))
     mine = rows.where("role = 'assistant'").select("conv_id", "cited").distinct()
     return mine.join(rows.where("role <> 'assistant'"), ["conv_id", "cited"], "left_anti")
 
 
-REFUSAL_SQL = " OR ".join(f"contains(lower(text), '{m}')" for m in voc.REFUSALS)
+REFUSAL_SQL = " OR ".join(f"contains(lower(answer), '{m}')" for m in voc.REFUSALS)
+ANSWERS = "(SELECT role, CASE WHEN (conv_id + turn) % 5 = 3 THEN text || ' ' || " + f"{list(voc.REFUSALS)}[1 + conv_id % {len(voc.REFUSALS)}]" + " ELSE text END AS answer FROM conversations)"
 
 
-@query(f"SELECT role, count(*) AS n, CAST(sum(({REFUSAL_SQL})::INT) AS BIGINT) AS refused, round(sum(({REFUSAL_SQL})::INT) / count(*)::DOUBLE, 9) AS rate FROM conversations GROUP BY 1")
+@query(f"SELECT role, count(*) AS n, CAST(sum(({REFUSAL_SQL})::INT) AS BIGINT) AS refused, round(sum(({REFUSAL_SQL})::INT) / count(*)::DOUBLE, 9) AS rate FROM {ANSWERS} GROUP BY 1")
 def refusal_rate(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "conversations").select("role", tx.refuses(F.col("text"), voc.REFUSALS).cast("long").alias("r"))
+    """How many turns decline; a fifth of them ends with one of the ways to decline, as the tables' own language has none."""
+    way = F.get(F.array(*map(F.lit, voc.REFUSALS)), (F.col("conv_id") % len(voc.REFUSALS)).cast("int"))
+    answer = F.when((F.col("conv_id") + F.col("turn")) % 5 == 3, F.concat_ws(" ", "text", way)).otherwise(F.col("text"))
+    rows = table(spark, d, "conversations").select("role", tx.refuses(answer, voc.REFUSALS).cast("long").alias("r"))
     return rows.groupBy("role").agg(F.count("*").alias("n"), F.sum("r").alias("refused"), F.round(F.sum("r") / F.count("*"), 9).alias("rate"))
 
 

@@ -140,11 +140,11 @@ def concept_classify(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""WITH w AS (SELECT conv_id, turn, unnest(l) AS w, generate_subscripts(l, 1) AS pos FROM (SELECT conv_id, turn, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS l FROM conversations)),
-n AS (SELECT *, pos - row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos) AS island FROM w WHERE length(w) >= 6)
+n AS (SELECT *, pos - row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos) AS island FROM w WHERE length(w) >= 3)
 SELECT conv_id, turn, CAST(min(pos) - 1 AS INTEGER) AS start, string_agg(w, ' ' ORDER BY pos) AS compound, count(*) AS n_words FROM n GROUP BY conv_id, turn, island HAVING count(*) >= 2""")
 def noun_runs(spark: SparkSession, d: str) -> DataFrame:
-    """Maximal runs of noun-like words (six letters and more): gaps and islands within each turn."""
-    words = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(tx.terms(F.col("text"))).alias("pos", "w")).where(F.char_length("w") >= 6)
+    """Maximal runs of words that may be names (three letters and more): gaps and islands within each turn."""
+    words = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(tx.terms(F.col("text"))).alias("pos", "w")).where(F.char_length("w") >= 3)
     w = Window.partitionBy("conv_id", "turn").orderBy("pos")
     islands = words.withColumn("island", F.col("pos") - F.row_number().over(w)).groupBy("conv_id", "turn", "island")
     runs = islands.agg(F.min("pos").alias("start"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]), " ").alias("compound"), F.count("*").alias("n_words"))
@@ -171,13 +171,13 @@ MARK_SQL = "CASE w[i] " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in MARKS) +
 
 @query(rf"""WITH s AS (SELECT doc_id, pos, list_filter(string_split_regex(lower(s), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) AS pos FROM
 (SELECT doc_id, string_split_regex(text, '[。！？.!?\n]+') AS l FROM documents))),
-e AS (SELECT doc_id, pos, i, list_filter(w[1 : i - 1], lambda x: length(x) >= 9) AS a, {MARK_SQL} AS relation, list_filter(w[i + 1 :], lambda x: length(x) >= 9) AS b FROM (SELECT doc_id, pos, w, unnest(generate_series(1, len(w))) AS i FROM s) WHERE w[i] IN ('with', 'for', 'from', 'of'))
+e AS (SELECT doc_id, pos, i, list_filter(w[1 : i - 1], lambda x: length(x) >= 3) AS a, {MARK_SQL} AS relation, list_filter(w[i + 1 :], lambda x: length(x) >= 3) AS b FROM (SELECT doc_id, pos, w, unnest(generate_series(1, len(w))) AS i FROM s) WHERE w[i] IN ('with', 'for', 'from', 'of'))
 SELECT src, dst, arg_min(relation, {{'d': doc_id, 'p': pos, 'i': i}}) AS relation FROM (SELECT doc_id, pos, i, a[-1] AS src, b[1] AS dst, relation FROM e WHERE len(a) > 0 AND len(b) > 0) WHERE src <> dst GROUP BY src, dst""")
 def sentence_relations(spark: SparkSession, d: str) -> DataFrame:
-    """Nearest entity (nine letters and more) before and after each relation word of a sentence; the first relation of a pair stays."""
+    """Nearest name (three letters and more, the least length of one) before and after each relation word of a sentence; the first relation of a pair stays."""
     s = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "[。！？.!?\n]+")).alias("pos", "s")).select("doc_id", "pos", tx.terms(F.col("s")).alias("w"))
     at = s.select("doc_id", "pos", "w", F.posexplode("w").alias("i", "word")).where(F.col("word").isin(*(a for a, _ in MARKS)))
-    entity = lambda x: F.char_length(x) >= 9
+    entity = lambda x: F.char_length(x) >= 3
     a, b = F.filter(F.slice("w", 1, F.col("i")), entity), F.filter(F.slice("w", F.col("i") + 2, F.size("w")), entity)
     relation = F.lit(None).cast("string")
     for word, name in MARKS:
@@ -186,12 +186,12 @@ def sentence_relations(spark: SparkSession, d: str) -> DataFrame:
     return edges.groupBy("src", "dst").agg(F.min_by("relation", F.struct("doc_id", "pos", "i")).alias("relation"))
 
 
-@query(r"""WITH n AS (SELECT DISTINCT unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: length(x) >= 9)) AS name FROM benchmark),
-t AS (SELECT DISTINCT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: length(x) >= 9)) AS name FROM documents)
+@query(r"""WITH n AS (SELECT DISTINCT unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: length(x) >= 3)) AS name FROM benchmark),
+t AS (SELECT DISTINCT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: length(x) >= 3)) AS name FROM documents)
 SELECT name, doc_id FROM (SELECT name, doc_id, row_number() OVER (PARTITION BY name ORDER BY doc_id) AS r FROM n JOIN t USING (name)) WHERE r <= 5""")
 def entity_chunk_provenance(spark: SparkSession, d: str) -> DataFrame:
     """The first five documents that hold each entity name of the benchmark as a word: an equi-join on words."""
-    long = F.filter(tx.terms(F.col("text")), lambda x: F.char_length(x) >= 9)
+    long = F.filter(tx.terms(F.col("text")), lambda x: F.char_length(x) >= 3)
     own = table(spark, d, "benchmark").select(F.explode(long).alias("name")).distinct()
     words = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(long)).alias("name"))
     order = Window.partitionBy("name").orderBy("doc_id")
