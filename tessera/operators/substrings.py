@@ -14,22 +14,24 @@ from tessera.operators.staging import staged
 Q = 3
 
 
-def pieces(text: Column, n: Column) -> Column:
-    """place (from 0) and piece for each run of n letters of a text."""
-    return F.posexplode(F.transform(F.sequence(F.lit(1), F.char_length(text) - n + 1), lambda i: F.substring(text, i, n)))
+def pieces(rows: DataFrame, text: str, n: Column) -> DataFrame:
+    """rows with place (from 0) and piece for each run of n letters of a text, in place of the text; linear in its length, as its letters are split once."""
+    letters = rows.withColumn("letters", F.split(text, "")).where(F.size("letters") >= n).drop(text)
+    runs = F.transform(F.sequence(F.lit(1), F.size("letters") - n + 1), lambda i: F.array_join(F.slice("letters", i, n), ""))
+    return letters.select(*(c for c in letters.columns if c != "letters"), F.posexplode(runs).alias("place", "piece"))
 
 
 def contained(names: DataFrame, texts: DataFrame, q: int = Q) -> DataFrame:
     """name, id: each name (names.name) with each text (texts.id, text) that holds it as it is written. Empty and null names and texts meet nothing."""
     own = names.where("name is not null and name <> ''").select("name", F.least(F.char_length("name"), F.lit(q)).alias("n")).distinct()
-    parts = staged(own.select("name", "n", pieces(F.col("name"), F.col("n")).alias("offset", "piece")))
+    parts = staged(pieces(own.withColumn("letters_of", F.col("name")), "letters_of", F.col("n")).withColumnRenamed("place", "offset"))
     asked = parts.select("n", "piece").distinct()
     lengths = sorted(r[0] for r in parts.select("n").distinct().collect())  # q at most
     if not lengths:
         return texts.limit(0).select(F.lit(None).cast("string").alias("name"), "id")
     found = None
     for n in lengths:
-        rows = texts.where(F.char_length("text") >= n).select("id", "text", pieces(F.col("text"), F.lit(n)).alias("place", "piece")).withColumn("n", F.lit(n))
+        rows = pieces(texts.select("id", "text").where(F.char_length("text") >= n), "text", F.lit(n)).withColumn("n", F.lit(n))
         found = rows if found is None else found.unionByName(rows)
     counts = found.select("n", "piece").join(asked, ["n", "piece"], "left_semi").groupBy("n", "piece").agg(F.count("*").alias("times"))
     # a piece that no text holds has the least count of all: its names cannot occur

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import names as nm
+from tessera.functions import text as tx
 from tessera.functions import vocabulary as voc
-from tessera.operators import suggestions
+from tessera.operators import fulltext, node_query, search, search_flow, suggestions
 from tessera.plans.tables import table
 
 QUERIES, ORACLES = {}, {}
@@ -111,3 +112,43 @@ def import_hints(spark: SparkSession, d: str) -> DataFrame:
     """Two packages that each name could be imported from."""
     _, members = member_names(spark, d)
     return suggestions.import_hints(members.select("name"), members, ("Brand#7", "Brand#12"))
+
+
+QUESTIONS = [(1, "ring"), (2, "a small thing of steel"), (3, "nothing fits"), (4, "WIDGET")]
+PART_GRAPH = """n AS (SELECT DISTINCT p_name AS id FROM part UNION SELECT DISTINCT unnest(string_split(p_name, ' ')) FROM part), e AS (SELECT DISTINCT p_name AS a, unnest(string_split(p_name, ' ')) AS b FROM part),
+u AS (SELECT a AS src, b AS dst FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b)"""
+
+
+@query(f"""WITH {PART_GRAPH}, q AS (SELECT query, lower(term) AS term FROM (VALUES {', '.join(f"({q}, '{t}')" for q, t in QUESTIONS)}) x(query, term)),
+named AS (SELECT query, id, round(CASE WHEN lower(id) = term THEN 1.0::DOUBLE ELSE 0.2::DOUBLE + 0.3::DOUBLE * length(term) / length(id) END, 6) AS score, 'name' AS way FROM n JOIN q ON contains(lower(id), term)),
+qw AS (SELECT query, len(w) AS total, unnest(w) AS word FROM (SELECT query, list_distinct(list_filter(string_split(term, ' '), lambda x: length(x) >= 3)) AS w FROM q WHERE query NOT IN (SELECT query FROM named))),
+nw AS (SELECT DISTINCT id, unnest(list_filter(string_split(lower(id), ' '), lambda x: length(x) >= 3)) AS word FROM n),
+found AS (SELECT * FROM named UNION ALL SELECT query, id, round(count(*) / total::DOUBLE, 6), 'words' FROM qw JOIN nw USING (word) GROUP BY query, id, total),
+f AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, id) <= 5),
+l1 AS (SELECT query, dst AS id, count(*) AS ways FROM f JOIN u ON src = id WHERE (query, dst) NOT IN (SELECT (query, id) FROM f) GROUP BY query, dst),
+l2 AS (SELECT query, dst AS id, count(*) AS ways FROM l1 JOIN u ON src = id WHERE (query, dst) NOT IN (SELECT (query, id) FROM f) AND (query, dst) NOT IN (SELECT (query, id) FROM l1) GROUP BY query, dst),
+a AS (SELECT * FROM (SELECT *, 1 AS distance FROM l1 UNION ALL SELECT *, 2 FROM l2) QUALIFY row_number() OVER (PARTITION BY query ORDER BY distance, ways DESC, id) <= 20),
+r AS (SELECT query, way, id, score, 0 AS distance FROM f UNION ALL SELECT query, 'around', id, 0.0, distance FROM a), s AS (SELECT p_name AS id, array_to_string(list(p_partkey ORDER BY p_partkey)[1:3], ',') AS sources FROM part GROUP BY p_name)
+SELECT CAST(query AS BIGINT) AS query, way, id, CAST(score AS DOUBLE) AS score, CAST(distance AS INTEGER) AS distance, sources FROM r LEFT JOIN s USING (id)""")
+def graph_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Questions to the graph of parts' names and their words: what is named, what shares words, what lies around, and the parts they come from."""
+    part = table(spark, d, "part")
+    has = part.select(F.col("p_name").alias("src"), F.explode(F.split("p_name", " ")).alias("dst"), F.lit("has").alias("relation")).distinct()
+    nodes = has.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    asked = spark.createDataFrame(QUESTIONS, "query long, term string")
+    found = node_query.answered(asked, nodes, has, part.select(F.col("p_name").alias("id"), F.col("p_partkey").alias("text_id")))
+    return found.withColumn("sources", F.array_join(F.transform("sources", lambda x: x.cast("string")), ","))
+
+
+@query()
+def hybrid_search_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The whole search for every hundredth document with a vector: nearest vectors and best words, fused, widened along neighbouring ids, filtered, re-ranked and made diverse; tests hold its steps against plain loops."""
+    docs, vectors = table(spark, d, "documents"), table(spark, d, "embeddings")
+    both = docs.join(vectors, docs["doc_id"] == vectors["vec_id"]).select(F.col("doc_id").alias("id"), "source", "lang", "text", "embedding")
+    asked = both.where("id % 100 = 0")
+    near = search.neighbours(vectors, asked.select(F.col("id").alias("query"), F.col("embedding").alias("q")), 20).select("query", F.col("vec_id").alias("id"), F.col("rank").alias("pos"))
+    words = asked.select(F.col("id").alias("query"), F.slice(F.array_distinct(tx.terms(F.col("text"))), 1, 3).alias("terms"))
+    best = fulltext.bm25(docs, words, 20).select("query", F.col("doc_id").alias("id"), F.col("rank").alias("pos"))
+    edges = docs.select(F.col("doc_id").alias("src"), (F.col("doc_id") + 1).alias("dst"), F.lit("next").alias("relation")).where("src % 10 < 9")
+    queries = asked.select(F.col("id").alias("query"), F.array_join(F.slice(tx.terms(F.col("text")), 1, 3), " ").alias("text"))
+    return search_flow.searched(queries, near, best, edges, both, 10, 2, keep=F.col("lang") != "de")
