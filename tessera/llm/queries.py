@@ -137,10 +137,13 @@ FROM d LEFT JOIN n USING (doc_id) JOIN c ON c.a = d.doc_id
 """
 
 
-OP13_SQL = """
+#: A sum of exact products, as whole numbers of 2^-100, so that it does not depend on their order.
+SUM = "CAST(list_sum(list_transform(range(1, len({0}) + 1), lambda i: CAST({0}[i] * {1}[i] * pow(2.0, 100) AS HUGEINT))) AS DOUBLE)"
+OP13_SQL = f"""
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
            WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-s AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.e, v.e) AS score FROM v q JOIN v ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id AND len(v.e) = len(q.e))
+w AS (SELECT vec_id, e, {SUM.format("e", "e")} AS n FROM v),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, {SUM.format("q.e", "v.e")} / sqrt(q.n * v.n) AS score FROM w q JOIN w v ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id AND len(v.e) = len(q.e))
 SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
 """
