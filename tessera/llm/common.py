@@ -42,6 +42,29 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a source for each file of a table that is derived from it.
+FILE_BYTES = 4 << 20
+
+
+def staged_bytes(df: DataFrame) -> int:
+    """Bytes of the files of a staged table."""
+    files = df.inputFiles()
+    if not files:
+        return 0
+    spark = df.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(files[0])).getParent()
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+
+
+def few_files(df: DataFrame, size: int) -> DataFrame:
+    """df, to be staged, in a partition for each FILE_BYTES of its source, which has `size` bytes, and two for each core at least.
+
+    A shuffle's partitions are as many as the session says, however few rows there are; each would become a file, and on a local
+    file system Hadoop starts chmod processes for every file.
+    """
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // FILE_BYTES)))
+
+
 #: Folders of staged tables that this driver has written and not removed.
 STAGED: list[str] = []
 

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import free_name, KEYS, released, row_keys, small, stage
+from tessera.llm.common import few_files, free_name, KEYS, released, row_keys, small, stage, staged_bytes
 
 BASE = 0x9E3779B97F4A7C15
 ORDER = [*KEYS, "ln"]
@@ -218,8 +218,11 @@ def line_parts(h: np.ndarray, ks: tuple[int, ...], least: int, before: int = 0)
 SHARED = 200
 
 
-def near_by_parts(close: DataFrame, most: int, per: int, least: int, shared: int = SHARED) -> DataFrame:
-    """mine: lines of close (ORDER, words; different lines) of `least` words and more with an earlier line within the edits allowed."""
+def near_by_parts(close: DataFrame, most: int, per: int, least: int, shared: int = SHARED, size: int = 0) -> DataFrame:
+    """mine: lines of close (ORDER, words; different lines) of `least` words and more with an earlier line within the edits allowed.
+
+    size: bytes of the table of lines, for `few_files`.
+    """
     who = F.struct(*ORDER)
     texts = close.select(who.alias("who"), "words")
     hashed = close.select(who.alias("who"), F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
@@ -264,20 +267,20 @@ def near_by_parts(close: DataFrame, most: int, per: int, least: int, shared: int
         return (F.abs(n - m) <= k) & (apart <= 2 * k)
 
     keyed = f"who {who_type}, n int, x0 long, x1 long, v long"
-    keys = stage(hashed.mapInArrow(released(emit), keyed), "part-keys")
-    counts = stage(keys.groupBy("v").agg(F.count("*").alias("lines")).where("lines > 1"), "shared-parts")
+    keys = stage(few_files(hashed.mapInArrow(released(emit), keyed), size), "part-keys")
+    counts = stage(few_files(keys.groupBy("v").agg(F.count("*").alias("lines")).where("lines > 1"), size), "shared-parts")
     hot = counts.where(F.col("lines") > shared).select("v")
     keys_of = keys.join(small(counts.where(F.col("lines") <= shared).select("v")), "v", "left_semi")
     if hot.head(1):
         own = keys.join(small(hot), "v", "left_semi").groupBy("who").agg(F.collect_list("v").alias("hot"))  # as many as a line has parts
         keys_of = keys_of.unionByName(hashed.join(own, "who").mapInArrow(released(emit), keyed))
-    keys = stage(keys_of, "keys")
+    keys = stage(few_files(keys_of, size), "keys")
 
     cell = F.floor(F.col("n") / (most + 1)).alias("cell")
     x = keys.select("*", cell).alias("x")
     first = keys.select("v", cell, F.struct("who", "n", "x0", "x1").alias("l")).groupBy("v", "cell").agg(F.min("l").alias("l")).select("v", "cell", "l.*").alias("y")
     on = (F.col("x.v") == F.col("y.v")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.who") != F.col("y.who"))
-    found = stage(near(x.join(first, on & likely("x", "y")).select(F.col("x.who").alias("mine"), F.col("y.who").alias("earlier"))), "near-to-first")
+    found = stage(few_files(near(x.join(first, on & likely("x", "y")).select(F.col("x.who").alias("mine"), F.col("y.who").alias("earlier"))), size), "near-to-first")
 
     lengths = F.explode(F.sequence(F.col("n") - most, F.col("n") + most)).alias("m")
     rest = keys.join(found, keys["who"] == found["mine"], "left_anti").select("*", lengths).alias("x")
@@ -297,20 +300,21 @@ def removals(docs: DataFrame, min_words: int = 4, near_words: int = 8, most_edit
     n, several = F.col("n"), max(near_words, 2 * words_per_edit)
     one, more = (n >= near_words, F.lit(False)) if most_edits < 2 else ((n >= near_words) & (n <= several), n >= several)
     lines = stage(distinct_keys(docs, min_words, near_words, most_edits, words_per_edit, letters), "lines")
+    size = staged_bytes(lines)
     first = F.min(F.struct(*ORDER)).alias("o")
-    own = stage(lines.groupBy("a", "b").agg(first, F.count("*").alias("times"), F.first("parts").alias("parts")), "distinct-lines")
+    own = stage(few_files(lines.groupBy("a", "b").agg(first, F.count("*").alias("times"), F.first("parts").alias("parts")), size), "distinct-lines")
 
     keyed = own.select("a", F.explode(F.array_distinct("parts")).alias("part"))
-    shared = stage(keyed.groupBy("part").agg(F.min("a").alias("lo"), F.max("a").alias("hi"), F.count("*").alias("lines")).where("lo < hi"), "shared-parts")
+    shared = stage(few_files(keyed.groupBy("part").agg(F.min("a").alias("lo"), F.max("a").alias("hi"), F.count("*").alias("lines")).where("lo < hi"), size), "shared-parts")
     # the least and the largest are all of two; of more, the lines are looked up
-    many = small(stage(shared.where("lines > 2").select("part"), "parts-of-many"))
+    many = small(stage(few_files(shared.where("lines > 2").select("part"), size), "parts-of-many"))
     close = shared.select(F.explode(F.array("lo", "hi")).alias("a")).unionByName(keyed.join(many, "part", "left_semi").select("a")).distinct()
-    close = small(stage(own.join(close, "a", "left_semi").select("o.*"), "close-lines"))
-    both = stage(with_words(docs, close, letters), "close-words")
+    close = small(stage(few_files(own.join(close, "a", "left_semi").select("o.*"), size), "close-lines"))
+    both = stage(few_files(with_words(docs, close, letters), size), "close-words")
     close = both.where(one).drop("n")
 
     met = close.mapInArrow(released(variants), "v long, p int, k_null boolean, k_id long, k_text long, ln int")
-    met = stage(met, "variants")
+    met = stage(few_files(met, size), "variants")
     mine = F.struct(*ORDER)
     # by key: its earliest line, its last, and the line that equals the key; keys of one line are done with
     whole = met.groupBy("v").agg(F.min(mine).alias("any"), F.max(mine).alias("last"), F.min(F.when(F.col("p") == 0, mine)).alias("same")).where("any < last")
@@ -323,13 +327,13 @@ def removals(docs: DataFrame, min_words: int = 4, near_words: int = 8, most_edit
     found = found.join(texts.toDF("mine", "x"), "mine").join(texts.toDF("earlier", "y"), "earlier")
     near = found.where(one_edit(F.col("x"), F.col("y"))).select("mine")
     if most_edits > 1:
-        near = near.unionByName(near_by_parts(both.where(more).drop("n"), most_edits, words_per_edit, several))
-    near = stage(near.distinct(), "near-lines")
+        near = near.unionByName(near_by_parts(both.where(more).drop("n"), most_edits, words_per_edit, several, size=size))
+    near = stage(few_files(near.distinct(), size), "near-lines")
 
     touched = own.join(near.select(F.col("mine").alias("o"), F.lit(True).alias("near")), "o", "left").where("times > 1 or near")
-    touched = small(stage(touched.select("a", "b", "o", F.coalesce("near", F.lit(False)).alias("near")), "touched-lines"))
+    touched = small(stage(few_files(touched.select("a", "b", "o", F.coalesce("near", F.lit(False)).alias("near")), size), "touched-lines"))
     gone = lines.join(touched, ["a", "b"]).where(F.col("near") | (F.struct(*ORDER) != F.col("o")))
-    return gone.groupBy(*KEYS).agg(F.collect_set("ln").alias("gone"))
+    return few_files(gone.groupBy(*KEYS).agg(F.collect_set("ln").alias("gone")), size)
 
 
 def deduplicated(docs: DataFrame, min_words: int = 4, near_words: int = 8, most_edits: int = 1, words_per_edit: int = 10, letters: bool = False) -> DataFrame:

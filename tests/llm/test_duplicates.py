@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, graphs, line_dedup, near_dedup
+from tessera.llm import common, decontaminate, graphs, line_dedup, near_dedup
 from tests.llm.test_texts import ODD, SCHEMA
 
 
@@ -222,6 +222,43 @@ def test_without_broadcasts(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_groups(docs, 2)
 
 
+def files_of(spark, monkeypatch, run):
+    """What run() returns, and the number of files of the largest table that it stages, with 64 shuffle partitions that Spark leaves as they are."""
+    own, counts = common.stage, {}
+
+    def counted(df, name):
+        out = own(df, name)
+        counts[name] = len(out.inputFiles())
+        return out
+
+    for module in (decontaminate, line_dedup):
+        monkeypatch.setattr(module, "stage", counted)
+    many = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in many}
+    try:
+        for k, v in many.items():
+            spark.conf.set(k, v)
+        return run(), counts
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_lines_of_few_rows_are_few_files(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = lambda: sorted(map(str, line_dedup.deduplicated(docs, min_words=1, most_edits=3, letters=True).collect()))
+    want = rows()
+    found, counts = files_of(spark, monkeypatch, rows)
+    assert found == want and {"distinct-lines", "variants", "near-lines", "removals"} <= set(counts) and max(counts.values()) <= 8, counts
+
+
+def test_files_grow_with_the_source(spark):
+    rows = spark.range(0, 1000, 1, 64)
+    assert common.few_files(rows, 0).rdd.getNumPartitions() == 8 and common.few_files(rows, (20 << 22) + 1).rdd.getNumPartitions() == 21
+    assert common.few_files(rows, 1 << 40).rdd.getNumPartitions() == 64 and common.few_files(rows, 0).count() == 1000
+    assert common.staged_bytes(common.stage(rows, "sized")) > 1000
+
+
 def test_small_is_few_rows_and_few_bytes(spark):
     from tessera.llm.common import small
 
