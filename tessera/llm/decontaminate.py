@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import KEYS, lower_ascii, row_keys, small, stage
+from tessera.llm.common import KEYS, few_files, lower_ascii, row_keys, small, stage, staged_bytes
 
 #: Hashes of shingles that are broadcast at once, 16 bytes each.
 WANTED = 2_000_000
@@ -66,7 +66,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int
     have no words and no hits; items without id or words are ignored; repeated rows and items give each row
     its own result and each item id once; with no items nothing is hit.
     """
-    own = stage(windows(items, window), "windows")
+    size = window * items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]  # of the windows, at most
+    own = stage(few_files(windows(items, window), size), "windows")
     wins = own.select("win", "len").distinct()
     lengths = sorted({min(shingle, r[0]) for r in own.select("len").distinct().collect()} | {shingle})
     words = F.split("win", " ")
@@ -75,8 +76,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int
     parts = parts.withColumns({"s": F.array_join(F.slice("words", F.col("off") + 1, F.col("k")), " "), "h": run_hash(F.col("words"), F.col("off") + 1, F.col("k"))})
     # every k-th shingle and the last one cover the window
     parts = parts.withColumn("cover", (F.col("off") % F.col("k") == 0) | (F.col("off") == F.col("len") - F.col("k")))
-    parts = stage(parts.select("win", "len", "off", "s", "h", "cover"), "parts")
-    wanted = stage(parts.select("h").distinct().withColumn("wanted", F.lit(True)), "wanted")
+    parts = stage(few_files(parts.select("win", "len", "off", "s", "h", "cover"), size), "parts")
+    wanted = stage(few_files(parts.select("h").distinct().withColumn("wanted", F.lit(True)), size), "wanted")
     parts = parts.drop("h")
 
     texts = docs.select(F.col("doc_id"), *row_keys(F.col("doc_id"), F.col("text")), word_array(F.col("text")).alias("words"))
@@ -99,13 +100,14 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int
         F.array_distinct(F.collect_list(F.when(F.col("cover"), F.struct("off", "s")))).alias("cover"),
     )
     prefix = ranked.where("first.n > 0").select("win", "len", "cover", F.col("first.s").alias("s"), F.col("first.off").alias("off"))
-    prefix = small(stage(prefix, "prefixes"))
+    prefix = small(stage(few_files(prefix, size), "prefixes"))
     found = hits.join(prefix, "s").withColumn("start", F.col("pos") - F.col("off"))
     found = found.where("start >= 1 and start + len - 1 <= n_words")
     checks = found.select(*KEYS, "win", "len", "start", F.size("cover").alias("need"), F.inline("cover"))
     checks = checks.select(*KEYS, "win", "len", "start", "need", (F.col("start") + F.col("off")).alias("pos"), "s")
     proven = checks.join(hits.select(*KEYS, "pos", "s"), [*KEYS, "pos", "s"]).groupBy(*KEYS, "win", "len", "start").agg(F.count("*").alias("got"), F.first("need").alias("need"))
-    proven = stage(proven.where("got = need").drop("got", "need"), "proven")
+    size = staged_bytes(kept)
+    proven = stage(few_files(proven.where("got = need").drop("got", "need"), size), "proven")
 
     spans = F.collect_set(F.struct("start", "len"))
     places = F.flatten(F.transform(spans, lambda x: F.sequence(x["start"], x["start"] + x["len"] - 1)))
@@ -113,7 +115,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int
     named = proven.select(*KEYS, "win").distinct().join(own.select("win", "item_id"), "win")
     named = named.groupBy(*KEYS).agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
     result = kept.where("pos = 0").select("doc_id", *KEYS, "n_words").join(hit.join(named, KEYS), KEYS, "left")
-    return result.select(
+    return few_files(result, size).select(
         "doc_id", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), *KEYS,
     )

@@ -244,6 +244,14 @@ def files_of(spark, monkeypatch, run):
             spark.conf.set(k, v)
 
 
+def test_leaks_of_few_rows_are_few_files(spark, sf_dir, monkeypatch):
+    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    rows = lambda: sorted(map(str, decontaminate.find_leaks(docs, items).collect()))
+    want = rows()
+    found, counts = files_of(spark, monkeypatch, rows)
+    assert found == want and {"windows", "parts", "wanted", "prefixes", "proven"} <= set(counts) and max(counts.values()) <= 8, counts
+
+
 def test_lines_of_few_rows_are_few_files(spark, sf_dir, monkeypatch):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = lambda: sorted(map(str, line_dedup.deduplicated(docs, min_words=1, most_edits=3, letters=True).collect()))
