@@ -30,6 +30,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +43,15 @@ ORDER = [*KEYS, "ln"]
 UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3021-\u3029\u3040-\u30fa\u30fc-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
 
 
+#: What str.split takes for white space: as bytes of UTF-8, and the characters of more bytes than one.
+SPACE = np.array([chr(b).isspace() and b < 128 for b in range(256)])
+WIDE_SPACE = re.compile(f"[{''.join(c for c in map(chr, range(128, 0x3001)) if c.isspace())}]")
+#: Bits of the first 0 to 8 bytes of a little-endian number.
+FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words of more bytes are hashed one by one.
+LONG = 64
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """64-bit values whose bits all depend on all bits of x."""
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -57,6 +67,34 @@ def words_of(text: str, letters: bool) -> Iterator[list[str]]:
     return map(str.split, low.split("\n"))
 
 
+def hashed_words(texts: list[str], letters: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of all words in order, words of each line, lines of each text), with the words of `words_of`, eight bytes at a time."""
+    plain = []
+    for text in texts:
+        low = text.lower()
+        if not low.isascii():
+            low = WIDE_SPACE.sub(" ", UNSPACED.sub(r" \1 ", low) if letters else low)
+        plain.append(low)
+    raw = "\n".join(plain).encode("utf-8", "surrogatepass") + b"\n"
+    data = np.frombuffer(raw + bytes(8), np.uint8)
+    space = SPACE[data[: len(raw)]]
+    edges = np.flatnonzero(np.diff(space, prepend=True))  # the last byte is white space, so each word ends
+    starts, ends = edges[::2], edges[1::2]
+    sizes = ends - starts
+    eight = np.ndarray((len(raw) + 1,), "<u8", data, strides=(1,))  # the eight bytes from each place on
+    h = sizes.astype(np.uint64) * np.uint64(BASE)
+    at = np.flatnonzero(sizes <= LONG)
+    for k in range(0, LONG, 8):
+        at = at[sizes[at] > k]
+        if not len(at):
+            break
+        h[at] = mixed(h[at] ^ eight[starts[at] + k] & FIRST[np.minimum(sizes[at] - k, 8)])
+    for i in np.flatnonzero(sizes > LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]])
+    breaks = np.flatnonzero(data[: len(raw)] == 10)
+    return h, np.diff(np.searchsorted(starts, breaks), prepend=0), np.array([x.count("\n") + 1 for x in plain], np.int64)
+
+
 def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row (key, place, which) for each variant of each line; place 0 is the line itself."""
     inverse = np.uint64(pow(BASE, -1, 1 << 64))
@@ -130,62 +168,78 @@ def kinds(n: int, most: int, per: int, least: int) -> tuple[int, ...]:
     return tuple(sorted({k for d in range(most + 1) if n - d >= least and d <= (k := allowed(n - d, most, per))}))
 
 
+def slices(batch: pa.RecordBatch, column: str, rows: int = 200, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of so many rows and bytes of a column of texts, about; a row is not cut."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < batch.num_rows:
+        most = int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, side="right"))
+        hi = max(lo + 1, min(lo + rows, most))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def distinct_keys(docs: DataFrame, min_words: int, near_words: int, most: int, per: int, letters: bool) -> DataFrame:
-    """ORDER, a, b, parts for each line of docs: two hashes of its words, and hashes of its parts if it may have near lines."""
+    """ORDER, a, b, parts for each line of docs: two hashes of its words, and hashes of its parts if it may have near lines.
+
+    Of equal lines, one at least has the parts; most of those that a task meets again have none.
+    """
     of = docs.where("text is not null").select(*row_keys(F.col("doc_id"), F.col("text")), "text")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        class Words(dict):
-            def __missing__(self, word: str) -> int:
-                if len(self) > 60_000:
-                    self.clear()
-                self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-                return h
-
-        known, own = Words().__getitem__, lru_cache(maxsize=20_000)(lambda n: np.array(plan(n, kinds(n, most, per, near_words), near_words), np.int64).reshape(-1, 4)[:, :3])
-        none, powers, inverse = np.zeros((0, 3), np.int64), np.ones(1, np.uint64), np.ones(1, np.uint64)
+        own = lru_cache(maxsize=20_000)(lambda n: np.array(plan(n, kinds(n, most, per, near_words), near_words), np.int64).reshape(-1, 4)[:, :3])
+        none, powers, inverse, met = np.zeros((0, 3), np.int64), np.ones(1, np.uint64), np.ones(1, np.uint64), set()
         for whole in batches:
-            for lo in range(0, whole.num_rows, 200):
-                part = whole.slice(lo, 200)
-                rows, numbers, sizes, words = [], [], [], []
-                for i, text in enumerate(part.column("text").to_pylist()):
-                    for ln, line in enumerate(words_of(text, letters)):
-                        if (n := len(line)) >= min_words:
-                            rows.append(i)
-                            numbers.append(ln)
-                            sizes.append(n)
-                            words += line
-                flat, sizes = np.fromiter(map(known, words), np.uint64, len(words)), np.array(sizes, np.int64)
+            for part in slices(whole, "text"):
+                flat, sizes, counts = hashed_words(part.column("text").to_pylist(), letters)
                 ends = np.cumsum(sizes)
+                rows = np.repeat(np.arange(len(counts)), counts)
+                numbers = np.arange(len(sizes)) - np.repeat(np.cumsum(counts) - counts, counts)
+                long = sizes >= min_words
+                rows, numbers, sizes, ends = rows[long], numbers[long], sizes[long], ends[long]
                 starts = ends - sizes
                 if len(flat) >= len(powers):
                     powers, inverse = (np.cumprod(np.append(np.uint64(1), np.full(2 * len(flat), b, np.uint64))) for b in (BASE, pow(BASE, -1, 1 << 64)))
                 sums = np.append(np.uint64(0), np.cumsum(flat * powers[: len(flat)]))  # polynomials of all runs of words are differences
                 others = np.append(np.uint64(0), np.cumsum(mixed(flat) * powers[: len(flat)]))
                 a, b = (mixed((x[ends] - x[starts]) * inverse[starts] + sizes.astype(np.uint64)) for x in (sums, others))
-                cut = [own(n) if n >= near_words else none for n in sizes.tolist()]
+                cut = []
+                for n, name in zip(sizes.tolist(), a.tolist(), strict=True):
+                    new = n >= near_words and name not in met
+                    if new:
+                        met.add(name)
+                    cut.append(own(n) if new else none)
+                if len(met) > 100_000:
+                    met.clear()
                 counts = np.array([len(c) for c in cut], np.int64)
                 seed, first, last = (np.concatenate(cut) if cut else none).T
                 at = np.repeat(starts, counts)
                 parts = mixed((sums[at + last] - sums[at + first]) * inverse[at + first] ^ mixed(seed.astype(np.uint64)))
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(parts.view(np.int64)))
-                mine = part.select(KEYS).take(pa.array(rows, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*mine.columns, pa.array(numbers, pa.int32()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), lists], names=[*ORDER, "a", "b", "parts"])
+                mine = part.select(KEYS).take(pa.array(rows.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*mine.columns, pa.array(numbers.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), lists], names=[*ORDER, "a", "b", "parts"])
 
     return of.mapInArrow(released(emit), "k_null boolean, k_id long, k_text long, ln int, a long, b long, parts array<bigint>")
 
 
 def with_words(docs: DataFrame, close: DataFrame, letters: bool) -> DataFrame:
-    """ORDER, words, n of the lines of docs that close (ORDER) names, each once."""
-    lines = docs.where("text is not null").select(*row_keys(F.col("doc_id"), F.col("text")), F.posexplode(F.split("text", "\n", -1)).alias("ln", "line"))
+    """ORDER, words, n of the lines of docs that close (KEYS, lns: their numbers) names, each once."""
+    met = docs.where("text is not null").select(*row_keys(F.col("doc_id"), F.col("text")), "text").join(close, KEYS)
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = pa.array([next(words_of(x, letters)) for x in batch.column("line").to_pylist()], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*batch.select(ORDER).columns, words], names=[*ORDER, "words"])
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for part in slices(whole, "text"):
+                rows, numbers, lines = [], [], []
+                for i, (text, lns) in enumerate(zip(part.column("text").to_pylist(), part.column("lns").to_pylist(), strict=True)):
+                    own = text.split("\n")
+                    rows += [i] * len(lns)
+                    numbers += lns
+                    lines += [" ".join(next(words_of(own[ln], letters))) for ln in lns]
+                mine = part.select(KEYS).take(pa.array(rows, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*mine.columns, pa.array(numbers, pa.int32()), pa.array(lines, pa.string())], names=[*ORDER, "line"])
 
-    met = lines.join(close, ORDER).distinct().mapInArrow(released(split), "k_null boolean, k_id long, k_text long, ln int, words array<string>")
-    return met.withColumn("n", F.size("words"))
+    lines = met.mapInArrow(released(cut), "k_null boolean, k_id long, k_text long, ln int, line string").distinct()
+    return lines.select(*ORDER, F.split("line", " ").alias("words")).withColumn("n", F.size("words"))
 
 
 def within(x: list, y: list, k: int) -> bool:
@@ -302,15 +356,15 @@ def removals(docs: DataFrame, min_words: int = 4, near_words: int = 8, most_edit
     lines = stage(distinct_keys(docs, min_words, near_words, most_edits, words_per_edit, letters), "lines")
     size = staged_bytes(lines)
     first = F.min(F.struct(*ORDER)).alias("o")
-    own = stage(few_files(lines.groupBy("a", "b").agg(first, F.count("*").alias("times"), F.first("parts").alias("parts")), size), "distinct-lines")
+    own = stage(few_files(lines.groupBy("a", "b").agg(first, F.count("*").alias("times")), size), "distinct-lines")
 
-    keyed = own.select("a", F.explode(F.array_distinct("parts")).alias("part"))
+    keyed = lines.select("a", F.explode("parts").alias("part"))
     shared = stage(few_files(keyed.groupBy("part").agg(F.min("a").alias("lo"), F.max("a").alias("hi"), F.count("*").alias("lines")).where("lo < hi"), size), "shared-parts")
     # the least and the largest are all of two; of more, the lines are looked up
     many = small(stage(few_files(shared.where("lines > 2").select("part"), size), "parts-of-many"))
     close = shared.select(F.explode(F.array("lo", "hi")).alias("a")).unionByName(keyed.join(many, "part", "left_semi").select("a")).distinct()
-    close = small(stage(few_files(own.join(close, "a", "left_semi").select("o.*"), size), "close-lines"))
-    both = stage(few_files(with_words(docs, close, letters), size), "close-words")
+    close = own.join(close, "a", "left_semi").select("o.*").groupBy(*KEYS).agg(F.collect_set("ln").alias("lns"))
+    both = stage(few_files(with_words(docs, small(stage(few_files(close, size), "close-lines")), letters), size), "close-words")
     close = both.where(one).drop("n")
 
     met = close.mapInArrow(released(variants), "v long, p int, k_null boolean, k_id long, k_text long, ln int")

@@ -157,6 +157,42 @@ def test_lines_of_odd_rows(spark):
     assert line_dedup.deduplicated(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_words_hashed_in_vectors_are_those_of_split():
+    """Hashes of words, eight bytes at a time, are equal where the words are, in the lines that split() finds."""
+    draw = random.Random(11)
+    spaces = "".join(c for c in map(chr, range(0x110000)) if c.isspace())
+    letters = "ab\u00e9\u0130\u03a3\u65e5\u0e01\U0001f600\x00" + spaces
+    texts = ["", "\n", " ", "a", "x" * 63 + " " + "x" * 64 + " " + "x" * 65 + " " + "x" * 66 + "\n" + "x" * 64, *(f"a{c}b" for c in spaces), "\ud800 a"]
+    texts += ["".join(draw.choice(letters if draw.random() < 0.5 else "ab ") for _ in range(draw.randrange(150))) for _ in range(400)]
+    names = {}
+    for unspaced in (False, True):
+        for some in ([t] for t in texts), [texts]:
+            for own in some:
+                h, sizes, counts = line_dedup.hashed_words(own, unspaced)
+                lines = [list(line_dedup.words_of(t, unspaced)) for t in own]
+                assert counts.tolist() == [len(x) for x in lines] and sizes.tolist() == [len(w) for x in lines for w in x]
+                for word, name in zip((w for x in lines for line in x for w in line), h.tolist(), strict=True):
+                    assert names.setdefault(word, name) == name
+    assert len(set(names.values())) == len(names) > 500
+
+
+def test_distinct_lines_travel_without_their_parts(spark, sf_dir, monkeypatch):
+    """Parts of a line that a task meets again are made once; lines to compare are named by one row for each document."""
+    own, staged = common.stage, {}
+
+    def kept(df, name):
+        staged[name] = out = own(df, name)
+        return out
+
+    monkeypatch.setattr(line_dedup, "stage", kept)
+    docs = spark.createDataFrame([(i, f"one two three four five six seven eight nine {i // 50}\n" * 3) for i in range(100)], "doc_id long, text string").coalesce(1)
+    got = line_dedup.deduplicated(docs, min_words=1, most_edits=3, letters=True)
+    assert got.where("text = ''").count() == 99 and got.agg(F.sum("ld_removed")).head()[0] == 299
+    assert "parts" not in staged["distinct-lines"].columns and staged["distinct-lines"].count() == 2
+    assert staged["lines"].where(F.size("parts") > 0).count() == 2
+    assert staged["close-lines"].count() == 2 and staged["close-words"].count() == 2
+
+
 def brute_groups(docs, k, percent=80):
     sets = []
     for i, text in docs:
