@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -109,19 +110,26 @@ def small_batches(spark: SparkSession, size: str = "8m") -> None:
         spark.conf.set(name, size)
 
 
+def give_back() -> None:
+    """Return freed memory to the system; Arrow's pool and, where it can be told so, the C library keep it for themselves."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def released(f: Callable) -> Callable:
-    """f, a generator of Arrow batches in a task, that gives back what Arrow has freed.
+    """f, a generator of Arrow batches in a task, that gives back what it has freed.
 
-    Arrow's memory pool keeps freed memory for itself, 250 MB after the texts of one file, and workers live on between tasks.
+    Arrow's memory pool kept 250 MB after the texts of one file, the C library keeps what all others free, and workers live on
+    between tasks.
     """
-    pool = pa.default_memory_pool
 
     def batches(*args):
         for n, out in enumerate(f(*args), 1):
             yield out
             if n % 8 == 0:
-                pool().release_unused()
-        pool().release_unused()
+                pa.default_memory_pool().release_unused()
+        give_back()
 
     return batches
 

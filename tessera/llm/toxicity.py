@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import free_name, released, stage
+from tessera.llm.common import free_name, give_back, released, stage
 
 # Letters of other scripts that look like Latin ones.
 LOOKALIKES = {
@@ -36,6 +36,9 @@ LOOKALIKES = {
 # What stands for a letter inside a word; the first letter is the likelier one.
 SUBSTITUTES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "il", "|": "li"}
 
+#: Terms, or pairs of words, that a task gathers before it passes them on; one text may add more.
+HELD = 100_000
+
 TABLE = str.maketrans(LOOKALIKES)
 READINGS = [str.maketrans({c: own[min(k, len(own) - 1)] for c, own in SUBSTITUTES.items()}) for k in (0, 1)]
 DISGUISED = re.compile(r"(?<![^\W\d_])[^\W\d_]*+[013457@$!|](?:[^\W_]|[@$!|])*")
@@ -220,11 +223,19 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 12_000, min_docs:
 
         def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             both: dict[str, list[int]] = {}
+
+            def rows() -> pa.RecordBatch:
+                bad, good = ([x[k] for x in both.values()] for k in (0, 1))
+                return pa.RecordBatch.from_pydict({"term": list(both), "bad": bad, "good": good}, schema=pa.schema({"term": pa.string(), "bad": pa.int64(), "good": pa.int64()}))
+
             for batch in batches:
                 for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
                     for t in own(text):
                         both.setdefault(t, [0, 0])[0 if y else 1] += 1
-            yield pa.RecordBatch.from_pydict({"term": list(both), "bad": [x[0] for x in both.values()], "good": [x[1] for x in both.values()]}, schema=pa.schema({"term": pa.string(), "bad": pa.int64(), "good": pa.int64()}))
+                    if len(both) >= HELD:  # the sums of all rows are the same
+                        yield rows()
+                        both.clear()
+            yield rows()
 
         return sample.select("text", F.col("y").cast("long").alias("y")).mapInArrow(released(seen), "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
 
@@ -254,13 +265,20 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 12_000, min_docs:
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = set()
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"term": [p[0] for p in pairs], "before": [p[1] for p in pairs]}, schema=pa.schema({"term": pa.string(), "before": pa.string()}))
+
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 words = folded(text).split()
                 for before, written in zip(["", *words], words, strict=False):
                     for w in {written, plain(written)}:
                         pairs.update((t, before) for t in (f" {w} ", *(f" {w[:k]}" for k in range(3, len(w) + 1))) if t in strict)
-        yield pa.RecordBatch.from_pydict({"term": [p[0] for p in pairs], "before": [p[1] for p in pairs]}, schema=pa.schema({"term": pa.string(), "before": pa.string()}))
+                if len(pairs) >= HELD:  # pairs that come again are counted once
+                    yield rows()
+                    pairs.clear()
+        yield rows()
 
     # copies repeat a word in one place; an abusive word is met after many different ones
     places = sample.where("y > 0").select("text").mapInArrow(released(around), "term string, before string").groupBy("term").agg(F.countDistinct("before").alias("n"))
@@ -289,5 +307,6 @@ def scored(docs: DataFrame, lexicon: Lexicon, name: str = "score") -> DataFrame:
         for texts in batches:
             yield pd.Series([own.score(t) for t in texts], dtype="float64")
             pa.default_memory_pool().release_unused()
+        give_back()
 
     return docs.withColumn(free_name(docs, name), score(docs["text"]))

@@ -1,9 +1,12 @@
 """Toxicity, quality and page extraction, by held-out accuracy and pages made for the purpose."""
 
+import re
+from pathlib import Path
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.llm import quality, toxicity, wrappers
+from tessera.llm import common, quality, toxicity, wrappers
 from tessera.llm.common import fold
 from tests.llm.test_texts import ODD, SCHEMA
 
@@ -17,6 +20,39 @@ def held_out(spark, module, column, folds, out):
     return np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), model
 
 
+def test_toxic_terms_pass_in_bounded_parts(spark, monkeypatch):
+    """What a task counts is passed on before it grows with the task's rows; the lexicon stays the same."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    want, own = toxicity.learn(docs, labels), toxicity.released
+
+    def bounded(f):
+        def batches(rows):
+            for out in f(rows):
+                assert out.num_rows < 20_000
+                yield out
+
+        return own(batches)
+
+    monkeypatch.setattr(toxicity, "HELD", 1000)
+    monkeypatch.setattr(toxicity, "released", bounded)
+    got = toxicity.learn(docs, labels)
+    assert got.entries == want.entries != {} and got.exceptions == want.exceptions and np.allclose([got.a, got.b], [want.a, want.b])
+
+
+def test_tasks_give_freed_memory_back():
+    held = lambda: int(re.search(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+
+    def some(batches):
+        blocks = [bytes(600) for _ in range(200_000)]
+        kept.append(blocks[-1])  # at the end of the heap, which can't shrink then
+        del blocks
+        during.append(held())
+        yield from batches
+
+    kept, during = [], []
+    assert list(common.released(some)([1])) == [1] and held() < during[0] - 60
+
+
 def test_toxicity_on_held_out_rows(spark):
     scores, y, _ = held_out(spark, toxicity, "toxic", 5, 0)
     assert ((scores >= 0.5) == (y == 1)).mean() > 0.95
