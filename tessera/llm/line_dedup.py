@@ -30,12 +30,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import few_files, free_name, KEYS, released, row_keys, small, stage, staged_bytes
+from tessera.llm.common import few_files, free_name, KEYS, released, row_keys, slices, small, stage, staged_bytes
 
 BASE = 0x9E3779B97F4A7C15
 ORDER = [*KEYS, "ln"]
@@ -168,17 +167,6 @@ def kinds(n: int, most: int, per: int, least: int) -> tuple[int, ...]:
     return tuple(sorted({k for d in range(most + 1) if n - d >= least and d <= (k := allowed(n - d, most, per))}))
 
 
-def slices(batch: pa.RecordBatch, column: str, rows: int = 200, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """A batch in slices of so many rows and bytes of a column of texts, about; a row is not cut."""
-    ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.int64))
-    lo = 0
-    while lo < batch.num_rows:
-        most = int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, side="right"))
-        hi = max(lo + 1, min(lo + rows, most))
-        yield batch.slice(lo, hi - lo)
-        lo = hi
-
-
 def distinct_keys(docs: DataFrame, min_words: int, near_words: int, most: int, per: int, letters: bool) -> DataFrame:
     """ORDER, a, b, parts for each line of docs: two hashes of its words, and hashes of its parts if it may have near lines.
 

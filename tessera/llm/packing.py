@@ -16,9 +16,12 @@ block is packed on its own, and only its last sequence is short.
 from __future__ import annotations
 
 import json
+import re
 import zlib
+from codecs import charmap_decode
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -27,54 +30,121 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import released
-from tessera.llm.token_counts import PLAIN_BPE, SIMPLE, apart, has, load, spelled
+from tessera.llm.common import released, slices
+from tessera.llm.token_counts import apart, has, LETTERS, load, PLAIN_BPE, SIMPLE
 
 # What the file of a tokenizer says that lowers case, drops white space and takes runs of letters, digits or marks apart.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
 WORD_BPE = PLAIN_BPE | {"end_of_word_suffix": "</w>"}
+#: A word as in `SIMPLE` with marks behind it, or none; no apostrophe, which takes letters along.
+MARKED = re.compile(f"({SIMPLE.pattern})([!-&(-/:-@[-`{{-~]*)")
+#: How byte-level tokenizers write each byte, and a space, which no word has.
+SPELLED = bytes(range(256)).decode("latin-1").translate(LETTERS)
+BETWEEN = SPELLED[32]
+#: By byte of UTF-8: letters and marks of one byte, as in `MARKED`; those in upper case; second bytes of letters whose first byte is C3.
+LETTER, MARK = (np.array([b < 128 and bool(MARKED.fullmatch(x)) for b in range(256) for x in [before + chr(b)]]) for before in ("", "a"))
+MARK &= ~LETTER
+UPPER = LETTER & (np.arange(256) < 97)
+LATIN = np.array([128 <= b < 192 and bool(SIMPLE.fullmatch(chr(b + 64))) for b in range(256)])
 
 
 class WordIds:
-    """Token ids of texts for a byte-level tokenizer that lowers case and drops white space, as little-endian bytes.
+    """Token ids of texts for a byte-level tokenizer that lowers case and drops white space.
 
-    Such a tokenizer treats what stands between spaces or line ends on its own, and a mark behind a word apart
-    from the word, so ids of a text are those of its parts in a row; a bounded number of parts is remembered. A tokenizer whose
+    Such a tokenizer treats what stands between spaces or line ends on its own, and marks behind a word apart
+    from the word, so ids of a text are those of its parts in a row. Texts are cut in vectors, and each distinct part is looked up once; a bounded
+    number of parts is remembered. New words go to the model in one call; each ends with a token that only ends words. A tokenizer whose
     file says otherwise is called with whole texts.
     """
 
     def __init__(self, tokenizer, width: int, memory: int = 400_000):
-        kind, model = f"<u{width}", tokenizer.model
-        full = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, kind).tobytes()
-        word = lambda text: np.array([t.id for t in model.tokenize(spelled(text.lower()))], kind).tobytes()
-        marks = {m: full(m) for m in ".,"}
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
+
+        self.kind, self.width, self.memory = f"<u{width}", width, memory
+        self.full = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
         file = json.loads(tokenizer.to_str())
         parts = (file["pre_tokenizer"] or {}).get("pretokenizers", [])
         plain = (file["normalizer"] or {}).get("normalizers") == NORMALIZERS and len(parts) == 2 and parts[0] == SPLIT
         plain = plain and has(parts[1], {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}) and has(file["model"], WORD_BPE) and apart(file)
-        self.whole = None if plain else full
-
-        class Parts(dict):
-            def __missing__(self, part: str) -> bytes:
-                if len(self) > memory:
-                    self.clear()
-                if SIMPLE.fullmatch(part):
-                    ids = word(part) if part.islower() else self[part.lower()]
-                elif part[-1:] in marks and SIMPLE.fullmatch(part[:-1]):
-                    ids = self[part[:-1].lower()] + marks[part[-1]]
-                else:
-                    ids = full(part)
-                if len(part) <= 64:
-                    self[part] = ids
-                return ids
-
-        self.parts = Parts()
+        plain = plain and not any(MARKED.fullmatch(a["content"]) for a in file["added_tokens"])
+        self.whole = None if plain else self.full
+        self.parts: dict[bytes, bytes] = {}
+        if plain:
+            self.model = Tokenizer(tokenizer.model)
+            self.model.pre_tokenizer = CharDelimiterSplit(BETWEEN)
+            vocabulary = file["model"]["vocab"]
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # by id: whether it ends a word
+            self.last[[k for token, k in vocabulary.items() if token.endswith(WORD_BPE["end_of_word_suffix"])]] = True
+
+    def words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of lower-case letters, each by itself."""
+        if not words:
+            return []
+        ids = np.array(self.model.encode_batch_fast([charmap_decode(b" ".join(words), "strict", SPELLED)[0]], add_special_tokens=False)[0].ids, np.int64)
+        ends = ((np.flatnonzero(self.last[ids]) + 1) * self.width).tolist()
+        if len(ends) != len(words):  # the vocabulary has not all last letters
+            return [self.full(w.decode()) for w in words]
+        raw = ids.astype(self.kind).tobytes()
+        return [raw[a:b] for a, b in pairwise([0, *ends])]
+
+    def ids(self, parts: list[bytes], word: list[bool]) -> list[bytes]:
+        """Ids of different parts, of which some are words of lower-case letters."""
+        found = list(map(self.parts.get, parts))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        if new:
+            if len(self.parts) + len(new) > self.memory:
+                self.parts.clear()
+            own = iter(self.words([parts[i] for i in new if word[i]]))
+            for i in new:
+                found[i] = ids = next(own) if word[i] else self.full(parts[i].decode())
+                if len(parts[i]) <= 64:
+                    self.parts[parts[i]] = ids
+        return found
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, as little-endian bytes."""
+        if self.whole:
+            return list(map(self.whole, texts))
+        raw = [text.encode() for text in texts]
+        data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+        apart = (data == 32) | (data == 10)
+        edges = np.flatnonzero(np.diff(apart, prepend=True))  # the last byte stands apart, so each part ends
+        starts, ends = edges[::2], edges[1::2]
+        wide = np.append(False, data[:-1] == 0xC3) & LATIN[data]  # second bytes of letters
+        letters, marks = (np.append(0, np.cumsum(x, dtype=np.int32)) for x in (LETTER[data] | wide | np.append(wide[1:], False), MARK[data]))
+        sizes = ends - starts
+        behind = sizes - (letters[ends] - letters[starts])  # bytes that are no letters
+        word = (behind < sizes) & (marks[ends] - marks[ends - behind] == behind)
+        cut = word & (behind > 0)
+        # a word is one item and the marks behind it are another; any other part is one item as it is
+        at = np.arange(len(starts)) + np.cumsum(cut) - cut
+        first = np.zeros(len(starts) + int(cut.sum()) + 1, np.int64)
+        words = np.zeros(len(first) - 1, bool)
+        first[at], words[at] = np.cumsum(sizes) - sizes, word
+        first[at[cut] + 1] = (np.cumsum(sizes) - behind)[cut]
+        first[-1] = sizes.sum()
+        kept = data[~apart]
+        high = UPPER[kept] | wide[~apart] & (kept < 0x9F)
+        kept += (high & np.repeat(word, sizes)).astype(np.uint8) * np.uint8(32)
+        items = pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(first), pa.py_buffer(kept)]).dictionary_encode()
+        which, distinct = items.indices.to_numpy(), items.dictionary
+        simple = np.zeros(len(distinct), bool)
+        simple[which[words]] = True
+        bounds, whole = np.frombuffer(distinct.buffers()[1], np.int64, len(distinct) + 1).tolist(), distinct.buffers()[2].to_pybytes()
+        found = self.ids([whole[a:b] for a, b in pairwise(bounds)], simple.tolist())
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // self.width
+        flat, begin = np.frombuffer(b"".join(found), self.kind), np.cumsum(lengths) - lengths
+        own = lengths[which]
+        upto = np.append(0, np.cumsum(own))
+        ids = flat[np.repeat(begin[which] - upto[:-1], own) + np.arange(upto[-1])].tobytes()
+        parts = np.searchsorted(starts, np.cumsum([len(x) + 1 for x in raw]))  # parts up to the end of each text
+        bounds = (upto[np.append(at, len(words))[parts]] * self.width).tolist()
+        return [ids[a:b] for a, b in pairwise([0, *bounds])]
 
     def __call__(self, text: str) -> bytes:
-        if self.whole:
-            return self.whole(text)
-        return b"".join(map(self.parts.__getitem__, text.replace("\n", " ").split(" ")))
+        return self.many([text])[0]
 
 
 def place(lengths: list[int], losses: list[int], tokens: int, segments: int, loss: int, gap: int, counts: list[int] | None = None) -> list[tuple[int, int, int, int, int]]:
@@ -151,9 +221,10 @@ def packed(docs: DataFrame, path: str, end_id: int = 2, tokens: int = 4096, segm
         ids_of, last = WordIds(tokenizer, width), end_id.to_bytes(width, "little")
         rows: list[tuple] = []
         seen: Counter[int] = Counter()  # how often a hash of id, start and tokens was met
-        for batch in batches:
-            for doc, text, own, count in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "loss", "count")), strict=True):
-                ids = ids_of(text) + last
+        for batch in chain.from_iterable(slices(whole, "text", 2_000, 3 << 20) for whole in batches):
+            docs_, texts, losses, counts = (batch.column(c).to_pylist() for c in ("doc_id", "text", "loss", "count"))
+            for doc, ids, own, count in zip(docs_, ids_of.many(texts), losses, counts, strict=True):
+                ids += last
                 n = len(ids) // width
                 own = n if own is None else max(0, min(own, n))
                 for a in range(0, n, tokens):

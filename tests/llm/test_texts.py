@@ -75,6 +75,20 @@ def test_word_ids_are_the_tokenizers_own(text):
     assert got == WORDS.encode(text, add_special_tokens=False).ids
 
 
+def test_new_words_go_to_the_model_in_one_call():
+    ids_of, calls = packing.WordIds(WORDS, 2, memory=40), []
+    inner, full = ids_of.model, ids_of.full
+    ids_of.model = type("Model", (), {"encode_batch_fast": lambda self, texts, **k: calls.append(texts) or inner.encode_batch_fast(texts, **k)})()
+    ids_of.full = lambda text: calls.append(text) or full(text)
+    texts = ["The ÉTÉ, straße (été)!! the end...", "", "  ", "The\nend", "x<|endoftext|>.", "don't", "Été!! " * 3, "ÀÞßÿ×÷ ÀÞß ÷", "\n"]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u2").tolist() for x in ids_of.many(texts)] == [WORDS.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sum(isinstance(c, list) for c in calls) == 1 and len(calls) == len({str(c) for c in calls})  # nothing is asked twice
+    for k in range(30):  # more parts than are remembered
+        more = [f"{chr(97 + k % 26)}{chr(97 + j)}{'z' * k}, W{chr(65 + j)}!!" for j in range(9)]
+        assert [np.frombuffer(x, "<u2").tolist() for x in ids_of.many(more)] == [WORDS.encode(t, add_special_tokens=False).ids for t in more]
+
+
 def test_counts_of_odd_rows(spark):
     rows = token_counts.counted(spark.createDataFrame(ODD, SCHEMA), public_tokenizers.path("byte_bpe_50k.json")).collect()
     want = sorted((-1 if i is None else i, len((t or "").encode()), len(BYTES.encode(t or "", add_special_tokens=False).ids)) for i, t, *_ in ODD)
