@@ -315,6 +315,7 @@ def near_by_parts(close: DataFrame, most: int, per: int, least: int, shared: int
     keys_of = keys.join(small(counts.where(F.col("lines") <= shared).select("v")), "v", "left_semi")
     if hot.head(1):
         own = keys.join(small(hot), "v", "left_semi").groupBy("who").agg(F.collect_list("v").alias("hot"))  # as many as a line has parts
+        own = small(stage(few_files(own, size), "lines-of-hot-parts"))  # few; the lines' words need not travel to them
         keys_of = keys_of.unionByName(hashed.join(own, "who").mapInArrow(released(emit), keyed))
     keys = stage(few_files(keys_of, size), "keys")
 
@@ -351,7 +352,8 @@ def removals(docs: DataFrame, min_words: int = 4, near_words: int = 8, most_edit
     # the least and the largest are all of two; of more, the lines are looked up
     many = small(stage(few_files(shared.where("lines > 2").select("part"), size), "parts-of-many"))
     close = shared.select(F.explode(F.array("lo", "hi")).alias("a")).unionByName(keyed.join(many, "part", "left_semi").select("a")).distinct()
-    close = own.join(close, "a", "left_semi").select("o.*").groupBy(*KEYS).agg(F.collect_set("ln").alias("lns"))
+    first_close = stage(few_files(own.join(close, "a", "left_semi").select("a", "b", "o"), size), "first-close-lines")
+    close = first_close.select("o.*").groupBy(*KEYS).agg(F.collect_set("ln").alias("lns"))
     both = stage(few_files(with_words(docs, small(stage(few_files(close, size), "close-lines")), letters), size), "close-words")
     close = both.where(one).drop("n")
 
@@ -372,8 +374,10 @@ def removals(docs: DataFrame, min_words: int = 4, near_words: int = 8, most_edit
         near = near.unionByName(near_by_parts(both.where(more).drop("n"), most_edits, words_per_edit, several, size=size))
     near = stage(few_files(near.distinct(), size), "near-lines")
 
-    touched = own.join(near.select(F.col("mine").alias("o"), F.lit(True).alias("near")), "o", "left").where("times > 1 or near")
-    touched = small(stage(few_files(touched.select("a", "b", "o", F.coalesce("near", F.lit(False)).alias("near")), size), "touched-lines"))
+    # near lines are among the close ones, so not all lines need to meet them
+    touched = first_close.join(near.select(F.col("mine").alias("o")), "o").select("a", "b", "o", F.lit(True).alias("near"))
+    touched = touched.unionByName(own.where("times > 1").select("a", "b", "o", F.lit(False).alias("near"))).groupBy("a", "b", "o").agg(F.max("near").alias("near"))
+    touched = small(stage(few_files(touched, size), "touched-lines"))
     gone = lines.join(touched, ["a", "b"]).where(F.col("near") | (F.struct(*ORDER) != F.col("o")))
     return few_files(gone.groupBy(*KEYS).agg(F.collect_set("ln").alias("gone")), size)
 

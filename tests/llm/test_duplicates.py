@@ -209,6 +209,27 @@ def brute_groups(docs, k, percent=80):
     return sorted((docs[x][0], len(sets[x]), least[root[x]]) for x in range(len(docs)))
 
 
+def test_few_lines_meet_without_moving_all(spark, monkeypatch):
+    plans = {}
+
+    def seen(df, name):
+        plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString())
+        return common.stage(df, name)
+
+    monkeypatch.setattr(line_dedup, "stage", seen)
+    base = [f"w{i}" for i in range(60)]
+    far = [" ".join(base[:30] + [f"x{k}y{i}" for i in range(30)]) for k in range(12)]  # a part in common, but not near
+    near = [" ".join([*base[:30], f"z{k}", *[f"x0y{i}" for i in range(1, 30)]]) for k in range(2)]
+    docs = spark.createDataFrame([(k, line) for k, line in enumerate([*far, *near, "only equal", "only equal", near[1]])], "doc_id long, text string")
+    got = line_dedup.removals(docs, min_words=1, most_edits=3)
+    assert {(r.k_id, tuple(r.gone)) for r in got.collect()} == {(12, (0,)), (13, (0,)), (15, (0,)), (16, (0,))}
+    sides = plans["touched-lines"].split("Union")[1]
+    assert "(times" in sides and sides.count("Join") == 1  # of all lines only those that occur again take part, and without a join
+    rows = docs.limit(12).select(F.lit(False).alias("k_null"), F.col("doc_id").alias("k_id"), F.lit(0).cast("long").alias("k_text"), F.lit(0).alias("ln"), F.split("text", " ").alias("words"))
+    assert line_dedup.near_by_parts(rows, 3, 10, 20, shared=5).count() == 0
+    assert "lines-of-hot-parts" in plans  # counted, and broadcast if they are few
+
+
 @pytest.mark.parametrize("k", [2, 5])
 def test_near_copies(spark, sf_dir, k):
     base = [f"w{i}" for i in range(100)]
