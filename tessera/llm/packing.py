@@ -47,6 +47,8 @@ LETTER, MARK = (np.array([b < 128 and bool(MARKED.fullmatch(x)) for b in range(2
 MARK &= ~LETTER
 UPPER = LETTER & (np.arange(256) < 97)
 LATIN = np.array([128 <= b < 192 and bool(SIMPLE.fullmatch(chr(b + 64))) for b in range(256)])
+#: Bytes of texts that are cut at once; the vectors for them take many times as much.
+SLICE = 1 << 20
 
 
 class WordIds:
@@ -221,7 +223,7 @@ def packed(docs: DataFrame, path: str, end_id: int = 2, tokens: int = 4096, segm
         ids_of, last = WordIds(tokenizer, width), end_id.to_bytes(width, "little")
         rows: list[tuple] = []
         seen: Counter[int] = Counter()  # how often a hash of id, start and tokens was met
-        for batch in chain.from_iterable(slices(whole, "text", 2_000, 3 << 20) for whole in batches):
+        for batch in chain.from_iterable(slices(whole, "text", 2_000, SLICE) for whole in batches):
             docs_, texts, losses, counts = (batch.column(c).to_pylist() for c in ("doc_id", "text", "loss", "count"))
             for doc, ids, own, count in zip(docs_, ids_of.many(texts), losses, counts, strict=True):
                 ids += last

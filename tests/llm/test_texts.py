@@ -120,6 +120,32 @@ def test_pieces_give_back_every_document(spark, sf_dir):
     assert packing.packed(spark.createDataFrame([], "doc_id long, text string"), public_tokenizers.path("word_bpe_49k.json")).count() == 0
 
 
+def test_a_packing_task_cuts_texts_in_small_parts(spark, monkeypatch):
+    """Vectors of a task are bounded, and what it frees goes back before it ends."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tessera.llm import common
+
+    tasks, given = [], []
+    monkeypatch.setattr(packing, "released", lambda f: tasks.append(f) or common.released(f))
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    text = "Some words, and more (of them)! " * 64
+    docs = [(i, text, None, 1) for i in range(6_000)]
+    packing.packed(spark.createDataFrame(docs[:9], "doc_id long, text string, loss long, count int"), public_tokenizers.path("word_bpe_49k.json"))
+    names, kinds = ["doc_id", "text", "loss", "count"], [pa.int64(), pa.string(), pa.int64(), pa.int32()]
+    batch = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*docs, strict=True), kinds, strict=True)], names=names)
+    rows = sum(out.num_rows for out in tasks[0](iter([batch.slice(0, 600)])))  # what loads once is loaded
+    tracemalloc.start()
+    try:
+        rows += sum(out.num_rows for out in common.released(tasks[0])(iter([batch])))
+        assert tracemalloc.get_traced_memory()[1] < 110 << 20
+    finally:
+        tracemalloc.stop()
+    assert rows == 6_600 and len(given) > 1
+
+
 def test_loss_limit_counts_the_end_of_a_document():
     got = packing.place([100, 100, 50], [10, 10, 50], tokens=200, segments=9, loss=20, gap=0)
     loss = {}
