@@ -59,13 +59,15 @@ def staged_bytes(df: DataFrame) -> int:
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
 
 
-def few_files(df: DataFrame, size: int) -> DataFrame:
+def few_files(df: DataFrame, size: int, fewer: int = 1) -> DataFrame:
     """df, to be staged, in a partition for each FILE_BYTES of its source, which has `size` bytes, and two for each core at least.
 
-    A shuffle's partitions are as many as the session says, however few rows there are; each would become a file, and on a local
-    file system Hadoop starts chmod processes for every file.
+    A shuffle's partitions are as many as the session says, however few rows there are; each would become a file. On a local file
+    system Hadoop starts several processes for every file, each of which shares all pages of its executor until it runs chmod. A
+    table that has few rows of its source is written in `fewer` times fewer partitions, one at least.
     """
-    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // FILE_BYTES)))
+    least = max(1, 2 * df.sparkSession.sparkContext.defaultParallelism // fewer)
+    return df.coalesce(max(least, -(-size // (fewer * FILE_BYTES))))
 
 
 #: Folders of staged tables that this driver has written and not removed.

@@ -47,6 +47,8 @@ SPACE = np.array([chr(b).isspace() and b < 128 for b in range(256)])
 WIDE_SPACE = re.compile(f"[{''.join(c for c in map(chr, range(128, 0x3001)) if c.isspace())}]")
 #: Bits of the first 0 to 8 bytes of a little-endian number.
 FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: How many times fewer files than `few_files` gives otherwise hold lines to compare, and what names few lines or parts.
+SOME, FEW = 2, 8
 #: Words of more bytes are hashed one by one.
 LONG = 64
 
@@ -309,21 +311,21 @@ def near_by_parts(close: DataFrame, most: int, per: int, least: int, shared: int
         return (F.abs(n - m) <= k) & (apart <= 2 * k)
 
     keyed = f"who {who_type}, n int, x0 long, x1 long, v long"
-    keys = stage(few_files(hashed.mapInArrow(released(emit), keyed), size), "part-keys")
-    counts = stage(few_files(keys.groupBy("v").agg(F.count("*").alias("lines")).where("lines > 1"), size), "shared-parts")
+    keys = stage(few_files(hashed.mapInArrow(released(emit), keyed), size, SOME), "part-keys")
+    counts = stage(few_files(keys.groupBy("v").agg(F.count("*").alias("lines")).where("lines > 1"), size, FEW), "shared-parts")
     hot = counts.where(F.col("lines") > shared).select("v")
     keys_of = keys.join(small(counts.where(F.col("lines") <= shared).select("v")), "v", "left_semi")
     if hot.head(1):
         own = keys.join(small(hot), "v", "left_semi").groupBy("who").agg(F.collect_list("v").alias("hot"))  # as many as a line has parts
-        own = small(stage(few_files(own, size), "lines-of-hot-parts"))  # few; the lines' words need not travel to them
+        own = small(stage(few_files(own, size, FEW), "lines-of-hot-parts"))  # few; the lines' words need not travel to them
         keys_of = keys_of.unionByName(hashed.join(own, "who").mapInArrow(released(emit), keyed))
-    keys = stage(few_files(keys_of, size), "keys")
+    keys = stage(few_files(keys_of, size, SOME), "keys")
 
     cell = F.floor(F.col("n") / (most + 1)).alias("cell")
     x = keys.select("*", cell).alias("x")
     first = keys.select("v", cell, F.struct("who", "n", "x0", "x1").alias("l")).groupBy("v", "cell").agg(F.min("l").alias("l")).select("v", "cell", "l.*").alias("y")
     on = (F.col("x.v") == F.col("y.v")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.who") != F.col("y.who"))
-    found = stage(few_files(near(x.join(first, on & likely("x", "y")).select(F.col("x.who").alias("mine"), F.col("y.who").alias("earlier"))), size), "near-to-first")
+    found = stage(few_files(near(x.join(first, on & likely("x", "y")).select(F.col("x.who").alias("mine"), F.col("y.who").alias("earlier"))), size, FEW), "near-to-first")
 
     lengths = F.explode(F.sequence(F.col("n") - most, F.col("n") + most)).alias("m")
     rest = keys.join(found, keys["who"] == found["mine"], "left_anti").select("*", lengths).alias("x")
@@ -348,17 +350,17 @@ def removals(docs: DataFrame, min_words: int = 4, near_words: int = 8, most_edit
     own = stage(few_files(lines.groupBy("a", "b").agg(first, F.count("*").alias("times")), size), "distinct-lines")
 
     keyed = lines.select("a", F.explode("parts").alias("part"))
-    shared = stage(few_files(keyed.groupBy("part").agg(F.min("a").alias("lo"), F.max("a").alias("hi"), F.count("*").alias("lines")).where("lo < hi"), size), "shared-parts")
+    shared = stage(few_files(keyed.groupBy("part").agg(F.min("a").alias("lo"), F.max("a").alias("hi"), F.count("*").alias("lines")).where("lo < hi"), size, SOME), "shared-parts")
     # the least and the largest are all of two; of more, the lines are looked up
-    many = small(stage(few_files(shared.where("lines > 2").select("part"), size), "parts-of-many"))
+    many = small(stage(few_files(shared.where("lines > 2").select("part"), size, FEW), "parts-of-many"))
     close = shared.select(F.explode(F.array("lo", "hi")).alias("a")).unionByName(keyed.join(many, "part", "left_semi").select("a")).distinct()
-    first_close = stage(few_files(own.join(close, "a", "left_semi").select("a", "b", "o"), size), "first-close-lines")
+    first_close = stage(few_files(own.join(close, "a", "left_semi").select("a", "b", "o"), size, SOME), "first-close-lines")
     close = first_close.select("o.*").groupBy(*KEYS).agg(F.collect_set("ln").alias("lns"))
-    both = stage(few_files(with_words(docs, small(stage(few_files(close, size), "close-lines")), letters), size), "close-words")
+    both = stage(few_files(with_words(docs, small(stage(few_files(close, size, FEW), "close-lines")), letters), size, SOME), "close-words")
     close = both.where(one).drop("n")
 
     met = close.mapInArrow(released(variants), "v long, p int, k_null boolean, k_id long, k_text long, ln int")
-    met = stage(few_files(met, size), "variants")
+    met = stage(few_files(met, size, SOME), "variants")
     mine = F.struct(*ORDER)
     # by key: its earliest line, its last, and the line that equals the key; keys of one line are done with
     whole = met.groupBy("v").agg(F.min(mine).alias("any"), F.max(mine).alias("last"), F.min(F.when(F.col("p") == 0, mine)).alias("same")).where("any < last")
@@ -372,14 +374,14 @@ def removals(docs: DataFrame, min_words: int = 4, near_words: int = 8, most_edit
     near = found.where(one_edit(F.col("x"), F.col("y"))).select("mine")
     if most_edits > 1:
         near = near.unionByName(near_by_parts(both.where(more).drop("n"), most_edits, words_per_edit, several, size=size))
-    near = stage(few_files(near.distinct(), size), "near-lines")
+    near = stage(few_files(near.distinct(), size, FEW), "near-lines")
 
     # near lines are among the close ones, so not all lines need to meet them
     touched = first_close.join(near.select(F.col("mine").alias("o")), "o").select("a", "b", "o", F.lit(True).alias("near"))
     touched = touched.unionByName(own.where("times > 1").select("a", "b", "o", F.lit(False).alias("near"))).groupBy("a", "b", "o").agg(F.max("near").alias("near"))
-    touched = small(stage(few_files(touched, size), "touched-lines"))
+    touched = small(stage(few_files(touched, size, FEW), "touched-lines"))
     gone = lines.join(touched, ["a", "b"]).where(F.col("near") | (F.struct(*ORDER) != F.col("o")))
-    return few_files(gone.groupBy(*KEYS).agg(F.collect_set("ln").alias("gone")), size)
+    return few_files(gone.groupBy(*KEYS).agg(F.collect_set("ln").alias("gone")), size, FEW)
 
 
 def deduplicated(docs: DataFrame, min_words: int = 4, near_words: int = 8, most_edits: int = 1, words_per_edit: int = 10, letters: bool = False) -> DataFrame:

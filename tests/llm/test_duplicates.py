@@ -317,6 +317,18 @@ def test_lines_of_few_rows_are_few_files(spark, sf_dir, monkeypatch):
     assert found == want and {"distinct-lines", "variants", "near-lines", "removals"} <= set(counts) and max(counts.values()) <= 8, counts
 
 
+def test_tables_that_name_few_lines_are_single_files(spark, sf_dir, monkeypatch):
+    """Each file starts processes; what has few rows of its source is not written by as many tasks as that."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = lambda: sorted(map(str, line_dedup.deduplicated(docs, min_words=1, most_edits=3, letters=True).collect()))
+    want = rows()
+    found, counts = files_of(spark, monkeypatch, rows)
+    few = ("parts-of-many", "close-lines", "near-to-first", "near-lines", "touched-lines", "removals")
+    assert found == want and max(counts.get(name, 1) for name in few) == 1 and sum(counts.values()) <= 45, counts
+    wide = spark.range(0, 1000, 1, 64)
+    assert [common.few_files(wide, size, 8).rdd.getNumPartitions() for size in (0, (20 << 22) + 1, 1 << 40)] == [1, 3, 64]
+
+
 def test_files_grow_with_the_source(spark):
     rows = spark.range(0, 1000, 1, 64)
     assert common.few_files(rows, 0).rdd.getNumPartitions() == 8 and common.few_files(rows, (20 << 22) + 1).rdd.getNumPartitions() == 21
