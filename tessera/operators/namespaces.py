@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from tessera.operators.staging import rounds, staged
 
 
-def visible(owned: DataFrame, imports: DataFrame) -> DataFrame:
-    """package, name, kind, steps: all names that each package shows.
+def visible(owned: DataFrame, imports: DataFrame, most_steps: int | None = None) -> DataFrame:
+    """package, name, kind, steps: all names that each package shows, or those that at most `most_steps` imports in a row lead to.
 
     owned has package, name, kind. imports has package, ord, target, form (`all`: every name of the target, `member`: one name of it, anything else: not listed) and name.
     What is nearer wins: a package's own name, then fewer imports in a row, then the earlier import, then the lesser kind.
@@ -23,7 +23,7 @@ def visible(owned: DataFrame, imports: DataFrame) -> DataFrame:
         seen = new = stage(own)
         edges = stage(imports.where("form in ('all', 'member')").select(F.col("package").alias("to"), "ord", F.col("target").alias("package"), F.when(F.col("form") == "member", F.col("name")).alias("only")).distinct())
         steps = 0
-        while not new.isEmpty():
+        while steps != most_steps and not new.isEmpty():
             steps += 1
             come = new.join(edges, "package").where("only is null or only = name").groupBy(F.col("to").alias("package"), "name").agg(F.min(F.struct("ord", "kind")).alias("first"))
             come = come.select("package", "name", F.col("first.kind").alias("kind"), F.lit(steps).alias("steps"))
