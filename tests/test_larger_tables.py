@@ -1,7 +1,15 @@
 """Queries on made-up tables that are larger or longer than the given ones, against their SQL or brute force."""
 
+import re
+
 import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
+from tessera.functions.vectors import cosine
+from tessera.operators import search
 from tessera.plans import catalogue
 
 
@@ -19,3 +27,46 @@ def test_names_come_over_twelve_imports_at_most(spark, tmp_path):
     want = by_sql("library_names", tmp_path, "part")
     got = catalogue.queries()["library_names"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == sorted(want) and max(g.steps for g in got) == 12
+
+
+def test_neighbours_of_odd_vectors_are_those_of_all_pairs(spark):
+    r = np.random.default_rng(9)
+    base = r.normal(size=6)
+    rows = [(i, r.normal(size=6).tolist()) for i in range(150)]
+    rows += [(200 + i, (base * (1 + i % 3)).tolist()) for i in range(40)]  # more copies than are asked for
+    rows += [(300 + i, (base + 3e-4 * r.normal(size=6)).tolist()) for i in range(60)]  # cosines that are rounded alike
+    rows += [(400, None), (401, []), (402, [0.0] * 6), (403, [1.0, None] * 3), (404, [float("nan")] * 6), (405, [float("inf")] + [1.0] * 5), (406, [1.0] * 3), (407, [2.0, 1.0, 0.0])]
+    rows += [(408, [1e200] * 6), (409, [1e-200] * 6), (410, [1e-170] * 6), (None, base.tolist()), (3, base.tolist()), (411, [5e-324] * 6), (412, [1e160] + [0.0] * 5)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    asked = table.where("vec_id % 7 = 3 or vec_id >= 400").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    pairs = table.join(asked, F.col("query") != F.col("vec_id")).select("query", "vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("cosine"))
+    for k in (1, 7, 500):
+        want = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "vec_id"))).where(F.col("rank") <= k).collect()
+        for block in (8192, 9):
+            got = search.neighbours(table, asked, k, block)
+            assert got.dtypes == [("query", "bigint"), ("vec_id", "bigint"), ("cosine", "double"), ("rank", "int")]
+            assert sorted(map(str, got.collect())) == sorted(map(str, want))
+    assert search.neighbours(table, asked.limit(0), 5).count() == 0 and search.neighbours(table.limit(0), asked, 5).count() == 0
+
+
+def test_many_queries_are_compared_as_matrices():
+    r = np.random.default_rng(10)
+    x, y = r.normal(size=(300, 32)), r.normal(size=(5000, 32))
+    unit = lambda m: (m / np.linalg.norm(m, axis=1)[:, None]).astype(np.float32)
+    group = lambda ids, m: (ids, m, np.sqrt((m * m).sum(axis=1)), unit(m), np.ones(len(m), bool))
+    best, exact = search.Best(300, 10), []
+    add = best.add
+    best.add = lambda query, ids, value: (exact.append(len(ids)), add(query, ids, value))
+    for lo in range(0, 5000, 1000):
+        search.compare(best, np.arange(300), group(np.arange(300), x), group(np.arange(1000 + lo, 2000 + lo), y[lo : lo + 1000]))
+    assert best.id.tolist() == (np.argsort(-unit(x).astype(float) @ unit(y).astype(float).T, axis=1)[:, :10] + 1000).tolist()
+    assert sum(exact) < 300 * 5000 / 50  # pairs whose cosine is computed in full
+
+
+def plan_of(rows):
+    return rows._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["vector_knn_query_set"])
+def test_query_sets_meet_rows_without_nested_loops(spark, sf_dir, name):
+    assert not re.search("NestedLoopJoin|CartesianProduct", plan_of(catalogue.queries()[name](spark, sf_dir)))
