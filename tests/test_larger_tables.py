@@ -67,6 +67,6 @@ def plan_of(rows):
     return rows._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["vector_knn_query_set"])
+@pytest.mark.parametrize("name", ["vector_knn_query_set", "mmr_rerank"])
 def test_query_sets_meet_rows_without_nested_loops(spark, sf_dir, name):
     assert not re.search("NestedLoopJoin|CartesianProduct", plan_of(catalogue.queries()[name](spark, sf_dir)))
