@@ -1,6 +1,6 @@
 """A stored inverted index with positions: added to and deleted from by document, and read by a search in place of the texts.
 
-`add` writes the postings of some documents as a segment: for each term and block of documents one row with its postings (document, occurrences, length,
+`add` writes the postings of some documents as a segment: for each term and block of documents one row, or a few, with its postings (document, occurrences, length,
 positions) and two bounds, the most occurrences and the least length. Rows lie in a folder for each bucket of terms, so a search reads the buckets of
 the terms it asks for. A document that comes again, or is deleted, leaves a tombstone, after which its postings in earlier segments do not count;
 `compact` writes one segment of what counts.
@@ -16,7 +16,11 @@ the documents of each query's best blocks is a bound from below, and only blocks
 from __future__ import annotations
 
 import time
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +28,8 @@ from tessera.functions.text import terms as words_of
 from tessera.operators.staging import rounds, staged
 
 BUCKETS = 64
+FILES = 4  # files for each bucket of a segment, at most
+WORDS = 1_000_000  # words that a task gathers at once, but for a longer document
 K1, B = 1.2, 0.75
 
 
@@ -36,22 +42,168 @@ def exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
+def one_each(docs: DataFrame, stage: Callable) -> DataFrame:
+    """docs with one row, the least text, for each id; only texts of ids that repeat are shuffled."""
+    own = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    again = stage(own.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    if again.isEmpty():
+        return own
+    return own.join(again, "doc_id", "left_anti").unionByName(own.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
+
+
+def hashes(terms: pa.Array) -> np.ndarray:
+    """What Spark's xxhash64 gives for texts, as unsigned."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turned = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+    mixed = lambda lane, word: turned(lane + word * p2, 31) * p1
+    seed, lens = np.uint64(42), pc.binary_length(terms).to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.zeros(len(lens), np.uint64)
+    data = np.frombuffer(b"".join(x.as_buffer() for x in terms.cast(pa.binary())) + b"\0" * 8, np.uint8)
+    starts = np.cumsum(lens) - lens
+    with np.errstate(over="ignore"):
+        for n in np.unique(lens).tolist():  # all texts of a length at once
+            own = np.flatnonzero(lens == n)
+            byte = data[starts[own][:, None] + np.arange(n)].astype(np.uint64) if n else np.zeros((len(own), 0), np.uint64)
+            word = lambda at, size: sum((byte[:, at + i] << np.uint64(8 * i) for i in range(size)), np.zeros(len(byte), np.uint64))  # noqa: E731, B023
+            at, h = 0, np.full(len(own), seed + p5)
+            if n >= 32:
+                lanes = [np.full(len(own), seed + x) for x in (p1 + p2, p2, np.uint64(0), np.uint64(0) - p1)]
+                while at + 32 <= n:
+                    lanes = [mixed(lane, word(at + 8 * i, 8)) for i, lane in enumerate(lanes)]
+                    at += 32
+                h = sum((turned(lane, r) for lane, r in zip(lanes, (1, 7, 12, 18), strict=True)), np.zeros(len(own), np.uint64))
+                for lane in lanes:
+                    h = (h ^ mixed(np.uint64(0), lane)) * p1 + p4
+            h = h + np.uint64(n)
+            while at + 8 <= n:
+                h, at = turned(h ^ mixed(np.uint64(0), word(at, 8)), 27) * p1 + p4, at + 8
+            if at + 4 <= n:
+                h, at = turned(h ^ (word(at, 4) * p1), 23) * p2 + p3, at + 4
+            while at < n:
+                h, at = turned(h ^ (byte[:, at] * p5), 11) * p1, at + 1
+            h = (h ^ (h >> np.uint64(33))) * p2
+            h = (h ^ (h >> np.uint64(29))) * p3
+            out[own] = h ^ (h >> np.uint64(32))
+    return out
+
+
+def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, block, words to place, postings: for each run of documents and each place of the index, the postings of all terms there, as compressed flat arrays."""
+    for batch in batches:
+        lens = pc.list_value_length(batch.column("words")).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, lo = np.cumsum(lens), 0
+        while lo < len(lens):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + WORDS, "right")))
+            n, words = lens[lo:hi], pc.list_flatten(batch.column("words").slice(lo, hi - lo)).dictionary_encode()
+            ids, block = batch.column("doc_id").slice(lo, hi - lo), batch.column("block").to_numpy()[lo:hi].astype(np.int64)
+            lo = hi
+            if not len(words):
+                continue
+            terms = words.dictionary
+            own_bucket = hashes(terms).astype(np.int64) % BUCKETS
+            by_bucket = np.lexsort((pc.rank(terms).to_numpy(), own_bucket))  # codes in order of buckets and terms
+            rank = np.empty_like(by_bucket)
+            rank[by_bucket] = np.arange(len(rank))
+            blocks = int(block.max()) + 1
+            code, doc = rank[words.indices.to_numpy()], np.repeat(np.arange(len(n)), n)
+            at = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+            place = own_bucket[by_bucket][code] * FILES + block[doc] % FILES
+            order = np.argsort((place * len(rank) + code) * blocks + block[doc], kind="stable")
+            place, code, doc, at = place[order], code[order], doc[order], at[order]
+            new = (np.diff(code, prepend=-1) != 0) | (np.diff(block[doc], prepend=-1) != 0)
+            row = np.flatnonzero(new)  # first word of each term and block
+            post = np.flatnonzero(new | (np.diff(doc, prepend=-1) != 0))  # and of each document in them
+            times, n_posts = np.diff(np.append(post, len(doc))), np.diff(np.searchsorted(post, np.append(row, len(doc))))
+            step = np.diff(at, prepend=0)
+            step[post] = at[post]  # places but the first as steps from the one before, which compresses better
+            cut = np.append(np.flatnonzero(np.diff(place, prepend=-1)), len(place))
+            at_row, at_post = np.searchsorted(row, cut), np.searchsorted(post, cut)
+            columns = [terms.take(pa.array(by_bucket[code[row]])), pa.array(block[doc[row]], pa.int32()), pa.array(n_posts, pa.int32())]
+            posts = [ids.take(pa.array(doc[post])), pa.array(n[doc[post]], pa.int32()), pa.array(times, pa.int32())]
+            step, packed = pa.array(step, pa.int32()), []
+            for k in range(len(cut) - 1):
+                r, p, w = slice(at_row[k], at_row[k + 1]), slice(at_post[k], at_post[k + 1]), slice(cut[k], cut[k + 1])
+                packed.append(pack([c[r] for c in columns], [c[p] for c in posts], [step[w]]))
+            yield pa.RecordBatch.from_arrays([pa.array(place[cut[:-1]], pa.int32()), pa.array(packed, pa.binary())], names=["place", "postings"])
+
+
+def pack(*groups: list[pa.Array]) -> bytes:
+    """Groups of arrays, each of one length, as compressed record batches."""
+    sink = pa.BufferOutputStream()
+    for group in groups:
+        rows = pa.RecordBatch.from_arrays(group, names=[str(i) for i in range(len(group))])
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(data: bytes) -> list[pa.Array]:
+    source, out = pa.BufferReader(data), []
+    for _ in range(3):
+        (rows,) = pa.ipc.open_stream(source)
+        out += rows.columns
+    return out
+
+
+def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """place, postings (by place) to term, block, postings, most, least, bucket: runs of what `found` gave become one row for each term and block."""
+    run, words, at = [], 0, None
+    for batch in batches:
+        for place, data in zip(batch.column("place").to_pylist(), batch.column("postings"), strict=True):
+            if run and (place != at or words > 4 * WORDS):
+                yield merged(run, at)
+                run, words = [], 0
+            run.append(unpacked(data.as_py()))
+            words, at = words + len(run[-1][-1]), place
+    if run:
+        yield merged(run, at)
+
+
+def merged(run: list[list[pa.Array]], place: int) -> pa.RecordBatch:
+    """What some packed postings of a place hold, in order of terms and blocks."""
+    term, block, n_posts, ids, lens, times, steps = (pa.concat_arrays([x[c] for x in run]) for c in range(7))
+    n_posts, times, block = n_posts.to_numpy(), times.to_numpy().astype(np.int64), block.to_numpy()
+    order = np.lexsort((block, pc.rank(term, tiebreaker="dense").to_numpy()))
+    # postings and places in order of their rows
+    spans = lambda first, n: np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    post = spans((np.cumsum(n_posts) - n_posts)[order], n_posts[order])
+    word = spans((np.cumsum(times) - times)[post], times[post])
+    term, block, n_posts, times, lens = term.take(pa.array(order)), block[order], n_posts[order], times[post], lens.to_numpy()[post]
+    first = np.cumsum(times) - times
+    sums = np.cumsum(steps.to_numpy()[word].astype(np.int64))
+    places = sums - np.repeat(sums[first] - steps.to_numpy()[word][first], times)
+    code = term.dictionary_encode().indices.to_numpy()
+    row = np.flatnonzero((np.diff(code, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
+    ends = np.append(0, np.cumsum(n_posts))[np.append(row, len(code))]
+    posting = pa.StructArray.from_arrays([ids.take(pa.array(post)), pa.array(lens, pa.int32()), pa.ListArray.from_arrays(pa.array(np.append(first, len(places)), pa.int32()), pa.array(places, pa.int32()))], names=["doc_id", "len", "places"])
+    return pa.RecordBatch.from_arrays([
+        term.take(pa.array(row)), pa.array(block[row], pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), posting), pa.array(np.maximum.reduceat(times, ends[:-1]), pa.int32()),
+        pa.array(np.minimum.reduceat(lens, ends[:-1]), pa.int32()), pa.array(np.full(len(row), place // FILES), pa.int32()),
+    ], names=["term", "block", "postings", "most", "least", "bucket"])
+
+
+def posted(own: DataFrame) -> DataFrame:
+    """term, block, postings, most, least, bucket of documents (doc_id, block, words).
+
+    Tasks gather the words of their documents before the only shuffle, which deals each bucket's blocks to FILES places; a term and block may have a few rows.
+    """
+    kind = own.schema["doc_id"].dataType.simpleString()
+    parts = own.select("doc_id", "block", "words").mapInArrow(found, "place int, postings binary").repartition("place").sortWithinPartitions("place")
+    return parts.mapInArrow(joined, f"term string, block int, postings array<struct<doc_id:{kind},len:int,places:array<int>>>, most int, least int, bucket int")
+
+
 def add(docs: DataFrame, path: str, blocks: int = 64) -> None:
     """Index docs (doc_id, text), each as a whole; a document that is in the index is replaced. Null and empty texts are documents of length 0.
 
-    blocks is the number of blocks that documents are dealt to, and stays that of the first call.
+    blocks is the number of blocks that documents are dealt to, and stays that of the first call. docs is read more than once.
     """
-    own = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     with rounds(docs.sparkSession) as stage:
-        own = stage(own.select("doc_id", words_of(F.col("text")).alias("words"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")))
+        own = one_each(docs, stage)
         if exists(docs.sparkSession, f"{path}/documents"):
             delete(docs.sparkSession, own.select("doc_id"), path)
         segment = time.time_ns()  # behind the tombstones of what it replaces
-        found = own.select("doc_id", "block", F.size("words").alias("len"), F.posexplode("words").alias("at", "term"))
-        posting = found.groupBy("term", "block", "doc_id", "len").agg(F.array_sort(F.collect_list("at")).alias("places"))
-        posting = posting.groupBy("term", "block").agg(F.collect_list(F.struct("doc_id", "len", "places")).alias("postings"), F.max(F.size("places")).alias("most"), F.min("len").alias("least"))
-        rows = posting.select(F.lit(segment).alias("segment"), "*", bucket(F.col("term")).alias("bucket"))
-        rows.repartition(BUCKETS, "bucket", "block").sortWithinPartitions("bucket", "term").write.mode("append").partitionBy("bucket").parquet(f"{path}/postings")
+        own = own.select("doc_id", words_of(F.col("text")).alias("words"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"))
+        posted(own).withColumn("segment", F.lit(segment)).write.mode("append").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
         own.select(F.lit(segment).alias("segment"), "doc_id", F.size("words").alias("len")).write.mode("append").parquet(f"{path}/documents")
 
 

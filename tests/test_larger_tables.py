@@ -1,15 +1,18 @@
 """Queries on made-up tables that are larger or longer than the given ones, against their SQL or brute force."""
 
+import random
 import re
+from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import cosine
-from tessera.operators import search
+from tessera.operators import inverted, search
 from tessera.plans import catalogue
 
 
@@ -70,3 +73,40 @@ def plan_of(rows):
 @pytest.mark.parametrize("name", ["vector_knn_query_set", "mmr_rerank"])
 def test_query_sets_meet_rows_without_nested_loops(spark, sf_dir, name):
     assert not re.search("NestedLoopJoin|CartesianProduct", plan_of(catalogue.queries()[name](spark, sf_dir)))
+
+
+def test_index_is_built_with_one_shuffle_of_packed_postings(spark, tmp_path, monkeypatch):
+    r = random.Random(4)
+    docs = [(i, " ".join(r.choices("a bb ccc dddd Straße x9 中文".split() + [f"w{i}"], k=r.randint(0, 60)))) for i in range(300)] + [(400, None), (401, ""), (7, "other bb"), (None, "a")]
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    own = table.where("doc_id < 300").selectExpr("doc_id", "split(text, ' ') AS words", "cast(doc_id % 5 AS int) AS block")
+    plan = plan_of(inverted.posted(own))
+    assert plan.count("Exchange hashpartitioning") == 1 and "Generate" not in plan
+    monkeypatch.setattr(inverted, "WORDS", 500)  # several runs for each task
+    inverted.add(table, str(tmp_path), blocks=5)
+    want, texts = defaultdict(list), {}
+    for i, t in docs:
+        if i is not None:
+            texts[i] = min(t or "", texts.get(i, t or ""))
+    for i, t in texts.items():
+        words = re.findall(r"[^\W_]+", t.lower())
+        for w in set(words):
+            want[w].append((i, len(words), [n for n, x in enumerate(words) if x == w]))
+    got, blocks = defaultdict(list), defaultdict(set)
+    for row in spark.read.parquet(f"{tmp_path}/postings").collect():
+        assert row.most == max(len(p.places) for p in row.postings) and row.least == min(p.len for p in row.postings)
+        got[row.term] += [(p.doc_id, p.len, p.places) for p in row.postings]
+        for p in row.postings:
+            blocks[p.doc_id].add(row.block)
+    assert {t: sorted(p) for t, p in got.items()} == {t: sorted(p) for t, p in want.items()} and {len(b) for b in blocks.values()} == {1}
+    assert sorted((x.doc_id, x.len) for x in spark.read.parquet(f"{tmp_path}/documents").collect()) == sorted((i, len(re.findall(r"[^\W_]+", t))) for i, t in texts.items())
+    asked = spark.createDataFrame([(t,) for t in want], "term string")
+    places = {(x.term, x.bucket) for x in spark.read.parquet(f"{tmp_path}/postings").select("term", "bucket").collect()}
+    assert places == {(x.term, x.b) for x in asked.select("term", inverted.bucket(F.col("term")).alias("b")).collect()}
+
+
+def test_hashes_are_those_of_spark(spark):
+    r = random.Random(5)
+    words = ["".join(r.choices("abcéß中xyz09", k=n % 70)) for n in range(300)]
+    got = inverted.hashes(pa.array(words)).astype(np.int64).tolist()
+    assert got == [x.h for x in spark.createDataFrame([(w,) for w in words], "w string").coalesce(1).select(F.xxhash64("w").alias("h")).collect()]
