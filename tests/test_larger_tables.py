@@ -12,7 +12,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import cosine
-from tessera.operators import inverted, search
+from tessera.operators import inverted, search, substrings
 from tessera.plans import catalogue
 
 
@@ -110,3 +110,22 @@ def test_hashes_are_those_of_spark(spark):
     words = ["".join(r.choices("abcéß中xyz09", k=n % 70)) for n in range(300)]
     got = inverted.hashes(pa.array(words)).astype(np.int64).tolist()
     assert got == [x.h for x in spark.createDataFrame([(w,) for w in words], "w string").coalesce(1).select(F.xxhash64("w").alias("h")).collect()]
+
+
+def test_names_are_looked_up_in_texts_without_a_row_for_each_letter(spark, monkeypatch):
+    r = random.Random(6)
+    word = lambda n: "".join(r.choices("abé文 :", weights=[9, 9, 1, 1, 2, 2], k=n))
+    texts = {i: word(r.randint(0, 400)) for i in range(60)} | {100: "", 101: "a" * 300, 102: None}
+    whole = [t for t in texts.values() if t]
+    parts = [t[i : i + n] for t in r.choices(whole, k=150) for n in (r.randint(1, 40),) for i in (r.randrange(len(t)),)]
+    names = parts + [p + "x" for p in parts[:40]] + [word(r.randint(1, 12)) for _ in range(80)] + ["a" * n for n in (7, 8, 9, 16, 17, 200, 300, 301)] + whole[:5] + ["", None]
+    table = spark.createDataFrame([*texts.items(), (None, "aaaaaaaa"), (0, "second aaaaaaaaa")], "id long, text string").coalesce(2)
+    named = lambda rows: spark.createDataFrame([(n,) for n in rows], "name string")
+    want = {(n, i) for n in names if n for i, t in [*texts.items(), (0, "second aaaaaaaaa")] if t and n in t}
+    found = substrings.contained(named(names), table)
+    assert "Generate" not in plan_of(found) and "Join" not in plan_of(found)
+    assert sorted((x.name, x.id) for x in found.collect()) == sorted(want)
+    for name, size in (("NAMES", 50), ("CHUNK", 300), ("PAIRS", 20)):
+        monkeypatch.setattr(substrings, name, size)
+    assert sorted((x.name, x.id) for x in substrings.contained(named(names), table).collect()) == sorted(want)
+    assert substrings.contained(named(["", None]), table).count() == 0 and substrings.contained(named(names), table.limit(0)).count() == 0
